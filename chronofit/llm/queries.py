@@ -30,6 +30,39 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its paragraphs, those with a near copy anywhere, and those removed, as comma-joined numbers."""
+    from .paragraphs import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_paragraphs", "n_repeated", "n_removed", F.concat_ws(",", F.col("removed").cast("array<string>")).alias("removed"))
+
+
+OP2_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text <> ''),
+p AS (SELECT doc_id, i - 1 AS no, regexp_extract_all(translate(p[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM t)),
+a AS (SELECT doc_id, no, w, array_to_string(w, ' ') AS body FROM p WHERE len(w) >= 10),
+b AS (SELECT row_number() OVER (ORDER BY body) AS k, body, any_value(w) AS w FROM a GROUP BY body),
+g AS (SELECT DISTINCT k, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS g FROM b),
+n AS (SELECT k, count(*) AS n FROM g GROUP BY k),
+x AS (SELECT u.k AS a, v.k AS b, count(*) AS i FROM g u JOIN g v USING (g) WHERE u.k <> v.k GROUP BY 1, 2),
+l AS (SELECT a, b FROM x JOIN n u ON u.k = a JOIN n v ON v.k = b WHERE 5 * i >= 4 * (u.n + v.n - i)),
+r AS (SELECT k AS a, k AS b FROM b UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS k, min(b) AS comp FROM r GROUP BY 1),
+m AS (SELECT doc_id, no, comp, row_number() OVER (PARTITION BY comp ORDER BY doc_id, no) AS place, count(*) OVER (PARTITION BY comp) AS size FROM a JOIN b USING (body) JOIN c USING (k)),
+d AS (SELECT doc_id, count(*) FILTER (WHERE size > 1) AS n_repeated, count(*) FILTER (WHERE place > 1) AS n_removed, string_agg(no::VARCHAR, ',' ORDER BY no) FILTER (WHERE place > 1) AS removed FROM m GROUP BY 1)
+SELECT doc_id, CASE WHEN text <> '' THEN length(text) - length(replace(text, chr(10), '')) + 1 ELSE 0 END AS n_paragraphs,
+  coalesce(n_repeated, 0) AS n_repeated, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed
+FROM documents LEFT JOIN d USING (doc_id)
+"""
+
+
+def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .embeddings import near_duplicates
 
@@ -115,10 +148,10 @@ FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op1_byte_bpe": op1_byte_bpe, "op3_embeddings": op3_embeddings, "op4_minhash": op4_minhash, "op6_html": op6_html,
+        "op1_byte_bpe": op1_byte_bpe, "op2_paragraphs": op2_paragraphs, "op5_suffix": op5_suffix, "op3_embeddings": op3_embeddings, "op4_minhash": op4_minhash, "op6_html": op6_html,
         "op7_language_id": op7_language_id, "op8_pii": op8_pii, "op9_warc": op9_warc, "op10_decontamination": op10_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embeddings": OP3_SQL, "op4_minhash": OP4_SQL, "op9_warc": OP9_SQL, "op10_decontamination": OP10_SQL}
+    return {"op2_paragraphs": OP2_SQL, "op3_embeddings": OP3_SQL, "op4_minhash": OP4_SQL, "op9_warc": OP9_SQL, "op10_decontamination": OP10_SQL}
