@@ -7,12 +7,11 @@ import hashlib
 import re
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import with_arrow
 
 #: Texts of more code points than this are cut at safe boundaries before the pattern runs over them.
 SPLIT_AT = 1 << 16
@@ -55,37 +54,20 @@ def encode_text(enc, text: str) -> np.ndarray:
     return np.concatenate([np.array(enc.encode_ordinary(p), dtype="<u4") for p in safe_parts(text)])
 
 
-def _over(df: DataFrame, source: str, into: list[T.StructField], make) -> DataFrame:
-    """mapInArrow that keeps all columns but those of the names in `into`, which it makes from column `source`."""
-    names = {x.name for x in into}
-    kept = [f for f in df.schema.fields if f.name not in names]
-    schema = T.StructType([*kept, *into])
-    n, kinds = len(kept), [pa.int64() if isinstance(x.dataType, T.LongType) else pa.binary() for x in into]
-
-    def run(batches):
-        for b in batches:
-            made = make(b.column(n))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(n)), *(pa.array(m, k) for m, k in zip(made, kinds, strict=True))], names=[x.name for x in schema.fields])
-
-    frame = df.select(*(F.col(f"`{f.name}`") for f in kept), F.col(f"`{source}`").alias("_from"))
-    return frame.mapInArrow(run, schema)
-
-
 def encode(df: DataFrame, ranks: bytes, pattern: str, text_col: str = "text", ids_col: str = "ids", count_col: str = "n_tokens") -> DataFrame:
     """Add ids_col, the token ids as little-endian unsigned 32-bit integers in a binary, and count_col, their number.
 
     The ids are those of the tiktoken library without special tokens, whose strings are ordinary text. Texts are
     encoded whole; a null is an empty text, with no tokens. Columns of the two names are replaced, others stay.
     """
-    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(ranks)  # one vocabulary file, whatever the input
 
-    def make(column):
+    def make(columns):
         enc = encoding(shared.value, pattern)
-        ids = [encode_text(enc, x or "") for x in column.to_pylist()]
+        ids = [encode_text(enc, x or "") for x in columns[0].to_pylist()]
         return [len(x) for x in ids], [x.tobytes() for x in ids]
 
-    return _over(df, text_col, [T.StructField(count_col, T.LongType()), T.StructField(ids_col, T.BinaryType())], make)
+    return with_arrow(df, [text_col], [T.StructField(count_col, T.LongType()), T.StructField(ids_col, T.BinaryType())], make)
 
 
 def decode(df: DataFrame, ranks: bytes, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
@@ -93,14 +75,13 @@ def decode(df: DataFrame, ranks: bytes, pattern: str, ids_col: str = "ids", byte
 
     An id that the rank file doesn't have fails the task.
     """
-    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(ranks)
 
-    def make(column):
+    def make(columns):
         enc = encoding(shared.value, pattern)
-        return [[enc.decode_bytes(np.frombuffer(x or b"", dtype="<u4").tolist()) for x in column.to_pylist()]]
+        return [[enc.decode_bytes(np.frombuffer(x or b"", dtype="<u4").tolist()) for x in columns[0].to_pylist()]]
 
-    return _over(df, ids_col, [T.StructField(bytes_col, T.BinaryType())], make)
+    return with_arrow(df, [ids_col], [T.StructField(bytes_col, T.BinaryType())], make)
 
 
 def round_trip(df: DataFrame, ranks: bytes, pattern: str, text_col: str = "text") -> DataFrame:

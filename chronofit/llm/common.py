@@ -10,8 +10,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows that go to a Python worker at once. Texts can be very long, so this is far below Spark's own.
 BATCH_ROWS = 512
@@ -76,6 +78,28 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
+def with_arrow(df: DataFrame, sources: list[str], fields: list[T.StructField], make) -> DataFrame:
+    """df with the columns `fields`, which make(arrays of the source columns) gives for each batch.
+
+    All other columns stay as they are and where they are; columns of the fields' names are replaced.
+    """
+    small_batches(df.sparkSession)
+    names = {x.name for x in fields}
+    kept = [f for f in df.schema.fields if f.name not in names]
+    schema = T.StructType([*kept, *fields])
+    kinds = {T.LongType(): pa.int64(), T.BinaryType(): pa.binary(), T.StringType(): pa.string(), T.DoubleType(): pa.float64(), T.BooleanType(): pa.bool_(), T.ArrayType(T.StringType()): pa.list_(pa.string())}
+    n, made_kinds = len(kept), [kinds[x.dataType] for x in fields]
+
+    def run(batches):
+        for b in batches:
+            made = make([b.column(n + i) for i in range(len(sources))])
+            made = [m if isinstance(m, pa.Array) else pa.array(m, k) for m, k in zip(made, made_kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(n)), *made], names=[x.name for x in schema.fields])
+
+    frame = df.select(*(F.col(f"`{f.name}`") for f in kept), *(F.col(f"`{c}`").alias(f"_from{i}") for i, c in enumerate(sources)))
+    return frame.mapInArrow(run, schema)
+
+
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """Connected components of the undirected edges (u, v): rows (node, comp), comp the smallest node of the component.
 

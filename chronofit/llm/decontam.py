@@ -13,9 +13,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import shingles as S
-from .common import id_and_text, small_batches
+from .common import id_and_text, small_batches, with_arrow
 
 #: Words in a window, words in a shingle, (window, item) pairs in a block that is sent to all tasks.
 WINDOW, SHINGLE, BLOCK = 13, 5, 100_000
@@ -124,37 +125,41 @@ def _token_counts(texts: DataFrame, shared) -> DataFrame:
     return texts.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def _match(frame: DataFrame, shared) -> DataFrame:
-    """Add one block's finds to (id, text, n_words, spans, items)."""
+_STATE = [T.StructField("__words", T.LongType()), T.StructField("__spans", T.BinaryType()), T.StructField("__items", T.ArrayType(T.StringType()))]
 
-    def run(batches):
+
+def _match(frame: DataFrame, text_col: str, shared) -> DataFrame:
+    """Add one block's finds to the state columns."""
+
+    def make(columns):
         index, member, fold = shared.value, word_bytes(), S.lower_ascii()
-        for whole in batches:
-            for b in S.pieces(whole, "text"):
-                data, offsets = S.string_buffers(b.column(1))
-                starts, ends, of = S.words(data, offsets, member)
-                n = len(offsets) - 1
-                counts = np.bincount(of, minlength=n)
-                first = np.cumsum(counts) - counts
-                spans = [[np.frombuffer(x or b"", np.int64)] for x in b.column(3).to_pylist()]
-                items = [set(x or ()) for x in b.column(4).to_pylist()]
-                low = fold[data]
-                for k, pos, at in index.found(S.span_hashes(data, starts, ends, fold), of):
-                    for p, t in zip(pos.tolist(), at.tolist(), strict=True):
-                        d = int(of[p])
-                        for w, o in index.prefix[k][t]:
-                            a = p - o
-                            if a < first[d] or a + index.size[w] > first[d] + counts[d]:
-                                continue
-                            if b" ".join(low[starts[x] : ends[x]].tobytes() for x in range(a, a + index.size[w])) == index.words[w]:
-                                spans[d].append(np.array([a - first[d], a - first[d] + index.size[w]], np.int64))
-                                items[d].update(index.items[w])
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(1), pa.array(counts, pa.int64()), pa.array([np.concatenate(x).tobytes() for x in spans], pa.binary()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
-                    names=["id", "text", "n_words", "spans", "items"],
-                )
-
-    return frame.mapInArrow(run, "id long, text string, n_words long, spans binary, items array<string>")
+        text, _, spans_in, items_in = columns
+        whole = pa.RecordBatch.from_arrays([text, spans_in, items_in], names=["text", "spans", "items"])
+        words, spans_out, items_out = [], [], []
+        for b in S.pieces(whole, "text"):
+            data, offsets = S.string_buffers(b.column(0))
+            starts, ends, of = S.words(data, offsets, member)
+            counts = np.bincount(of, minlength=len(offsets) - 1)
+            first = np.cumsum(counts) - counts
+            spans = [[np.frombuffer(x or b"", np.int64)] for x in b.column(1).to_pylist()]
+            items = [set(x or ()) for x in b.column(2).to_pylist()]
+            low = fold[data]
+            for k, pos, at in index.found(S.span_hashes(data, starts, ends, fold), of):
+                for p, t in zip(pos.tolist(), at.tolist(), strict=True):
+                    d = int(of[p])
+                    for w, o in index.prefix[k][t]:
+                        a = p - o
+                        if a < first[d] or a + index.size[w] > first[d] + counts[d]:
+                            continue
+                        if b" ".join(low[starts[x] : ends[x]].tobytes() for x in range(a, a + index.size[w])) == index.words[w]:
+                            spans[d].append(np.array([a - first[d], a - first[d] + index.size[w]], np.int64))
+                            items[d].update(index.items[w])
+            words += counts.tolist()
+            spans_out += [np.concatenate(x).tobytes() for x in spans]
+            items_out += [sorted(x) for x in items]
+        return words, spans_out, items_out
+
+    return with_arrow(frame, [text_col, "__words", "__spans", "__items"], _STATE, make)
 
 
 def covered(spans: bytes) -> int:
@@ -168,13 +173,13 @@ def covered(spans: bytes) -> int:
     return int(np.maximum(0, x[:, 1] - np.maximum(x[:, 0], before)).sum())
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
-    """(id, n_words, n_hit, n_items, items, contaminated), a row for each input row.
+def marked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+    """docs with n_words, n_hit, n_items, items and contaminated; columns of these names are replaced, all others stay.
 
     A word is hit inside any occurrence of a window of `window` consecutive item words, or of all words of a
     shorter item; items are those whose windows occur, sorted as strings; contaminated: n_hit > 0 and
     20 * n_hit >= n_words. A null or wordless text has no words, a null or wordless item no windows, and items
-    without an id hit words but aren't listed. Ties, repeated rows and an empty benchmark need no rule.
+    without an id hit words but aren't listed. Repeated rows and an empty benchmark need no rule.
 
     The (window, item) pairs are dealt by hash into blocks of about `block`; each block is sent to all tasks and
     the documents are run past it, so what is sent doesn't grow with the benchmark, and nothing is shuffled but
@@ -182,23 +187,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     small_batches(spark)
-    texts = id_and_text(docs, id_col, text_col)
+    text = F.col(f"`{text_col}`").cast("string")
     pairs = windows(benchmark.select(F.col(f"`{item_col}`").cast("string").alias("id"), F.col(f"`{item_text}`").cast("string").alias("text")), window)
     blocks = max(1, -(-pairs.count() // block))
-    state = texts.select("id", "text", F.lit(0).cast("long").alias("n_words"), F.lit(b"").alias("spans"), F.array().cast("array<string>").alias("items"))
+    names = ["n_words", "n_hit", "n_items", "items", "contaminated"]
+    state = docs.drop(*(x for x in names if x != text_col)).withColumns({"__words": F.lit(0).cast("long"), "__spans": F.lit(b""), "__items": F.array().cast("array<string>")})
     for k in range(blocks):
         part = pairs.where(F.pmod(F.xxhash64("words", "item"), F.lit(blocks)) == k).toArrow()
         index = _Index(part, shingle)
         counts = np.zeros(index.n_tokens, np.int64)
         if index.n_tokens:
-            seen = _token_counts(texts, spark.sparkContext.broadcast(index)).toArrow()
+            seen = _token_counts(docs.select(F.lit(0).alias("id"), text.alias("text")), spark.sparkContext.broadcast(index)).toArrow()
             counts[seen.column(0).to_numpy()] = seen.column(1).to_numpy()
         index.rank(counts)
-        state = _match(state, spark.sparkContext.broadcast(index))
-
-    def finish(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([covered(x) for x in b.column(2).to_pylist()], pa.int64()), b.column(3)], names=["id", "n_words", "n_hit", "items"])
-
-    done = state.select("id", "n_words", "spans", "items").mapInArrow(finish, "id long, n_words long, n_hit long, items array<string>")
-    return done.select("id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+        state = _match(state, text_col, spark.sparkContext.broadcast(index))
+    done = with_arrow(state, ["__spans"], [T.StructField("n_hit", T.LongType())], lambda c: [[covered(x) for x in c[0].to_pylist()]])
+    return done.withColumns({
+        "n_words": F.col("__words"), "n_items": F.size("__items").cast("long"), "items": F.col("__items"),
+        "contaminated": (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("__words")),
+    }).drop("__words", "__spans", "__items")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(id, n_words, n_hit, n_items, items, contaminated), a row for each input row; see marked()."""
+    found = marked(id_and_text(docs, id_col, text_col), benchmark, "text", **options)
+    return found.select("id", "n_words", "n_hit", "n_items", "items", "contaminated")

@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import id_and_text, small_batches
+from .common import id_and_text, small_batches, with_arrow
 
 #: Most frequent n-grams in a profile, and the longest n-gram.
 PROFILE, LONGEST = 300, 3
@@ -94,44 +95,48 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return {r["lang"]: [x["gram"] for x in r["top"]] for r in best(rows, "lang").collect()}
 
 
-def predict(docs: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc_id", text_col: str = "text", size: int = PROFILE, longest: int = LONGEST) -> DataFrame:
-    """(id, held_out, lang_pred, score), a row for each input row, from the whole text alone.
-
-    The distance to a language is the sum, over the text's ranked n-grams, of how far each is out of place in the
-    language's ranking, or `size` where it is missing. lang_pred has the least, by name at ties; score is one
-    minus that distance over the greatest possible one. A text that is null or has no letter, or any text where
-    there are no profiles, is "und" with score 0. Repeated rows and null ids are treated like others.
-    """
-    small_batches(docs.sparkSession)
+def predictor(profiles: dict[str, list[int]], size: int = PROFILE, longest: int = LONGEST):
+    """A function from a text to (language, score) by the least out-of-place distance."""
     names = sorted(profiles)
     grams = np.array(sorted({g for p in profiles.values() for g in p}), dtype=np.int64)
     place = np.full((len(names), len(grams) + 1), -1, dtype=np.int64)
     for i, name in enumerate(names):
         place[i, np.searchsorted(grams, np.array(profiles[name], dtype=np.int64))] = np.arange(len(profiles[name]))
 
-    def run(batches):
-        for b in batches:
-            lang, score = [], []
-            for text in b.column(1).to_pylist():
-                if not names or not has_letter(text):
-                    lang.append(UND)
-                    score.append(0.0)
-                    continue
-                own = ranking(letters(text), size, longest)
-                at = np.searchsorted(grams, own)
-                at[at == len(grams)] = 0
-                found = grams[at] == own
-                where = np.where(found, at, len(grams))
-                theirs = place[:, where]
-                away = np.where(theirs < 0, size, np.minimum(np.abs(theirs - np.arange(len(own))), size)).sum(axis=1)
-                best = int(away.argmin())
-                lang.append(names[best])
-                score.append(float(1 - away[best] / (size * len(own))))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["id", "held_out", "lang_pred", "score"])
-
-    frame = id_and_text(docs, id_col, text_col).withColumn("held_out", held_out(F.col("id")))
-    return frame.mapInArrow(run, "id long, held_out boolean, lang_pred string, score double")
+    def one(text: str | None) -> tuple[str, float]:
+        if not len(grams) or not has_letter(text):
+            return UND, 0.0
+        own = ranking(letters(text), size, longest)
+        at = np.searchsorted(grams, own)
+        at[at == len(grams)] = 0
+        theirs = place[:, np.where(grams[at] == own, at, len(grams))]
+        away = np.where(theirs < 0, size, np.minimum(np.abs(theirs - np.arange(len(own))), size)).sum(axis=1)
+        best = int(away.argmin())
+        return names[best], float(1 - away[best] / (size * len(own)))
+
+    return one
+
+
+def predict(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "text", size: int = PROFILE, longest: int = LONGEST) -> DataFrame:
+    """Add lang_pred and score, from the whole text alone.
+
+    The distance to a language is the sum, over the text's ranked n-grams, of how far each is out of place in the
+    language's ranking, or `size` where it is missing. lang_pred has the least, by name at ties; score is one
+    minus that distance over the greatest possible one. A text that is null or has no letter, or any text where
+    there are no profiles, is "und" with score 0. Repeated rows are treated alike; columns of the two names are
+    replaced, all others stay.
+    """
+
+    def make(columns):
+        one = predictor(profiles, size, longest)
+        found = [one(x) for x in columns[0].to_pylist()]
+        return [x for x, _ in found], [y for _, y in found]
+
+    return with_arrow(docs, [text_col], [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], make)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    return predict(docs, fit(docs, id_col, text_col, lang_col), id_col, text_col)
+    """(id, held_out, lang_pred, score), a row for each input row; null ids aren't held out."""
+    frame = id_and_text(docs, id_col, text_col)
+    found = predict(frame, fit(docs, id_col, text_col, lang_col))
+    return found.select("id", held_out(F.col("id")).alias("held_out"), "lang_pred", "score")

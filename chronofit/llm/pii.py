@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import id_and_text, small_batches
+from .common import id_and_text, small_batches, with_arrow
 from .tagger import Tagger, char_ids
 
 #: In the order in which spans are listed.
@@ -194,6 +195,20 @@ def spans_text(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
 
 
+def all_spans(model: Tagger, texts: list[str]) -> tuple[list, list]:
+    """The patterns' spans of each text, and these with the tagger's that overlap none of them nor each other."""
+    base = [base_spans(x) for x in texts]
+    every = []
+    for have, more in zip(base, tagged_spans(model, texts), strict=True):
+        taken, kept = [(a, z) for _, a, z in have], list(have)
+        for k, a, z in sorted(more, key=lambda s: s[1]):
+            if all(z <= x or y <= a for x, y in taken):
+                taken.append((a, z))
+                kept.append((k, a, z))
+        every.append(sorted(kept))
+    return base, every
+
+
 def find(docs: DataFrame, model: Tagger, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, base string, spans string, n_email, n_ip, n_card, n_phone) of every whole text, a row for each input row.
 
@@ -201,27 +216,16 @@ def find(docs: DataFrame, model: Tagger, id_col: str = "doc_id", text_col: str =
     spans also holds those tagger spans that overlap no pattern span of any kind and no earlier tagger span. A
     null or empty text has none; repeated rows are treated alike.
     """
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # about 10,000 numbers, whatever the input
 
-    def run(batches):
-        for b in batches:
-            texts = [x or "" for x in b.column(1).to_pylist()]
-            base = [base_spans(x) for x in texts]
-            extra = tagged_spans(shared.value, texts)
-            every = []
-            for have, more in zip(base, extra, strict=True):
-                taken = [(a, z) for _, a, z in have]
-                kept = list(have)
-                for k, a, z in sorted(more, key=lambda s: s[1]):
-                    if all(z <= x or y <= a for x, y in taken):
-                        taken.append((a, z))
-                        kept.append((k, a, z))
-                every.append(sorted(kept))
-            counts = [pa.array([sum(s[0] == k for s in x) for x in base], pa.int64()) for k in range(len(KINDS))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([spans_text(x) for x in base], pa.string()), pa.array([spans_text(x) for x in every], pa.string()), *counts], names=["id", "base", "spans", *(f"n_{k}" for k in KINDS)])
-
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "id long, base string, spans string, n_email long, n_ip long, n_card long, n_phone long")
+    def make(columns):
+        texts = [x or "" for x in columns[0].to_pylist()]
+        base, every = all_spans(shared.value, texts)
+        counts = [[sum(s[0] == k for s in x) for x in base] for k in range(len(KINDS))]
+        return [spans_text(x) for x in base], [spans_text(x) for x in every], *counts
+
+    fields = [T.StructField("base", T.StringType()), T.StructField("spans", T.StringType()), *(T.StructField(f"n_{k}", T.LongType()) for k in KINDS)]
+    return with_arrow(id_and_text(docs, id_col, text_col), ["text"], fields, make).drop("text")
 
 
 def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -232,3 +236,16 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
             out += [text[at:a], f"[{KINDS[k].upper()}]"]
         at = max(at, b)
     return "".join([*out, text[at:]])
+
+
+def mask(docs: DataFrame, model: Tagger, text_col: str = "text") -> DataFrame:
+    """docs with every span of find() replaced in the text by its kind in brackets; a null text stays null."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make(columns):
+        texts = columns[0].to_pylist()
+        _, every = all_spans(shared.value, [x or "" for x in texts])
+        return [[x if x is None else masked(x, s) for x, s in zip(texts, every, strict=True)]]
+
+    order = docs.columns
+    return with_arrow(docs, [text_col], [T.StructField(text_col, T.StringType())], make).select(*(F.col(f"`{c}`") for c in order))
