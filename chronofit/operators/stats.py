@@ -54,10 +54,10 @@ def clipped_delay(df: DataFrame, keys: Sequence[str], value: str, z: float = 3.5
         new = robust_scale(kept.select(*keys, value), keys, value, floor)
         new = new.select(*keys, (F.col("center") - z * F.col("scale")).alias("low2"), (F.col("center") + z * F.col("scale")).alias("high2"))
         counts = df.join(limits.join(new, keys, "left"), keys).groupBy(*keys).agg(
-            F.count_if(v.between(F.col("low2"), F.col("high2"))).alias("k"),
-            F.count_if(v.between(F.col("low2"), F.col("high2")) != v.between(F.col("low"), F.col("high"))).alias("moved"),
+            F.count_if(v.between(F.col("low2"), F.col("high2"))).alias("_k"),
+            F.count_if(v.between(F.col("low2"), F.col("high2")) != v.between(F.col("low"), F.col("high"))).alias("_moved"),
         )
-        go = F.col("live") & (F.col("k") >= minimum) & (F.col("moved") > 0)
+        go = F.col("live") & (F.col("_k") >= minimum) & (F.col("_moved") > 0)
         limits = limits.join(new, keys, "left").join(counts, keys, "left").select(
             *keys, F.when(go, F.col("low2")).otherwise(F.col("low")).alias("low"), F.when(go, F.col("high2")).otherwise(F.col("high")).alias("high"),
             (F.col("rounds") + go.cast("int")).alias("rounds"), F.coalesce(go, F.lit(False)).alias("live"),
