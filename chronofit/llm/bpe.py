@@ -15,8 +15,8 @@ from .common import with_arrow
 
 #: Texts of more code points than this are cut at safe boundaries before the pattern runs over them.
 SPLIT_AT = 1 << 16
-#: A blank after an ASCII letter or digit always ends a match of the pattern, and the next match starts at the blank.
-_SAFE = re.compile(r"(?<=[A-Za-z0-9]) ")
+#: A blank after anything but white space always starts a match of the pattern: no match goes on from the one to the other.
+_SAFE = re.compile(r"(?<=\S) ")
 _MADE: dict = {}
 
 
@@ -92,7 +92,7 @@ def round_trip(df: DataFrame, ranks: bytes, pattern: str, text_col: str = "text"
 def id_array(ids: Column) -> Column:
     """Packed ids as array<long>."""
     hexed = F.hex(ids)
-    at = F.sequence(F.lit(0), F.length(hexed) / 8 - 1).cast("array<int>")
+    at = F.sequence(F.lit(0), (F.length(hexed) / 8 - 1).cast("int"))
     byte = lambda i, k: F.substring(hexed, i * 8 + 1 + 2 * k, F.lit(2))
     return F.when(F.length(ids) > 0, F.transform(at, lambda i: F.conv(F.concat(*(byte(i, k) for k in (3, 2, 1, 0))), 16, 10).cast("long"))).otherwise(F.array().cast("array<long>"))
 

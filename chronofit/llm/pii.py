@@ -29,6 +29,8 @@ _DIGIT = re.compile(r"[0-9]")
 WINDOW, STEP, CONTEXT = 64, 32, 24
 #: Documents (on average) and windows, at most, that the tagger is trained on; the only bounded sample here.
 FIT_DOCS, FIT_WINDOWS, EPOCHS = 20_000, 2500, 6
+#: Least number of training batches: with few windows there are more rounds over them.
+STEPS, BATCH, RATE = 240, 64, 0.03
 _N_TAGS = 1 + 2 * len(KINDS)
 
 
@@ -132,7 +134,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", epoch
             extra_t[k, c + 1] = phone
     model = Tagger(_N_TAGS)
     if len(ids):
-        model.fit(np.concatenate([ids, extra_i]), np.concatenate([tags, extra_t]), epochs)
+        ids, tags = np.concatenate([ids, extra_i]), np.concatenate([tags, extra_t])
+        model.fit(ids, tags, max(epochs, -(-STEPS // -(-len(ids) // BATCH))), BATCH, RATE)
     return model
 
 
@@ -144,7 +147,7 @@ def plausible(kind: int, s: str) -> bool:
     )
 
 
-def tagged_spans(model: Tagger, texts: list[str], margin: float = 3.0) -> list[list[tuple[int, int, int]]]:
+def tagged_spans(model: Tagger, texts: list[str], margin: float = 0.5) -> list[list[tuple[int, int, int]]]:
     """Spans that the tagger finds in each whole text.
 
     Overlapping windows are run together; each character takes the emissions of the window in which it lies
