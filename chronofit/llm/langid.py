@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -16,6 +17,8 @@ from .common import id_and_text, small_batches, with_arrow
 PROFILE, LONGEST = 300, 3
 #: Labelled documents per language that the profiles are fitted on, on average; the only bounded sample here.
 FIT_DOCS = 2000
+#: Most languages that a model may hold.
+LANGUAGES = 1000
 UND = "und"
 _NOT_LETTERS = re.compile(r"[^\w]+|[\d_]+")
 
@@ -72,9 +75,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """
     small_batches(docs.sparkSession)
     seen = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")).where(~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    per = seen.groupBy("lang").agg(F.count("*").alias("n"))
-    share = F.pmod(F.xxhash64(F.lit("profile"), "id"), F.lit(1 << 20)) < F.ceil(F.lit(float(fit_docs)) / F.col("n") * (1 << 20))
-    chosen = seen.join(per, "lang").where(share).select("lang", "text")
+    per = seen.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()
+    if len(per) > LANGUAGES:
+        raise ValueError(f"{lang_col} has more than {LANGUAGES} values")
+    limits = F.create_map(*(F.lit(x) for r in per for x in (r["lang"], math.ceil(fit_docs / r["n"] * (1 << 20))))) if per else F.create_map().cast("map<string,bigint>")
+    chosen = seen.where(F.pmod(F.xxhash64(F.lit("profile"), "id"), F.lit(1 << 20)) < limits[F.col("lang")]).select("lang", "text")
 
     def count(batches):
         for b in batches:
