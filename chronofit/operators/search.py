@@ -136,6 +136,7 @@ def insensitive_fit(df: DataFrame, keys: Sequence[str], features: str, target: s
     keys = list(keys)
     d = df.where(F.col(features).isNotNull() & F.col(target).isNotNull()).select(F.to_json(F.struct(*keys)).alias("_key") if keys else F.lit("{}").alias("_key"), *keys, F.col(features).cast("array<double>").alias("x"), F.col(target).cast("double").alias("y"))
     spark = df.sparkSession
+    d = d.persist()
     state: dict[str, np.ndarray] = {}
 
     def sums(current: dict[str, np.ndarray], smooth: float):
@@ -192,6 +193,7 @@ def insensitive_fit(df: DataFrame, keys: Sequence[str], features: str, target: s
         smooth = max(1e-6, smooth * 0.5)
         if moved < 1e-6 and smooth <= 1e-6:
             break
+    d.unpersist()
     rows = [[key, (w[:-1] if intercept else w).tolist(), float(w[-1]) if intercept else 0.0, o, n] for key, (o, w, n) in best.items()]
     found = spark.createDataFrame(rows, "_key string, weights array<double>, bias double, objective double, n long")
     if not keys:
@@ -214,3 +216,43 @@ def attribution(df: DataFrame, keys: Sequence[str], arrays: Sequence[str], weigh
     top = m.groupBy(*keys).agg(F.max("m").alias("top"))
     out = m.join(top, keys) if keys else m.join(top)
     return out.select(*keys, "i", F.when(F.col("top") > 0, F.col("m") / F.col("top")).otherwise(0.0).alias("importance"))
+
+
+def threshold_study(events: DataFrame, keys: Sequence[str], row_id: str, first: str, second: str, blind: float, validation: float, seed: int | str, step_ps: float) -> DataFrame:
+    """One row for each key: the best parameter on validation (or blind, as the oracle) and its CTR on blind.
+
+    first and second are equally long arrays of times in samples, one for each parameter of the grid.
+    """
+    from .splits import three_way
+
+    keys = list(keys)
+    d = three_way(events, keys, row_id, blind, validation, seed).select(*keys, "split", F.posexplode(F.zip_with(first, second, lambda a, b: (a - b) * step_ps)).alias("parameter", "delta"))
+    s = residual_metrics(d, [*keys, "split", "parameter"], "delta").select(*keys, "split", "parameter", "n", "ctr_ps").where("ctr_ps is not null and not isnan(ctr_ps)")
+    best = lambda split, name: s.where(F.col("split") == split).groupBy(*keys).agg(F.min(F.struct("ctr_ps", "parameter")).alias(name))
+    chosen = best("validation", "v").join(best("blind", "o"), keys, "left")
+    at = s.where("split = 'blind'").select(*keys, F.col("parameter").alias("p"), F.col("ctr_ps").alias("blind_ctr_ps"), F.col("n").alias("blind_n"))
+    out = chosen.withColumn("p", F.col("v.parameter")).join(at, [*keys, "p"], "left")
+    return out.select(*keys, F.col("p").alias("parameter"), F.col("v.ctr_ps").alias("validation_ctr_ps"), "blind_ctr_ps", "blind_n", F.col("o.parameter").alias("oracle_parameter"), F.col("o.ctr_ps").alias("oracle_ctr_ps"))
+
+
+def standardised(df: DataFrame, keys: Sequence[str], features: str, training: Column) -> DataFrame:
+    """df with the feature array scaled by the mean and deviation of the training rows of its key; a deviation of 0 counts as 1."""
+    keys = list(keys)
+    each = df.where(training).select(*keys, F.posexplode(features).alias("i", "x"))
+    s = each.groupBy(*keys, "i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
+    s = s.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "m", F.when(F.col("s") > 0, F.col("s")).otherwise(1.0).alias("s")))).alias("_s"))
+    out = df.join(s, keys) if keys else df.join(s)
+    return out.withColumn(features, F.zip_with(features, "_s", lambda x, p: (x - p["m"]) / p["s"])).drop("_s")
+
+
+def threshold_regression(df: DataFrame, keys: Sequence[str], features: str, target: str, training: Column, c: float, epsilon: float, rounds: int = 40) -> DataFrame:
+    """Linear epsilon-insensitive regression with intercept on standardised threshold differences: df with prediction and residual.
+
+    Fitted on the training rows of each key; rows with a missing feature have no prediction.
+    """
+    keys = list(keys)
+    whole = df.withColumn("_train", training).where(F.size(F.filter(features, lambda x: x.isNull() | F.isnan(x))) == 0)
+    d = standardised(whole, keys, features, F.col("_train"))
+    fit = insensitive_fit(d.where("_train"), keys, features, target, c, epsilon, rounds, intercept=True)
+    out = d.join(fit.select(*keys, "weights", "bias"), keys) if keys else d.join(fit.select("weights", "bias"))
+    return out.withColumn("prediction", predicted(F.col(features), F.col("weights"), F.col("bias"))).withColumn("residual", F.col(target) - F.col("prediction")).drop("weights", "bias", "_train")

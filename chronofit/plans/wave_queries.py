@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from chronofit.functions import extraction as X
 from chronofit.functions import timing as T
 from chronofit.functions import waveform as W
 from chronofit.operators import fits, reports, search, selection
@@ -339,5 +340,49 @@ C8 = f"""{_times_sql()}, d AS (SELECT event_index, (led1 - led2) / 1000 AS led_p
 a AS (SELECT median(led_ps) AS c FROM d), b AS (SELECT c, 1.4826 * median(abs(led_ps - c)) AS s FROM d, a GROUP BY c), e AS (SELECT d.* FROM d, b WHERE abs(led_ps - c) <= 2 * s),
 f AS (SELECT median(cfd_ps) AS c FROM e), g AS (SELECT c, 1.4826 * median(abs(cfd_ps - c)) AS s FROM e, f GROUP BY c) SELECT e.* FROM e, g WHERE abs(cfd_ps - c) <= 2 * s"""
 
-_N = "b2_millivolt:B2 b3_basic_features:B3 b4_crop:B4 b5_led_grid:B5 b6_first_crossing:B6 b7_cfd_grid:B7 b8_timing_bundle:B8 b9_reference:B9 b10_anchored_window:B10 b13_low_pass: b15_realigned:B15 b16_relative_slice:B16 b17_concatenated:B17 b19_pair_deltas:B19 b20_factored_target:B20 b21_threshold_differences:B21 b22_pair_swap:B22 b23_shape_features:B23 b24_asymmetric_features:B24 b25_similarity:B25 b26_centred_components:B26 e4_grid_scan: e5_threshold_metrics:E5 e14_correlation_table: e15_error_populations:E15 e15_mean_difference:E15B e18_normalisation:E18 d21_shift_test:D21 f2_representative:F2 f3_regional_importance:F3 h3_adaptive_threshold: h6_pair_regression: h10_attribution:H10 c5_photopeak: c6_cut_flow:C6 c8_mismatch_filter:C8"
+SETTINGS = X.ChannelSettings(1e-10, -1.6e-9, 10, 80.0, 1, 80.0, 0.5, 20, 40, 3, 5)
+
+
+def b11_channel_extraction(spark, sf):
+    c = X.channel(F.col("mv"), SETTINGS)
+    return M.detectors(spark, sf).select("vec_id", c.alias("c")).select("vec_id", "c.valid", "c.amplitude_mv", "c.led_fs", "c.cfd_fs", "c.anchor_fs", F.size("c.window").alias("n"))
+
+
+def _events(spark, sf):
+    return X.event(M.pairs(spark, sf), ("mv1", "mv2"), SETTINGS, ("mv2", "mv1"), SETTINGS)
+
+
+def b12_event_extraction(spark, sf):
+    return _events(spark, sf).select("event_index", "led1_fs", "led2_fs", "cfd1_fs", "cfd2_fs", "valid")
+
+
+def b14_same_edge_times(spark, sf):
+    y = F.col("mv")
+    t = X.same_edge_times(y, [60.0, 80.0, 100.0], W.first_crossing(y, 80.0), 80.0)
+    return M.detectors(spark, sf).where(W.first_crossing(y, 80.0).isNotNull()).select("vec_id", F.posexplode(t).alias("k", "at"))
+
+
+def b18_mode_view(spark, sf):
+    return X.mode_view(_events(spark, sf), "e2t").select("event_index", "mode", "led1_fs", "led2_fs", F.size("window1").alias("n1"), F.size("window2").alias("n2"))
+
+
+def h4_apply_selection(spark, sf):
+    v = X.mode_view(_events(spark, sf), "energy")
+    out = X.apply_selection(v, (F.col("led1_fs") + 150_000, F.col("led2_fs") - 150_000), 1e5)
+    return out.select("event_index", "led1_fs", "anchor1_fs", "anchor2_fs", F.size(F.filter("window1", lambda x: x.isNull())).alias("outside1"))
+
+
+def h5_threshold_study(spark, sf):
+    d = M.pairs(spark, sf).select((F.col("event_index") % 2).alias("file_id"), "event_index", W.led_grid(F.col("mv1"), LEVELS[:3]).alias("a"), W.led_grid(F.col("mv2"), LEVELS[:3]).alias("b"))
+    return search.threshold_study(d, ["file_id"], "event_index", "a", "b", 0.3, 0.3, 17, STEP_PS)
+
+
+def h7_threshold_regression(spark, sf):
+    x = W.threshold_differences(F.col("mv1"), F.col("mv2"), LEVELS[:3], STEP_PS)
+    d = M.pairs(spark, sf).select("event_index", x.alias("x")).join(b19_pair_deltas(spark, sf).where("led_ps is not null"), "event_index")
+    out = search.threshold_regression(d.withColumn("k", F.lit(1)), ["k"], "x", "led_ps", F.col("event_index") % 5 > 0, 1.0, 10.0, rounds=6)
+    return E.residual_metrics(out.withColumn("split", F.when(F.col("event_index") % 5 > 0, "train").otherwise("test")), ["split"], "residual")
+
+
+_N = "b2_millivolt:B2 b3_basic_features:B3 b4_crop:B4 b5_led_grid:B5 b6_first_crossing:B6 b7_cfd_grid:B7 b8_timing_bundle:B8 b9_reference:B9 b10_anchored_window:B10 b13_low_pass: b15_realigned:B15 b16_relative_slice:B16 b17_concatenated:B17 b19_pair_deltas:B19 b20_factored_target:B20 b21_threshold_differences:B21 b22_pair_swap:B22 b23_shape_features:B23 b24_asymmetric_features:B24 b25_similarity:B25 b26_centred_components:B26 e4_grid_scan: e5_threshold_metrics:E5 e14_correlation_table: e15_error_populations:E15 e15_mean_difference:E15B e18_normalisation:E18 d21_shift_test:D21 f2_representative:F2 f3_regional_importance:F3 h3_adaptive_threshold: h6_pair_regression: h10_attribution:H10 b11_channel_extraction: b12_event_extraction: b14_same_edge_times: b18_mode_view: h4_apply_selection: h5_threshold_study: h7_threshold_regression: c5_photopeak: c6_cut_flow:C6 c8_mismatch_filter:C8"
 QUERIES = {n: (globals()[n], globals()[s] if s else None) for n, s in (x.split(":") for x in _N.split())}
