@@ -341,3 +341,39 @@ def matched_hits(trigger: DataFrame, wide: DataFrame, energy: tuple[int, int] =
     h = lambda t, c, e: F.struct(F.col(t).alias("toa_lsb"), F.lit(c).alias("channel"), F.lit(-e).alias("order"))
     six = F.array(h("lead_a", energy[0], 1), h("trail_a", energy[0], 0), h("lead_b", energy[1], 1), h("trail_b", energy[1], 0), h("time_a", timing[0], 1), h("time_b", timing[1], 1))
     return d.select(*keys, F.posexplode(F.array_sort(six)).alias("position", "h")).select(*keys, "position", "h.channel", (-F.col("h.order")).alias("edge"), "h.toa_lsb")
+
+
+def unpaired(leads: DataFrame, pairs: DataFrame, channel: int, side: str) -> DataFrame:
+    """Leads of a channel that no coincidence uses: run_id, board, lead. side is a or b, the channel's side in `pairs`."""
+    board = "board" if side == "a" else "board_b"
+    used = pairs.select("run_id", F.col(board).alias("board"), F.col(f"lead_{side}").alias("lead"))
+    return leads.where(F.col("channel") == channel).select("run_id", "board", "lead").distinct().join(used, ["run_id", "board", "lead"], "left_anti")
+
+
+def fallback_accounting(edges: DataFrame, taken: DataFrame, fallback: DataFrame, longest: int) -> DataFrame:
+    """run_id, board, channel, unmatched_trails, too_short (an earlier lead exists), too_long (unused leads before the last trail less `longest`).
+
+    These two look beyond a gap component, so they are counted by board, with one least and one greatest time for each.
+    """
+    keys = ["run_id", "board", "channel"]
+    used = taken.select(*keys, "lead", "trail").unionByName(fallback.select(*keys, "lead", "trail"))
+    leads, trails = edges.where("edge = 1").select(*keys, F.col("toa_lsb").alias("lead")), edges.where("edge = 0").select(*keys, F.col("toa_lsb").alias("trail")).distinct()
+    free_l, free_t = leads.join(used, [*keys, "lead"], "left_anti").select(*keys, "lead"), trails.join(used, [*keys, "trail"], "left_anti").select(*keys, "trail")
+    first, last = leads.groupBy(*keys).agg(F.min("lead").alias("first")), trails.groupBy(*keys).agg(F.max("trail").alias("last"))
+    t = free_t.join(first, keys, "left").groupBy(*keys).agg(F.count("*").alias("unmatched_trails"), F.count_if(F.col("first") < F.col("trail")).alias("too_short"))
+    n = free_l.join(last, keys).groupBy(*keys).agg(F.count_if(F.col("lead") < F.col("last") - longest).alias("too_long"))
+    out = t.join(n, keys, "full")
+    return out.select(*keys, *(F.coalesce(c, F.lit(0)).alias(c) for c in ("unmatched_trails", "too_short", "too_long")))
+
+
+def coincidence_accounting(pairs: DataFrame, first: DataFrame, second: DataFrame, lists: DataFrame) -> DataFrame:
+    """run_id, pairs, unpaired_a, unpaired_b, without_candidate, candidates and most_candidates.
+
+    first and second are the unpaired leads of either side, lists the coincidences with their candidate lists.
+    """
+    n = lambda df, name: df.groupBy("run_id").agg(F.count("*").alias(name))
+    size = F.size("candidates_a") + F.size("candidates_b")
+    c = lists.groupBy("run_id").agg(F.count("*").alias("kept"), F.sum(size).alias("candidates"), F.max(F.greatest(F.size("candidates_a"), F.size("candidates_b"))).alias("most_candidates"))
+    out = n(pairs, "pairs").join(n(first, "unpaired_a"), "run_id", "full").join(n(second, "unpaired_b"), "run_id", "full").join(c, "run_id", "left")
+    zero = lambda x: F.coalesce(x, F.lit(0))
+    return out.select("run_id", *(zero(x).alias(x) for x in ("pairs", "unpaired_a", "unpaired_b")), (zero("pairs") - zero("kept")).alias("without_candidate"), zero("candidates").alias("candidates"), zero("most_candidates").alias("most_candidates"))

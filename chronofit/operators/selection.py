@@ -116,3 +116,26 @@ def included_runs(df: DataFrame, run: str, names: Sequence[str]) -> DataFrame:
     plain = lambda c: F.regexp_replace(F.lower(c), r"^(run)?0*", "")
     wanted = [n.lower().removeprefix("run").lstrip("0") for n in names]
     return df.where(plain(F.col(run)).isin(wanted)) if wanted else df
+
+
+def energy_preselection(events: DataFrame, keys: Sequence[str], amplitudes: Sequence[str], noises: Sequence[str], triggers: Sequence[str], inside: tuple[int, int], most_noise: float | Sequence[float], minimum: int = 1, **fit) -> DataFrame:
+    """Events with finite amplitude and noise, triggers inside a range, noise under its limit, and every amplitude in its photopeak.
+
+    All tests are on one population; keys with fewer than `minimum` events left are dropped.
+    """
+    keys = list(keys)
+    limits = list(most_noise) if isinstance(most_noise, Sequence) else [most_noise] * len(noises)
+    test = F.lit(True)
+    for c in (*amplitudes, *noises):
+        test &= F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    for t in triggers:
+        test &= (F.col(t) >= 0) & (F.col(t) > inside[0]) & (F.col(t) < inside[1])
+    for n, most in zip(noises, limits, strict=True):
+        test &= F.col(n) < most
+    pool = events.where(test)
+    out = pool
+    for a in amplitudes:
+        w = photopeak(pool, keys, a, **fit).where("success").select(*keys, F.col("low").alias("_lo"), F.col("high").alias("_hi"))
+        out = out.join(w, keys).where(F.col(a).between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+    enough = out.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= minimum).drop("_n")
+    return out.join(enough, keys, "left_semi")
