@@ -86,11 +86,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """B^i and B^-i for i < n, kept for the next batch while they are small."""
     global _POWERS
     if _POWERS is None or len(_POWERS[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 19)
         p, q = np.full(size, U(_BASE)), np.full(size, U(_INVERSE))
         p[0] = q[0] = 1
         made = np.cumprod(p), np.cumprod(q)
-        if size > 1 << 23:
+        if size > 1 << 21:
             return made[0][:n], made[1][:n]
         _POWERS = made
     return _POWERS[0][:n], _POWERS[1][:n]
@@ -184,7 +184,7 @@ def super_minhash(sets: np.ndarray, offsets: np.ndarray, m: int) -> np.ndarray:
             slot = k
         else:
             if perm is None:  # after rank 0 only: the first swap is made up for here
-                perm = np.tile(np.arange(m, dtype=np.uint16), (len(el), 1))
+                perm = np.tile(np.arange(m, dtype=np.uint8 if m <= 256 else np.uint16), (len(el), 1))
                 rows = np.arange(len(el))
                 perm[rows, first] = 0
                 perm[:, 0] = first
@@ -220,7 +220,7 @@ def text_sets(column: pa.Array, k: int, member: np.ndarray, fold: np.ndarray) ->
     return distinct(h, of, len(offsets) - 1)
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 2 << 20):
+def pieces(batch: pa.RecordBatch, column: str, most: int = 512 << 10):
     """Slices of a batch of about `most` bytes of text, one text at least, to bound the kernels' memory."""
     col = batch.column(batch.schema.get_field_index(column))
     _, offsets = string_buffers(col)
