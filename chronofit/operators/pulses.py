@@ -1,8 +1,8 @@
 """Pulse reconstruction and coincidence matching on edge tables.
 
 Greedy one-to-one matching needs its edges in time order, but never looks beyond the matching window: edges are cut
-into gap components, runs of edges without a gap wider than the window, and components are packed into bounded
-groups for the Arrow step. Range joins are equi-joins on time buckets as wide as the window.
+into gap components, runs of edges without a gap wider than the window, and components that start near each other are
+packed together for the Arrow step. Range joins are equi-joins on time buckets as wide as the window.
 """
 
 from __future__ import annotations
@@ -14,7 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Gap components that go to a Python call together.
+#: Matching windows in a time bucket. Components that start in one bucket go to a Python call together.
+BUCKET = 1024
+#: Runs of overlapping pulses that go to a Python call together.
 PACK = 4096
 
 
@@ -25,15 +27,28 @@ def unique_edges(hits: DataFrame, keys: Sequence[str] = ("run_id", "board", "cha
     return hits.groupBy(*keys, "edge", "toa_lsb", tot.alias("tot_lsb")).agg((F.count("*") - 1).alias("duplicates"), F.min("seq").alias("seq"))
 
 
-def gap_components(df: DataFrame, keys: Sequence[str], time: str, gap: Column | int) -> DataFrame:
-    """Add `component`: rows of a key in time order belong together until a gap of more than `gap`."""
-    w = Window.partitionBy(*keys).orderBy(time)
-    new = (F.col(time) - F.lag(time).over(w) > gap).cast("int")
-    return df.withColumn("component", F.sum(F.coalesce(new, F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+def gap_components(df: DataFrame, keys: Sequence[str], time: str, gap: int) -> DataFrame:
+    """Add `component`, the first time of the run that a row belongs to: rows of a key in time order without a gap wider than `gap`.
+
+    Rows are sorted by key and time bucket, so a hot key is spread over its buckets; what passes between buckets is
+    the last time and the last start of each, in a table of one row for each bucket.
+    """
+    keys = list(keys)
+    at = [*keys, "_bucket"]
+    d = df.withColumn("_bucket", F.floor(F.col(time) / (max(1, gap) * BUCKET)))
+    inside, across = Window.partitionBy(*at).orderBy(time), Window.partitionBy(*keys).orderBy("_bucket")
+    last = d.groupBy(*at).agg(F.max(time).alias("_last")).withColumn("_before", F.lag("_last").over(across)).drop("_last")
+    before = F.coalesce(F.lag(time).over(inside), F.col("_before"))
+    d = d.join(last, at).withColumn("_start", F.when(before.isNull() | (F.col(time) - before > gap), F.col(time)))
+    starts = d.groupBy(*at).agg(F.max("_start").alias("_s"))
+    carry = starts.withColumn("_carry", F.last("_s", True).over(across.rowsBetween(Window.unboundedPreceding, -1))).drop("_s")
+    own = F.max("_start").over(inside.rangeBetween(Window.unboundedPreceding, 0))  # rows of one time have one start
+    return d.join(carry, at).withColumn("component", F.coalesce(own, F.col("_carry"))).drop("_bucket", "_before", "_start", "_carry")
 
 
 def _packed(df: DataFrame, keys: Sequence[str], time: str, gap: int) -> DataFrame:
-    return gap_components(df, keys, time, gap).withColumn("pack", F.floor(F.col("component") / PACK))
+    """Whole components that start in one stretch of time go together."""
+    return gap_components(df, keys, time, gap).withColumn("pack", F.floor(F.col("component") / (max(1, gap) * BUCKET)))
 
 
 def nearest_pairs(a: np.ndarray, b: np.ndarray, window: int, later_wins: bool = False) -> tuple[list[int], list[int]]:
