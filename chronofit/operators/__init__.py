@@ -1 +1 @@
-
+"""DataFrame operators: matching, selection, statistics, fits, splits, search, reports."""

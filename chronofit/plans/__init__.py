@@ -1 +1 @@
-
+"""Views of the driver's tables and the registered queries."""

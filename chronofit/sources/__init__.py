@@ -1 +1 @@
-
+"""Raw files, table sources and sinks."""

@@ -1 +1 @@
-
+"""No streaming queries: the workload's "streaming" acquisition mode is a stored file, matched as a batch (operators.pulses)."""
