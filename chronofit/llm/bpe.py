@@ -85,8 +85,15 @@ def decode(df: DataFrame, ranks: bytes, pattern: str, ids_col: str = "ids", byte
 
 
 def round_trip(df: DataFrame, ranks: bytes, pattern: str, text_col: str = "text") -> DataFrame:
-    """encode() then decode(): adds n_tokens, ids and decoded."""
-    return decode(encode(df, ranks, pattern, text_col), ranks, pattern)
+    """encode() then decode() in one pass: adds n_tokens, ids and decoded."""
+    shared = df.sparkSession.sparkContext.broadcast(ranks)
+
+    def make(columns):
+        enc = encoding(shared.value, pattern)
+        ids = [encode_text(enc, x or "") for x in columns[0].to_pylist()]
+        return [len(x) for x in ids], [x.tobytes() for x in ids], [enc.decode_bytes(x.tolist()) for x in ids]
+
+    return with_arrow(df, [text_col], [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())], make)
 
 
 def id_array(ids: Column) -> Column:
