@@ -125,7 +125,7 @@ def _token_counts(texts: DataFrame, shared) -> DataFrame:
     return texts.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-_STATE = [T.StructField("__words", T.LongType()), T.StructField("__spans", T.BinaryType()), T.StructField("__items", T.ArrayType(T.StringType()))]
+_STATE = [T.StructField("__words", T.LongType()), T.StructField("__spans", T.BinaryType()), T.StructField("__items", T.ArrayType(T.StringType())), T.StructField("n_hit", T.LongType())]
 
 
 def _match(frame: DataFrame, text_col: str, shared) -> DataFrame:
@@ -157,7 +157,7 @@ def _match(frame: DataFrame, text_col: str, shared) -> DataFrame:
             words += counts.tolist()
             spans_out += [np.concatenate(x).tobytes() for x in spans]
             items_out += [sorted(x) for x in items]
-        return words, spans_out, items_out
+        return words, spans_out, items_out, [covered(x) for x in spans_out]
 
     return with_arrow(frame, [text_col, "__words", "__spans", "__items"], _STATE, make)
 
@@ -201,8 +201,7 @@ def marked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_c
             counts[seen.column(0).to_numpy()] = seen.column(1).to_numpy()
         index.rank(counts)
         state = _match(state, text_col, spark.sparkContext.broadcast(index))
-    done = with_arrow(state, ["__spans"], [T.StructField("n_hit", T.LongType())], lambda c: [[covered(x) for x in c[0].to_pylist()]])
-    return done.withColumns({
+    return state.withColumns({
         "n_words": F.col("__words"), "n_items": F.size("__items").cast("long"), "items": F.col("__items"),
         "contaminated": (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("__words")),
     }).drop("__words", "__spans", "__items")
