@@ -82,13 +82,22 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     chosen = seen.where(F.pmod(F.xxhash64(F.lit("profile"), "id"), F.lit(1 << 20)) < limits[F.col("lang")]).select("lang", "text")
 
     def count(batches):
+        def flush(lang: str, codes: list[np.ndarray]) -> pa.RecordBatch:
+            keys, counts = ngrams(np.concatenate(codes), longest)
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys), pa.array(counts.astype(np.int64))], names=["lang", "gram", "n"])
+
         for b in batches:
             by: dict[str, list[np.ndarray]] = {}
+            held: dict[str, int] = {}
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                by.setdefault(lang, []).append(letters(text))
+                code = letters(text)
+                by.setdefault(lang, []).append(code)
+                held[lang] = held.get(lang, 0) + len(code)
+                if held[lang] > 200_000:
+                    yield flush(lang, by.pop(lang))
+                    held.pop(lang)
             for lang, codes in by.items():
-                keys, counts = ngrams(np.concatenate(codes), longest)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys), pa.array(counts.astype(np.int64))], names=["lang", "gram", "n"])
+                yield flush(lang, codes)
 
     total = chosen.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # the best `size` of each group by a bounded aggregate, not by sorting a language's n-grams in one task
