@@ -21,6 +21,9 @@ BATCH_ROWS = 512
 BATCH_BYTES = 16 << 20
 
 
+_local_dir: str | None = None
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches of this session, so that long texts don't fill a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -29,10 +32,10 @@ def small_batches(spark: SparkSession) -> None:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    global _local_dir
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="chronofit-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        _local_dir = found = _local_dir or "file://" + tempfile.mkdtemp(prefix="chronofit-")
     return found.rstrip("/")
 
 
