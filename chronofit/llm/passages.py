@@ -1,0 +1,159 @@
+"""Repeated passages inside lines: content-defined pieces, prefix-filtered exact Jaccard, components, removal."""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import shingles as S
+from .common import Scratch, components, id_and_text
+from .nearsets import candidate_groups, links_in_groups
+
+#: A piece begins at the word that is least of the REACH words on either side, so pieces have 13 words on average.
+REACH = 6
+_ENDS = np.frombuffer(b".!?", np.uint8)
+
+
+def pieces_of(column: pa.Array, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces of each text of a string column: hashes of all words, piece of each word, text of each piece, its start and end byte.
+
+    A line's first word begins a piece, and so does a word that comes before all others within `reach` words,
+    words after a sentence end first, then by hash; a tie begins none. Only words with `reach` words of their
+    line on either side count, so a line of up to 2 * reach words is one piece, and each piece of a longer one has
+    `reach` words or more. A border depends on the words around it alone, so copies are cut alike wherever they stand.
+    """
+    data, offsets = S.string_buffers(column)
+    starts, ends, of = S.words(data, offsets, S.space_words())
+    h = S.span_hashes(data, starts, ends, S.lower_ascii())
+    n = len(h)
+    if not n:
+        z = np.zeros(0, np.int64)
+        return h, z, z, z, z
+    breaks = np.concatenate([[0], np.cumsum(data == 10)])
+    line = breaks[starts]
+    first = np.ones(n, dtype=bool)
+    first[1:] = (line[1:] != line[:-1]) | (of[1:] != of[:-1])
+    group = np.cumsum(first) - 1
+    key = h >> S.U(1)
+    key[1:] |= np.where(np.isin(data[ends[:-1] - 1], _ENDS), S.U(0), S.U(1 << 63))
+    key[0] |= S.U(1 << 63)
+    border = np.zeros(n, dtype=bool)
+    if n > 2 * reach:
+        mid = key[reach : n - reach]
+        least = (group[reach : n - reach] == group[: n - 2 * reach]) & (group[reach : n - reach] == group[2 * reach :])
+        for j in (*range(reach), *range(reach + 1, 2 * reach + 1)):
+            least &= mid < key[j : j + n - 2 * reach]
+        border[reach : n - reach] = least
+    begins = np.flatnonzero(first | border)
+    piece = np.cumsum(first | border) - 1
+    return h, piece, of[begins], starts[begins], ends[np.append(begins[1:], n) - 1]
+
+
+def _numbers(text_of: np.ndarray) -> np.ndarray:
+    """0, 1, ... within each text."""
+    first = np.searchsorted(text_of, text_of, side="left")
+    return (np.arange(len(text_of)) - first).astype(np.int32)
+
+
+def _sets(h: np.ndarray, piece: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    g, of = S.shingles(h, piece, n, k)
+    order = np.lexsort((g, of))
+    g, of = g[order], of[order]
+    new = np.ones(len(g), dtype=bool)
+    new[1:] = (g[1:] != g[:-1]) | (of[1:] != of[:-1])
+    return g[new], np.concatenate([[0], np.cumsum(np.bincount(of[new], minlength=n))]).astype(np.int64)
+
+
+def piece_keys(texts: DataFrame, over: int, under: int, k: int, reach: int) -> DataFrame:
+    """(id, uid, text) -> a row for each piece: (id, uid, no, node, keys).
+
+    node is a 63-bit digest of the piece's shingle set. keys are its n - ceil(n * over / under) + 1 least
+    shingles: two sets that link share one of them, so no link is lost.
+    """
+
+    def run(batches):
+        for whole in batches:
+            for b in S.pieces(whole, "text"):
+                h, piece, doc, *_ = pieces_of(b.column(2), reach)
+                sets, offsets = _sets(h, piece, len(doc), k)
+                node = (S.set_keys(sets, offsets)[:, 0] >> S.U(1)).view(np.int64)
+                sizes = np.diff(offsets)
+                few = sizes - (sizes * over + under - 1) // under + 1
+                keep = np.arange(len(sets)) - np.repeat(offsets[:-1], sizes) < np.repeat(few, sizes)
+                at = np.concatenate([[0], np.cumsum(few)]).astype(np.int32)
+                d = pa.array(doc)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(d), b.column(1).take(d), pa.array(_numbers(doc)), pa.array(node), pa.ListArray.from_arrays(pa.array(at), pa.array(sets[keep].view(np.int64)))], names=["id", "uid", "no", "node", "keys"])
+
+    return texts.mapInArrow(run, "id long, uid long, no int, node long, keys array<long>")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", over: int = 4, under: int = 5, k: int = 5, reach: int = REACH) -> DataFrame:
+    """A row for each input row: (id, uid, n_pieces, n_repeated, n_removed, removed).
+
+    Lines are cut by pieces_of(); every piece that has a word is in, however short. Pieces link when their k-word
+    shingle sets have under * intersection >= over * union (4 and 5: 0.8), words being runs without ASCII white
+    space, lower-cased in A-Z; a piece of under k words has one shingle, so it links to its copies alone. Of each component
+    the first piece stays, by id (null ids last), then by number. n_repeated counts the pieces of components of two or
+    more, removed lists the numbers of those to remove, ascending. uid tells rows apart by id and text; repeated
+    rows count as copies of each other, and lose the same pieces.
+    """
+    scratch = Scratch(docs.sparkSession, "passages")
+    texts = id_and_text(docs, id_col, text_col).select("id", F.xxhash64("id", "text").alias("uid"), "text")
+    found = scratch.save(piece_keys(texts, over, under, k, reach), "pieces")
+    nodes = found.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct(F.col("id").isNull().alias("last"), "id", "uid", "no")).alias("first"))
+    nodes = scratch.save(nodes, "nodes")
+    groups = scratch.save(candidate_groups(scratch, found.select(F.explode("keys").alias("h"), "node")), "groups")
+    wanted = groups.join(nodes, "node").groupBy(F.col("first.uid").alias("uid")).agg(F.collect_set(F.struct("node", F.col("first.no").alias("no"))).alias("w"))
+
+    def sets_of(batches):
+        for whole in batches:
+            for b in S.pieces(whole, "text"):
+                h, piece, doc, *_ = pieces_of(b.column(0), reach)
+                sets, offsets = _sets(h, piece, len(doc), k)
+                first = np.searchsorted(doc, np.arange(b.num_rows), side="left")
+                w = b.column(1)
+                flat = w.flatten()
+                at = np.repeat(first, w.value_lengths().to_numpy(zero_copy_only=False)) + flat.field("no").to_numpy()
+                yield pa.RecordBatch.from_arrays([flat.field("node"), pa.array([sets[offsets[x] : offsets[x + 1]].tobytes() for x in at], pa.binary())], names=["node", "elements"])
+
+    one = texts.join(wanted, "uid").dropDuplicates(["uid"]).select("text", "w")
+    links = links_in_groups(scratch, groups, one.mapInArrow(sets_of, "node long, elements binary"), over, under)
+    comp = scratch.save(components(scratch, links), "components")
+    of = nodes.join(comp, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "n", "first")
+    kept = of.groupBy("comp").agg(F.sum("n").alias("total"), F.min("first").alias("keep")).where("total > 1")
+    marks = of.join(kept, "comp").select("node", F.col("keep.uid").alias("keep_uid"), F.col("keep.no").alias("keep_no"))
+    hit = found.select("uid", "no", "node").join(marks, "node", "left")
+    stays = (F.col("uid") == F.col("keep_uid")) & (F.col("no") == F.col("keep_no"))
+    per = hit.groupBy("uid").agg(
+        (F.max("no") + 1).cast("long").alias("n_pieces"), F.sort_array(F.collect_set(F.when(F.col("keep_uid").isNotNull() & ~stays, F.col("no")))).alias("removed"),
+        F.countDistinct(F.when(F.col("keep_uid").isNotNull(), F.col("no"))).alias("n_repeated"),
+    )
+    removed = F.coalesce("removed", F.array().cast("array<int>"))
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return texts.select("id", "uid").join(per, "uid", "left").select("id", "uid", count("n_pieces"), count("n_repeated"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
+
+
+def without_passages(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
+    """The documents with the pieces that near_duplicates() lists taken out of their texts; all columns stay, and so does white space between pieces."""
+    uid = F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string"))
+    gone = removed.where("n_removed > 0").select(F.col("uid").alias("_uid"), F.col("removed").alias("_removed")).dropDuplicates(["_uid"])
+
+    @F.pandas_udf("string")
+    def cut(text, numbers):
+        out = []
+        for t, no in zip(text, numbers, strict=True):
+            if t is None or no is None:
+                out.append(t)
+                continue
+            _, _, _, starts, ends = pieces_of(pa.array([t], pa.large_string()), reach)
+            raw, at, parts = t.encode(), 0, []
+            for i in no:
+                parts.append(raw[at : starts[i]])
+                at = ends[i]
+            out.append(b"".join([*parts, raw[at:]]).decode())
+        return text.__class__(out, dtype=object)
+
+    out = docs.withColumn("_uid", uid).join(gone, "_uid", "left")
+    return out.withColumn(text_col, F.when(F.col("_removed").isNull(), F.col(f"`{text_col}`")).otherwise(cut(F.col(f"`{text_col}`"), "_removed"))).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -57,6 +57,14 @@ FROM documents LEFT JOIN d USING (doc_id)
 """
 
 
+def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its pieces of lines, those with a near copy anywhere, and those removed, as comma-joined numbers."""
+    from .passages import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_pieces", "n_repeated", "n_removed", F.concat_ws(",", F.col("removed").cast("array<string>")).alias("removed"))
+
+
 def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix import remove_repeats
 
@@ -148,7 +156,7 @@ FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op1_byte_bpe": op1_byte_bpe, "op2_paragraphs": op2_paragraphs, "op5_suffix": op5_suffix, "op3_embeddings": op3_embeddings, "op4_minhash": op4_minhash, "op6_html": op6_html,
+        "op1_byte_bpe": op1_byte_bpe, "op2_paragraphs": op2_paragraphs, "op2_passages": op2_passages, "op5_suffix": op5_suffix, "op3_embeddings": op3_embeddings, "op4_minhash": op4_minhash, "op6_html": op6_html,
         "op7_language_id": op7_language_id, "op8_pii": op8_pii, "op9_warc": op9_warc, "op10_decontamination": op10_decontamination,
     }
 

@@ -10,7 +10,7 @@ import pytest
 from conftest import SMALL, same
 from pyspark.sql import functions as F
 
-from chronofit.llm import bpe, common, decontam, embeddings, html, langid, minhash, paragraphs, pii, queries, shingles, suffix, warc
+from chronofit.llm import bpe, common, decontam, embeddings, html, langid, minhash, paragraphs, passages, pii, queries, shingles, suffix, warc
 from chronofit.llm.tagger import Tagger
 
 SQL = queries.oracle_sql()
@@ -179,6 +179,65 @@ def test_paragraphs_against_brute_force(spark):
     assert paragraphs.near_duplicates(documents(spark, rows).limit(0)).isEmpty()
 
 
+def cut_line(line, reach=passages.REACH):
+    """Pieces of one line, border by border."""
+    w = WORD.findall(line)
+    h = [int(shingles.span_hashes(np.frombuffer(x.encode(), np.uint8), np.array([0]), np.array([len(x.encode())]), shingles.lower_ascii())[0]) for x in w]
+    key = [(not i or w[i - 1][-1] not in ".!?", h[i] >> 1) for i in range(len(w))]
+    cuts = [i for i in range(reach, len(w) - reach) if all(key[i] < key[j] for j in range(i - reach, i + reach + 1) if j != i)]
+    return [w[i:j] for i, j in zip([0, *cuts], [*cuts, len(w)], strict=True)] if w else []
+
+
+def test_passages_against_brute_force(spark):
+    g = random.Random(12)
+    word = lambda: "".join(g.choice("abcdefgé") for _ in range(g.randrange(3, 7))) + g.choice(["", "", "", "."])
+    text = lambda n: [word() for _ in range(n)]
+    runs = [text(60) for _ in range(6)]
+    rows = [(i, "\n".join(" ".join([*text(g.randrange(150)), *(g.choice(runs) if g.random() < 0.7 else []), *text(g.randrange(150))]) for _ in range(g.randrange(4)))) for i in range(40)]
+    rows += [(100, None), (101, ""), (102, " \n\n"), (103, "x " * 40), (104, "X " * 50), (105, "One two\nthree"), (106, "three\none  TWO"), (7, rows[7][1])]
+    rows += [(107, " ".join(runs[0][:25] + ["zzz"] + runs[0][26:]))]
+    docs = documents(spark, rows)
+    found = passages.near_duplicates(docs)
+    units = [(i, n, " ".join(p)) for i, t in rows for n, p in enumerate(p for x in (t or "").split("\n") for p in cut_line(x))]
+    sets = [shingle_set(p) for _, _, p in units]
+    comp = union_find([(x, y) for x in range(len(units)) for y in range(x) if 5 * len(sets[x] & sets[y]) >= 4 * len(sets[x] | sets[y])], range(len(units)))
+    groups: dict = {}
+    for x, u in enumerate(units):
+        groups.setdefault(comp[x], []).append(u[:2])
+    removed, repeated, size = {}, {}, Counter()
+    for m in groups.values():
+        for i, n in m:
+            size[i] = max(size[i], n + 1)
+            if len(m) > 1:
+                repeated.setdefault(i, set()).add(n)
+            if (i, n) != min(m):
+                removed.setdefault(i, set()).add(n)
+    rest = found.collect()
+    assert len(rest) == len(rows)
+    for r in rest:
+        assert (r.n_pieces, r.n_repeated, r.removed) == (size[r.id], len(repeated.get(r.id, ())), sorted(removed.get(r.id, ()))) and r.n_removed == len(r.removed)
+    left = {r.doc_id: r.text for r in passages.without_passages(docs, found).collect()}
+    for i, t in rows:
+        keep = [w for n, (j, _, p) in enumerate(u for u in dict.fromkeys(units) if u[0] == i) if n not in removed.get(i, ()) for w in p.split()]
+        assert left[i] == t if i not in removed else WORD.findall(left[i]) == keep
+    assert passages.near_duplicates(docs.limit(0)).isEmpty()
+
+
+def test_passage_inside_longer_lines_is_found(spark):
+    g = random.Random(5)
+    text = lambda n: [f"w{g.randrange(10**6)}" for _ in range(n)]
+    runs = [text(51) for _ in range(40)]
+    rows = [(2 * i + j, " ".join([*text(g.randrange(60, 130)), *r, *text(g.randrange(60, 130))])) for i, r in enumerate(runs) for j in (0, 1)]
+    docs = documents(spark, rows)
+    assert not any(r.n_repeated for r in paragraphs.near_duplicates(docs).collect())
+    found = passages.near_duplicates(docs)
+    n = {r.id: r.n_removed for r in found.collect()}
+    assert not any(n[i] for i in range(0, 80, 2)) and sum(n[i] > 0 for i in range(1, 80, 2)) >= 38
+    left = {r.doc_id: r.text.split() for r in passages.without_passages(docs, found).collect()}
+    gone = [len(set(r) - set(left[2 * i + 1])) for i, r in enumerate(runs)]
+    assert sum(gone) >= 0.6 * 51 * len(runs) and all(set(rows[2 * i + 1][1].split()) - set(r) <= set(left[2 * i + 1]) for i, r in enumerate(runs))
+
+
 # embeddings
 
 
