@@ -7,6 +7,7 @@ neither get in the way nor travel through a shuffle.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -59,6 +60,11 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def sweep(self) -> None:
+        """Let Spark delete the shuffle files of what has been saved; it does so only when the JVM collects its handles."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
             if path := getattr(df, "_scratch_path", None):

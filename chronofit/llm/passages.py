@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import shingles as S
 from .common import Scratch, components, id_and_text
-from .nearsets import candidate_groups, links_in_groups
+from .nearsets import links_in_groups
 
 #: A piece begins at the word that is least of the REACH words on either side, so pieces have 13 words on average.
 REACH = 6
@@ -37,8 +37,9 @@ def pieces_of(column: pa.Array, reach: int) -> tuple[np.ndarray, np.ndarray, np.
     first[1:] = (line[1:] != line[:-1]) | (of[1:] != of[:-1])
     group = np.cumsum(first) - 1
     key = h >> S.U(1)
-    key[1:] |= np.where(np.isin(data[ends[:-1] - 1], _ENDS), S.U(0), S.U(1 << 63))
-    key[0] |= S.U(1 << 63)
+    after = np.zeros(n, dtype=bool)
+    after[1:] = np.isin(data[ends[:-1] - 1], _ENDS)
+    key[~after | first] |= S.U(1 << 63)  # what ends before the line is no part of it
     border = np.zeros(n, dtype=bool)
     if n > 2 * reach:
         mid = key[reach : n - reach]
@@ -70,7 +71,7 @@ def piece_keys(texts: DataFrame, over: int, under: int, k: int, reach: int) -> D
     """(id, uid, text) -> a row for each piece: (id, uid, no, node, keys).
 
     node is a 63-bit digest of the piece's shingle set. keys are its n - ceil(n * over / under) + 1 least
-    shingles: two sets that link share one of them, so no link is lost.
+    shingles: two different sets that link share one of them, so no link is lost.
     """
 
     def run(batches):
@@ -81,6 +82,7 @@ def piece_keys(texts: DataFrame, over: int, under: int, k: int, reach: int) -> D
                 node = (S.set_keys(sets, offsets)[:, 0] >> S.U(1)).view(np.int64)
                 sizes = np.diff(offsets)
                 few = sizes - (sizes * over + under - 1) // under + 1
+                few[sizes * under < over * (sizes + 1)] = 0  # too small to link to any set but its like, which is the same node
                 keep = np.arange(len(sets)) - np.repeat(offsets[:-1], sizes) < np.repeat(few, sizes)
                 at = np.concatenate([[0], np.cumsum(few)]).astype(np.int32)
                 d = pa.array(doc)
@@ -104,7 +106,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = scratch.save(piece_keys(texts, over, under, k, reach), "pieces")
     nodes = found.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct(F.col("id").isNull().alias("last"), "id", "uid", "no")).alias("first"))
     nodes = scratch.save(nodes, "nodes")
-    groups = scratch.save(candidate_groups(scratch, found.select(F.explode("keys").alias("h"), "node")), "groups")
+    scratch.sweep()
+    # as nearsets.candidate_groups(), but the hubs are kept, so that their shuffle is gone before the next
+    keys = found.select(F.explode("keys").alias("h"), "node")
+    hubs = scratch.save(keys.groupBy("h").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top").select("h", "hub"), "hubs")
+    scratch.sweep()
+    star = scratch.save(keys.join(hubs, "h").where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")), "star")
+    scratch.sweep()
+    groups = scratch.save(components(scratch, star), "groups")
+    scratch.drop(hubs, star)
+    scratch.sweep()
     wanted = groups.join(nodes, "node").groupBy(F.col("first.uid").alias("uid")).agg(F.collect_set(F.struct("node", F.col("first.no").alias("no"))).alias("w"))
 
     def sets_of(batches):
@@ -121,6 +132,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one = texts.join(wanted, "uid").dropDuplicates(["uid"]).select("text", "w")
     links = links_in_groups(scratch, groups, one.mapInArrow(sets_of, "node long, elements binary"), over, under)
     comp = scratch.save(components(scratch, links), "components")
+    scratch.sweep()
     of = nodes.join(comp, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "n", "first")
     kept = of.groupBy("comp").agg(F.sum("n").alias("total"), F.min("first").alias("keep")).where("total > 1")
     marks = of.join(kept, "comp").select("node", F.col("keep.uid").alias("keep_uid"), F.col("keep.no").alias("keep_no"))

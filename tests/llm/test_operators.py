@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SMALL, same
 from pyspark.sql import functions as F
@@ -223,6 +224,17 @@ def test_passages_against_brute_force(spark):
     assert passages.near_duplicates(docs.limit(0)).isEmpty()
 
 
+def test_pieces_dont_depend_on_what_stands_before():
+    g = random.Random(6)
+    lines = [" ".join(f"w{g.randrange(10**4)}" + g.choice(["", "", "."]) for _ in range(g.randrange(40))) for _ in range(400)]
+    *_, doc, starts, ends = passages.pieces_of(pa.array(lines, pa.large_string()), passages.REACH)
+    assert np.bincount(doc, minlength=400).tolist() == [len(cut_line(x)) for x in lines]
+    for i, x in enumerate(lines):
+        alone = passages.pieces_of(pa.array([x], pa.large_string()), passages.REACH)
+        at = sum(map(len, lines[:i]))
+        assert (alone[3] + at).tolist() == starts[doc == i].tolist() and (alone[4] + at).tolist() == ends[doc == i].tolist()
+
+
 def test_passage_inside_longer_lines_is_found(spark):
     g = random.Random(5)
     text = lambda n: [f"w{g.randrange(10**6)}" for _ in range(n)]
