@@ -107,14 +107,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = found.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct(F.col("id").isNull().alias("last"), "id", "uid", "no")).alias("first"))
     nodes = scratch.save(nodes, "nodes")
     scratch.sweep()
-    # as nearsets.candidate_groups(), but the hubs are kept, so that their shuffle is gone before the next
+    # each key that two nodes share is a group of its own: joined to components, chains of keys would make one vast group
     keys = found.select(F.explode("keys").alias("h"), "node")
-    hubs = scratch.save(keys.groupBy("h").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top").select("h", "hub"), "hubs")
+    shared = scratch.save(keys.groupBy("h").agg(F.min("node").alias("least"), F.max("node").alias("top")).where("least <> top").select("h"), "shared")
     scratch.sweep()
-    star = scratch.save(keys.join(hubs, "h").where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")), "star")
-    scratch.sweep()
-    groups = scratch.save(components(scratch, star), "groups")
-    scratch.drop(hubs, star)
+    groups = scratch.save(keys.join(shared, "h").select("node", F.col("h").alias("comp")).distinct(), "groups")
+    scratch.drop(shared)
     scratch.sweep()
     wanted = groups.join(nodes, "node").groupBy(F.col("first.uid").alias("uid")).agg(F.collect_set(F.struct("node", F.col("first.no").alias("no"))).alias("w"))
 
