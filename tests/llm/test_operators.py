@@ -250,6 +250,13 @@ def test_passage_inside_longer_lines_is_found(spark):
     assert sum(gone) >= 0.6 * 51 * len(runs) and all(set(rows[2 * i + 1][1].split()) - set(r) <= set(left[2 * i + 1]) for i, r in enumerate(runs))
 
 
+def test_short_lines_are_pieces(spark):
+    docs = documents(spark, [(1, "All rights reserved"), (2, "all  Rights reserved\nyes"), (3, "Yes"), (4, "no")])
+    assert not any(r.n_repeated for r in paragraphs.near_duplicates(docs).collect())
+    got = {r.id: (r.n_pieces, r.n_repeated, r.removed) for r in passages.near_duplicates(docs).collect()}
+    assert got == {1: (1, 1, []), 2: (2, 2, [0]), 3: (1, 1, [0]), 4: (1, 0, [])}
+
+
 # embeddings
 
 
