@@ -7,7 +7,10 @@ neither get in the way nor travel through a shuffle.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
+import re
 import tempfile
 import uuid
 
@@ -36,10 +39,40 @@ def shared_dir(spark: SparkSession) -> str:
     global _local_dir
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         _local_dir = found = _local_dir or "file://" + tempfile.mkdtemp(prefix="chronofit-")
     return found.rstrip("/")
 
 
+_roots: list[tuple[SparkSession, str]] = []
+
+
+def cleanup() -> None:
+    """Delete all scratch folders made so far; results that haven't been written or collected can't be read afterwards.
+
+    Runs at the end of the Python process, as results read their scratch tables until then.
+    """
+    while _roots:
+        with contextlib.suppress(Exception):  # the session may be gone
+            remove(*_roots.pop())
+
+
+atexit.register(cleanup)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage; drop() removes those that nothing reads any more."""
 
@@ -48,6 +81,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        _roots.append((spark, self.root))
 
     def path(self, name: str) -> str:
         self.n += 1

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from . import shingles as S
 from .common import Scratch, components, id_and_text
-from .nearsets import candidate_groups, links_in_groups
+from .nearsets import CHUNK, linked
 
 #: 30 bands of 6: a pair at a similarity of 0.85 shares no band with a chance of 7e-7.
 BANDS, ROWS = 30, 6
@@ -54,7 +54,7 @@ def full_sets(docs: DataFrame, k: int = 5) -> DataFrame:
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    over: int = 4, under: int = 5, bands: int = BANDS, rows: int = ROWS, k: int = 5,
+    over: int = 4, under: int = 5, bands: int = BANDS, rows: int = ROWS, k: int = 5, chunk: int = CHUNK,
 ) -> DataFrame:
     """Link texts whose k-word shingle sets have under * intersection >= over * union (4 and 5: 0.8).
 
@@ -72,18 +72,18 @@ def near_duplicates(
     classes = scratch.save(some.groupBy("key").agg(F.min("id").alias("rep")), "classes")
     member = some.select("id", "key").join(classes, "key")
     reps = some.join(classes.select("key", F.col("rep").alias("id")), ["key", "id"])
-    rows_of = reps.select(F.explode("bands").alias("h"), F.col("id").alias("node"))
-    groups = scratch.save(candidate_groups(scratch, rows_of), "groups")
-    # One text for a node: where rows share an id, each text's set stands for the node, one tile row each.
-    chosen = texts.join(groups.select(F.col("node").alias("id")), "id")
-    links = links_in_groups(scratch, groups, full_sets(chosen, k), over, under)
-    copies = member.where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
+    found = linked(
+        scratch, reps.select(F.explode("bands").alias("h"), F.col("id").alias("node")).distinct(),
+        # where rows share an id, each text's set stands for the node
+        lambda nodes: full_sets(texts.join(nodes.select(F.col("node").alias("id")), "id"), k), over, under, chunk,
+    )
     unique = some.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
     if unique:  # ids are unique: copies hang on their class alone and needn't go through the graph
-        comp = components(scratch, links)
-        of = member.join(comp, member.rep == comp.node, "left").select("id", F.coalesce("comp", "rep").alias("comp"))
+        of = member.join(found, member.rep == found.node, "left").select("id", F.coalesce("comp", "rep").alias("comp"))
     else:
-        of = components(scratch, links.union(copies)).select(F.col("node").alias("id"), "comp")
+        copies = member.where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
+        tied = found.select(F.col("node").alias("u"), F.col("comp").alias("v"))
+        of = components(scratch, tied.union(copies)).select(F.col("node").alias("id"), "comp")
     done = sig.select("id", "n_shingles").join(of, "id", "left")
     comp_id = F.coalesce("comp", "id")
     return done.select("id", "n_shingles", comp_id.alias("component_id"), F.coalesce(F.col("id") == comp_id, F.lit(True)).alias("kept"))

@@ -1,12 +1,15 @@
-"""Exact verification of near-duplicate candidates: which sets of a candidate group are linked at all.
+"""Exact verification of near-duplicate candidates: which sets that share a band are linked.
 
-Both MinHash operators end here. A candidate group is a component of "share a band", found in Spark; its
-members' full sets meet in tiles of at most about 2 x `chunk` members, and a tile gives a spanning forest of
-its links, so no list of pairs is ever made, and no group of any size meets in one task.
+Both MinHash operators end here. Every band's least member is its hub. Each member is held against its hubs
+first, so a group of copies costs one comparison a member; only bands whose members then still lie in several
+components are compared whole, in tiles of at most about 2 x `chunk` members. A tile gives a spanning forest
+of its links, so no list of pairs is ever made, and no group of any size meets in one task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,17 +21,6 @@ CHUNK = 256
 _COLUMNS = 1 << 13
 
 
-def candidate_groups(scratch: Scratch, bands: DataFrame) -> DataFrame:
-    """bands (h, node) -> (node, comp): nodes joined by any chain of shared bands.
-
-    Each band's hub is its least node, found by a partial aggregate; members are tied to the hub by a plain
-    join, which adaptive execution splits where a band is hot.
-    """
-    hubs = bands.groupBy("h").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top").select("h", "hub")
-    star = bands.join(hubs, "h").where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
-    return components(scratch, star)
-
-
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all pairwise intersections, by products of 0/1 matrices over the elements that two sets share."""
     n = len(sets)
@@ -67,42 +59,93 @@ def forest(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
-def links_in_groups(
-    scratch: Scratch, groups: DataFrame, sets: DataFrame, over: int, under: int, chunk: int = CHUNK
-) -> DataFrame:
-    """Edges (u, v) that span the links of all groups: sets link if under * intersection >= over * union.
+def pair_overlaps(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes of the sets a[i] and b[i], and of their intersections; sets are ascending unsigned 64-bit integers in a binary."""
+    parts, of, sizes = [], [], []
+    for column in (a, b):
+        raw = [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
+        n = np.array([len(x) for x in raw], np.int64)
+        parts += raw
+        of.append(np.repeat(np.arange(len(raw)), n))
+        sizes.append(n)
+    el, pair = np.concatenate(parts or [np.zeros(0, np.uint64)]), np.concatenate(of)
+    order = np.lexsort((el, pair))
+    el, pair = el[order], pair[order]
+    same = (el[1:] == el[:-1]) & (pair[1:] == pair[:-1])
+    return sizes[0], sizes[1], np.bincount(pair[1:][same], minlength=len(a))
+
+
+def _hub_links(star: DataFrame, sets: DataFrame, over: int, under: int) -> DataFrame:
+    """Of the pairs (node, hub) those that link, as (u, v)."""
+
+    def check(batches):
+        for b in batches:
+            m, n, both = pair_overlaps(b.column(2), b.column(3))
+            ok = pa.array(under * both >= over * (m + n - both))
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["u", "v"])
 
-    groups: (node, comp); sets: (node, elements binary), each set as ascending unsigned 64-bit integers.
-    A group of up to `chunk` members is one tile. A larger one is dealt into chunks by hash, and each pair of
-    chunks is a tile: every pair of members meets in exactly one tile, and a task never holds more than two
-    chunks.
+    first = star.join(sets.withColumnRenamed("elements", "a"), "node")
+    return first.join(sets.select(F.col("node").alias("hub"), F.col("elements").alias("b")), "hub").select("node", "hub", "a", "b").mapInArrow(check, "u long, v long")
+
+
+def _tile_links(members: DataFrame, sets: DataFrame, over: int, under: int, chunk: int) -> DataFrame:
+    """members: (node, h, c). Edges (u, v) between the labels c of those members of a band that link and differ in c.
+
+    A band of up to `chunk` members is one tile. A larger one is dealt into chunks by hash, and each pair of
+    chunks is a tile: every pair of members meets in exactly one tile of the band.
     """
-    sizes = groups.groupBy("comp").agg(F.ceil(F.count("*") / chunk).cast("int").alias("s")).where("s > 1")
+    sizes = members.groupBy("h").agg(F.ceil(F.count("*") / chunk).cast("int").alias("s")).where("s > 1")
     dealt = (
-        groups.join(sizes, "comp", "left")
-        .select("node", "comp", F.coalesce("s", F.lit(1)).alias("s"))
+        members.join(sizes, "h", "left")
+        .select("node", "h", F.col("c").alias("label"), F.coalesce("s", F.lit(1)).alias("s"))
         .withColumn("c", F.pmod(F.xxhash64("node"), F.col("s")).cast("int"))
     )
     tiles = (
         sets.join(dealt, "node")
         .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-        .select("node", "elements", "comp", "c", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"))
+        .select("label", "elements", "h", "c", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"))
     )
 
     def tile(t: pa.Table) -> pa.Table:
-        node = t.column("node").to_numpy()
-        c, i, j = (t.column(x).to_numpy() for x in ("c", "i", "j"))
-        raw = [np.frombuffer(x, np.uint64) for x in t.column("elements").to_pylist()]
-        order = np.argsort(node, kind="stable")
-        node, c, raw = node[order], c[order], [raw[x] for x in order]
-        both = overlaps(raw)
+        label, c, i, j = (t.column(x).to_numpy() for x in ("label", "c", "i", "j"))
+        both = overlaps([np.frombuffer(x, np.uint64) for x in t.column("elements").to_pylist()])
         size = np.diag(both)
-        union = size[:, None] + size[None, :] - both
-        linked = under * both.astype(np.float64) >= over * union
+        linked = under * both.astype(np.float64) >= over * (size[:, None] + size[None, :] - both)
+        linked &= label[:, None] != label[None, :]
         if i[0] != j[0]:  # pairs within a chunk are another tile's
             linked &= c[:, None] != c[None, :]
         root = forest(linked)
-        u = np.flatnonzero(root != np.arange(len(node)))
-        return pa.table({"u": pa.array(node[u], pa.int64()), "v": pa.array(node[root[u]], pa.int64())})
+        u = np.flatnonzero(root != np.arange(len(label)))
+        return pa.table({"u": pa.array(label[u], pa.int64()), "v": pa.array(label[root[u]], pa.int64())})
+
+    return tiles.groupBy("h", "i", "j").applyInArrow(tile, "u long, v long")
 
-    return tiles.groupBy("comp", "i", "j").applyInArrow(tile, "u long, v long")
+
+def linked(scratch: Scratch, bands: DataFrame, sets_of: Callable[[DataFrame], DataFrame], over: int, under: int, chunk: int = CHUNK) -> DataFrame:
+    """bands (h, node), distinct -> (node, comp): components of the links among nodes that share a band.
+
+    sets_of gives (node, elements binary) for a table of nodes: each node's set as ascending unsigned 64-bit
+    integers, or several where the node stands for several. Sets link if under * intersection >= over * union.
+    Every pair that shares a band is decided, by exact sets, unless its two nodes are known to be in one
+    component already. Nodes that share no band are left out.
+    """
+    hubs = bands.groupBy("h").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top").select("h", "hub")
+    members = scratch.save(bands.join(hubs, "h").select("h", "node", "hub"), "members")
+    scratch.sweep()
+    sets = scratch.save(sets_of(members.select("node").distinct()), "sets")
+    scratch.sweep()
+    star = members.where("node <> hub").select("node", "hub").distinct()
+    first = scratch.save(components(scratch, _hub_links(star, sets, over, under)), "first")
+    scratch.sweep()
+    labelled = members.select("h", "node").join(first, "node", "left").select("h", "node", F.coalesce("comp", "node").alias("c"))
+    open_ = labelled.groupBy("h").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("h")
+    rest = scratch.save(labelled.join(open_, "h").select("node", "h", "c"), "open")
+    done = first
+    if not rest.isEmpty():
+        more = components(scratch, _tile_links(rest, sets, over, under, chunk)).select(F.col("node").alias("c"), F.col("comp").alias("to"))
+        known = members.select("node").distinct().join(first, "node", "left").select("node", F.coalesce("comp", "node").alias("c"))
+        done = scratch.save(known.join(more, "c", "left").select("node", F.coalesce("to", "c").alias("comp")), "groups")
+        scratch.drop(first)
+    scratch.drop(members, sets, rest)
+    scratch.sweep()
+    return done

@@ -1,110 +1,219 @@
-"""Near-duplicate paragraphs across and within documents: MinHash banding, exact Jaccard, components, removal."""
+"""Near-duplicate passages: lines cut at content-defined borders, MinHash banding, exact Jaccard, components, removal.
+
+A passage may stand anywhere in a line, so lines are cut into paragraphs of some 20 words at borders that
+depend on the words around them alone: copies are cut alike wherever they stand. These paragraphs are banded
+by MinHash, those that collide are verified on their full shingle sets, and components decide what goes.
+"""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import Scratch, components, id_and_text
-from .nearsets import candidate_groups, links_in_groups
+from .common import Scratch, fresh, id_and_text
+from .nearsets import linked
 
-#: 13 bands of 3: a pair at a similarity of 0.8 shares no band with a chance of 9e-5, at 0.9 of 4e-8.
-BANDS, ROWS = 13, 3
-#: Paragraphs of fewer words are left alone.
-LEAST_WORDS = 10
+#: A paragraph begins at the word that is least of the REACH words on either side: 19 words on average.
+REACH = 9
+#: Six bands of one rank: a pair at a similarity of 0.8 shares no band with a chance of 6e-5, at 0.9 of 1e-6.
+BANDS, ROWS = 6, 1
+#: Words of a run of repeated paragraphs that count as a passage.
+PASSAGE = 50
+_ENDS = np.frombuffer(b".!?", np.uint8)
 
 
-def split(text: str | None) -> list[str]:
-    """Paragraphs are the lines of a text; a text without any break is one."""
-    return (text or "").split("\n") if text else []
+def word_ranks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The first 64 bits of each word's MD5, its A-Z lower-cased; each distinct word (by hash h) is digested once."""
+    _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+    low = S.lower_ascii()[data].tobytes()
+    digest = b"".join(hashlib.md5(low[a:b], usedforsecurity=False).digest()[:8] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True))
+    return np.frombuffer(digest, ">u8").astype(S.U)[inverse]
 
 
-def _sets(texts: list[str], k: int):
-    data, offsets = S.string_buffers(pa.array(texts, pa.large_string()))
-    starts, ends, of = S.words(data, offsets, S.space_words())
-    counts = np.bincount(of, minlength=len(texts))
-    h, of = S.shingles(S.span_hashes(data, starts, ends, S.lower_ascii()), of, len(texts), k)
-    return (*S.distinct(h, of, len(texts)), counts)
-
+def cut(column: pa.Array, reach: int = REACH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Paragraphs of each text of a string column: hashes of all words, paragraph of each word, text of each paragraph, its start and end byte.
 
-def paragraph_bands(texts: DataFrame, least: int, bands: int, rows: int, k: int) -> DataFrame:
-    """(id, uid, text) -> a row for each paragraph of at least `least` words: (id, uid, no, node, bands).
-
-    node is a 63-bit digest of the paragraph's shingle set, so copies are one node from here on.
+    A line's first word begins a paragraph, and so does a word that comes before all others within `reach` words,
+    words after a sentence end first, then by word_ranks(); a tie begins none. Only words with `reach` words of
+    their line on either side count, so a line of up to 2 * reach words is one paragraph, and each paragraph of a
+    longer one has `reach` words or more.
+    """
+    data, offsets = S.string_buffers(column)
+    starts, ends, of = S.words(data, offsets, S.space_words())
+    h = S.span_hashes(data, starts, ends, S.lower_ascii())
+    n = len(h)
+    if not n:
+        z = np.zeros(0, np.int64)
+        return h, z, z, z, z
+    line = np.concatenate([[0], np.cumsum(data == 10)])[starts]
+    first = np.ones(n, dtype=bool)
+    first[1:] = (line[1:] != line[:-1]) | (of[1:] != of[:-1])
+    group = np.cumsum(first) - 1
+    key = word_ranks(data, starts, ends, h) >> S.U(1)
+    after = np.zeros(n, dtype=bool)
+    after[1:] = np.isin(data[ends[:-1] - 1], _ENDS)
+    key[~after | first] |= S.U(1 << 63)  # what ends before the line is no part of it
+    border = np.zeros(n, dtype=bool)
+    if n > 2 * reach:
+        mid = key[reach : n - reach]
+        least = (group[reach : n - reach] == group[: n - 2 * reach]) & (group[reach : n - reach] == group[2 * reach :])
+        for j in (*range(reach), *range(reach + 1, 2 * reach + 1)):
+            least &= mid < key[j : j + n - 2 * reach]
+        border[reach : n - reach] = least
+    begins = np.flatnonzero(first | border)
+    part = np.cumsum(first | border) - 1
+    return h, part, of[begins], starts[begins], ends[np.append(begins[1:], n) - 1]
+
+
+def _numbers(text_of: np.ndarray) -> np.ndarray:
+    """0, 1, ... within each text."""
+    return (np.arange(len(text_of)) - np.searchsorted(text_of, text_of, side="left")).astype(np.int32)
+
+
+def _sets(h: np.ndarray, part: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    g, of = S.shingles(h, part, n, k)
+    order = np.lexsort((g, of))
+    g, of = g[order], of[order]
+    new = np.ones(len(g), dtype=bool)
+    new[1:] = (g[1:] != g[:-1]) | (of[1:] != of[:-1])
+    return g[new], np.concatenate([[0], np.cumsum(np.bincount(of[new], minlength=n))]).astype(np.int64)
+
+
+_FOUND = "id long, uid long, no int, words int, k1 long, k2 long, bands array<long>"
+
+
+def paragraph_bands(texts: DataFrame, over: int, under: int, bands: int, rows: int, k: int, reach: int) -> DataFrame:
+    """(id, uid, text) -> a row for each paragraph. k1 and k2 are a 128-bit digest of its shingle set, so copies are one node from here on.
+
+    bands is empty where a set is too small to link to any but its like.
     """
 
     def run(batches):
         for whole in batches:
             for b in S.pieces(whole, "text"):
-                parts = [split(x) for x in b.column(2).to_pylist()]
-                flat = [p for x in parts for p in x]
-                doc = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
-                no = np.concatenate([np.arange(len(x)) for x in parts] or [np.zeros(0, np.int64)]).astype(np.int32)
-                sets, offsets, n_words = _sets(flat, k)
-                keep = np.flatnonzero(n_words >= least)
-                node = (S.set_keys(sets, offsets)[:, 0] >> S.U(1)).view(np.int64)
+                h, part, doc, *_ = cut(b.column(2), reach)
+                sets, offsets = _sets(h, part, len(doc), k)
+                digest = S.set_keys(sets, offsets).view(np.int64)
                 sizes = np.diff(offsets)
-                chosen = np.repeat(n_words >= least, sizes)
-                ends = np.concatenate([[0], np.cumsum(sizes[keep])])
-                keys = S.band_keys(S.super_minhash(sets[chosen], ends, bands * rows), bands, rows).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
-                d = pa.array(doc[keep])
-                yield pa.RecordBatch.from_arrays([b.column(0).take(d), b.column(1).take(d), pa.array(no[keep]), pa.array(node[keep]), lists], names=["id", "uid", "no", "node", "bands"])
+                can = sizes * under >= over * (sizes + 1)
+                some = sets[np.repeat(can, sizes)]
+                keys = S.band_keys(S.super_minhash(some, np.concatenate([[0], np.cumsum(sizes[can])]), bands * rows), bands, rows).view(np.int64)
+                at = np.concatenate([[0], np.cumsum(can * bands)]).astype(np.int32)
+                d = pa.array(doc)
+                words = pa.array(np.bincount(part, minlength=len(doc)).astype(np.int32))
+                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(d), b.column(1).take(d), pa.array(_numbers(doc)), words, pa.array(digest[:, 0]), pa.array(digest[:, 1]), lists],
+                    names=["id", "uid", "no", "words", "k1", "k2", "bands"],
+                )
 
-    return texts.mapInArrow(run, "id long, uid long, no int, node long, bands array<long>")
+    return texts.mapInArrow(run, _FOUND)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", over: int = 4, under: int = 5, least: int = LEAST_WORDS, bands: int = BANDS, rows: int = ROWS, k: int = 5) -> DataFrame:
-    """A row for each input row: (id, uid, n_paragraphs, n_repeated, n_removed, removed).
+def _uid(id_: F.Column, text: F.Column):
+    return F.xxhash64(id_.cast("long"), text.cast("string"))
 
-    Paragraphs are lines; those of at least `least` words link when their k-word shingle sets have
-    under * intersection >= over * union (4 and 5: 0.8), words being runs without ASCII white space, lower-cased in A-Z.
-    Of each component of links the first paragraph stays, by id (null ids last), then by number; the others are
-    removed. n_repeated counts the paragraphs that belong to a component of two or more, removed lists the
-    numbers of those to remove, ascending. A null or empty text has no paragraphs. uid tells rows apart by id and
-    text; repeated rows count as copies of each other, and lose the same paragraphs.
+
+def _with_rows(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """Join on the row's two names, id (nulls meet) and uid; the left's stay."""
+    r = right.withColumnRenamed("id", "_id").withColumnRenamed("uid", "_uid")
+    return left.join(r, left.id.eqNullSafe(r._id) & (left.uid == r._uid), how).drop("_id", "_uid")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", over: int = 4, under: int = 5, bands: int = BANDS, rows: int = ROWS, k: int = 5, reach: int = REACH, passage: int = PASSAGE) -> DataFrame:
+    """A row for each input row: (id, uid, n_passages, n_paragraphs, n_repeated, n_removed, removed).
+
+    Lines are cut by cut(); every paragraph that has a word is in, however short. Paragraphs link when their k-word
+    shingle sets have under * intersection >= over * union (4 and 5: 0.8), words being runs without ASCII white
+    space, lower-cased in A-Z; one of under k words has one shingle, so it links to its copies alone. Of each
+    component the first paragraph stays, by id (null ids last), then by number. n_repeated counts the paragraphs of
+    components of two or more, n_passages the runs of such paragraphs, one after the other, that have `passage`
+    words or more; removed lists the numbers of those to remove, ascending.
+
+    A null, empty or wordless text has no paragraphs. id and uid, a hash of id and text, name a row; repeated rows
+    count as copies of each other, and lose the same paragraphs.
     """
     scratch = Scratch(docs.sparkSession, "paragraphs")
-    texts = id_and_text(docs, id_col, text_col).select("id", F.xxhash64("id", "text").alias("uid"), "text")
-    found = scratch.save(paragraph_bands(texts, least, bands, rows, k), "bands")
-    nodes = found.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct(F.col("id").isNull().alias("last"), "id", "uid", "no")).alias("first"), F.first("bands").alias("bands"))
-    nodes = scratch.save(nodes, "nodes")
-    groups = scratch.save(candidate_groups(scratch, nodes.select(F.explode("bands").alias("h"), "node")), "groups")
-    wanted = groups.join(nodes, "node").groupBy(F.col("first.uid").alias("uid")).agg(F.collect_set(F.struct("node", F.col("first.no").alias("no"))).alias("w"))
-
-    def sets_of(batches):
-        for b in batches:
-            names, parts = [], []
-            for text, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                p = split(text)
-                for x in w:
-                    names.append(x["node"])
-                    parts.append(p[x["no"]])
-            sets, offsets, _ = _sets(parts, k)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([sets[i:j].tobytes() for i, j in zip(offsets, offsets[1:], strict=False)], pa.binary())], names=["node", "elements"])
-
-    one = texts.join(wanted, "uid").dropDuplicates(["uid"]).select("text", "w")
-    links = links_in_groups(scratch, groups, one.mapInArrow(sets_of, "node long, elements binary"), over, under)
-    comp = scratch.save(components(scratch, links), "components")
-    of = nodes.join(comp, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "n", "first")
+    texts = id_and_text(docs, id_col, text_col)
+    texts = texts.select("id", _uid(F.col("id"), F.col("text")).alias("uid"), "text")
+    found = scratch.save(paragraph_bands(texts, over, under, bands, rows, k, reach), "paragraphs")
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "uid", "no")
+    nodes = found.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.first("bands").alias("bands"))
+    nodes = scratch.save(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    scratch.sweep()
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """Each node's set, from the text where it stands first."""
+        per = nodes.join(wanted, "node").groupBy("first.id", "first.uid").agg(F.collect_set(F.struct("node", F.col("first.no").alias("no"))).alias("w"))
+
+        def run(batches):
+            for whole in batches:
+                for b in S.pieces(whole, "text"):
+                    h, part, doc, *_ = cut(b.column(0), reach)
+                    sets, offsets = _sets(h, part, len(doc), k)
+                    flat = b.column(1).flatten()
+                    at = np.repeat(np.searchsorted(doc, np.arange(b.num_rows)), b.column(1).value_lengths().to_numpy(zero_copy_only=False)) + flat.field("no").to_numpy()
+                    yield pa.RecordBatch.from_arrays([flat.field("node"), pa.array([sets[offsets[x] : offsets[x + 1]].tobytes() for x in at], pa.binary())], names=["node", "elements"])
+
+        one = _with_rows(texts, per, "inner").dropDuplicates(["id", "uid"]).select("text", "w")
+        return one.mapInArrow(run, "node long, elements binary")
+
+    comp = linked(scratch, nodes.select(F.explode("bands").alias("h"), "node").distinct(), sets_of, over, under)
+    of = nodes.join(comp, "node", "left").select("k1", "k2", F.coalesce("comp", "node").alias("comp"), "n", "first")
     kept = of.groupBy("comp").agg(F.sum("n").alias("total"), F.min("first").alias("keep")).where("total > 1")
-    marks = of.join(kept, "comp").select("node", "keep")
-    hit = found.select("uid", "no", "node").join(marks, "node")
-    stays = (F.col("uid") == F.col("keep.uid")) & (F.col("no") == F.col("keep.no"))
-    per = hit.groupBy("uid").agg(F.sort_array(F.collect_set(F.when(~stays, F.col("no")))).alias("removed"), F.countDistinct("no").alias("n_repeated"))
-    shape = texts.select("id", "uid", F.when(F.coalesce(F.length("text"), F.lit(0)) > 0, F.length("text") - F.length(F.translate("text", "\n", "")) + 1).otherwise(0).cast("long").alias("n_paragraphs"))
+    marks = of.join(kept, "comp").select("k1", "k2", F.col("keep.id").alias("keep_id"), F.col("keep.uid").alias("keep_uid"), F.col("keep.no").alias("keep_no"))
+    hit = found.select("id", "uid", "no", "words", "k1", "k2").join(marks, ["k1", "k2"])
+    stays = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("uid") == F.col("keep_uid")) & (F.col("no") == F.col("keep_no"))
+    per = hit.groupBy("id", "uid").agg(
+        F.sort_array(F.collect_set(F.when(~stays, F.col("no")))).alias("removed"), F.array_sort(F.collect_set(F.struct("no", "words"))).alias("repeated")
+    )
+    whole = found.groupBy("id", "uid").agg((F.max("no") + 1).cast("long").alias("n_paragraphs"))
+    out = _with_rows(_with_rows(texts.select("id", "uid"), whole, "left"), per, "left")
+    # runs of numbers that follow each other: a passage counts once, where its words first reach `passage`
+    run = F.aggregate(
+        "repeated", F.struct(F.lit(-2).alias("no"), F.lit(0).alias("words"), F.lit(0).cast("long").alias("n")),
+        lambda s, x: F.struct(
+            x["no"].alias("no"), _run_words(s, x).alias("words"),
+            (s["n"] + F.when((_run_words(s, x) >= passage) & (_run_words(s, x) - x["words"] < passage), 1).otherwise(0)).alias("n"),
+        ),
+    )["n"]
     removed = F.coalesce("removed", F.array().cast("array<int>"))
-    return shape.join(per, "uid", "left").select("id", "uid", "n_paragraphs", F.coalesce("n_repeated", F.lit(0)).cast("long").alias("n_repeated"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
-
-
-def without_paragraphs(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with the paragraphs that near_duplicates() lists taken out of their texts; all columns stay."""
-    uid = F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string"))
-    gone = removed.where("n_removed > 0").select(F.col("uid").alias("_uid"), F.col("removed").alias("_removed")).dropDuplicates(["_uid"])
-    lines = F.split(F.col(f"`{text_col}`"), "\n", -1)
-    left = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("_removed", i.cast("int")), x)), lambda x: x.isNotNull())
-    out = docs.withColumn("_uid", uid).join(gone, "_uid", "left")
-    return out.withColumn(text_col, F.when(F.col("_removed").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(left, "\n"))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return out.select(
+        "id", "uid", zero(run).alias("n_passages"), zero("n_paragraphs").alias("n_paragraphs"), zero(F.when(F.col("repeated").isNotNull(), F.size("repeated"))).alias("n_repeated"),
+        F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"),
+    )
+
+
+def _run_words(s, x):
+    return F.when(x["no"] == s["no"] + 1, s["words"]).otherwise(0) + x["words"]
+
+
+def without_paragraphs(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
+    """The documents with the paragraphs that near_duplicates() lists taken out of their texts; all columns stay, and so does white space between paragraphs."""
+    order, (uid, gone, rid) = docs.columns, fresh(docs, "uid", "removed", "rid")
+    listed = removed.where("n_removed > 0").select(F.col("id").alias(rid), F.col("uid").alias(uid), F.col("removed").alias(gone)).dropDuplicates([rid, uid])
+
+    @F.pandas_udf("string")
+    def left(text, numbers):
+        out = []
+        for t, no in zip(text, numbers, strict=True):
+            if t is None or no is None:
+                out.append(t)
+                continue
+            *_, starts, ends = cut(pa.array([t], pa.large_string()), reach)
+            raw, at, parts = t.encode(), 0, []
+            for i in no:
+                parts.append(raw[at : starts[i]])
+                at = ends[i]
+            out.append(b"".join([*parts, raw[at:]]).decode())
+        return text.__class__(out, dtype=object)
+
+    text, own = F.col(f"`{text_col}`"), F.col(f"`{id_col}`").cast("long")
+    out = docs.join(listed, own.eqNullSafe(listed[rid]) & (_uid(own, text) == listed[uid]), "left")
+    return out.withColumn(text_col, F.when(F.col(gone).isNull(), text).otherwise(left(text, F.col(gone)))).select(*(F.col(f"`{c}`") for c in order))

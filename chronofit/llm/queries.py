@@ -31,40 +31,39 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: its paragraphs, those with a near copy anywhere, and those removed, as comma-joined numbers."""
+    """Per document: repeated passages of 50 words or more, paragraphs with a near copy anywhere, and those removed, as comma-joined numbers."""
     from .paragraphs import near_duplicates
 
     found = near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "n_paragraphs", "n_repeated", "n_removed", F.concat_ws(",", F.col("removed").cast("array<string>")).alias("removed"))
+    return found.select(F.col("id").alias("doc_id"), "n_passages", "n_repeated", "n_removed", "n_paragraphs", F.concat_ws(",", F.col("removed").cast("array<string>")).alias("removed"))
 
 
 OP2_SQL = r"""
 WITH RECURSIVE t AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text <> ''),
-p AS (SELECT doc_id, i - 1 AS no, regexp_extract_all(translate(p[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM t)),
-a AS (SELECT doc_id, no, w, array_to_string(w, ' ') AS body FROM p WHERE len(w) >= 10),
+l AS (SELECT doc_id, i, regexp_extract_all(translate(p[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM t)),
+x AS (SELECT doc_id, i, j, len(ws) AS m, ws[j] AS w, CASE WHEN j > 1 AND right(ws[j - 1], 1) IN ('.', '!', '?') THEN '0' ELSE '1' END || substr(md5(ws[j]), 1, 16) AS key
+  FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS j FROM l)),
+y AS (SELECT *, j > 9 AND m - j >= 9 AND key < min(key) OVER (PARTITION BY doc_id, i ORDER BY j ROWS BETWEEN 9 PRECEDING AND 1 PRECEDING)
+  AND key < min(key) OVER (PARTITION BY doc_id, i ORDER BY j ROWS BETWEEN 1 FOLLOWING AND 9 FOLLOWING) AS border FROM x),
+z AS (SELECT *, sum(CASE WHEN j = 1 OR border THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i, j ROWS UNBOUNDED PRECEDING) - 1 AS no FROM y),
+a AS (SELECT doc_id, no, w, array_to_string(w, ' ') AS body FROM (SELECT doc_id, no, list(w ORDER BY i, j) AS w FROM z GROUP BY doc_id, no)),
 b AS (SELECT row_number() OVER (ORDER BY body) AS k, body, any_value(w) AS w FROM a GROUP BY body),
-g AS (SELECT DISTINCT k, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS g FROM b),
+g AS (SELECT DISTINCT k, unnest(CASE WHEN len(w) < 5 THEN [body] ELSE list_transform(range(1, len(w) - 3), lambda q: array_to_string(w[q:q+4], ' ')) END) AS g FROM b),
 n AS (SELECT k, count(*) AS n FROM g GROUP BY k),
-x AS (SELECT u.k AS a, v.k AS b, count(*) AS i FROM g u JOIN g v USING (g) WHERE u.k <> v.k GROUP BY 1, 2),
-l AS (SELECT a, b FROM x JOIN n u ON u.k = a JOIN n v ON v.k = b WHERE 5 * i >= 4 * (u.n + v.n - i)),
-r AS (SELECT k AS a, k AS b FROM b UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+o AS (SELECT u.k AS a, v.k AS b, count(*) AS i FROM g u JOIN g v USING (g) WHERE u.k <> v.k GROUP BY 1, 2),
+e AS (SELECT a, b FROM o JOIN n u ON u.k = a JOIN n v ON v.k = b WHERE 5 * i >= 4 * (u.n + v.n - i)),
+r AS (SELECT k AS a, k AS b FROM b UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
 c AS (SELECT a AS k, min(b) AS comp FROM r GROUP BY 1),
-m AS (SELECT doc_id, no, comp, row_number() OVER (PARTITION BY comp ORDER BY doc_id, no) AS place, count(*) OVER (PARTITION BY comp) AS size FROM a JOIN b USING (body) JOIN c USING (k)),
-d AS (SELECT doc_id, count(*) FILTER (WHERE size > 1) AS n_repeated, count(*) FILTER (WHERE place > 1) AS n_removed, string_agg(no::VARCHAR, ',' ORDER BY no) FILTER (WHERE place > 1) AS removed FROM m GROUP BY 1)
-SELECT doc_id, CASE WHEN text <> '' THEN length(text) - length(replace(text, chr(10), '')) + 1 ELSE 0 END AS n_paragraphs,
-  coalesce(n_repeated, 0) AS n_repeated, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed
-FROM documents LEFT JOIN d USING (doc_id)
+m AS (SELECT doc_id, no, len(a.w) AS words, row_number() OVER (PARTITION BY comp ORDER BY doc_id, no) AS place, count(*) OVER (PARTITION BY comp) AS size FROM a JOIN b USING (body) JOIN c USING (k)),
+s AS (SELECT doc_id, sum(words) AS words FROM (SELECT *, no - row_number() OVER (PARTITION BY doc_id ORDER BY no) AS run FROM m WHERE size > 1) GROUP BY doc_id, run),
+q AS (SELECT doc_id, count(*) AS n_passages FROM s WHERE words >= 50 GROUP BY 1),
+d AS (SELECT doc_id, count(*) AS n_paragraphs, count(*) FILTER (WHERE size > 1) AS n_repeated, count(*) FILTER (WHERE place > 1) AS n_removed, string_agg(no::VARCHAR, ',' ORDER BY no) FILTER (WHERE place > 1) AS removed FROM m GROUP BY 1)
+SELECT doc_id, coalesce(n_passages, 0) AS n_passages, coalesce(n_repeated, 0) AS n_repeated, coalesce(n_removed, 0) AS n_removed,
+  coalesce(n_paragraphs, 0) AS n_paragraphs, coalesce(removed, '') AS removed
+FROM documents LEFT JOIN d USING (doc_id) LEFT JOIN q USING (doc_id)
 """
 
 
-def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: its pieces of lines, those with a near copy anywhere, and those removed, as comma-joined numbers."""
-    from .passages import near_duplicates
-
-    found = near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "n_pieces", "n_repeated", "n_removed", F.concat_ws(",", F.col("removed").cast("array<string>")).alias("removed"))
-
-
 def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix import remove_repeats
 
@@ -156,7 +155,7 @@ FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op1_byte_bpe": op1_byte_bpe, "op2_paragraphs": op2_paragraphs, "op2_passages": op2_passages, "op5_suffix": op5_suffix, "op3_embeddings": op3_embeddings, "op4_minhash": op4_minhash, "op6_html": op6_html,
+        "op1_byte_bpe": op1_byte_bpe, "op2_paragraphs": op2_paragraphs, "op5_suffix": op5_suffix, "op3_embeddings": op3_embeddings, "op4_minhash": op4_minhash, "op6_html": op6_html,
         "op7_language_id": op7_language_id, "op8_pii": op8_pii, "op9_warc": op9_warc, "op10_decontamination": op10_decontamination,
     }
 

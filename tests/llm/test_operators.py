@@ -11,7 +11,7 @@ import pytest
 from conftest import SMALL, same
 from pyspark.sql import functions as F
 
-from chronofit.llm import bpe, common, decontam, embeddings, html, langid, minhash, paragraphs, passages, pii, queries, shingles, suffix, warc
+from chronofit.llm import bpe, common, decontam, embeddings, html, langid, minhash, paragraphs, pii, queries, shingles, suffix, warc
 from chronofit.llm.tagger import Tagger
 
 SQL = queries.oracle_sql()
@@ -134,103 +134,83 @@ def near_corpus(g, n=120):
 
 
 @pytest.mark.parametrize(("over", "under"), [(4, 5), (85, 100)])
-def test_minhash_finds_every_link(spark, over, under, monkeypatch):
-    import chronofit.llm.nearsets as nearsets
-
+def test_minhash_finds_every_link(spark, over, under):
     rows = near_corpus(random.Random(over))
     sets = [(i, shingle_set(t)) for i, t in rows]
     ids = {i for i, _ in rows if i is not None}
     edges = [(i, j) for x, (i, a) in enumerate(sets) for j, b in sets[:x] if a and b and None not in (i, j) and i != j and under * len(a & b) >= over * len(a | b)]
     comp = union_find(edges, ids)
-    # tiny chunks: groups are dealt over many tiles
-    monkeypatch.setattr(minhash, "links_in_groups", lambda *a: nearsets.links_in_groups(*a, chunk=7))
-    got = minhash.near_duplicates(documents(spark, rows), over=over, under=under).collect()
+    # tiny chunks: bands are dealt over many tiles
+    got = minhash.near_duplicates(documents(spark, rows), over=over, under=under, chunk=7).collect()
     assert sorted((str(r.id), r.n_shingles, r.component_id, r.kept) for r in got) == sorted((str(i), len(s), comp.get(i), i is None or comp[i] == i) for i, s in sets)
     assert minhash.near_duplicates(documents(spark, rows).limit(0)).isEmpty()
 
 
-def test_paragraphs_against_brute_force(spark):
-    g = random.Random(11)
-    flat = near_corpus(g, 80)
-    rows = [(i, "\n".join(t for _, t in g.sample(flat[:80], g.randrange(0, 4)))) for i in range(40)]
-    rows += [(100, None), (101, ""), (102, "\n\n"), (103, flat[3][1] + "\n" + flat[3][1]), (7, rows[7][1])]
-    found = paragraphs.near_duplicates(documents(spark, rows))
-    units = [(i, n, p) for i, t in rows for n, p in enumerate((t or "").split("\n") if t else []) if len(WORD.findall(p)) >= 10]
-    sets = [shingle_set(p) for _, _, p in units]
-    edges = [(x, y) for x in range(len(units)) for y in range(x) if 5 * len(sets[x] & sets[y]) >= 4 * len(sets[x] | sets[y])]
-    comp = union_find(edges, range(len(units)))
-    groups: dict = {}
-    for x, u in enumerate(units):
-        groups.setdefault(comp[x], set()).add(u[:2])
-    removed, repeated = {}, Counter()
-    sizes = Counter(comp.values())
-    for c, members in groups.items():
-        for i, n in members:
-            repeated[i] += sizes[c] > 1
-            if (i, n) != min(members):
-                removed.setdefault(i, set()).add(n)
-    for r in found.collect():
-        t = dict(rows)[r.id]
-        assert r.n_paragraphs == (len(t.split("\n")) if t else 0)
-        assert r.removed == sorted(removed.get(r.id, ())) and r.n_removed == len(r.removed) and r.n_repeated == repeated[r.id]
-    left = {r.doc_id: r.text for r in paragraphs.without_paragraphs(documents(spark, rows), found).collect()}
-    for i, t in rows:
-        keep = [p for n, p in enumerate(t.split("\n")) if n not in removed.get(i, ())] if t is not None else None
-        assert left[i] == (None if t is None else "\n".join(keep))
-    assert paragraphs.near_duplicates(documents(spark, rows).limit(0)).isEmpty()
-
-
-def cut_line(line, reach=passages.REACH):
-    """Pieces of one line, border by border."""
+def cut_line(line, reach=paragraphs.REACH):
+    """Paragraphs of one line, border by border."""
     w = WORD.findall(line)
-    h = [int(shingles.span_hashes(np.frombuffer(x.encode(), np.uint8), np.array([0]), np.array([len(x.encode())]), shingles.lower_ascii())[0]) for x in w]
-    key = [(not i or w[i - 1][-1] not in ".!?", h[i] >> 1) for i in range(len(w))]
+    rank = [int(hashlib.md5("".join(c.lower() if "A" <= c <= "Z" else c for c in x).encode()).hexdigest()[:16], 16) >> 1 for x in w]
+    key = [(not i or w[i - 1][-1] not in ".!?", rank[i]) for i in range(len(w))]
     cuts = [i for i in range(reach, len(w) - reach) if all(key[i] < key[j] for j in range(i - reach, i + reach + 1) if j != i)]
     return [w[i:j] for i, j in zip([0, *cuts], [*cuts, len(w)], strict=True)] if w else []
 
 
-def test_passages_against_brute_force(spark):
+@pytest.mark.parametrize("chunk", [256, 3])
+def test_paragraphs_against_brute_force(spark, chunk, monkeypatch):
+    import chronofit.llm.nearsets as nearsets
+
+    monkeypatch.setattr(paragraphs, "linked", lambda *a: nearsets.linked(*a, chunk=chunk))
     g = random.Random(12)
     word = lambda: "".join(g.choice("abcdefgé") for _ in range(g.randrange(3, 7))) + g.choice(["", "", "", "."])
     text = lambda n: [word() for _ in range(n)]
     runs = [text(60) for _ in range(6)]
     rows = [(i, "\n".join(" ".join([*text(g.randrange(150)), *(g.choice(runs) if g.random() < 0.7 else []), *text(g.randrange(150))]) for _ in range(g.randrange(4)))) for i in range(40)]
     rows += [(100, None), (101, ""), (102, " \n\n"), (103, "x " * 40), (104, "X " * 50), (105, "One two\nthree"), (106, "three\none  TWO"), (7, rows[7][1])]
-    rows += [(107, " ".join(runs[0][:25] + ["zzz"] + runs[0][26:]))]
-    docs = documents(spark, rows)
-    found = passages.near_duplicates(docs)
+    rows += [(107 + k, " ".join(w if x != 3 * k + 12 else f"zz{k}" for x, w in enumerate(runs[0]))) for k in range(14)]
+    docs = documents(spark, rows).withColumn("uid", F.lit(1)).withColumn("removed", F.lit(2))
+    found = paragraphs.near_duplicates(docs)
     units = [(i, n, " ".join(p)) for i, t in rows for n, p in enumerate(p for x in (t or "").split("\n") for p in cut_line(x))]
     sets = [shingle_set(p) for _, _, p in units]
     comp = union_find([(x, y) for x in range(len(units)) for y in range(x) if 5 * len(sets[x] & sets[y]) >= 4 * len(sets[x] | sets[y])], range(len(units)))
     groups: dict = {}
     for x, u in enumerate(units):
-        groups.setdefault(comp[x], []).append(u[:2])
+        groups.setdefault(comp[x], []).append(u)
     removed, repeated, size = {}, {}, Counter()
     for m in groups.values():
-        for i, n in m:
+        for i, n, p in m:
             size[i] = max(size[i], n + 1)
             if len(m) > 1:
-                repeated.setdefault(i, set()).add(n)
-            if (i, n) != min(m):
+                repeated.setdefault(i, {})[n] = len(p.split())
+            if (i, n) != min(m)[:2]:
                 removed.setdefault(i, set()).add(n)
     rest = found.collect()
     assert len(rest) == len(rows)
     for r in rest:
-        assert (r.n_pieces, r.n_repeated, r.removed) == (size[r.id], len(repeated.get(r.id, ())), sorted(removed.get(r.id, ()))) and r.n_removed == len(r.removed)
-    left = {r.doc_id: r.text for r in passages.without_passages(docs, found).collect()}
+        mine, passages = repeated.get(r.id, {}), 0
+        for n in mine:
+            if n - 1 not in mine:
+                z = n
+                while z in mine:
+                    z += 1
+                passages += sum(mine[x] for x in range(n, z)) >= 50
+        assert (r.n_paragraphs, r.n_repeated, r.n_passages, r.removed) == (size[r.id], len(mine), passages, sorted(removed.get(r.id, ()))) and r.n_removed == len(r.removed)
+    assert sum(r.n_passages for r in rest) > 10
+    left = paragraphs.without_paragraphs(docs, found)
+    assert left.columns == docs.columns
+    left = {r.doc_id: r.text for r in left.collect()}
     for i, t in rows:
         keep = [w for n, (j, _, p) in enumerate(u for u in dict.fromkeys(units) if u[0] == i) if n not in removed.get(i, ()) for w in p.split()]
         assert left[i] == t if i not in removed else WORD.findall(left[i]) == keep
-    assert passages.near_duplicates(docs.limit(0)).isEmpty()
+    assert paragraphs.near_duplicates(docs.limit(0)).isEmpty()
 
 
-def test_pieces_dont_depend_on_what_stands_before():
+def test_paragraphs_dont_depend_on_what_stands_before():
     g = random.Random(6)
-    lines = [" ".join(f"w{g.randrange(10**4)}" + g.choice(["", "", "."]) for _ in range(g.randrange(40))) for _ in range(400)]
-    *_, doc, starts, ends = passages.pieces_of(pa.array(lines, pa.large_string()), passages.REACH)
+    lines = [" ".join(f"w{g.randrange(10**4)}" + g.choice(["", "", "."]) for _ in range(g.randrange(60))) for _ in range(400)]
+    *_, doc, starts, ends = paragraphs.cut(pa.array(lines, pa.large_string()))
     assert np.bincount(doc, minlength=400).tolist() == [len(cut_line(x)) for x in lines]
     for i, x in enumerate(lines):
-        alone = passages.pieces_of(pa.array([x], pa.large_string()), passages.REACH)
+        alone = paragraphs.cut(pa.array([x], pa.large_string()))
         at = sum(map(len, lines[:i]))
         assert (alone[3] + at).tolist() == starts[doc == i].tolist() and (alone[4] + at).tolist() == ends[doc == i].tolist()
 
@@ -241,22 +221,37 @@ def test_passage_inside_longer_lines_is_found(spark):
     runs = [text(51) for _ in range(40)]
     rows = [(2 * i + j, " ".join([*text(g.randrange(60, 130)), *r, *text(g.randrange(60, 130))])) for i, r in enumerate(runs) for j in (0, 1)]
     docs = documents(spark, rows)
-    assert not any(r.n_repeated for r in paragraphs.near_duplicates(docs).collect())
-    found = passages.near_duplicates(docs)
+    found = paragraphs.near_duplicates(docs)
     n = {r.id: r.n_removed for r in found.collect()}
-    assert not any(n[i] for i in range(0, 80, 2)) and sum(n[i] > 0 for i in range(1, 80, 2)) >= 38
-    left = {r.doc_id: r.text.split() for r in passages.without_passages(docs, found).collect()}
-    gone = [len(set(r) - set(left[2 * i + 1])) for i, r in enumerate(runs)]
-    assert sum(gone) >= 0.6 * 51 * len(runs) and all(set(rows[2 * i + 1][1].split()) - set(r) <= set(left[2 * i + 1]) for i, r in enumerate(runs))
+    assert not any(n[i] for i in range(0, 80, 2)) and sum(n[i] > 0 for i in range(1, 80, 2)) >= 34
+    left = {r.doc_id: r.text.split() for r in paragraphs.without_paragraphs(docs, found).collect()}
+    # a paragraph at the border of a run may hold a few words beside it: similarity 0.8 allows one of five
+    assert all(len(set(rows[2 * i + 1][1].split()) - set(r) - set(left[2 * i + 1])) <= 5 for i, r in enumerate(runs))
 
 
-def test_short_lines_are_pieces(spark):
+def test_short_lines_are_paragraphs(spark):
     docs = documents(spark, [(1, "All rights reserved"), (2, "all  Rights reserved\nyes"), (3, "Yes"), (4, "no")])
-    assert not any(r.n_repeated for r in paragraphs.near_duplicates(docs).collect())
-    got = {r.id: (r.n_pieces, r.n_repeated, r.removed) for r in passages.near_duplicates(docs).collect()}
+    got = {r.id: (r.n_paragraphs, r.n_repeated, r.removed) for r in paragraphs.near_duplicates(docs).collect()}
     assert got == {1: (1, 1, []), 2: (2, 2, [0]), 3: (1, 1, [0]), 4: (1, 0, [])}
 
 
+def test_a_band_with_many_sets_is_compared_in_tiles(spark):
+    """Chains in one band: the hub links to some, the tiles must find the rest."""
+    from chronofit.llm import nearsets
+
+    g = random.Random(3)
+    base = [g.randrange(1 << 62) for _ in range(40)]
+    sets = [sorted({*base[i % 30 :], *(g.randrange(1 << 62) for _ in range(i % 30))}) for i in range(90)]
+    df = spark.createDataFrame([(i, np.array(s, np.uint64).tobytes()) for i, s in enumerate(sets)], "node long, elements binary")
+    bands = spark.createDataFrame([(1 + i % 2, i) for i in range(90)] + [(1, i) for i in range(1, 20, 2)], "h long, node long")
+    same_band = lambda a, b: a % 2 == b % 2 or {a % 2, b % 2} == {0, 1} and (a if a % 2 else b) < 20
+    edges = [(a, b) for a in range(90) for b in range(a) if same_band(a, b) and 5 * len({*sets[a]} & {*sets[b]}) >= 4 * len({*sets[a]} | {*sets[b]})]
+    want = union_find(edges, range(90))
+    for chunk in (256, 7):
+        got = {r.node: r.comp for r in nearsets.linked(common.Scratch(spark, "t"), bands, lambda n: df.join(n, "node"), 4, 5, chunk).collect()}
+        assert {i: got.get(i, i) for i in range(90)} == want
+
+
 # embeddings
 
 
