@@ -1,11 +1,17 @@
 """Exact removal of long repeated substrings by prefix-free parsing.
 
-A rolling hash parses every text into phrases: the trigger of a stretch is the place of the least hash among
-the first places of a window, so equal windows have equal triggers and no phrase grows beyond a window. A phrase
-is the run of window starts that share a trigger. The dictionary holds each distinct phrase with its right
-context once; the parse says how often and where it stands. All windows of a phrase that the parse holds twice
-are repeats. Phrases that share a trigger's context but differ, as at the ends of a repeat, have their suffixes
-compared in the order of trigger, place and fingerprint, in the dictionary alone: a copy is never looked at twice.
+A rolling hash picks triggers (a fixed share of all places), and a text becomes phrases that run from one trigger
+to the next: the dictionary holds each distinct phrase once, the parse is the sequence of phrases. Corpus order
+comes from both: two windows whose phrase suffixes differ are in the order of these suffixes, those with the
+same phrase suffix in the order of what follows it in the parse. As no phrase suffix that ends with a trigger is
+a prefix of another, equal windows stand side by side in that order.
+
+The order is built where windows can be equal at all. A window belongs to the first trigger in it, and with the
+window it fixes some of the trigger's surroundings: those on the right where the trigger lies in the window's
+first half, those on the left otherwise. Surroundings that stand once in the corpus have no repeats; those that
+stand more often are buckets, and each bucket's suffix array is made from the suffix array of its phrases and the
+order of their continuations. A phrase that the parse holds twice with its continuation needs no look at its
+bytes, so a copy is never looked at twice.
 """
 
 from __future__ import annotations
@@ -20,167 +26,187 @@ from pyspark.sql import functions as F
 from . import shingles as S
 from .common import Scratch, id_and_text
 
-#: Bytes of a window, of a trigger's right context, and of the rolling hash.
-LENGTH, CONTEXT, ROLLING = 200, 72, 12
-#: Contexts up to which a filter of the repeated ones is sent to all tasks (2 bytes each); beyond, all go to the join.
-FILTER_KEYS = 1 << 24
-#: Variants of one context that a task may sort together; more are counted window by window in Spark.
-VARIANTS = 20_000
+#: Bytes of a window and of the rolling hash; one place in PERIOD is a trigger.
+LENGTH, ROLLING, PERIOD = 200, 12, 40
+#: Rows of one bucket that a task orders together; a larger bucket is split by what its windows have further in common.
+ROWS = 4096
 _PIECE = 256 << 10
 _REVERSED = np.arange(255, -1, -1)
 
 
 class Parse:
-    """Phrases of the texts of one piece: trigger `at`, first window start `lo`, number of starts `m`, text `of`."""
+    """Runs of window starts that share a bucket, for the texts of one piece.
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int, context: int):
-        width = length - context + 1
+    Of each run: text `of`, first window start `lo`, number of starts `m`, place of the trigger's end `end`
+    (where the phrase ends), start `at` and size `width` of the surroundings that all its windows hold. A run
+    without a trigger is a single window, which is its own surroundings.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int, rolling: int, period: int):
         n = len(data)
         z = np.zeros(0, np.int64)
-        self.at = self.lo = self.m = self.of = z
-        self.data, self.offsets, self.length, self.context = data, offsets, length, context
+        self.data, self.offsets, self.length = data, offsets, length
+        self.of = self.lo = self.m = self.end = self.at = self.width = z
         if n < length:
             return
-        rolling = min(ROLLING, context)
         p, q = S.powers(n + 1)
         total = np.zeros(n + 1, S.U)
         np.cumsum(S.byte_values()[data] * p[:n], out=total[1:])
         h = S.mix((total[rolling:] - total[:-rolling]) * q[: n - rolling + 1])
-        key = (h & S.U(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=S.U)
-        have = 1
-        while have * 2 <= width:  # least key of `have` places from each place on
-            key = np.minimum(key[:-have], key[have:])
-            have *= 2
-        if have < width:
-            key = np.minimum(key[: -(width - have)], key[width - have :])
+        triggers = np.flatnonzero(h % S.U(period) == 0)
         ends = np.repeat(offsets[1:], np.diff(offsets))
         starts = np.flatnonzero(np.arange(n) + length <= ends)
         if not len(starts):
             return
-        trigger = (key[starts] & S.U(0xFFFFFFFF)).astype(np.int64)
         of = np.searchsorted(offsets, starts, side="right") - 1
+        far = n + length
+        nearest = np.append(triggers, far)[np.searchsorted(triggers, starts)]
+        before = nearest - starts  # bytes of the window that stand before its first trigger
+        without = before > length - rolling
+        half = (length - rolling) // 2
+        kind = np.where(without, 2, (before > half).astype(np.int64))
         new = np.ones(len(starts), dtype=bool)
-        new[1:] = (trigger[1:] != trigger[:-1]) | (of[1:] != of[:-1])
+        new[1:] = without[1:] | (nearest[1:] != nearest[:-1]) | (kind[1:] != kind[:-1]) | (of[1:] != of[:-1])
         first = np.flatnonzero(new)
-        self.at, self.lo, self.of = trigger[first], starts[first], of[first]
-        self.m = np.diff(np.append(first, len(starts)))
-
-    def contexts(self) -> np.ndarray:
-        return S.span_hashes(self.data, self.at, self.at + self.context)
-
-    def phrases(self) -> np.ndarray:
-        """Fingerprint of each phrase with its right context and its trigger's place in it."""
+        self.of, self.lo, self.m = of[first], starts[first], np.diff(np.append(first, len(starts)))
+        kind, t = kind[first], nearest[first]
+        self.end = np.where(kind == 2, self.lo + length, t + rolling)
+        # a window that starts `d` before the trigger holds length - d bytes from the trigger on: the least is that of d = half
+        self.at = np.where(kind == 2, self.lo, np.where(kind == 1, t - half, t))
+        self.width = np.where(kind == 2, length, np.where(kind == 1, half + rolling, length - half))
+
+    def buckets(self) -> np.ndarray:
+        return S.span_hashes(self.data, self.at, self.at + self.width)
+
+    def entries(self) -> np.ndarray:
+        """Fingerprint of each run: all bytes of its windows, and where its phrase ends in them."""
         h = S.span_hashes(self.data, self.lo, self.lo + self.m + self.length - 1, _REVERSED)
-        return S.mix(h ^ S.mix((self.at - self.lo + 1).astype(S.U) * S._K))
+        return S.mix(h ^ S.mix((self.end - self.lo + 1).astype(S.U) * S._K))
 
 
-def _counts(texts: DataFrame, length: int, context: int) -> DataFrame:
+def _counts(texts: DataFrame, *how: int) -> DataFrame:
     def run(batches):
         for whole in batches:
             for b in S.pieces(whole, "text", _PIECE):
-                h, n = np.unique(Parse(*S.string_buffers(b.column(1)), length, context).contexts(), return_counts=True)
+                h, n = np.unique(Parse(*S.string_buffers(b.column(0)), *how).buckets(), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
-    return texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-
-
-def _filter(repeated: DataFrame, most: int) -> np.ndarray | None:
-    """Bits that are set for every repeated context, as 64-bit words, or None where there are too many contexts."""
-    n = repeated.count()
-    if n > most:
-        return None
-    words = 1 << max(4, int(n * 16 - 1).bit_length() - 6 if n else 4)
-
-    def run(batches):
-        for b in batches:
-            h = b.column(0).to_numpy().view(S.U)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _probe(h, words)], names=["w", "m"])
-
-    got = repeated.mapInArrow(run, "w long, m long").groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
-    bits = np.zeros(words, np.int64)
-    bits[got.column(0).to_numpy()] = got.column(1).to_numpy()
-    return bits
-
-
-def _probe(h: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Word and two bits in it of each hash."""
-    w = ((h >> S.U(12)) & S.U(words - 1)).astype(np.int64)
-    m = (S.U(1) << (h & S.U(63))) | (S.U(1) << ((h >> S.U(6)) & S.U(63)))
-    return w, m.view(np.int64)
-
+    return texts.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
-def _parsed(texts: DataFrame, bits, length: int, context: int) -> DataFrame:
-    """Each text with its phrases whose context may be repeated; the text itself only if it has one."""
 
+def _runs(texts: DataFrame, *how: int) -> DataFrame:
     def run(batches):
         for whole in batches:
-            table = None if bits is None else bits.value
             for b in S.pieces(whole, "text", _PIECE):
-                p = Parse(*S.string_buffers(b.column(1)), length, context)
-                h, e = p.contexts(), p.phrases()
-                if table is None:
-                    keep = np.arange(len(h))
-                else:
-                    w, m = _probe(h, len(table))
-                    keep = np.flatnonzero((table[w] & m) == m)
-                at = np.searchsorted(p.of[keep], np.arange(len(p.offsets)))
-                packed = np.stack([h[keep].view(np.int64), e[keep].view(np.int64), (p.lo - p.offsets[p.of])[keep], p.m[keep], (p.at - p.lo)[keep]], axis=1)
-                lists = [packed[i:j].tobytes() if j > i else None for i, j in zip(at, at[1:], strict=False)]
-                # a whole piece's texts are looked up once; those without phrases leave theirs behind
-                text = b.column(1).to_pylist()
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(2), b.column(3), b.column(4), pa.array([t if x else None for t, x in zip(text, lists, strict=True)], pa.string()), pa.array(lists, pa.binary())],
-                    names=["id", "uid", "n_bytes", "whole", "text", "phrases"],
-                )
-
-    return texts.mapInArrow(run, "id long, uid long, n_bytes long, whole string, text string, phrases binary")
-
-
-def _rows(parsed: DataFrame) -> DataFrame:
-    def run(batches):
-        for b in batches:
-            packed = b.column(1).to_pylist()
-            a = np.frombuffer(b"".join(packed), np.int64).reshape(-1, 5)
-            uid = np.repeat(b.column(0).to_numpy(), [len(x) // 40 for x in packed])
-            yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1]), pa.array(uid), pa.array(a[:, 2].astype(np.int32)), pa.array(a[:, 3].astype(np.int32))], names=["h", "e", "uid", "lo", "m"])
-
-    return parsed.where("phrases is not null").select("uid", "phrases").mapInArrow(run, "h long, e long, uid long, lo int, m int")
-
-
-def _window_keys(h: np.ndarray, lead: np.ndarray, m: np.ndarray, context: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Fingerprint, variant and number of each window of some variants: trigger, place from the trigger, bytes."""
-    data = np.frombuffer(b"".join(context), np.uint8)
-    base = np.cumsum([0, *(len(x) for x in context)])[:-1]
+                p = Parse(*S.string_buffers(b.column(1)), *how)
+                cols = [
+                    pa.array(p.buckets().view(np.int64)), pa.array(p.entries().view(np.int64)), b.column(0).take(pa.array(p.of)),
+                    pa.array((p.lo - p.offsets[p.of]).astype(np.int32)), pa.array(p.m.astype(np.int16)), pa.array((p.end - p.lo).astype(np.int16)),
+                ]
+                yield pa.RecordBatch.from_arrays(cols, names=["h", "e", "uid", "lo", "m", "phrase"])
+
+    return texts.select("uid", "text").mapInArrow(run, "h long, e long, uid long, lo int, m short, phrase short")
+
+
+def _order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rank of each string among the distinct ones in byte order, and the length of the common prefix of each rank with the one before."""
+    width = -(-max((len(x) for x in strings), default=1) // 8) * 8 or 8
+    size = np.array([len(x) for x in strings], np.int64)
+    rows = np.zeros((len(strings), width), np.uint8)
+    rows[np.arange(width) < size[:, None]] = np.frombuffer(b"".join(strings), np.uint8)
+    words = rows.view(">u8").astype(S.U)
+    order = np.lexsort((size, *(words[:, k] for k in range(words.shape[1] - 1, -1, -1))))
+    a, b = rows[order[1:]], rows[order[:-1]]
+    apart = a != b
+    common = np.where(apart.any(axis=1), apart.argmax(axis=1), width)
+    common = np.minimum(common, np.minimum(size[order[1:]], size[order[:-1]]))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (common < size[order[1:]]) | (common < size[order[:-1]])
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    return rank, size[order[new]], np.concatenate([[0], common])[new]
+
+
+def suffix_ranks(phrases: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix array of a dictionary by prefix doubling: of every place of every phrase, one after the other, the rank of the suffix from there to the phrase's end.
+
+    Equal suffixes have equal ranks. The second array says where each phrase's places begin.
+    """
+    size = np.array([len(x) for x in phrases], np.int64)
+    base = np.concatenate([[0], np.cumsum(size)])
+    data = np.frombuffer(b"".join(phrases), np.uint8).astype(np.int64)
+    rank = data + 1
+    stop = np.repeat(base[1:], size)  # where each place's phrase ends
+    places = np.arange(len(data))
+    k, longest = 1, int(size.max(initial=0))
+    while k < longest:
+        ahead = np.minimum(places + k, len(data) - 1)
+        second = np.where(places + k < stop, rank[ahead], 0)
+        both = rank * (int(rank.max(initial=0)) + 2) + second
+        rank = np.unique(both, return_inverse=True)[1].reshape(-1) + 1
+        k *= 2
+    return rank, base
+
+
+class _Least:
+    """Least value of any stretch of an array, by a table of powers of two."""
+
+    def __init__(self, x: np.ndarray):
+        self.rows = [x]
+        while len(self.rows[-1]) > (half := 1 << (len(self.rows) - 1)):
+            self.rows.append(np.minimum(self.rows[-1][:-half], self.rows[-1][half:]))
+
+    def between(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Least of x[a:b], a < b."""
+        level = np.log2(np.maximum(1, b - a)).astype(np.int64)
+        out = np.empty(len(a), self.rows[0].dtype)
+        for k in np.unique(level):
+            at = level == k
+            out[at] = np.minimum(self.rows[k][a[at]], self.rows[k][b[at] - (1 << int(k))])
+        return out
+
+
+def repeated_windows(h: np.ndarray, m: np.ndarray, phrase: np.ndarray, context: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(run, number) of the windows that stand at least twice among some distinct runs, from the corpus order of their bucket.
+
+    context: the bytes of all windows of a run; the first `phrase` of them are of its phrase, the rest is what
+    follows in the parse. Runs in different buckets (h) never hold equal windows.
+    """
+    rank, base = suffix_ranks([c[:p] for c, p in zip(context, phrase.tolist(), strict=True)])
+    follow, size, common = _order([c[p:] for c, p in zip(context, phrase.tolist(), strict=True)])
     of = np.repeat(np.arange(len(m)), m)
     k = np.arange(len(of)) - np.repeat(np.cumsum(m) - m, m)
-    start = base[of] + k
-    w = S.span_hashes(data, start, start + length)
-    return S.mix(w ^ S.mix(h.view(S.U)[of] + (lead[of] - k + 1).astype(S.U) * S._K)), of, k
-
-
-def _masks(keys: np.ndarray, of: np.ndarray, k: np.ndarray, weight: np.ndarray) -> dict[int, np.ndarray]:
-    """Of each variant the window numbers whose fingerprint stands at least twice in the parse."""
-    _, inverse = np.unique(keys, return_inverse=True)
-    total = np.bincount(inverse, weights=weight[of])
-    hit = total[inverse] > 1.5
-    of, k = of[hit], k[hit]
-    cut = np.flatnonzero(np.diff(of)) + 1
-    return {int(o[0]): x for o, x in zip(np.split(of, cut), np.split(k, cut), strict=True) if len(o)}
+    suffix = rank[base[of] + k]
+    order = np.lexsort((follow[of], suffix, h[of]))
+    of, k, suffix = of[order], k[order], suffix[order]
+    same = np.flatnonzero((suffix[1:] == suffix[:-1]) & (h[of[1:]] == h[of[:-1]]))  # neighbours with the same phrase suffix
+    a, b = follow[of[same]], follow[of[same + 1]]
+    shared = np.where(a == b, size[a], 0)
+    apart = np.flatnonzero(a < b)
+    if len(apart):
+        shared[apart] = _Least(common).between(a[apart] + 1, b[apart] + 1)
+    equal = same[phrase[of[same]] - k[same] + shared >= length]
+    hit = np.zeros(len(of), dtype=bool)
+    hit[equal] = hit[equal + 1] = True
+    return of[hit], k[hit]
 
 
 def _compare(variants: DataFrame, length: int) -> DataFrame:
-    """Variants of the same context side by side: (h, e, hits), hits the repeated windows' numbers as 32-bit integers.
+    """Variants of a bucket side by side: (h, e, hits), hits the repeated windows' numbers as 16-bit integers.
 
-    The rows come sorted by context; a context that goes on in the next batch is carried over to it.
+    The rows come sorted by bucket; a bucket that goes on in the next batch is carried over to it.
     """
-    names = ["h", "e", "n", "lead", "m", "context"]
+    names = ["h", "e", "n", "m", "phrase", "context"]
 
     def judge(t: pa.Table) -> pa.RecordBatch:
-        h, e, n, lead, m = (t.column(x).to_numpy() for x in names[:5])
-        keys, of, k = _window_keys(h, lead, m, t.column("context").to_pylist(), length)
-        found = {v: x for v, x in _masks(keys, of, k, n).items() if n[v] == 1}
-        at = np.array(sorted(found), dtype=np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(e[at]), pa.array([found[int(v)].astype("<i4").tobytes() for v in at], pa.binary())], names=["h", "e", "hits"])
+        h, e, n, m, phrase = (t.column(x).to_numpy() for x in names[:5])
+        of, k = repeated_windows(h, m.astype(np.int64), phrase.astype(np.int64), t.column("context").to_pylist(), length)
+        keep = n[of] == 1
+        order = np.argsort(of[keep], kind="stable")
+        of, k = of[keep][order], k[keep][order].astype("<i2")
+        at, first = np.unique(of, return_index=True)
+        hits = [x.tobytes() for x in np.split(k, first[1:])] if len(at) else []
+        return pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(e[at]), pa.array(hits, pa.binary())], names=["h", "e", "hits"])
 
     def run(batches):
         held: pa.Table | None = None
@@ -198,22 +224,27 @@ def _compare(variants: DataFrame, length: int) -> DataFrame:
     return variants.repartition("h").sortWithinPartitions("h").select(*names).mapInArrow(run, "h long, e long, hits binary")
 
 
-def _count_windows(variants: DataFrame, length: int) -> DataFrame:
-    """The same for contexts with very many variants: windows are counted by Spark, however many there are."""
+def _split(variants: DataFrame, length: int) -> DataFrame:
+    """Single windows of the runs of very large buckets: a window's whole bytes are its bucket, however many runs there are."""
 
     def run(batches):
         for b in batches:
-            h, e, n, lead, m = (b.column(i).to_numpy() for i in range(5))
-            keys, of, k = _window_keys(h, lead, m, b.column(5).to_pylist(), length)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(h[of]), pa.array(e[of]), pa.array(n[of]), pa.array(k.astype(np.int32))], names=["w", "h", "e", "n", "k"])
-
-    w = variants.select("h", "e", "n", "lead", "m", "context").mapInArrow(run, "w long, h long, e long, n long, k int")
-    again = w.groupBy("w").agg(F.sum("n").alias("t")).where("t > 1").select("w")
-    hits = w.where("n = 1").join(again, "w").groupBy("h", "e").agg(F.sort_array(F.collect_set("k")).alias("ks"))
+            h, e, n, m = (b.column(i).to_numpy() for i in range(4))
+            context = b.column(4).to_pylist()
+            base = np.cumsum([0, *(len(x) for x in context)])[:-1]
+            of = np.repeat(np.arange(len(m)), m)
+            k = np.arange(len(of)) - np.repeat(np.cumsum(m) - m, m)
+            data, at = np.frombuffer(b"".join(context), np.uint8), base[of] + k
+            w = [S.span_hashes(data, at, at + length, fold).view(np.int64) for fold in (None, _REVERSED)]
+            yield pa.RecordBatch.from_arrays([pa.array(w[0]), pa.array(w[1]), pa.array(h[of]), pa.array(e[of]), pa.array(n[of]), pa.array(k.astype(np.int16))], names=["w", "v", "h", "e", "n", "k"])
+
+    w = variants.select("h", "e", "n", "m", "context").mapInArrow(run, "w long, v long, h long, e long, n long, k short")
+    again = w.groupBy("w", "v").agg(F.sum("n").alias("t")).where("t > 1").select("w", "v")
+    hits = w.where("n = 1").join(again, ["w", "v"]).groupBy("h", "e").agg(F.sort_array(F.collect_set("k")).alias("ks"))
 
     def pack(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([np.array(x, "<i4").tobytes() for x in b.column(2).to_pylist()], pa.binary())], names=["h", "e", "hits"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([np.array(x, "<i2").tobytes() for x in b.column(2).to_pylist()], pa.binary())], names=["h", "e", "hits"])
 
     return hits.mapInArrow(pack, "h long, e long, hits binary")
 
@@ -228,67 +259,67 @@ def cut(text: bytes, repeats: np.ndarray, length: int) -> tuple[bytes, int, int]
     return np.frombuffer(text, np.uint8)[~gone].tobytes(), int(gone.sum()), runs
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, context: int = CONTEXT, filter_keys: int = FILTER_KEYS, variants: int = VARIANTS) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, rolling: int = ROLLING, period: int = PERIOD, rows: int = ROWS) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept binary, kept_sha256), a row for each input row.
 
     Every byte goes that a `length`-byte string covers which also starts anywhere else, in the same text or in
     another; occurrences may overlap and are judged on the input. kept is what is left of a text that lost
     something, and null where nothing went and the text is its own result. A null text is empty, and a text
     shorter than `length` loses nothing; repeated rows are copies of each other. Ids play no part, so null and
-    repeated ids are as good as others; rows equal in id and text are told apart by their number alone.
+    repeated ids are as good as others.
     """
-    if not 0 < context < length:
-        raise ValueError("the context must be shorter than the window")
+    if not 0 < rolling <= length // 2 or not 0 < length < 1 << 14:
+        raise ValueError("the rolling hash must fit twice into the window, and the window into 16 bits")
     spark = docs.sparkSession
     scratch = Scratch(spark, "repeats")
-    texts = id_and_text(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    texts = texts.select("id", "text", F.xxhash64("id", "text").alias("uid"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
-    repeated = scratch.save(_counts(texts.select("id", "text"), length, context).where("n > 1").select("h"), "contexts")
-    bits = _filter(repeated, filter_keys)
-    parsed = scratch.save(_parsed(texts, None if bits is None else spark.sparkContext.broadcast(bits), length, context), "parse")
+    how = (length, rolling, period)
+    # rows are numbered once and for all in a written table: equal rows stay apart, and no hash can mix two up
+    texts = id_and_text(docs, id_col, text_col).select("id", F.monotonically_increasing_id().alias("uid"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = scratch.save(texts, "texts")
+    repeated = scratch.save(_counts(texts, *how).where("n > 1").select("h"), "buckets")
+    scratch.sweep()
+    runs = scratch.save(_runs(texts, *how).join(repeated, "h", "left_semi"), "runs")
     scratch.drop(repeated)
-    rows = _rows(parsed)
-    dictionary = scratch.save(rows.groupBy("h", "e").agg(F.count("*").alias("n"), F.min(F.struct("uid", "lo")).alias("first")), "dictionary")
+    scratch.sweep()
+    place = F.struct("uid", "lo")
+    dictionary = runs.groupBy("h", "e").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.first("m").alias("m"), F.first("phrase").alias("phrase"))
+    dictionary = scratch.save(dictionary, "dictionary")
+    scratch.sweep()
     per = dictionary.groupBy("h").agg(F.count("*").alias("v")).where("v > 1")
     # the bytes of each variant, from the first place where it stands
-    wanted = dictionary.join(per, "h").groupBy("first.uid").agg(F.collect_list(F.struct("h", "e", "n", F.col("first.lo").alias("lo"), "v")).alias("w"))
+    wanted = dictionary.join(per, "h").groupBy("first.uid").agg(F.collect_list(F.struct("h", "e", "n", F.col("first.lo").alias("lo"), "m", "phrase", "v")).alias("w"))
 
     def bytes_of(batches):
         for b in batches:
-            for text, phrases, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
-                a = np.frombuffer(phrases, np.int64).reshape(-1, 5)
-                by = {int(x[2]): x for x in a}
-                out = []
-                for x in w:
-                    p = by[x["lo"]]
-                    out.append((x["h"], x["e"], x["n"], int(p[4]), int(p[3]), raw[x["lo"] : x["lo"] + int(p[3]) + length - 1], x["v"]))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["h", "e", "n", "lead", "m", "context", "v"])
-
-    source = parsed.where("phrases is not null").select("uid", "text", "phrases").dropDuplicates(["uid"])
-    each = scratch.save(source.join(wanted, "uid").select("text", "phrases", "w").mapInArrow(bytes_of, "h long, e long, n long, lead long, m long, context binary, v long"), "variants")
-    hits = _compare(each.where(F.col("v") <= variants), length)
-    if not each.where(F.col("v") > variants).isEmpty():
-        hits = hits.unionByName(_count_windows(each.where(F.col("v") > variants), length))
+            for text, w in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                raw, w = text.encode("utf-8", "surrogatepass"), w.values
+                parts = [raw[a : a + k + length - 1] for a, k in zip(w.field("lo").to_pylist(), w.field("m").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(w.field(x) for x in ("h", "e", "n", "m", "phrase", "v")), pa.array(parts, pa.binary())], names=["h", "e", "n", "m", "phrase", "v", "context"])
+
+    kinds = "h long, e long, n long, m short, phrase short, v long, context binary"
+    each = scratch.save(texts.select("uid", "text").join(wanted, "uid").select("text", "w").mapInArrow(bytes_of, kinds), "variants")
+    scratch.sweep()
+    hits = _compare(each.where(F.col("v") <= rows), length).unionByName(_split(each.where(F.col("v") > rows), length))
     hits = scratch.save(hits, "hits")
+    scratch.drop(each)
     twice = dictionary.where("n > 1").select("h", "e", F.lit(None).cast("binary").alias("hits"))
-    gone = rows.join(twice.unionByName(hits), ["h", "e"]).groupBy("uid").agg(F.collect_set(F.struct("lo", "m", "hits")).alias("runs"))
+    gone = scratch.save(runs.select("h", "e", "uid", "lo", "m").join(twice.unionByName(hits), ["h", "e"]).groupBy("uid").agg(F.collect_list(F.struct("lo", "m", "hits")).alias("runs")), "gone")
+    scratch.drop(runs, dictionary, hits)
+    scratch.sweep()
 
     def finish(batches):
         for b in batches:
             out = []
-            for i, n, whole, text, runs in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for i, text, runs in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                raw = text.encode("utf-8", "surrogatepass")
                 if not runs:
-                    out.append((i, n, 0, 0, None, whole))
+                    out.append((i, len(raw), 0, 0, None, hashlib.sha256(raw).hexdigest()))
                     continue
-                at = [np.arange(r["m"]) + r["lo"] if r["hits"] is None else np.frombuffer(r["hits"], "<i4") + r["lo"] for r in runs]
-                left, lost, spans = cut(text.encode("utf-8", "surrogatepass"), np.unique(np.concatenate(at)).astype(np.int64), length)
-                out.append((i, n, lost, spans, left, hashlib.sha256(left).hexdigest()))
+                at = [np.arange(r["m"]) + r["lo"] if r["hits"] is None else np.frombuffer(r["hits"], "<i2").astype(np.int64) + r["lo"] for r in runs]
+                left, lost, spans = cut(raw, np.unique(np.concatenate(at)).astype(np.int64), length)
+                out.append((i, len(raw), lost, spans, left, hashlib.sha256(left).hexdigest()))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
-    some = parsed.where("phrases is not null").join(gone, "uid", "left").select("id", "n_bytes", "whole", "text", "runs").mapInArrow(finish, schema)
-    rest = parsed.where("phrases is null").select("id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.lit(None).cast("binary").alias("kept"), F.col("whole").alias("kept_sha256"))
-    return some.unionByName(rest)
+    return texts.join(gone, "uid", "left").select("id", "text", "runs").mapInArrow(finish, schema)

@@ -294,8 +294,8 @@ def brute_repeats(rows, length):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("length", "context", "variants", "keys"), [(40, 15, 20_000, 1 << 24), (40, 15, 1, 1 << 24), (60, 30, 2, 0)])
-def test_repeats_against_brute_force(spark, length, context, variants, keys):
+@pytest.mark.parametrize(("length", "rolling", "period", "most"), [(40, 5, 7, 4096), (40, 12, 30, 1), (60, 4, 12, 3), (41, 3, 10_000, 4096), (30, 6, 1, 50)])
+def test_repeats_against_brute_force(spark, length, rolling, period, most):
     g = random.Random(5)
     base = ["".join(g.choice("abcdé \n") for _ in range(300)) for _ in range(6)]
     rows = []
@@ -305,11 +305,40 @@ def test_repeats_against_brute_force(spark, length, context, variants, keys):
             a = g.randrange(250)
             parts.append(g.choice(base)[a : a + g.randrange(10, 120)] + "".join(g.choice("xyz ") for _ in range(g.randrange(20))))
         rows.append((k, "".join(parts)))
-    rows += [(200, None), (201, ""), (202, "a" * 500), (203, "ab" * 100), (3, rows[3][1]), (None, rows[5][1])]
-    got = suffix.remove_repeats(documents(spark, rows), length=length, context=context, variants=variants, filter_keys=keys)
+    rows += [(200, None), (201, ""), (202, "a" * 500), (203, "ab" * 100), (204, "\0" * 90 + "b" + "\0" * 90), (3, rows[3][1]), (None, rows[5][1])]
+    got = suffix.remove_repeats(documents(spark, rows), length=length, rolling=rolling, period=period, rows=most)
     assert sorted((str(r.id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()) == brute_repeats(rows, length)
 
 
+def test_suffix_array_of_a_dictionary():
+    g = random.Random(7)
+    phrases = [bytes(g.choice(b"\0ab") for _ in range(g.randrange(1, 30))) for _ in range(40)]
+    rank, base = suffix.suffix_ranks(phrases)
+    suffixes = [p[k:] for p in phrases for k in range(len(p))]
+    order = {s: i for i, s in enumerate(sorted(set(suffixes)))}
+    assert (rank - 1).tolist() == [order[s] for s in suffixes] and base.tolist() == np.cumsum([0, *map(len, phrases)]).tolist()
+    r, size, common = suffix._order([*phrases, b""])
+    names = sorted({*phrases, b""})
+    assert [names[x] for x in r] == [*phrases, b""] and size.tolist() == [len(x) for x in names]
+    assert common.tolist()[1:] == [next((i for i, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y))) for x, y in zip(names, names[1:])]
+
+
+def test_corpus_order_finds_all_equal_windows():
+    g = random.Random(8)
+    for _ in range(60):
+        length = g.randrange(5, 12)
+        runs = [(g.randrange(3), bytes(g.choice(b"ab") for _ in range(g.randrange(1, 6))), g.randrange(length)) for _ in range(12)]
+        h, m, context, phrase = [], [], [], []
+        for bucket, extra, size in runs:
+            c = bytes(g.choice(b"ab") for _ in range(length - 1)) + extra
+            h.append(bucket), m.append(len(extra)), context.append(c), phrase.append(min(length, len(extra) + size))
+        # phrases end with a trigger that all windows hold: no phrase suffix is a prefix of another
+        context = [c[: p - 1] + b"T" + c[p:] for c, p in zip(context, phrase, strict=True)]
+        of, k = suffix.repeated_windows(*(np.array(x) for x in (h, m, phrase)), context, length)
+        seen = Counter((h[i], context[i][x : x + length]) for i in range(12) for x in range(m[i]))
+        assert sorted(zip(of.tolist(), k.tolist(), strict=True)) == [(i, x) for i in range(12) for x in range(m[i]) if seen[h[i], context[i][x : x + length]] > 1]
+
+
 def test_repeats_production_length(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     got = queries.op5_suffix(spark, SMALL).collect()
