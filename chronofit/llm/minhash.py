@@ -73,7 +73,7 @@ def near_duplicates(
     member = some.select("id", "key").join(classes, "key")
     reps = some.join(classes.select("key", F.col("rep").alias("id")), ["key", "id"])
     found = linked(
-        scratch, reps.select(F.explode("bands").alias("h"), F.col("id").alias("node")).distinct(),
+        scratch, reps.select(F.explode("bands").alias("h"), F.col("id").alias("node")),
         # where rows share an id, each text's set stands for the node
         lambda nodes: full_sets(texts.join(nodes.select(F.col("node").alias("id")), "id"), k), over, under, chunk,
     )

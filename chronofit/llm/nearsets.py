@@ -122,15 +122,21 @@ def _tile_links(members: DataFrame, sets: DataFrame, over: int, under: int, chun
 
 
 def linked(scratch: Scratch, bands: DataFrame, sets_of: Callable[[DataFrame], DataFrame], over: int, under: int, chunk: int = CHUNK) -> DataFrame:
-    """bands (h, node), distinct -> (node, comp): components of the links among nodes that share a band.
+    """bands (h, node) -> (node, comp): components of the links among nodes that share a band.
 
     sets_of gives (node, elements binary) for a table of nodes: each node's set as ascending unsigned 64-bit
     integers, or several where the node stands for several. Sets link if under * intersection >= over * union.
     Every pair that shares a band is decided, by exact sets, unless its two nodes are known to be in one
     component already. Nodes that share no band are left out.
     """
-    hubs = bands.groupBy("h").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top").select("h", "hub")
-    members = scratch.save(bands.join(hubs, "h").select("h", "node", "hub"), "members")
+    shared = scratch.save(bands.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "shared")
+    scratch.sweep()
+    several = scratch.save(bands.join(shared, "h", "left_semi").select("h", "node"), "several")
+    scratch.drop(shared)
+    scratch.sweep()
+    hubs = several.groupBy("h").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top").select("h", "hub")
+    members = scratch.save(several.join(hubs, "h").select("h", "node", "hub"), "members")
+    scratch.drop(several)
     scratch.sweep()
     sets = scratch.save(sets_of(members.select("node").distinct()), "sets")
     scratch.sweep()

@@ -90,7 +90,7 @@ _FOUND = "id long, uid long, no int, words int, k1 long, k2 long, bands array<lo
 def paragraph_bands(texts: DataFrame, over: int, under: int, bands: int, rows: int, k: int, reach: int) -> DataFrame:
     """(id, uid, text) -> a row for each paragraph. k1 and k2 are a 128-bit digest of its shingle set, so copies are one node from here on.
 
-    bands is empty where a set is too small to link to any but its like.
+    bands is empty where a set is too small to link to any but its like, and everywhere where none are asked for.
     """
 
     def run(batches):
@@ -100,9 +100,9 @@ def paragraph_bands(texts: DataFrame, over: int, under: int, bands: int, rows: i
                 sets, offsets = _sets(h, part, len(doc), k)
                 digest = S.set_keys(sets, offsets).view(np.int64)
                 sizes = np.diff(offsets)
-                can = sizes * under >= over * (sizes + 1)
+                can = (sizes * under >= over * (sizes + 1)) & (bands > 0)
                 some = sets[np.repeat(can, sizes)]
-                keys = S.band_keys(S.super_minhash(some, np.concatenate([[0], np.cumsum(sizes[can])]), bands * rows), bands, rows).view(np.int64)
+                keys = S.band_keys(S.super_minhash(some, np.concatenate([[0], np.cumsum(sizes[can])]), bands * rows), bands, rows).view(np.int64) if bands else np.zeros(0, np.int64)
                 at = np.concatenate([[0], np.cumsum(can * bands)]).astype(np.int32)
                 d = pa.array(doc)
                 words = pa.array(np.bincount(part, minlength=len(doc)).astype(np.int32))
@@ -141,9 +141,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(docs.sparkSession, "paragraphs")
     texts = id_and_text(docs, id_col, text_col)
     texts = texts.select("id", _uid(F.col("id"), F.col("text")).alias("uid"), "text")
-    found = scratch.save(paragraph_bands(texts, over, under, bands, rows, k, reach), "paragraphs")
+    banded = paragraph_bands(texts, over, under, bands, rows, k, reach)
     place = F.struct(F.col("id").isNull().alias("last"), "id", "uid", "no")
-    nodes = found.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.first("bands").alias("bands"))
+    nodes = banded.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.first("bands").alias("bands"))
     nodes = scratch.save(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     scratch.sweep()
 
@@ -163,10 +163,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         one = _with_rows(texts, per, "inner").dropDuplicates(["id", "uid"]).select("text", "w")
         return one.mapInArrow(run, "node long, elements binary")
 
-    comp = linked(scratch, nodes.select(F.explode("bands").alias("h"), "node").distinct(), sets_of, over, under)
+    comp = linked(scratch, nodes.select(F.explode("bands").alias("h"), "node"), sets_of, over, under)
     of = nodes.join(comp, "node", "left").select("k1", "k2", F.coalesce("comp", "node").alias("comp"), "n", "first")
     kept = of.groupBy("comp").agg(F.sum("n").alias("total"), F.min("first").alias("keep")).where("total > 1")
     marks = of.join(kept, "comp").select("k1", "k2", F.col("keep.id").alias("keep_id"), F.col("keep.uid").alias("keep_uid"), F.col("keep.no").alias("keep_no"))
+    found = paragraph_bands(texts, over, under, 0, rows, k, reach)  # cheaper made again than kept
     hit = found.select("id", "uid", "no", "words", "k1", "k2").join(marks, ["k1", "k2"])
     stays = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("uid") == F.col("keep_uid")) & (F.col("no") == F.col("keep_no"))
     per = hit.groupBy("id", "uid").agg(
