@@ -88,9 +88,11 @@ SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component
 
 
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .html import extract
+    from . import html
 
-    return extract(table(spark, sf_dir, "pages")).select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+    pages = table(spark, sf_dir, "pages")
+    found = html.extract(pages, html.fit(pages))
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks", "n_turned")
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

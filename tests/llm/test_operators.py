@@ -365,6 +365,50 @@ def test_html(spark):
     assert html.main_text("<p>" + "x " * 200_000 + "</p>").count("x") == 200_000
 
 
+def test_names_speak_for_themselves_alone():
+    body = "<h1>Head</h1><p>This is the text of the page, long enough to be taken for an article by anyone.</p>"
+    want = "Head This is the text of the page, long enough to be taken for an article by anyone."
+    for wrap in ("<div class='layout has-sidebar'>{}</div>", "<div id='main' class='with-comments'>{}</div>", "<article class='post comments-open'>{}</article>", "<form id=aspnetForm><main>{}</main></form>", "<div class='related'><article>{}</article></div>"):
+        assert html.main_text(f"<html><body>{wrap.format(body)}</body></html>") == want, wrap
+    for tag in ("<p data-id='comment-5'>", "<p data-hidden='false'>", "<p title='hidden gem' id=p1>"):
+        assert html.main_text("<article>" + body.replace("<p>", tag) + "</article>") == want, tag
+    for bad in ("<div class=sidebar-left>{}</div>", "<div id='siteFooter'>{}</div>", "<div style='display: none'>{}</div>", "<section class='comments'>{}</section>", "<div role=dialog>{}</div>", "<p hidden>{}</p>"):
+        assert html.main_text(f"<article>{body}{bad.format('No part of it, however long this sentence goes on and on.')}</article>") == want, bad
+    assert html.main_text("<article><header><h1>Head</h1></header><p>One <math><mi>x</mi></math> and <object>two</object>.</p></article>") == "Head One x and two."
+    assert html.main_text("<article><p>One long enough paragraph of the text.</p><iframe src=x><p>And the rest of the page.</p></article>").endswith("rest of the page.")
+
+
+def test_the_cut_turns_blocks_that_stand_among_others():
+    text = "<p>A paragraph of some length that nobody would take for anything but the text of the page, whatever its end.</p>"
+    page = f"<div><div>{text}<p>So</p>{text}<ul><li>and</li></ul>{text}</div><div><ul><li><a href=x>Link</a></li><li>So</li><li><a href=y>Other</a></li></ul></div></div>"
+    found = html.blocks(page)
+    u, keep = html.labelled(found)
+    assert [b.text for b, k in zip(found, keep) if k and b.text in ("So", "and", "Link", "Other")] == ["So", "and"]
+    assert sum((u > 0) != np.array(keep)) >= 1
+
+
+def test_deep_and_long_pages_take_time_in_proportion():
+    import time
+
+    t = time.time()
+    deep = html.main_text("<div>" * 20_000 + "<p>A text that stands very deep, but is as long as others.</p>" + "</div>" * 20_000)
+    html.main_text("<p>x y z</p><div><li>ab" * 5_000)
+    html.main_text("</b></div>" * 100_000)
+    assert deep.startswith("A text") and time.time() - t < 20
+
+
+def test_classifier_is_fitted_on_marked_pages(spark):
+    df = spark.read.parquet(f"{SMALL}/pages.parquet")
+    w = html.fit(df)
+    assert w.shape == html.prior().shape and not np.allclose(w, html.prior()) and (w == html.fit(df.repartition(5))).all()
+    assert (html.fit(df.limit(0)) == html.prior()).all() and (html.fit(df.withColumn("html", F.lit(None).cast("string"))) == html.prior()).all()
+    x = np.random.default_rng(1).normal(size=(400, 3))
+    y = (x @ [1.0, -2.0, 0.5] > 0).astype(float)
+    got = html.logistic(x, y, np.zeros(3), 1.0)
+    grad = x.T @ (1 / (1 + np.exp(-x @ got)) - y) + got
+    assert np.abs(grad).max() < 1e-6
+
+
 def test_minimum_cut_is_the_least_labelling():
     g = random.Random(4)
     for _ in range(200):
@@ -379,10 +423,13 @@ def test_minimum_cut_is_the_least_labelling():
 def test_op6_gives_the_article(spark):
     import html as std
 
-    for r in spark.read.parquet(f"{SMALL}/pages.parquet").limit(40).collect():
-        a = re.sub(r"<(p|/p|br|h1|/h1)>", "\0", re.search(r"<article>(.*?)(</article>|\Z)", r.html, re.S)[1])
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}
+    got = queries.op6_html(spark, SMALL).collect()
+    assert len(got) == len(pages)
+    for r in got:
+        a = re.sub(r"<(p|/p|br|h1|/h1)>", "\0", re.search(r"<article>(.*?)(</article>|\Z)", pages[r.page_id], re.S)[1])
         parts = (" ".join(std.unescape(s).split()) for s in re.sub(r"<[^>]*>", "", a).split("\0"))
-        assert html.main_text(r.html) == " ".join(p for p in parts if p)
+        assert r.text == " ".join(p for p in parts if p) and r.n_chars == len(r.text)
 
 
 # language ID
