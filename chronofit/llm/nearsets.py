@@ -1,7 +1,7 @@
 """Exact verification of near-duplicate candidates: which sets that share a band are linked.
 
 Both MinHash operators end here. Every band's least member is its hub. Each member is held against its hubs
-first, so a group of copies costs one comparison a member; only bands whose members then still lie in several
+first, so a group of copies costs one comparison a member; only bands whose other members then still lie in several
 components are compared whole, in tiles of at most about 2 x `chunk` members. A tile gives a spanning forest
 of its links, so no list of pairs is ever made, and no group of any size meets in one task.
 """
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, components
 
 CHUNK = 256
+#: Members of a band up to which bands are compared many at a time.
+SMALL = 24
 _COLUMNS = 1 << 13
 
 
@@ -88,6 +90,56 @@ def _hub_links(star: DataFrame, sets: DataFrame, over: int, under: int) -> DataF
     return first.join(sets.select(F.col("node").alias("hub"), F.col("elements").alias("b")), "hub").select("node", "hub", "a", "b").mapInArrow(check, "u long, v long")
 
 
+def _small_links(members: DataFrame, sets: DataFrame, over: int, under: int) -> DataFrame:
+    """_tile_links() for bands of at most SMALL members: many bands at a time, in partitions sorted by band."""
+
+    def judge(t: pa.Table) -> pa.RecordBatch:
+        h, label = t.column("h").to_numpy(), t.column("label").to_numpy()
+        raw = [np.frombuffer(x, np.uint64) for x in t.column("elements").to_pylist()]
+        size = np.array([len(x) for x in raw], np.int64)
+        el, of = np.concatenate(raw), np.repeat(np.arange(len(raw)), size)
+        band = np.cumsum(np.concatenate([[0], h[1:] != h[:-1]]))
+        order = np.lexsort((el, band[of]))
+        el, of = el[order], of[order]
+        pairs, step = [np.zeros(0, np.int64)], 1
+        while True:  # members of a band that share an element stand side by side
+            same = (el[step:] == el[:-step]) & (band[of[step:]] == band[of[:-step]])
+            if not same.any():
+                break
+            a, b = of[:-step][same], of[step:][same]
+            pairs.append(np.minimum(a, b) * len(raw) + np.maximum(a, b))
+            step += 1
+        pair, both = np.unique(np.concatenate(pairs), return_counts=True)
+        a, b = pair // max(1, len(raw)), pair % max(1, len(raw))
+        ok = (under * both >= over * (size[a] + size[b] - both)) & (label[a] != label[b])
+        names, at = np.unique(np.concatenate([label[a[ok]], label[b[ok]]]), return_inverse=True)
+        x, y = at[: ok.sum()], at[ok.sum() :]
+        root = np.arange(len(names))
+        while (root[x] != root[y]).any():
+            least = np.minimum(root[x], root[y])
+            np.minimum.at(root, root[x], least)
+            np.minimum.at(root, root[y], least)
+            root = root[root]
+        u = np.flatnonzero(root != np.arange(len(names)))
+        return pa.RecordBatch.from_arrays([pa.array(names[u], pa.int64()), pa.array(names[root[u]], pa.int64())], names=["u", "v"])
+
+    def run(batches):
+        held: pa.Table | None = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = pa.concat_tables([held, t]) if held is not None else t
+            h = t.column("h").to_numpy()
+            cut = int(np.searchsorted(h, h[-1])) if len(h) else 0
+            if cut:
+                yield judge(t.slice(0, cut))
+            held = t.slice(cut)
+        if held is not None and len(held):
+            yield judge(held)
+
+    rows = sets.join(members, "node").select("h", F.col("c").alias("label"), "elements")
+    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(run, "u long, v long")
+
+
 def _tile_links(members: DataFrame, sets: DataFrame, over: int, under: int, chunk: int) -> DataFrame:
     """members: (node, h, c). Edges (u, v) between the labels c of those members of a band that link and differ in c.
 
@@ -143,12 +195,17 @@ def linked(scratch: Scratch, bands: DataFrame, sets_of: Callable[[DataFrame], Da
     star = members.where("node <> hub").select("node", "hub").distinct()
     first = scratch.save(components(scratch, _hub_links(star, sets, over, under)), "first")
     scratch.sweep()
-    labelled = members.select("h", "node").join(first, "node", "left").select("h", "node", F.coalesce("comp", "node").alias("c"))
+    # the hub has met all others; what is left are pairs of the others
+    labelled = members.where("node <> hub").select("h", "node").join(first, "node", "left").select("h", "node", F.coalesce("comp", "node").alias("c"))
     open_ = labelled.groupBy("h").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("h")
     rest = scratch.save(labelled.join(open_, "h").select("node", "h", "c"), "open")
     done = first
     if not rest.isEmpty():
-        more = components(scratch, _tile_links(rest, sets, over, under, chunk)).select(F.col("node").alias("c"), F.col("comp").alias("to"))
+        size = rest.groupBy("h").agg(F.count("*").alias("n"))
+        few = rest.join(size.where(F.col("n") <= min(SMALL, chunk)).select("h"), "h", "left_semi")
+        many = rest.join(size.where(F.col("n") > min(SMALL, chunk)).select("h"), "h", "left_semi")
+        edges = _small_links(few, sets, over, under).union(_tile_links(many, sets, over, under, chunk))
+        more = components(scratch, edges).select(F.col("node").alias("c"), F.col("comp").alias("to"))
         known = members.select("node").distinct().join(first, "node", "left").select("node", F.coalesce("comp", "node").alias("c"))
         done = scratch.save(known.join(more, "c", "left").select("node", F.coalesce("to", "c").alias("comp")), "groups")
         scratch.drop(first)

@@ -7,8 +7,6 @@ by MinHash, those that collide are verified on their full shingle sets, and comp
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,12 +25,14 @@ PASSAGE = 50
 _ENDS = np.frombuffer(b".!?", np.uint8)
 
 
-def word_ranks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """The first 64 bits of each word's MD5, its A-Z lower-cased; each distinct word (by hash h) is digested once."""
-    _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-    low = S.lower_ascii()[data].tobytes()
-    digest = b"".join(hashlib.md5(low[a:b], usedforsecurity=False).digest()[:8] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True))
-    return np.frombuffer(digest, ">u8").astype(S.U)[inverse]
+def word_ranks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """62-bit ranks of words: the longer first, then by their first seven bytes, A-Z lower-cased."""
+    size = ends - starts
+    out = (np.uint64(63) - np.minimum(size, 63).astype(S.U)) << S.U(56)
+    low = S.lower_ascii()[data].astype(S.U)
+    for j in range(7):
+        out |= np.where(size > j, low[np.minimum(starts + j, len(data) - 1)], S.U(0)) << S.U(8 * (6 - j))
+    return out
 
 
 def cut(column: pa.Array, reach: int = REACH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -54,7 +54,7 @@ def cut(column: pa.Array, reach: int = REACH) -> tuple[np.ndarray, np.ndarray, n
     first = np.ones(n, dtype=bool)
     first[1:] = (line[1:] != line[:-1]) | (of[1:] != of[:-1])
     group = np.cumsum(first) - 1
-    key = word_ranks(data, starts, ends, h) >> S.U(1)
+    key = word_ranks(data, starts, ends)
     after = np.zeros(n, dtype=bool)
     after[1:] = np.isin(data[ends[:-1] - 1], _ENDS)
     key[~after | first] |= S.U(1 << 63)  # what ends before the line is no part of it
@@ -167,7 +167,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of = nodes.join(comp, "node", "left").select("k1", "k2", F.coalesce("comp", "node").alias("comp"), "n", "first")
     kept = of.groupBy("comp").agg(F.sum("n").alias("total"), F.min("first").alias("keep")).where("total > 1")
     marks = of.join(kept, "comp").select("k1", "k2", F.col("keep.id").alias("keep_id"), F.col("keep.uid").alias("keep_uid"), F.col("keep.no").alias("keep_no"))
-    found = paragraph_bands(texts, over, under, 0, rows, k, reach)  # cheaper made again than kept
+    found = scratch.save(paragraph_bands(texts, over, under, 0, rows, k, reach).drop("bands"), "paragraphs")  # made again rather than kept all the time
     hit = found.select("id", "uid", "no", "words", "k1", "k2").join(marks, ["k1", "k2"])
     stays = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("uid") == F.col("keep_uid")) & (F.col("no") == F.col("keep_no"))
     per = hit.groupBy("id", "uid").agg(

@@ -25,12 +25,14 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DIGIT = re.compile(r"[0-9]")
 
-#: Characters of a window, its step, and the context kept around each digit or @.
-WINDOW, STEP, CONTEXT = 64, 32, 24
+#: Characters of a window and its step; each character takes the window in which it stands most inside.
+WINDOW, STEP = 256, 224
+#: Characters of a training window, and how often each is rewritten.
+SAMPLE, REWRITES = 96, 3
 #: Documents (on average) and windows, at most, that the tagger is trained on; the only bounded sample here.
-FIT_DOCS, FIT_WINDOWS, EPOCHS = 20_000, 2500, 6
-#: Least number of training batches: with few windows there are more rounds over them.
-STEPS, BATCH, RATE = 240, 64, 0.03
+FIT_DOCS, FIT_WINDOWS = 20_000, 3000
+#: Training batches, their size, and Adam's first rate.
+STEPS, BATCH, RATE = 170, 256, 0.04
 _N_TAGS = 1 + 2 * len(KINDS)
 
 
@@ -70,18 +72,6 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def regions(text: str) -> list[tuple[int, int]]:
-    """Merged stretches of CONTEXT characters around every digit and @: a span of any kind holds one of these."""
-    out: list[list[int]] = []
-    for m in re.finditer("[0-9@]+", text):
-        a, b = max(0, m.start() - CONTEXT), min(len(text), m.end() + CONTEXT)
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
-
-
 def tag_sequence(n: int, spans: list[tuple[int, int, int]]) -> np.ndarray:
     """0 outside, 1 + 2k where a span of kind k begins, 2 + 2k inside it; later kinds give way to earlier ones."""
     tags = np.zeros(n, np.int64)
@@ -91,8 +81,8 @@ def tag_sequence(n: int, spans: list[tuple[int, int, int]]) -> np.ndarray:
     return tags
 
 
-def training_windows(docs: DataFrame, id_col: str, text_col: str, fit_docs: int = FIT_DOCS, fit_windows: int = FIT_WINDOWS) -> tuple[np.ndarray, np.ndarray]:
-    """Windows around digits and @ with the tags of their labelled spans, from a bounded sample of documents chosen by hash."""
+def training_windows(docs: DataFrame, id_col: str, text_col: str, fit_docs: int = FIT_DOCS, fit_windows: int = FIT_WINDOWS) -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """Windows with their labelled spans, from a bounded sample of documents chosen by hash: half of them hold a span where there are enough."""
     texts = id_and_text(docs, id_col, text_col).where("id is not null and text is not null")
     share = F.pmod(F.xxhash64(F.lit("tagger"), "id"), F.lit(1 << 30)) < int(min(1.0, fit_docs / max(1, docs.count())) * (1 << 30))
 
@@ -101,96 +91,178 @@ def training_windows(docs: DataFrame, id_col: str, text_col: str, fit_docs: int
             ids, at, w, t = [], [], [], []
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 spans = base_spans(text)
-                tags = tag_sequence(len(text), spans)
-                for a, z in regions(text):
-                    a = max(0, min(a, len(text) - WINDOW))
-                    for p in range(a, max(a + 1, z - STEP), STEP):
-                        ids.append(i)
-                        at.append(p)
-                        w.append(text[p : p + WINDOW])
-                        t.append(tags[p : p + WINDOW].astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int64()), pa.array(w, pa.string()), pa.array(t, pa.binary())], names=["id", "at", "w", "t"])
-
-    found = texts.where(share).mapInArrow(run, "id long, at long, w string, t binary")
-    rows = found.orderBy(F.xxhash64("id", "at"), "id", "at").limit(fit_windows).collect()
-    ids, tags = np.zeros((len(rows), WINDOW), np.int64), np.zeros((len(rows), WINDOW), np.int64)
-    for k, r in enumerate(rows):
-        ids[k, : len(r["w"])] = char_ids(r["w"])
-        tags[k, : len(r["t"])] = np.frombuffer(bytes(r["t"]), np.uint8)
+                for p in range(0, max(1, len(text) - SAMPLE // 2), SAMPLE):
+                    own = [(k, a - p, z - p) for k, a, z in spans if a >= p and z <= p + SAMPLE]
+                    if any(a < p + SAMPLE and z > p for _, a, z in spans) and not own:
+                        continue  # holds a part of a span only
+                    ids.append(i)
+                    at.append(p)
+                    w.append(text[p : p + SAMPLE])
+                    t.append(",".join(f"{k}:{a}:{z}" for k, a, z in own))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int64()), pa.array(w, pa.string()), pa.array(t, pa.string())], names=["id", "at", "w", "t"])
+
+    found = texts.where(share).mapInArrow(run, "id long, at long, w string, t string")
+    order = [F.xxhash64("id", "at"), F.col("id"), F.col("at")]
+    some = found.where("t <> ''").orderBy(*order).limit(fit_windows // 2).collect() + found.where("t = ''").orderBy(*order).limit(fit_windows - fit_windows // 2).collect()
+    return [(r["w"], [tuple(map(int, x.split(":"))) for x in r["t"].split(",")] if r["t"] else []) for r in some]
+
+
+def variant(kind: int, span: str, g: np.random.Generator) -> str:
+    """A span of a kind written otherwise, so that the patterns miss it, with new digits and letters."""
+    digits = lambda n: "".join(str(x) for x in g.integers(0, 10, n))
+    pick = lambda *x: x[int(g.integers(len(x)))]
+    if kind == 0:
+        local, _, domain = span.partition("@")
+        at, dot = pick(("[at]", "[dot]"), ("(at)", "(dot)"), (" [at] ", " [dot] "), (" (at) ", " (dot) "))
+        return "".join(chr(97 + int(x)) for x in g.integers(0, 26, 4)) + local[-6:] + at + domain.replace(".", dot)
+    if kind == 1:
+        return pick("[.]", " . ", "(.)").join(str(x) for x in g.integers(0, 256, 4))
+    if kind == 2:
+        return pick(".", "/", "_", " - ", "  ").join(digits(4) for _ in range(4))
+    a, b, c = digits(3), digits(3), digits(4)
+    return pick(f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"1 ({a}) {b}-{c}", f"001 {a} {b} {c}", f"({a}) {b} {c}")
+
+
+def decoy(g: np.random.Generator) -> str:
+    """Digits that are no personal data: numbers, dates, times, prices, versions, codes and hexadecimal strings."""
+    n = lambda low, high: int(g.integers(low, high))
+    return (
+        str(n(0, 10 ** n(1, 13))), f"{n(1, 29)}.{n(1, 13)}.{n(1900, 2100)}", f"{n(1900, 2100)}-{n(1, 13):02}-{n(1, 29):02}", f"{n(0, 24)}:{n(0, 60):02}:{n(0, 60):02}",
+        f"{n(1, 1000)},{n(0, 1000):03}.{n(0, 100):02}", f"v{n(0, 20)}.{n(0, 20)}.{n(0, 100)}", f"{chr(65 + n(0, 26))}{n(10, 99)}-{n(1000, 99999)}", "".join("0123456789abcdef"[int(x)] for x in g.integers(0, 16, 40)),
+        f"{n(1, 100)}%", f"+{n(1, 100)}", f"{n(1, 100)} - {n(100, 1000)}", f"({n(1, 100)})",
+    )[n(0, 12)]
+
+
+_MODELS = ("ada.l@mail.example.com", "10.0.0.1", "4539578763621486", "+1 (743) 555-3824")  # stand in for kinds that the sample lacks
+
+
+def examples(windows: list[tuple[str, list]], seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Character classes and tags of the windows, each as it is and rewritten: spans become variants, and windows without one get a variant or a decoy at a blank."""
+    g = np.random.default_rng(seed)
+    rows: list[tuple[str, list]] = []
+    for text, spans in windows:
+        rows.append((text, spans))
+        for _ in range(REWRITES):
+            out, made, at = "", [], 0
+            for k, a, z in sorted(spans, key=lambda s: s[1]):
+                if a >= at:
+                    new = variant(k, text[a:z], g)
+                    out += text[at:a]
+                    made.append((k, len(out), len(out) + len(new)))
+                    out, at = out + new, z
+            out += text[at:]
+            if not spans:
+                blanks = [i for i, c in enumerate(text) if c == " "]
+                p = blanks[int(g.integers(len(blanks)))] + 1 if blanks else 0
+                k = int(g.integers(2 * len(KINDS)))
+                new = variant(k, _MODELS[k], g) if k < len(KINDS) else decoy(g)
+                out, made = f"{text[:p]}{new} {text[p:]}", [(k, p, p + len(new))] if k < len(KINDS) else []
+            rows.append((out[:SAMPLE], [s for s in made if s[2] <= SAMPLE]) if all(s[2] <= SAMPLE or s[1] >= SAMPLE for s in made) else (text, spans))
+    ids, tags = np.zeros((len(rows), SAMPLE), np.uint8), np.zeros((len(rows), SAMPLE), np.int64)
+    for i, (text, spans) in enumerate(rows):
+        ids[i, : len(text)] = char_ids(text)
+        tags[i, : len(text)] = tag_sequence(len(text), spans)
     return ids, tags
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", epochs: int = EPOCHS, **sample: int) -> Tagger:
-    """Train the tagger on the spans that the patterns label; phones without their leading + are added as variants."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", steps: int = STEPS, **sample: int) -> Tagger:
+    """Train the tagger on labelled spans: those of the patterns, and the same written so that the patterns miss them.
+
+    An empty table, or one without texts, gives an untrained tagger that finds nothing.
+    """
     small_batches(docs.sparkSession)
-    ids, tags = training_windows(docs, id_col, text_col, **sample)
-    phone = 1 + 2 * KINDS.index("phone")
-    rows, cols = np.nonzero(tags == phone)
-    extra_i, extra_t = ids[rows[::3]].copy(), tags[rows[::3]].copy()
-    for k, c in enumerate(cols[::3]):  # "+1 (…" becomes "x1 (…": the mark alone doesn't make a phone number
-        extra_i[k, c] = char_ids(" ")[0]
-        extra_t[k, c] = 0
-        if c + 1 < WINDOW and extra_t[k, c + 1] == phone + 1:
-            extra_t[k, c + 1] = phone
+    windows = training_windows(docs, id_col, text_col, **sample)
     model = Tagger(_N_TAGS)
-    if len(ids):
-        ids, tags = np.concatenate([ids, extra_i]), np.concatenate([tags, extra_t])
-        model.fit(ids, tags, max(epochs, -(-STEPS // -(-len(ids) // BATCH))), BATCH, RATE)
+    if windows:
+        ids, tags = examples(windows)
+        model.fit(ids, tags, -(-steps // -(-len(ids) // BATCH)), BATCH, RATE)
+    else:
+        model.p["o"][0] = 50
     return model
 
 
+_NUMBER = re.compile("[0-9]+")
+
+
 def plausible(kind: int, s: str) -> bool:
     """What a tagged span must hold at least to be reported."""
-    digits = sum(c.isdigit() for c in s)
-    return (
-        ("@" in s and "." in s.split("@")[-1], s.count(".") == 3 and 4 <= digits <= 12, 13 <= digits <= 19, 8 <= digits <= 15 and not any(c.isalpha() for c in s))[kind]
-    )
+    numbers = _NUMBER.findall(s)
+    digits = "".join(numbers)
+    if kind == 0:
+        return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+ ?(?:@|\[at\]|\(at\)) ?[A-Za-z0-9-]+(?: ?(?:\.|\[dot\]|\(dot\)) ?[A-Za-z0-9-]+)+", s))
+    if kind == 1:
+        return len(numbers) == 4 and all(len(x) <= 3 and int(x) <= 255 for x in numbers) and not any(c.isalpha() for c in s)
+    if kind == 2:
+        return 16 <= len(digits) <= 19 and luhn(digits) and not any(c.isalpha() for c in s)
+    return 10 <= len(digits) <= 15 and len(numbers) > 1 and not any(c.isalpha() for c in s)
+
+
+def _emissions(model: Tagger, ids: np.ndarray) -> np.ndarray:
+    """Emissions of every character of a text or of several, end to end, each from the window in which it stands most inside."""
+    n = len(ids)
+    starts = np.arange(0, max(1, n - WINDOW + STEP), STEP)
+    padded = np.zeros(starts[-1] + WINDOW, np.uint8)
+    padded[:n] = ids
+    out = np.empty((n, _N_TAGS), np.float32)
+    edge = (WINDOW - STEP) // 2
+    for lo in range(0, len(starts), 2048):
+        some = starts[lo : lo + 2048]
+        e = model.emissions(padded[some[:, None] + np.arange(WINDOW)])
+        a, z = int(some[0]) + (edge if lo else 0), min(n, int(some[-1]) + edge + STEP)
+        if lo + 2048 >= len(starts):
+            z = n
+        place = np.arange(a, z)
+        w = np.clip((place - edge) // STEP, 0, len(starts) - 1)
+        out[a:z] = e[place - starts[w], w - lo]
+    return out
 
 
 def tagged_spans(model: Tagger, texts: list[str], margin: float = 0.5) -> list[list[tuple[int, int, int]]]:
     """Spans that the tagger finds in each whole text.
 
-    Overlapping windows are run together; each character takes the emissions of the window in which it lies
-    most inside, and one decoding over the whole stretch reconciles the windows. A span counts if its mean
-    emission beats that of "outside" by `margin`.
+    Every character of every text passes the network, in overlapping windows. Each takes the emissions of the window
+    in which it stands most inside, and one decoding over the reconciled emissions follows, which leaves out only
+    stretches where the tagger's scores rule out any other path than "outside". A span counts if its mean emission
+    beats that of "outside" by `margin`.
     """
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    jobs: list[tuple[int, int, int]] = []  # text, start, end of a stretch
-    for d, text in enumerate(texts):
-        jobs += [(d, a, b) for a, b in regions(text)]
-    for lo in range(0, len(jobs), 256):
-        some = jobs[lo : lo + 256]
-        windows, places = [], []
-        for j, (d, a, b) in enumerate(some):
-            ids = char_ids(texts[d][a:b])
-            for p in range(0, max(1, len(ids) - STEP), STEP):
-                w = np.zeros(WINDOW, np.int64)
-                part = ids[p : p + WINDOW]
-                w[: len(part)] = part
-                windows.append(w)
-                places.append((j, p, len(part)))
-        e = np.concatenate([model.emissions(np.stack(windows[k : k + 1024])) for k in range(0, len(windows), 1024)])
-        best = [np.zeros((b - a, _N_TAGS), np.float32) for _, a, b in some]
-        depth = [np.full(b - a, -1, np.int64) for _, a, b in some]
-        for (j, p, n), x in zip(places, e, strict=True):
-            inside = np.minimum(np.arange(n), WINDOW - 1 - np.arange(n))
-            better = inside > depth[j][p : p + n]
-            best[j][p : p + n][better] = x[:n][better]
-            depth[j][p : p + n][better] = inside[better]
-        for (d, a, _), em in zip(some, best, strict=True):
-            tags = model.viterbi(em)
-            k = 0
-            while k < len(tags):
-                if not tags[k]:
-                    k += 1
-                    continue
-                kind, z = (tags[k] - 1) // 2, k + 1
-                while z < len(tags) and tags[z] == 2 + 2 * kind:
-                    z += 1
-                gain = (em[k:z][:, [1 + 2 * kind, 2 + 2 * kind]].max(axis=1) - em[k:z, 0]).mean()
-                if gain >= margin and plausible(int(kind), texts[d][a + k : a + z]):
-                    out[d].append((int(kind), a + k, a + z))
-                k = z
+    gap = np.zeros(WINDOW // 2, np.uint8)
+    ids, base, at = [], [], 0
+    for t in texts:
+        ids += [char_ids(t), gap]
+        base.append(at)
+        at += len(ids[-2]) + len(gap)
+    if not texts:
+        return out
+    e = _emissions(model, np.concatenate(ids))
+    real = np.zeros(at, dtype=bool)
+    for b, t in zip(base, texts, strict=True):
+        real[b : b + len(t)] = True
+    hot = np.flatnonzero(model.doubtful(e) & real)
+    if not len(hot):
+        return out
+    cuts = np.flatnonzero(np.diff(hot) > 2)  # two steps in a row outside part the paths before from those after
+    begin = np.array(base)
+    for a, z in zip(hot[np.concatenate([[0], cuts + 1])].tolist(), hot[np.concatenate([cuts, [len(hot) - 1]])].tolist(), strict=True):
+        d = int(np.searchsorted(begin, a, side="right")) - 1
+        lo, hi = max(base[d], a - 1), min(base[d] + len(texts[d]), z + 2)
+        em = e[lo:hi]
+        if hi <= lo:
+            continue
+        tags = model.viterbi(em)
+        k = 0
+        while k < len(tags):
+            if not tags[k]:
+                k += 1
+                continue
+            kind, stop = (tags[k] - 1) // 2, k + 1
+            while stop < len(tags) and tags[stop] == 2 + 2 * kind:
+                stop += 1
+            gain = (em[k:stop][:, [1 + 2 * kind, 2 + 2 * kind]].max(axis=1) - em[k:stop, 0]).mean()
+            p, q = lo - base[d] + k, lo - base[d] + stop
+            if gain >= margin and plausible(int(kind), texts[d][p:q]):
+                out[d].append((int(kind), p, q))
+            k = stop
     return out
 
 

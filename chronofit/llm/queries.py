@@ -41,7 +41,7 @@ def op2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP2_SQL = r"""
 WITH RECURSIVE t AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text <> ''),
 l AS (SELECT doc_id, i, regexp_extract_all(translate(p[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM t)),
-x AS (SELECT doc_id, i, j, len(ws) AS m, ws[j] AS w, CASE WHEN j > 1 AND right(ws[j - 1], 1) IN ('.', '!', '?') THEN '0' ELSE '1' END || substr(md5(ws[j]), 1, 16) AS key
+x AS (SELECT doc_id, i, j, len(ws) AS m, ws[j] AS w, CASE WHEN j > 1 AND right(ws[j - 1], 1) IN ('.', '!', '?') THEN '0' ELSE '1' END || lpad((63 - least(63, octet_length(encode(ws[j]))))::VARCHAR, 2, '0') || rpad(substr(hex(encode(ws[j])), 1, 14), 14, '0') AS key
   FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS j FROM l)),
 y AS (SELECT *, j > 9 AND m - j >= 9 AND key < min(key) OVER (PARTITION BY doc_id, i ORDER BY j ROWS BETWEEN 9 PRECEDING AND 1 PRECEDING)
   AND key < min(key) OVER (PARTITION BY doc_id, i ORDER BY j ROWS BETWEEN 1 FOLLOWING AND 9 FOLLOWING) AS border FROM x),

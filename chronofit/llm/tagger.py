@@ -9,25 +9,24 @@ N_CHARS = 3 + 95
 
 
 def char_ids(text: str) -> np.ndarray:
-    code = np.frombuffer(text.encode("utf-32-le", "replace"), dtype="<u4").astype(np.int64)
-    out = np.where((code >= 32) & (code < 127), code - 29, 1)
+    code = np.frombuffer(text.encode("utf-32-le", "replace"), dtype="<u4")
+    out = np.where((code >= 32) & (code < 127), code - 29, 1).astype(np.uint8)
     high = np.flatnonzero(code >= 128)
     if len(high):
-        out[high] = [2 if chr(c).isalpha() else 1 for c in code[high]]
+        kinds, at = np.unique(code[high], return_inverse=True)
+        out[high] = np.array([2 if chr(c).isalpha() else 1 for c in kinds], np.uint8)[at]
     return out
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + np.tanh(0.5 * x))
-
-
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis=axis, keepdims=True)
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
 class Tagger:
-    def __init__(self, n_tags: int, embed: int = 16, hidden: int = 24, seed: int = 7):
+    """Gates are written as tanh of half their input, so that one tanh serves all four parts of a cell."""
+
+    def __init__(self, n_tags: int, embed: int = 8, hidden: int = 10, seed: int = 7):
         g = np.random.default_rng(seed)
         w = lambda *s: (g.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
         h = hidden
@@ -38,42 +37,54 @@ class Tagger:
             bias[h : 2 * h] = 1  # the forget gate starts open
             self.p |= {f"X{d}": w(embed, 4 * h), f"H{d}": w(h, 4 * h), f"c{d}": bias}
 
-    def _run(self, d: str, x: np.ndarray, keep: bool):
-        """x: (steps, batch, embed), already in the direction's order; (steps, batch, hidden) and what backward needs."""
+    def _run(self, d: str, ids: np.ndarray, keep: bool):
+        """ids: (steps, batch), already in the direction's order; (steps, batch, hidden) and what backward needs."""
         h = self.h
-        z_in = x @ self.p[f"X{d}"] + self.p[f"c{d}"]
-        state = np.zeros((x.shape[1], h), np.float32)
+        half = np.concatenate([np.full(3 * h, 0.5, np.float32), np.ones(h, np.float32)])
+        table = (self.p["E"] @ self.p[f"X{d}"] + self.p[f"c{d}"]) * half  # what each character class brings to a cell
+        turn = self.p[f"H{d}"] * half
+        state = np.zeros((ids.shape[1], h), np.float32)
         cell = np.zeros_like(state)
-        out, cache = np.empty((*x.shape[:2], h), np.float32), []
-        for t in range(len(x)):
-            z = z_in[t] + state @ self.p[f"H{d}"]
-            ifo = _sigmoid(z[:, : 3 * h])
-            g = np.tanh(z[:, 3 * h :])
+        out, cache = np.empty((*ids.shape, h), np.float32), []
+        z, into = np.empty((2, ids.shape[1], 4 * h), np.float32)
+        for t in range(len(ids)):
+            if keep:
+                z = np.empty_like(z)
+            np.take(table, ids[t], axis=0, out=z, mode="clip")
+            np.matmul(state, turn, out=into)
+            z += into
+            np.tanh(z, out=z)
+            gates = z[:, : 3 * h]
+            gates *= 0.5
+            gates += 0.5
             before, prior = cell, state
-            cell = ifo[:, h : 2 * h] * cell + ifo[:, :h] * g
+            cell = z[:, h : 2 * h] * cell
+            cell += z[:, :h] * z[:, 3 * h :]
             th = np.tanh(cell)
-            state = ifo[:, 2 * h : 3 * h] * th
-            out[t] = state
+            state = np.multiply(z[:, 2 * h : 3 * h], th, out=out[t])
             if keep:
-                cache.append((ifo, g, before, prior, th))
+                cache.append((gates, z[:, 3 * h :], before, prior, th))
         return out, cache
 
     def emissions(self, ids: np.ndarray, keep: bool = False):
-        """ids: (batch, steps) -> (batch, steps, tags)."""
-        x = self.p["E"][ids.T]
+        """ids: (batch, steps) -> (steps, batch, tags)."""
+        x = ids.T
         f, cf = self._run("f", x, keep)
         b, cb = self._run("b", x[::-1], keep)
-        both = np.concatenate([f, b[::-1]], axis=2)
-        e = both @ self.p["O"] + self.p["o"]
-        return (e.transpose(1, 0, 2), (x, both, cf, cb)) if keep else e.transpose(1, 0, 2)
+        h = self.h
+        e = f @ self.p["O"][:h]
+        e += b[::-1] @ self.p["O"][h:]
+        e += self.p["o"]
+        return (e, (f, b, cf, cb)) if keep else e
 
-    def _back(self, d: str, x: np.ndarray, cache, up: np.ndarray, grad: dict) -> np.ndarray:
+    def _back(self, d: str, ids: np.ndarray, cache, up: np.ndarray, grad: dict) -> None:
         h = self.h
-        dz = np.empty((*x.shape[:2], 4 * h), np.float32)
-        ds = np.zeros((x.shape[1], h), np.float32)
+        x = self.p["E"][ids]
+        dz = np.empty((*ids.shape, 4 * h), np.float32)
+        ds = np.zeros((ids.shape[1], h), np.float32)
         dc = np.zeros_like(ds)
         hw = np.zeros_like(self.p[f"H{d}"])
-        for t in range(len(x) - 1, -1, -1):
+        for t in range(len(ids) - 1, -1, -1):
             ifo, g, before, prior, th = cache[t]
             i, f, o = ifo[:, :h], ifo[:, h : 2 * h], ifo[:, 2 * h : 3 * h]
             s = up[t] + ds
@@ -88,12 +99,13 @@ class Tagger:
         grad[f"H{d}"] = hw
         grad[f"X{d}"] = np.tensordot(x, dz, axes=([0, 1], [0, 1]))
         grad[f"c{d}"] = dz.sum(axis=(0, 1))
-        return dz @ self.p[f"X{d}"].T
+        np.add.at(grad["E"], ids, dz @ self.p[f"X{d}"].T)
 
     def loss(self, ids: np.ndarray, tags: np.ndarray) -> tuple[float, dict]:
         """Mean negative log-likelihood of the tag sequences, and its gradient."""
         n, steps = ids.shape
-        e, (x, both, cf, cb) = self.emissions(ids, keep=True)
+        et, (f, b_, cf, cb) = self.emissions(ids, keep=True)
+        e = et.transpose(1, 0, 2)
         tr = self.p["T"]
         a = np.empty_like(e)
         a[:, 0] = e[:, 0]
@@ -111,37 +123,69 @@ class Tagger:
         de = np.exp(a + b - z[:, None, None])
         de[rows, cols, tags] -= 1
         np.subtract.at(pair, (tags[:, :-1].ravel(), tags[:, 1:].ravel()), 1)
-        grad = {"T": pair / n}
+        grad = {"T": pair / n, "E": np.zeros_like(self.p["E"])}
         de = (de / n).transpose(1, 0, 2)
+        both = np.concatenate([f, b_[::-1]], axis=2)
         grad["O"] = np.tensordot(both, de, axes=([0, 1], [0, 1]))
         grad["o"] = de.sum(axis=(0, 1))
         up = de @ self.p["O"].T
-        dx = self._back("f", x, cf, up[:, :, : self.h], grad) + self._back("b", x[::-1], cb, up[::-1, :, self.h :], grad)[::-1]
-        grad["E"] = np.zeros_like(self.p["E"])
-        np.add.at(grad["E"], ids.T, dx)
+        x = ids.T
+        self._back("f", x, cf, up[:, :, : self.h], grad)
+        self._back("b", x[::-1], cb, up[::-1, :, self.h :], grad)
         return float((z - score).mean()), grad
 
     def fit(self, ids: np.ndarray, tags: np.ndarray, epochs: int, batch: int = 64, rate: float = 0.01, seed: int = 7) -> list[float]:
-        """Adam over shuffled batches; the mean loss of each epoch."""
+        """Adam over shuffled batches, its rate falling to a tenth; the mean loss of each epoch."""
         g = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
-        t, losses = 0, []
+        t, losses, steps = 0, [], max(1, epochs * -(-len(ids) // batch))
         for _ in range(epochs):
             order, total = g.permutation(len(ids)), []
             for a in range(0, len(order), batch):
                 at = order[a : a + batch]
                 loss, grad = self.loss(ids[at], tags[at])
                 total.append(loss)
+                pace = rate * 0.1 ** (t / steps)
                 t += 1
                 for k, x in grad.items():
                     x = np.clip(x, -1, 1)
                     m[k] = 0.9 * m[k] + 0.1 * x
                     v[k] = 0.999 * v[k] + 0.001 * x * x
-                    self.p[k] = (self.p[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
+                    self.p[k] = (self.p[k] - pace * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
             losses.append(float(np.mean(total)) if total else 0.0)
         return losses
 
+    def bonus(self) -> tuple[float, float]:
+        """What a path's transitions gain at most over staying in tag 0: for each step outside it, and once.
+
+        Potentials of the tags, which cancel along any path from tag 0 back to it, take the gain of entering a tag
+        from the step that pays for it.
+        """
+        t = (self.p["T"] - self.p["T"][0, 0]).astype(float)
+        step = max(float(np.diag(t)[1:].max()), 0.0)
+        for _ in range(60):  # least step for which no cycle beside tag 0 gains anything
+            far = t[0].copy()
+            for _ in range(self.k):
+                far[1:] = np.maximum(far[1:], (far[1:, None] + t[1:, 1:] - step).max(axis=0))
+            if (far[1:] >= (far[1:, None] + t[1:, 1:] - step).max(axis=0) - 1e-9).all():
+                break
+            step = step * 1.1 + 0.1
+        return step, float(max(0.0, (far[1:] + t[1:, 0]).max()))
+
+    def doubtful(self, e: np.ndarray) -> np.ndarray:
+        """Where a best path may leave tag 0, for emissions (steps, tags): elsewhere none does.
+
+        A path outside tag 0 over some steps gains at most the sum of its emissions' advantages and `step` each, and
+        `once`. The greatest such sums that end, or begin, at a place are running maxima of prefix sums.
+        """
+        step, once = self.bonus()
+        gain = (e[:, 1:].max(axis=1) - e[:, 0]).astype(float) + step
+        total = np.concatenate([[0.0], np.cumsum(gain)])
+        left = total[1:] - np.minimum.accumulate(total[:-1])
+        right = np.maximum.accumulate(total[::-1])[::-1][1:] - total[:-1]
+        return left + right - gain + once > 0
+
     def viterbi(self, e: np.ndarray) -> np.ndarray:
         """Best tags of one sequence of emissions (steps, tags)."""
         score, back = e[0], np.empty(e.shape, np.int64)
