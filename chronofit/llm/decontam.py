@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import shingles as S
-from .common import id_and_text, small_batches, with_arrow
+from .common import fresh, id_and_text, small_batches, with_arrow
 
 #: Words in a window, words in a shingle, (window, item) pairs in a block that is sent to all tasks.
 WINDOW, SHINGLE, BLOCK = 13, 5, 100_000
@@ -125,10 +125,12 @@ def _token_counts(texts: DataFrame, shared) -> DataFrame:
     return texts.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-_STATE = [T.StructField("__words", T.LongType()), T.StructField("__spans", T.BinaryType()), T.StructField("__items", T.ArrayType(T.StringType())), T.StructField("n_hit", T.LongType())]
+#: Columns that carry the state from block to block, and what they end as.
+_KINDS = [T.LongType(), T.BinaryType(), T.ArrayType(T.StringType()), T.LongType()]
+_NAMES = ["n_words", "n_hit", "n_items", "items", "contaminated"]
 
 
-def _match(frame: DataFrame, text_col: str, shared) -> DataFrame:
+def _match(frame: DataFrame, text_col: str, state: list[str], shared) -> DataFrame:
     """Add one block's finds to the state columns."""
 
     def make(columns):
@@ -159,7 +161,7 @@ def _match(frame: DataFrame, text_col: str, shared) -> DataFrame:
             items_out += [sorted(x) for x in items]
         return words, spans_out, items_out, [covered(x) for x in spans_out]
 
-    return with_arrow(frame, [text_col, "__words", "__spans", "__items"], _STATE, make)
+    return with_arrow(frame, [text_col, *state[:3]], [T.StructField(n, k) for n, k in zip(state, _KINDS, strict=True)], make)
 
 
 def covered(spans: bytes) -> int:
@@ -173,8 +175,8 @@ def covered(spans: bytes) -> int:
     return int(np.maximum(0, x[:, 1] - np.maximum(x[:, 0], before)).sum())
 
 
-def marked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
-    """docs with n_words, n_hit, n_items, items and contaminated; columns of these names are replaced, all others stay.
+def marked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, block: int = BLOCK, names: dict[str, str] | None = None) -> DataFrame:
+    """docs with n_words, n_hit, n_items, items and contaminated, or what `names` calls them; columns of these names are replaced, all others stay.
 
     A word is hit inside any occurrence of a window of `window` consecutive item words, or of all words of a
     shorter item; items are those whose windows occur, sorted as strings; contaminated: n_hit > 0 and
@@ -187,11 +189,12 @@ def marked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_c
     """
     spark = docs.sparkSession
     small_batches(spark)
+    names = {n: (names or {}).get(n, n) for n in _NAMES}
     text = F.col(f"`{text_col}`").cast("string")
     pairs = windows(benchmark.select(F.col(f"`{item_col}`").cast("string").alias("id"), F.col(f"`{item_text}`").cast("string").alias("text")), window)
     blocks = max(1, -(-pairs.count() // block))
-    names = ["n_words", "n_hit", "n_items", "items", "contaminated"]
-    state = docs.drop(*(x for x in names if x != text_col)).withColumns({"__words": F.lit(0).cast("long"), "__spans": F.lit(b""), "__items": F.array().cast("array<string>")})
+    words, spans, items, hit = held = fresh(docs, "words", "spans", "items", "hit")
+    state = docs.withColumns({words: F.lit(0).cast("long"), spans: F.lit(b""), items: F.array().cast("array<string>"), hit: F.lit(0).cast("long")})
     for k in range(blocks):
         part = pairs.where(F.pmod(F.xxhash64("words", "item"), F.lit(blocks)) == k).toArrow()
         index = _Index(part, shingle)
@@ -200,11 +203,10 @@ def marked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_c
             seen = _token_counts(docs.select(F.lit(0).alias("id"), text.alias("text")), spark.sparkContext.broadcast(index)).toArrow()
             counts[seen.column(0).to_numpy()] = seen.column(1).to_numpy()
         index.rank(counts)
-        state = _match(state, text_col, spark.sparkContext.broadcast(index))
-    return state.withColumns({
-        "n_words": F.col("__words"), "n_items": F.size("__items").cast("long"), "items": F.col("__items"),
-        "contaminated": (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("__words")),
-    }).drop("__words", "__spans", "__items")
+        state = _match(state, text_col, held, spark.sparkContext.broadcast(index))
+    made = [F.col(words), F.col(hit), F.size(items).cast("long"), F.col(items), (F.col(hit) > 0) & (20 * F.col(hit) >= F.col(words))]
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in names.values()]
+    return state.select(*kept, *(m.alias(names[n]) for n, m in zip(_NAMES, made, strict=True)))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -7,7 +7,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,7 +17,7 @@ from .common import id_and_text, small_batches, with_arrow
 PROFILE, LONGEST = 300, 3
 #: Labelled documents per language that the profiles are fitted on, on average; the only bounded sample here.
 FIT_DOCS = 2000
-#: Most languages that a model may hold.
+#: Languages that a model holds at most: those with the most labelled rows, ties by name. A bound of the fit, as FIT_DOCS.
 LANGUAGES = 1000
 UND = "und"
 _NOT_LETTERS = re.compile(r"[^\w]+|[\d_]+")
@@ -75,9 +75,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """
     small_batches(docs.sparkSession)
     seen = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")).where(~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    per = seen.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()
-    if len(per) > LANGUAGES:
-        raise ValueError(f"{lang_col} has more than {LANGUAGES} values")
+    per = seen.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     limits = F.create_map(*(F.lit(x) for r in per for x in (r["lang"], math.ceil(fit_docs / r["n"] * (1 << 20))))) if per else F.create_map().cast("map<string,bigint>")
     chosen = seen.where(F.pmod(F.xxhash64(F.lit("profile"), "id"), F.lit(1 << 20)) < limits[F.col("lang")]).select("lang", "text")
 
@@ -100,13 +98,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 yield flush(lang, codes)
 
     total = chosen.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    # the best `size` of each group by a bounded aggregate, not by sorting a language's n-grams in one task
-    part = total.withColumn("p", F.pmod(F.xxhash64("gram"), F.lit(64)))
-    best = lambda df, *keys: df.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "gram"))), 1, size).alias("top"))
-    rows = (
-        best(part, "lang", "p").select("lang", F.explode("top").alias("x")).select("lang", "x.gram", (-F.col("x.m")).alias("n"))
-    )
-    return {r["lang"]: [x["gram"] for x in r["top"]] for r in best(rows, "lang").collect()}
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))  # Spark keeps `size` rows a language before it shuffles
+    top = total.withColumn("place", place).where(F.col("place") <= size).orderBy("lang", "place").select("lang", "gram").collect()
+    profiles: dict[str, list[int]] = {}
+    for r in top:
+        profiles.setdefault(r["lang"], []).append(r["gram"])
+    return profiles
 
 
 def predictor(profiles: dict[str, list[int]], size: int = PROFILE, longest: int = LONGEST):
@@ -131,8 +128,8 @@ def predictor(profiles: dict[str, list[int]], size: int = PROFILE, longest: int
     return one
 
 
-def predict(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "text", size: int = PROFILE, longest: int = LONGEST) -> DataFrame:
-    """Add lang_pred and score, from the whole text alone.
+def predict(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "text", size: int = PROFILE, longest: int = LONGEST, pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """Add pred_col and score_col (lang_pred and score), from the whole text alone.
 
     The distance to a language is the sum, over the text's ranked n-grams, of how far each is out of place in the
     language's ranking, or `size` where it is missing. lang_pred has the least, by name at ties; score is one
@@ -146,7 +143,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "te
         found = [one(x) for x in columns[0].to_pylist()]
         return [x for x, _ in found], [y for _, y in found]
 
-    return with_arrow(docs, [text_col], [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], make)
+    return with_arrow(docs, [text_col], [T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())], make)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

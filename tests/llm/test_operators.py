@@ -451,6 +451,44 @@ def test_language_id(spark):
     assert langid.identify(df.limit(0)).isEmpty()
 
 
+def test_language_id_against_brute_force(spark):
+    g = random.Random(2)
+    words = {"aa": ["der", "das", "und"], "bb": ["the", "and", "hat"], "cc": ["le", "et", "des"]}
+    rows = [(i, " ".join(g.choice(words[x] + ["zu", "1"]) for _ in range(g.randrange(1, 30))), x) for i in range(80) for x in [g.choice(["aa", "bb", "cc"])]]
+    rows += [(100, "x", None), (101, "Der DER der", None), (102, "et the", None), (102, "et the", None), (103, "ж", None), (104, "ab", "dd"), (105, "ba", "dd")]
+
+    def grams(t):
+        t = " " + re.sub(r"[^\w]+|[\d_]+", " ", t.lower()).strip() + " "
+        return Counter(t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1) if t[i : i + n] != " " and " " not in t[i + 1 : i + n - 1] and not (t[i] == " " == t[i + n - 1]))
+
+    def code(x):
+        k = 0
+        for c in x:
+            k = k << 21 | ord(c)
+        return k
+
+    def top(c):
+        return [x for x, _ in sorted(c.items(), key=lambda y: (-y[1], code(y[0])))][: langid.PROFILE]
+
+    import zlib
+
+    out = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i, _, _ in rows}
+    total: dict = {}
+    for i, t, x in rows:
+        if x and not out[i]:
+            total.setdefault(x, Counter()).update(grams(t))
+    profiles = {x: {y: k for k, y in enumerate(top(c))} for x, c in total.items()}
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    want = []
+    for i, t, _ in rows:
+        own, size = top(grams(t)), langid.PROFILE
+        away = {x: sum(min(abs(p[y] - k), size) if y in p else size for k, y in enumerate(own)) for x, p in profiles.items()}
+        best = min(sorted(away), key=away.get)
+        want.append((i, out[i], best, round(1 - away[best] / (size * len(own)), 12)))
+    got = [(r.id, r.held_out, r.lang_pred, round(r.score, 12)) for r in langid.identify(df).collect()]
+    assert sorted(got) == sorted(want)
+
+
 # PII
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")

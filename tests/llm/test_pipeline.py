@@ -59,3 +59,27 @@ def test_run(spark):
     out = C.run(spark, SMALL)
     assert out.columns[:5] == COLUMNS and 0 < out.count() < spark.read.parquet(f"{SMALL}/documents.parquet").count()
     assert [n for n, _ in C.STAGES] == ["language_id", "near_dedup", "decontamination", "pii_masking", "byte_bpe"]
+
+
+def test_stages_keep_columns_nulls_and_repeated_rows(spark, tmp_path):
+    clash = {"lang_pred": "a", "score": 1.5, "n_words": -1, "n_hit": -2, "items": "b", "contaminated": True, "words": "w", "node": 7, "h": 8, "uid": "u", "key": "k"}
+    from pyspark.sql import functions as F
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, "the cat and the dog are in the house now", "en", "s", 1), (1, "the cat and the dog are in the house now", "en", "s", 1), (None, "the cat and the dog", "en", None, None),
+            (3, None, None, None, None), (4, "", "en", "s", 0), (5, "\u4e2d\u6587" * 5, None, "s", 10), (6, "der hund und die katze und das haus", "de", "s", 1), (7, "mail a@b.co", "en", "s", 9)]
+    docs = spark.createDataFrame(rows, schema).withColumns({k: F.lit(v) for k, v in clash.items()})
+    columns = docs.columns
+    for name, stage in C.STAGES[:-1]:
+        docs = stage(spark, docs, SMALL)
+        assert docs.columns == columns, name
+        got = docs.collect()
+        assert all({k: r[k] for k in clash} == clash for r in got), name
+        assert sorted(str(r.doc_id) for r in got) == ["1", "1", "6", "7", "None"], name
+        docs.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert stage(spark, docs.limit(0), SMALL).isEmpty(), name
+    assert {r.text for r in docs.where("doc_id = 7").collect()} == {"mail [EMAIL]"}
+    none = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert C.language_id(spark, none, SMALL).count() == none.count()
+    assert C.byte_bpe(spark, docs.limit(0), SMALL).isEmpty()
