@@ -26,7 +26,7 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
 class Tagger:
     """Gates are written as tanh of half their input, so that one tanh serves all four parts of a cell."""
 
-    def __init__(self, n_tags: int, embed: int = 8, hidden: int = 10, seed: int = 7):
+    def __init__(self, n_tags: int, embed: int = 8, hidden: int = 8, seed: int = 7):
         g = np.random.default_rng(seed)
         w = lambda *s: (g.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
         h = hidden
@@ -38,7 +38,7 @@ class Tagger:
             self.p |= {f"X{d}": w(embed, 4 * h), f"H{d}": w(h, 4 * h), f"c{d}": bias}
 
     def _run(self, d: str, ids: np.ndarray, keep: bool):
-        """ids: (steps, batch), already in the direction's order; (steps, batch, hidden) and what backward needs."""
+        """ids: (steps, batch); (steps, batch, hidden), in the order of ids, and what backward needs, in the direction's."""
         h = self.h
         half = np.concatenate([np.full(3 * h, 0.5, np.float32), np.ones(h, np.float32)])
         table = (self.p["E"] @ self.p[f"X{d}"] + self.p[f"c{d}"]) * half  # what each character class brings to a cell
@@ -47,7 +47,7 @@ class Tagger:
         cell = np.zeros_like(state)
         out, cache = np.empty((*ids.shape, h), np.float32), []
         z, into = np.empty((2, ids.shape[1], 4 * h), np.float32)
-        for t in range(len(ids)):
+        for t in range(len(ids)) if d == "f" else range(len(ids) - 1, -1, -1):
             if keep:
                 z = np.empty_like(z)
             np.take(table, ids[t], axis=0, out=z, mode="clip")
@@ -68,13 +68,14 @@ class Tagger:
 
     def emissions(self, ids: np.ndarray, keep: bool = False):
         """ids: (batch, steps) -> (steps, batch, tags)."""
-        x = ids.T
+        x = np.ascontiguousarray(ids.T)
         f, cf = self._run("f", x, keep)
-        b, cb = self._run("b", x[::-1], keep)
+        b, cb = self._run("b", x, keep)
         h = self.h
-        e = f @ self.p["O"][:h]
-        e += b[::-1] @ self.p["O"][h:]
+        e = f.reshape(-1, h) @ self.p["O"][:h]
+        e += b.reshape(-1, h) @ self.p["O"][h:]
         e += self.p["o"]
+        e = e.reshape(*x.shape, self.k)
         return (e, (f, b, cf, cb)) if keep else e
 
     def _back(self, d: str, ids: np.ndarray, cache, up: np.ndarray, grad: dict) -> None:
@@ -125,7 +126,7 @@ class Tagger:
         np.subtract.at(pair, (tags[:, :-1].ravel(), tags[:, 1:].ravel()), 1)
         grad = {"T": pair / n, "E": np.zeros_like(self.p["E"])}
         de = (de / n).transpose(1, 0, 2)
-        both = np.concatenate([f, b_[::-1]], axis=2)
+        both = np.concatenate([f, b_], axis=2)
         grad["O"] = np.tensordot(both, de, axes=([0, 1], [0, 1]))
         grad["o"] = de.sum(axis=(0, 1))
         up = de @ self.p["O"].T
@@ -180,7 +181,12 @@ class Tagger:
         `once`. The greatest such sums that end, or begin, at a place are running maxima of prefix sums.
         """
         step, once = self.bonus()
-        gain = (e[:, 1:].max(axis=1) - e[:, 0]).astype(float) + step
+        best = e[:, 1].copy()
+        for k in range(2, self.k):
+            np.maximum(best, e[:, k], out=best)
+        gain = (best - e[:, 0]).astype(float) + step
+        if not (gain > -once).any():
+            return np.zeros(len(e), dtype=bool)
         total = np.concatenate([[0.0], np.cumsum(gain)])
         left = total[1:] - np.minimum.accumulate(total[:-1])
         right = np.maximum.accumulate(total[::-1])[::-1][1:] - total[:-1]
