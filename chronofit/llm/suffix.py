@@ -249,16 +249,6 @@ def _split(variants: DataFrame, length: int) -> DataFrame:
     return hits.mapInArrow(pack, "h long, e long, hits binary")
 
 
-def cut(text: bytes, repeats: np.ndarray, length: int) -> tuple[bytes, int, int]:
-    """What is left of a text without the windows at `repeats`, how many bytes went, and in how many runs."""
-    edge = np.zeros(len(text) + 1, np.int64)
-    np.add.at(edge, repeats, 1)
-    np.add.at(edge, repeats + length, -1)
-    gone = np.cumsum(edge[:-1]) > 0
-    runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-    return np.frombuffer(text, np.uint8)[~gone].tobytes(), int(gone.sum()), runs
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, rolling: int = ROLLING, period: int = PERIOD, rows: int = ROWS) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept binary, kept_sha256), a row for each input row.
 
@@ -310,14 +300,31 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def finish(batches):
         for b in batches:
             out = []
-            for i, text, runs in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            runs = b.column(2)
+            flat = runs.flatten()
+            lo, m = flat.field("lo").to_numpy().astype(np.int64), flat.field("m").to_numpy().astype(np.int64)
+            ends = np.cumsum(runs.value_lengths().fill_null(0).to_numpy())
+            hits = flat.field("hits")
+            single = hits.is_valid().to_numpy(zero_copy_only=False)
+            for i, text, z, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), ends.tolist(), np.diff(ends, prepend=0).tolist(), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
-                if not runs:
+                if not n:
                     out.append((i, len(raw), 0, 0, None, hashlib.sha256(raw).hexdigest()))
                     continue
-                at = [np.arange(r["m"]) + r["lo"] if r["hits"] is None else np.frombuffer(r["hits"], "<i2").astype(np.int64) + r["lo"] for r in runs]
-                left, lost, spans = cut(raw, np.unique(np.concatenate(at)).astype(np.int64), length)
-                out.append((i, len(raw), lost, spans, left, hashlib.sha256(left).hexdigest()))
+                own = np.arange(z - n, z)
+                some, whole = own[single[own]], own[~single[own]]
+                at = [np.frombuffer(hits[int(k)].as_buffer(), "<i2").astype(np.int64) + lo[k] for k in some]
+                edge = np.zeros(len(raw) + 1, np.int64)  # all windows of a run that stands twice go at once
+                np.add.at(edge, lo[whole], 1)
+                np.add.at(edge, lo[whole] + m[whole] + length - 1, -1)
+                if at:
+                    at = np.concatenate(at)
+                    np.add.at(edge, at, 1)
+                    np.add.at(edge, at + length, -1)
+                gone = np.cumsum(edge[:-1]) > 0
+                left = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+                spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+                out.append((i, len(raw), int(gone.sum()), spans, left, hashlib.sha256(left).hexdigest()))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
