@@ -2,8 +2,8 @@
 
 Both MinHash operators end here. Every band's least member is its hub. Each member is held against its hubs
 first, so a group of copies costs one comparison a member; only bands whose other members then still lie in several
-components are compared whole, in tiles of at most about 2 x `chunk` members. A tile gives a spanning forest
-of its links, so no list of pairs is ever made, and no group of any size meets in one task.
+components are looked at again, those outside the most frequent component against all, in tiles of about 2 x `chunk` members. A
+tile gives a spanning forest of its links, so no list of pairs is ever made, and no group of any size meets in one task.
 """
 
 from __future__ import annotations
@@ -23,42 +23,43 @@ SMALL = 24
 _COLUMNS = 1 << 13
 
 
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all pairwise intersections, by products of 0/1 matrices over the elements that two sets share."""
-    n = len(sets)
-    if n == 2:
-        return np.array([[len(sets[0]), x := len(np.intersect1d(sets[0], sets[1], assume_unique=True))], [x, len(sets[1])]], np.float32)
-    el = np.concatenate(sets)
-    of = np.repeat(np.arange(n), [len(s) for s in sets])
-    _, at, count = np.unique(el, return_inverse=True, return_counts=True)
-    shared = count > 1
-    number = np.cumsum(shared) - 1
-    keep = shared[at]
-    col, of = number[at[keep]], of[keep]
-    total = np.zeros((n, n), np.float32)
-    width = int(shared.sum())
-    order = np.argsort(col, kind="stable")
-    col, of = col[order], of[order]
-    for a in range(0, width, _COLUMNS):
-        i, j = np.searchsorted(col, [a, a + _COLUMNS])
-        m = np.zeros((n, min(_COLUMNS, width - a)), np.float32)
-        m[of[i:j], col[i:j] - a] = 1
-        total += m @ m.T
-    total[np.arange(n), np.arange(n)] = [len(s) for s in sets]
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each left set with each right one, by products of 0/1 matrices over the left sets' elements."""
+    el = np.unique(np.concatenate(left))
+    total = np.zeros((len(left), len(right)), np.float32)
+
+    def places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        x, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(el, x), len(el) - 1)
+        ok = el[at] == x
+        at, of = at[ok], of[ok]
+        order = np.argsort(at, kind="stable")
+        return at[order], of[order]
+
+    sides = [places(left), places(right)]
+    for a in range(0, len(el), _COLUMNS):
+        width, parts = min(_COLUMNS, len(el) - a), []
+        for n, (at, of) in zip((len(left), len(right)), sides, strict=True):
+            i, j = np.searchsorted(at, [a, a + width])
+            m = np.zeros((n, width), np.float32)
+            m[of[i:j], at[i:j] - a] = 1
+            parts.append(m)
+        total += parts[0] @ parts[1].T
     return total
 
 
-def forest(linked: np.ndarray) -> np.ndarray:
-    """For a symmetric boolean matrix, the least index of each node's component."""
-    n = len(linked)
-    label = np.arange(n)
-    reach = linked | np.eye(n, dtype=bool)
-    while True:
-        new = np.where(reach, label[None, :], n).min(axis=1)
-        new = np.minimum(new, new[new])
-        if (new == label).all():
-            return label
-        label = new
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fewer edges that join what the edges (a, b) join: each node with the least of its component."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(names))
+    while (root[x] != root[y]).any():
+        least = np.minimum(root[x], root[y])
+        np.minimum.at(root, root[x], least)
+        np.minimum.at(root, root[y], least)
+        root = root[root]
+    u = np.flatnonzero(root != np.arange(len(names)))
+    return names[u], names[root[u]]
 
 
 def pair_overlaps(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,16 +113,8 @@ def _small_links(members: DataFrame, sets: DataFrame, over: int, under: int) ->
         pair, both = np.unique(np.concatenate(pairs), return_counts=True)
         a, b = pair // max(1, len(raw)), pair % max(1, len(raw))
         ok = (under * both >= over * (size[a] + size[b] - both)) & (label[a] != label[b])
-        names, at = np.unique(np.concatenate([label[a[ok]], label[b[ok]]]), return_inverse=True)
-        x, y = at[: ok.sum()], at[ok.sum() :]
-        root = np.arange(len(names))
-        while (root[x] != root[y]).any():
-            least = np.minimum(root[x], root[y])
-            np.minimum.at(root, root[x], least)
-            np.minimum.at(root, root[y], least)
-            root = root[root]
-        u = np.flatnonzero(root != np.arange(len(names)))
-        return pa.RecordBatch.from_arrays([pa.array(names[u], pa.int64()), pa.array(names[root[u]], pa.int64())], names=["u", "v"])
+        u, v = forest(label[a[ok]], label[b[ok]])
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     def run(batches):
         held: pa.Table | None = None
@@ -143,32 +136,32 @@ def _small_links(members: DataFrame, sets: DataFrame, over: int, under: int) ->
 def _tile_links(members: DataFrame, sets: DataFrame, over: int, under: int, chunk: int) -> DataFrame:
     """members: (node, h, c). Edges (u, v) between the labels c of those members of a band that link and differ in c.
 
-    A band of up to `chunk` members is one tile. A larger one is dealt into chunks by hash, and each pair of
-    chunks is a tile: every pair of members meets in exactly one tile of the band.
+    The members of a band's most frequent label needn't meet each other. So the others are the left side, all are the
+    right side, both are dealt into chunks by hash, and each pair of chunks is a tile.
     """
-    sizes = members.groupBy("h").agg(F.ceil(F.count("*") / chunk).cast("int").alias("s")).where("s > 1")
-    dealt = (
-        members.join(sizes, "h", "left")
-        .select("node", "h", F.col("c").alias("label"), F.coalesce("s", F.lit(1)).alias("s"))
-        .withColumn("c", F.pmod(F.xxhash64("node"), F.col("s")).cast("int"))
-    )
-    tiles = (
-        sets.join(dealt, "node")
-        .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-        .select("label", "elements", "h", "c", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"))
-    )
+    sizes = members.groupBy("h", "c").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("h").agg(F.sum("n").alias("n"), F.max(F.struct("n", "c")).alias("top"))
+    parts = lambda n: F.ceil(n / chunk).cast("int")
+    sizes = sizes.select("h", F.col("top.c").alias("top"), parts(F.col("n") - F.col("top.n")).alias("lefts"), parts(F.col("n")).alias("rights"))
+    dealt = members.join(sizes, "h")
+    mine = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    right = dealt.select("node", "h", F.col("c").alias("label"), F.lit(1).alias("side"), others("lefts").alias("i"), mine("rights").alias("j"))
+    left = dealt.where("c <> top").select("node", "h", F.col("c").alias("label"), F.lit(0).alias("side"), mine("lefts").alias("i"), others("rights").alias("j"))
+    tiles = sets.join(left.union(right), "node").select("label", "elements", "h", "side", "i", "j")
 
     def tile(t: pa.Table) -> pa.Table:
-        label, c, i, j = (t.column(x).to_numpy() for x in ("label", "c", "i", "j"))
-        both = overlaps([np.frombuffer(x, np.uint64) for x in t.column("elements").to_pylist()])
-        size = np.diag(both)
-        linked = under * both.astype(np.float64) >= over * (size[:, None] + size[None, :] - both)
-        linked &= label[:, None] != label[None, :]
-        if i[0] != j[0]:  # pairs within a chunk are another tile's
-            linked &= c[:, None] != c[None, :]
-        root = forest(linked)
-        u = np.flatnonzero(root != np.arange(len(label)))
-        return pa.table({"u": pa.array(label[u], pa.int64()), "v": pa.array(label[root[u]], pa.int64())})
+        label, side = t.column("label").to_numpy(), t.column("side").to_numpy()
+        raw = [np.frombuffer(x, np.uint64) for x in t.column("elements").to_pylist()]
+        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        u = v = np.zeros(0, np.int64)
+        if len(x) and len(y):
+            both = overlaps([raw[k] for k in x], [raw[k] for k in y]).astype(np.float64)
+            size = np.array([len(r) for r in raw])
+            ok = under * both >= over * (size[x][:, None] + size[y][None, :] - both)
+            a, b = np.nonzero(ok & (label[x][:, None] != label[y][None, :]))
+            u, v = forest(label[x][a], label[y][b])
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return tiles.groupBy("h", "i", "j").applyInArrow(tile, "u long, v long")
 
