@@ -26,10 +26,10 @@ def _pdf(x: np.ndarray) -> np.ndarray:
     return np.exp(-0.5 * x * x) / math.sqrt(2 * math.pi)
 
 
-def binned_gaussian(edges: np.ndarray, counts: np.ndarray, mean: float, sigma: float, bounds: tuple[float, float], rounds: int = 60):
+def binned_gaussian(edges: np.ndarray, counts: np.ndarray, mean: float, sigma: float, bounds: tuple[float, float], means: tuple[float, float] = (-math.inf, math.inf), rounds: int = 60):
     """Maximum likelihood of a Gaussian integrated over bins and normalised to the histogram's range.
 
-    Fisher scoring with step halving; returns mean, sigma, their covariance and the Poisson deviance, or None.
+    Fisher scoring with step halving, within bounds of sigma and of the mean; returns mean, sigma, their covariance and the Poisson deviance, or None.
     """
     total = counts.sum()
 
@@ -56,7 +56,7 @@ def binned_gaussian(edges: np.ndarray, counts: np.ndarray, mean: float, sigma: f
             return None
         scale = 1.0
         while scale > 1e-6:
-            m, s = mean + scale * step[0], min(max(sigma + scale * step[1], bounds[0]), bounds[1])
+            m, s = min(max(mean + scale * step[0], means[0]), means[1]), min(max(sigma + scale * step[1], bounds[0]), bounds[1])
             new = value(m, s)
             if np.isfinite(new) and new >= best - 1e-12:
                 break
@@ -80,7 +80,9 @@ def gaussian_ctr(df: DataFrame, keys: Sequence[str], value: str, bins_per_fwhm:
     """A Gaussian width fit for each key over histograms at several bin phases: keys and the fields of FIT_SCHEMA.
 
     value is in whole femtoseconds. The bin width is a part of the first guess of the full width, within limits;
-    every phase's histogram holds all values. The phase of the least deviance per degree of freedom is taken. A
+    every phase's histogram holds all values and an empty bin beyond them on either side (five bins at least). The
+    mean stays within a bin of the values, sigma between a fifth of a bin and the greatest of twice the values'
+    range, ten times the first guess and two bins. The phase of the least deviance per degree of freedom is taken. A
     group with too few values, or without any successful phase, has a failure row. Errors are those of the Fisher
     information.
     """
@@ -90,7 +92,7 @@ def gaussian_ctr(df: DataFrame, keys: Sequence[str], value: str, bins_per_fwhm:
     width = F.greatest(F.lit(1), F.rint(F.least(F.lit(most_ps), F.greatest(F.lit(least_ps), F.lit(FWHM) * F.col("scale") / 1000 / bins_per_fwhm)) * 1000)).cast("long")
     plan = s.select(*keys, F.col("center"), F.col("scale"), width.alias("w"), F.explode(F.sequence(F.lit(0), F.lit(phases - 1))).alias("phase"))
     offset = F.floor(F.col("w") * F.col("phase") / phases)
-    bins = d.join(plan, keys).groupBy(*keys, "phase", "center", "scale", "w", F.floor((F.col("v") + offset) / F.col("w")).alias("bin")).agg(F.count("*").alias("n"))
+    bins = d.join(plan, keys).groupBy(*keys, "phase", "center", "scale", "w", F.floor((F.col("v") + offset) / F.col("w")).alias("bin")).agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         r = pdf.iloc[0]
@@ -100,13 +102,18 @@ def gaussian_ctr(df: DataFrame, keys: Sequence[str], value: str, bins_per_fwhm:
             return fail("too few events")
         found = []
         for phase, part in pdf.groupby("phase"):
-            lo, hi = int(part.bin.min()), int(part.bin.max())
+            shift, least, most = int(r.w * phase // phases), int(part.least.min()), int(part.most.max())
+            # an empty bin on either side; none after a greatest value that begins its bin; five bins at least
+            lo, hi = int(part.bin.min()) - 1, int(part.bin.max()) + ((most + shift) % int(r.w) != 0)
+            hi = max(hi, lo + 4)
             counts = np.zeros(hi - lo + 1)
             counts[(part.bin - lo).to_numpy()] = part.n
-            if len(counts) < 3:
-                continue
-            edges = (np.arange(lo, hi + 2) * r.w - (r.w * phase) // phases - r.center) / 1000
-            got = binned_gaussian(edges, counts, 0.0, max(r.scale / 1000, 1e-3), (r.w / 1000 * 1e-2, edges[-1] - edges[0]))
+            edges = (np.arange(lo, hi + 2) * r.w - shift - r.center) / 1000
+            width, start = r.w / 1000, max(r.scale / 1000, 1e-3)
+            narrow = max(0.2 * width, 1e-3)
+            wide = max(2 * (most - least) / 1000, 10 * start, 10 * narrow)
+            means = ((least - r.center) / 1000 - width, (most - r.center) / 1000 + width)
+            got = binned_gaussian(edges, counts, 0.0, max(start, narrow), (narrow, wide), means)
             if got:
                 found.append((got[3] / max(1, len(counts) - 2), got[3], int(phase), len(counts) - 2, got))
         if not found:

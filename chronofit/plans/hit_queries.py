@@ -77,8 +77,11 @@ def d5_coincidences(spark, sf):
 
 def d6_candidate_lists(spark, sf):
     leads = _leads(spark, sf)
-    both = leads.where("channel = 1").select("run_id", "board", F.col("lead").alias("lead_a"), F.lit(0).alias("k")).join(leads.where("channel = 5").select("run_id", "board", F.col("lead").alias("lead_b")), ["run_id", "board"])
-    near = both.where(F.abs(F.col("lead_a") - F.col("lead_b")) <= 60).drop("k")
+    # pairs within 60: an equi-join on buckets of that width
+    bucket = lambda c: F.floor(F.col(c) / 60)
+    first = leads.where("channel = 1").select("run_id", "board", F.col("lead").alias("lead_a")).withColumn("k", bucket("lead_a"))
+    second = leads.where("channel = 5").select("run_id", "board", F.col("lead").alias("lead_b")).withColumn("k", F.explode(F.sequence(bucket("lead_b") - 1, bucket("lead_b") + 1)))
+    near = first.join(second, ["run_id", "board", "k"]).where(F.abs(F.col("lead_a") - F.col("lead_b")) <= 60).drop("k")
     out = P.candidate_lists(near, leads, 7200)
     return out.select("run_id", "board", "lead_a", "lead_b", F.array_join("candidates_a", ",").alias("candidates_a"), F.array_join("candidates_b", ",").alias("candidates_b"))
 

@@ -111,9 +111,12 @@ def assemble(events: DataFrame, traces: DataFrame, skip: int = 0, most: int | No
     cut = events.select("event_id", "order", *(f"path{c}" for c in CHANNELS)).withColumn("_k", F.row_number().over(w) - 1).where(F.col("_k") >= skip)
     cut = cut.where(F.col("_k") < skip + most) if most is not None else cut
     long = cut.select("event_id", "order", F.explode(F.array(*(F.struct(F.lit(c).alias("channel"), F.col(f"path{c}").alias("path")) for c in CHANNELS))).alias("x")).select("event_id", "order", "x.*")
+    # events are numbered on narrow rows; the samples are joined afterwards and never pass a sort of all events
+    good = long.join(traces.select("path", "error"), "path").groupBy("event_id", "order").agg(F.count_if(F.col("error").isNull()).alias("good")).where("good = 4")
+    index = good.withColumn("event_index", F.row_number().over(w) - 1).select("event_id", "order", "event_index")
     body = F.struct("file_id", "sample_count", "gain", "offset", "interval_s", "start_s", "samples")
-    got = long.join(traces.drop("channel"), "path").groupBy("event_id", "order").agg(F.count_if(F.col("error").isNull()).alias("good"), *(F.max_by(F.when(F.col("channel") == c, body), F.when(F.col("channel") == c, 1)).alias(f"ch{c}") for c in CHANNELS)).where("good = 4")
-    return got.withColumn("event_index", F.row_number().over(w) - 1).select("event_index", "event_id", *(f"ch{c}" for c in CHANNELS))
+    full = long.join(index, ["event_id", "order"]).join(traces.drop("channel"), "path")
+    return full.groupBy("event_index", "event_id").agg(*(F.max_by(F.when(F.col("channel") == c, body), F.when(F.col("channel") == c, 1)).alias(f"ch{c}") for c in CHANNELS))
 
 
 def conversion_summary(files: DataFrame, events: DataFrame, written: DataFrame, pairing: str, run_name: str) -> DataFrame:

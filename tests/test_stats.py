@@ -54,6 +54,21 @@ def test_gaussian_fit_recovers_sigma(spark):
     assert not r["b"].success and r["b"].message == "too few events"
 
 
+def test_gaussian_fit_has_empty_bins_beyond_the_values():
+    """Three values of one bin's width: worked out by scanning the likelihood over five bins."""
+    counts = np.array([0.0, 30, 60, 30, 0])
+    edges = np.arange(6) * 10.0 - 25
+    mean, sigma, _, _ = fits.binned_gaussian(edges, counts, 1.0, 8.0, (2.0, 100.0), (-25.0, 25.0))
+    cdf = lambda x: 0.5 * (1 + math.erf(x / math.sqrt(2)))
+
+    def loss(s):
+        p = np.diff([cdf(e / s) for e in edges])
+        return -(counts * np.log(np.maximum(p / p.sum(), 1e-300))).sum()
+
+    grid = np.linspace(4, 12, 4001)
+    assert abs(mean) < 1e-6 and sigma == pytest.approx(grid[np.argmin([loss(s) for s in grid])], abs=4e-3)
+
+
 def test_peak_window_and_photopeak(spark):
     g = np.random.default_rng(5)
     x = np.concatenate([g.normal(200, 30, 400), g.normal(500, 10, 600)])
