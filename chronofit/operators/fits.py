@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from chronofit.functions.timing import FWHM
 
-from .stats import span_scale
+from .stats import replicated, span_scale
 
 _erf = np.vectorize(math.erf, otypes=[float])
 FIT_SCHEMA = "success boolean, n long, mean_ps double, sigma_ps double, ctr_ps double, mean_error_ps double, ctr_error_ps double, deviance double, ndof int, phase int, bin_width_ps double, ctr_spread_ps double, message string"
@@ -127,6 +127,19 @@ def gaussian_ctr(df: DataFrame, keys: Sequence[str], value: str, bins_per_fwhm:
     return bins.groupBy(*keys).applyInPandas(fit, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + (", " if keys else "") + FIT_SCHEMA)
 
 
+def bootstrap_gaussian(df: DataFrame, keys: Sequence[str], row_id: str, value: str, replicates: int = 200, seed: int = 1, **fit) -> DataFrame:
+    """keys, fits, ctr_uncertainty_ps: deviation of the fitted CTR over refits of Poisson(1) replicates.
+
+    value is in whole femtoseconds. Fewer successful refits than ten, or than four in five, give null; a group without values has no row.
+    """
+    keys = list(keys)
+    d = replicated(df, keys, row_id, value, replicates, seed).where("w > 0").select(*keys, "rep", F.col("v").cast("long").alias("v"), F.explode(F.array_repeat(F.lit(1), F.col("w"))).alias("_1"))
+    f = gaussian_ctr(d, [*keys, "rep"], "v", **fit)
+    ok = F.col("success")
+    out = f.groupBy(*keys).agg(F.count_if(ok).alias("fits"), F.stddev_samp(F.when(ok, F.col("ctr_ps"))).alias("u"))
+    return out.select(*keys, "fits", F.when(F.col("fits") >= max(10, math.ceil(0.8 * replicates)), F.col("u")).alias("ctr_uncertainty_ps"))
+
+
 def grid_scan(df: DataFrame, keys: Sequence[str], first: str, second: str, **fit) -> DataFrame:
     """A fit for each parameter of two equally long arrays of times: keys, parameter, efficiency and the fit's fields."""
     keys = list(keys)

@@ -126,6 +126,11 @@ def mean_difference(df: DataFrame, keys: Sequence[str], first: str, second: str)
     return each.groupBy(*keys, "i").agg(F.count("x").alias("n"), F.avg("x").alias("mean"))
 
 
+def drawn_shifts(n: int, draws: int, seed: int) -> list[int]:
+    """0 and up to `draws` different cyclic shifts of n events, from 1 to n - 1, by seed."""
+    return [0, *dict.fromkeys(1 + (seed + 7919 * k) % (n - 1) for k in range(draws))] if n > 1 else [0]
+
+
 def shift_test(df: DataFrame, index: str, first: str, second: str, n: int, shifts: Sequence[int]) -> DataFrame:
     """shift, n, similarity: mean cosine of event i's first row with event (i + shift) mod n's second; shift 0 is the matched mean.
 

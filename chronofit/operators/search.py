@@ -126,15 +126,15 @@ def antisymmetric(first: Column, second: Column) -> Column:
     return F.zip_with(first, second, lambda a, b: a - b)
 
 
-def insensitive_fit(df: DataFrame, keys: Sequence[str], features: str, target: str, c: float, epsilon: float, rounds: int = 60, intercept: bool = False) -> DataFrame:
+def insensitive_fit(df: DataFrame, keys: Sequence[str], features: str, target: str, c: float, epsilon: float | str, rounds: int = 60, intercept: bool = False) -> DataFrame:
     """Linear epsilon-insensitive regression for each key, solved by distributed passes: keys, weights, bias, objective, n.
 
     Minimises |w|^2 / 2 + C sum max(0, |y - xw| - epsilon) by iteratively reweighted least squares on a smoothed
-    loss. Each pass sums weighted normal equations in Spark, one small matrix for each key; the weights, as long as a
+    loss; epsilon is a number or the name of a column. Each pass sums weighted normal equations in Spark, one small matrix for each key; the weights, as long as a
     window, stay on the driver.
     """
     keys = list(keys)
-    d = df.where(F.col(features).isNotNull() & F.col(target).isNotNull()).select(F.to_json(F.struct(*keys)).alias("_key") if keys else F.lit("{}").alias("_key"), *keys, F.col(features).cast("array<double>").alias("x"), F.col(target).cast("double").alias("y"))
+    d = df.where(F.col(features).isNotNull() & F.col(target).isNotNull()).select(F.to_json(F.struct(*keys)).alias("_key") if keys else F.lit("{}").alias("_key"), *keys, F.col(features).cast("array<double>").alias("x"), F.col(target).cast("double").alias("y"), (F.col(epsilon) if isinstance(epsilon, str) else F.lit(epsilon)).cast("double").alias("_e"))
     spark = df.sparkSession
     d = d.persist()
     state: dict[str, np.ndarray] = {}
@@ -149,19 +149,19 @@ def insensitive_fit(df: DataFrame, keys: Sequence[str], features: str, target: s
                     x = np.stack([np.asarray(v, float) for v in part.x])
                     if intercept:
                         x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-                    y = part.y.to_numpy()
+                    y, wide = part.y.to_numpy(), part._e.to_numpy()
                     w = shared.value.get(key)
                     r = y - (x @ w if w is not None else 0.0)
-                    over = np.abs(r) - epsilon
+                    over = np.abs(r) - wide
                     a = np.where(over > 0, 1 / np.maximum(np.abs(r), smooth), 0.0) if w is not None else np.full(len(y), 1.0)
-                    aim = np.where(over > 0, y - np.sign(r) * epsilon, 0.0) if w is not None else y
+                    aim = np.where(over > 0, y - np.sign(r) * wide, 0.0) if w is not None else y
                     got = (x.T @ (a[:, None] * x), x.T @ (a * aim), float(np.maximum(over, 0).sum()), len(y))
                     old = acc.get(key)
                     acc[key] = got if old is None else tuple(p + q for p, q in zip(old, got, strict=True))
             rows = [[k, g.ravel().tolist(), h.tolist(), e, n] for k, (g, h, e, n) in acc.items()]
             yield pd.DataFrame(rows, columns=["_key", "g", "h", "loss", "n"])
 
-        parts = d.select("_key", "x", "y").mapInPandas(run, "_key string, g array<double>, h array<double>, loss double, n long")
+        parts = d.select("_key", "x", "y", "_e").mapInPandas(run, "_key string, g array<double>, h array<double>, loss double, n long")
         flat = parts.select("_key", "loss", "n", F.posexplode(F.concat("g", "h")).alias("i", "v"))
         total = flat.groupBy("_key", "i").agg(F.sum("v").alias("v"), F.sum("loss").alias("loss"), F.sum("n").alias("n"))
         out: dict[str, tuple] = {}
@@ -206,6 +206,28 @@ def predicted(features: Column, weights: Column, bias: Column) -> Column:
     return W.dot(features, weights) + bias
 
 
+def final_evaluation(df: DataFrame, features: str, target: str, fold: str, folds: int, development: Column, c: float, epsilons: Sequence[float], rounds: int = 60) -> DataFrame:
+    """The rows of df with epsilon, split (development or blind), prediction and residual: chosen on folds, refitted, evaluated once.
+
+    Each epsilon is fitted on the development rows outside each fold, all in one pass, and scored by the mean CTR of
+    the folds' own residuals. The best one (the lesser at ties) is fitted again on all development rows; blind rows take
+    part in neither. Rows without features or target are left out, and a null `development` counts as blind. Without
+    development rows, or where no epsilon has a score, nothing is returned.
+    """
+    own = [x for x in df.columns if x not in ("epsilon", "split", "prediction", "residual")]
+    whole = df.select(*own).where(F.col(features).isNotNull() & F.col(target).isNotNull()).withColumn("split", F.when(development, "development").otherwise("blind"))
+    each = whole.where("split = 'development'").select(features, target, fold, F.explode(F.array(*map(F.lit, map(float, epsilons)))).alias("epsilon"))
+    train = each.withColumn("_out", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).where(F.col("_out") != F.col(fold))
+    fit = insensitive_fit(train, ["epsilon", "_out"], features, target, c, "epsilon", rounds)
+    tried = each.join(fit.select("epsilon", F.col("_out").alias(fold), "weights", "bias"), ["epsilon", fold])
+    tried = tried.withColumn("_r", F.col(target) - predicted(F.col(features), F.col("weights"), F.col("bias"))).withColumn("_k", F.lit(1))
+    best = choose(candidate_scores(tried, ["_k"], "epsilon", fold, "_r"), ["_k"], "epsilon").where("selected").select("epsilon").first()
+    whole = whole.withColumn("epsilon", F.lit(best["epsilon"] if best else None).cast("double"))
+    again = insensitive_fit(whole.where("split = 'development' and epsilon is not null"), ["epsilon"], features, target, c, "epsilon", rounds)
+    out = whole.join(again.select("epsilon", "weights", "bias"), "epsilon")
+    return out.withColumn("prediction", predicted(F.col(features), F.col("weights"), F.col("bias"))).withColumn("residual", F.col(target) - F.col("prediction")).drop("weights", "bias")
+
+
 def attribution(df: DataFrame, keys: Sequence[str], arrays: Sequence[str], weights: str) -> DataFrame:
     """keys, i, importance: mean |x w| of each sample over events and detectors, the greatest scaled to 1."""
     keys, each = list(keys), None

@@ -133,13 +133,12 @@ def binned_profile(df: DataFrame, keys: Sequence[str], x: str, y: str, most: int
     return out.where(F.col("n") >= least)
 
 
-def bootstrap_ctr(df: DataFrame, keys: Sequence[str], row_id: str, value: str, replicates: int = 200, seed: int = 1) -> DataFrame:
-    """keys, n, ctr_uncertainty_ps: deviation of CTR over replicates with Poisson(1) weights; null under 3 rows.
+def replicated(df: DataFrame, keys: Sequence[str], row_id: str, value: str, replicates: int, seed: int) -> DataFrame:
+    """keys, row_id, v, rep, w: the finite values with a Poisson(1) weight in each replicate.
 
     The weight of a row in a replicate follows from their hash, so it is the same wherever it is computed. For
     large groups this has the distribution of fixed-size resampling.
     """
-    keys = list(keys)
     v = finite(F.col(value))
     u = F.pmod(F.xxhash64(F.lit(seed), F.col(row_id), F.col("rep")), F.lit(1 << 30)) / float(1 << 30)
     steps, total, p = [], 0.0, math.exp(-1)
@@ -148,7 +147,14 @@ def bootstrap_ctr(df: DataFrame, keys: Sequence[str], row_id: str, value: str, r
         steps.append(total)
         p /= k
     weight = sum(((u >= s).cast("int") for s in steps), F.lit(0))
-    d = df.select(*keys, row_id, v.alias("v")).where("v is not null").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", weight)
+    return df.select(*keys, row_id, v.alias("v")).where("v is not null").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", weight)
+
+
+def bootstrap_ctr(df: DataFrame, keys: Sequence[str], row_id: str, value: str, replicates: int = 200, seed: int = 1) -> DataFrame:
+    """keys, n, ctr_uncertainty_ps: deviation of CTR over replicates with Poisson(1) weights; null under 3 rows."""
+    keys = list(keys)
+    v = finite(F.col(value))
+    d = replicated(df, keys, row_id, value, replicates, seed)
     reps = d.groupBy(*keys, "rep").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("v")).alias("s"), F.sum(F.col("w") * F.col("v") * F.col("v")).alias("q"))
     ctr = F.when(F.col("n") > 1, FWHM * F.sqrt(F.greatest(F.lit(0.0), (F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1))))
     n = df.select(*keys, v.alias("v")).groupBy(*keys).agg(F.count("v").alias("n"))

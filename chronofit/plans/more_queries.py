@@ -58,7 +58,7 @@ A11 = "SELECT count(*) AS n, sum(event_id) AS ids, 0 AS run_index, -1.0 AS bias
 def c9_energy_preselection(spark, sf):
     f = W.basic_features(F.col("mv"), 10, 150.0)
     d = M.detectors(spark, sf).select("detector", "vec_id", *(c.alias(k) for k, c in f.items()))
-    return selection.energy_preselection(d, ["detector"], ["amplitude_mv"], ["noise_mv"], ["trigger_index"], (0, 60), 140.0, bin_mv=10.0, quantile=0.2, half_width=60.0).groupBy("detector").agg(F.count("*").alias("n"))
+    return selection.energy_preselection(d, ["detector"], ["amplitude_mv"], ["noise_mv"], ["trigger_index"], (0, 60), 140.0, bin_mv=10.0, quantile=0.2, half_width=60.0).select("detector", "vec_id", "amplitude_mv", "noise_mv", "trigger_index")
 
 
 def _coincidences(spark, sf):
@@ -111,9 +111,10 @@ E24B = f"WITH {M.RESULTS_SQL}, b AS (SELECT file_id, mode, min(ctr_ps) AS baseli
 
 def e25_bootstrap_fits(spark, sf):
     d = M.results(spark, sf).select("mode", "row_id", "ctr_ps")
-    u = E.bootstrap_ctr(d, ["mode"], "row_id", "ctr_ps", 50)
-    f = fits.gaussian_ctr(d.select("mode", F.rint(F.col("ctr_ps") * 1000).cast("long").alias("v")), ["mode"], "v", most_ps=500.0)
-    return f.select("mode", "success", "n", "ctr_ps").join(u.select("mode", "ctr_uncertainty_ps"), "mode")
+    plain = E.bootstrap_ctr(d, ["mode"], "row_id", "ctr_ps").select("mode", F.col("ctr_uncertainty_ps").alias("plain_uncertainty_ps"))
+    whole = d.select("mode", "row_id", F.rint(F.col("ctr_ps") * 1000).cast("long").alias("v"))
+    f = fits.gaussian_ctr(whole, ["mode"], "v", most_ps=500.0).select("mode", "success", "n", "ctr_ps")
+    return f.join(fits.bootstrap_gaussian(whole, ["mode"], "row_id", "v", most_ps=500.0), "mode", "left").join(plain, "mode", "left")
 
 
 _N = "a5_file_names:A5 a6_pair_by_id:A6 a7_pair_by_rank:A7 a11_scan_events:A11 c9_energy_preselection: d3_fallback_accounting: d5_unpaired: e10_coincidence_accounting: e17_fraction_metrics:E17 e17_fraction_thresholds:E17B e24_best_against_baselines:E24B e25_bootstrap_fits:"

@@ -26,18 +26,18 @@ robust AS (SELECT {key}, n, center, greatest(CASE WHEN mad > 0 THEN 1.4826 * mad
 def a12_schema_union(spark, sf):
     m = M.measurements(spark, sf)
     runs = [m.where(F.col("run_id").like(f"{c}%")) for c in "ANR"]
-    return tables.checked_union(runs).groupBy("run_id").agg(F.count("*").alias("n"))
+    return tables.checked_union(runs)
 
 
-A12 = f"{_M} SELECT run_id, count(*) AS n FROM m GROUP BY 1"
+A12 = f"{_M} SELECT * FROM m"
 
 
 def a13_plain_table(spark, sf):
     d = M.measurements(spark, sf).withColumn("ratio", F.col("duration_a").cast("double") / F.nullif(F.col("duration_b").cast("double"), F.lit(0.0)))
-    return tables.plain(d, ["event_index", "run_id", "ratio"]).groupBy("run_id").agg(F.count("ratio").alias("n"), F.sum("ratio").alias("total"))
+    return tables.plain(d, ["event_index", "run_id", "ratio"])
 
 
-A13 = f"{_M} SELECT run_id, count(duration_a / nullif(duration_b, 0)) AS n, sum(duration_a / nullif(duration_b, 0)) AS total FROM m GROUP BY 1"
+A13 = f"{_M} SELECT event_index, run_id, duration_a / nullif(duration_b, 0) AS ratio FROM m"
 
 
 def a14_codes(spark, sf):
@@ -99,7 +99,7 @@ C4 = f"{_M}, {_robust('alignment_a', floor=2)} SELECT run_id, count(*) AS n, sum
 def c7_photopeak_cohort(spark, sf):
     d = M.measurements(spark, sf).withColumn("noise", F.col("alignment_b") / 10.0)
     out = selection.photopeak_cohort(d, ["run_id"], ["alignment_a"], ["noise"], "alignment_b", (5, 90), z=1.0, bin_mv=20.0, quantile=0.2, half_width=200.0)
-    return out.groupBy("run_id").agg(F.count("*").alias("n"))
+    return out.select("run_id", "event_index", "alignment_a", "alignment_b", "noise")
 
 
 def c10_relative_quality(spark, sf):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from chronofit.functions import extraction as X
 from chronofit.functions import timing as T
 from chronofit.functions import waveform as W
-from chronofit.operators import fits, reports, search, selection
+from chronofit.operators import fits, reports, search, selection, splits
 from chronofit.operators import stats as E
 
 from . import mappings as M
@@ -15,6 +15,8 @@ from . import mappings as M
 LEVELS = [50.0, 100.0, 150.0, 200.0]
 FRACTIONS = [0.2, 0.5, 0.8]
 STEP_PS, START_PS = 100.0, -1600.0
+#: Cyclic shifts that the permutation test draws.
+DRAWS = 200
 _V = "WITH " + M.WAVES_SQL
 #: Position of the first or last rising crossing of {lvl} in {y}, in samples.
 _PAIRS = "list_filter(range(1, len({y})), lambda k: {y}[k] < {lvl} AND {y}[k + 1] >= {lvl})"
@@ -276,10 +278,17 @@ def e14_correlation_table(spark, sf):
 def d21_shift_test(spark, sf):
     d = M.pairs(spark, sf)
     n = d.count()
-    return reports.shift_test(d, "event_index", "mv1", "mv2", n, [0, 1, 2, 5, 11])
+    return reports.shift_test(d, "event_index", "mv1", "mv2", n, reports.drawn_shifts(n, DRAWS, 17))
 
 
-D21 = f"{_V}, s AS (SELECT unnest([0, 1, 2, 5, 11]) AS shift) SELECT shift, count(*) AS n, avg(list_cosine_similarity(a.mv1, b.mv2)) AS similarity FROM pairs a, s JOIN pairs b ON b.event_index = (a.event_index + shift) % (SELECT count(*) FROM pairs) GROUP BY 1"
+def d21_permutation_p(spark, sf):
+    return reports.permutation_p(d21_shift_test(spark, sf))
+
+
+D21 = f"{_V}, s AS (SELECT 0 AS shift UNION SELECT 1 + (17 + 7919 * unnest(range({DRAWS}))) % (SELECT count(*) - 1 FROM pairs)) SELECT shift, count(*) AS n, avg(list_cosine_similarity(a.mv1, b.mv2)) AS similarity FROM pairs a, s JOIN pairs b ON b.event_index = (a.event_index + shift) % (SELECT count(*) FROM pairs) GROUP BY 1"
+
+
+D21B = f"WITH t AS ({D21}), m AS (SELECT similarity AS matched FROM t WHERE shift = 0) SELECT any_value(matched) AS matched, avg(similarity) AS null_mean, any_value(matched) - avg(similarity) AS gain, (1 + count(*) FILTER (WHERE similarity >= matched)) / (1 + count(*)) AS p FROM t, m WHERE shift <> 0"
 
 
 def f2_representative(spark, sf):
@@ -306,7 +315,7 @@ def h3_adaptive_threshold(spark, sf):
 def h6_pair_regression(spark, sf):
     d = M.pairs(spark, sf).join(b19_pair_deltas(spark, sf), "event_index").where("led_ps is not null")
     x = W.subsample(search.antisymmetric(F.col("mv1"), F.col("mv2")), 8)
-    return search.insensitive_fit(d.select(x.alias("x"), "led_ps"), [], "x", "led_ps", 0.01, 20.0, rounds=8).select(F.size("weights").alias("p"), "objective", "n")
+    return search.insensitive_fit(d.select(x.alias("x"), "led_ps"), [], "x", "led_ps", 0.01, 20.0).select(F.size("weights").alias("p"), "objective", "n")
 
 
 def h10_attribution(spark, sf):
@@ -377,12 +386,23 @@ def h5_threshold_study(spark, sf):
     return search.threshold_study(d, ["file_id"], "event_index", "a", "b", 0.3, 0.3, 17, STEP_PS)
 
 
+def h8_refit_evaluation(spark, sf):
+    d = M.pairs(spark, sf).join(b19_pair_deltas(spark, sf), "event_index").where("led_ps is not null")
+    d = splits.holdout(d.withColumn("file_id", F.lit(0)), ["file_id"], "event_index", 0.2, 17)
+    d = splits.folds(d.where("split = 'development'"), ["file_id"], "event_index", 5, 17).unionByName(d.where("split = 'blind'").withColumn("fold", F.lit(None).cast("int")))
+    x = W.subsample(search.antisymmetric(F.col("mv1"), F.col("mv2")), 8)
+    d = d.select("event_index", "fold", (F.col("split") == "development").alias("dev"), x.alias("x"), "led_ps")
+    out = search.final_evaluation(d, "x", "led_ps", "fold", 5, F.col("dev"), 0.01, [5.0, 20.0, 80.0])
+    both = out.select("split", F.lit("led").alias("model"), F.col("led_ps").alias("r"), "epsilon").unionByName(out.select("split", F.lit("corrected").alias("model"), F.col("residual").alias("r"), "epsilon"))
+    return E.residual_metrics(both, ["split", "model", "epsilon"], "r")
+
+
 def h7_threshold_regression(spark, sf):
     x = W.threshold_differences(F.col("mv1"), F.col("mv2"), LEVELS[:3], STEP_PS)
     d = M.pairs(spark, sf).select("event_index", x.alias("x")).join(b19_pair_deltas(spark, sf).where("led_ps is not null"), "event_index")
-    out = search.threshold_regression(d.withColumn("k", F.lit(1)), ["k"], "x", "led_ps", F.col("event_index") % 5 > 0, 1.0, 10.0, rounds=6)
+    out = search.threshold_regression(d.withColumn("k", F.lit(1)), ["k"], "x", "led_ps", F.col("event_index") % 5 > 0, 1.0, 10.0)
     return E.residual_metrics(out.withColumn("split", F.when(F.col("event_index") % 5 > 0, "train").otherwise("test")), ["split"], "residual")
 
 
-_N = "b2_millivolt:B2 b3_basic_features:B3 b4_crop:B4 b5_led_grid:B5 b6_first_crossing:B6 b7_cfd_grid:B7 b8_timing_bundle:B8 b9_reference:B9 b10_anchored_window:B10 b13_low_pass: b15_realigned:B15 b16_relative_slice:B16 b17_concatenated:B17 b19_pair_deltas:B19 b20_factored_target:B20 b21_threshold_differences:B21 b22_pair_swap:B22 b23_shape_features:B23 b24_asymmetric_features:B24 b25_similarity:B25 b26_centred_components:B26 e4_grid_scan: e5_threshold_metrics:E5 e14_correlation_table: e15_error_populations:E15 e15_mean_difference:E15B e18_normalisation:E18 d21_shift_test:D21 f2_representative:F2 f3_regional_importance:F3 h3_adaptive_threshold: h6_pair_regression: h10_attribution:H10 b11_channel_extraction: b12_event_extraction: b14_same_edge_times: b18_mode_view: h4_apply_selection: h5_threshold_study: h7_threshold_regression: c5_photopeak: c6_cut_flow:C6 c8_mismatch_filter:C8"
+_N = "b2_millivolt:B2 b3_basic_features:B3 b4_crop:B4 b5_led_grid:B5 b6_first_crossing:B6 b7_cfd_grid:B7 b8_timing_bundle:B8 b9_reference:B9 b10_anchored_window:B10 b13_low_pass: b15_realigned:B15 b16_relative_slice:B16 b17_concatenated:B17 b19_pair_deltas:B19 b20_factored_target:B20 b21_threshold_differences:B21 b22_pair_swap:B22 b23_shape_features:B23 b24_asymmetric_features:B24 b25_similarity:B25 b26_centred_components:B26 e4_grid_scan: e5_threshold_metrics:E5 e14_correlation_table: e15_error_populations:E15 e15_mean_difference:E15B e18_normalisation:E18 d21_shift_test:D21 d21_permutation_p:D21B f2_representative:F2 f3_regional_importance:F3 h3_adaptive_threshold: h6_pair_regression: h10_attribution:H10 b11_channel_extraction: b12_event_extraction: b14_same_edge_times: b18_mode_view: h4_apply_selection: h5_threshold_study: h7_threshold_regression: h8_refit_evaluation: c5_photopeak: c6_cut_flow:C6 c8_mismatch_filter:C8"
 QUERIES = {n: (globals()[n], globals()[s] if s else None) for n, s in (x.split(":") for x in _N.split())}

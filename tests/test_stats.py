@@ -172,3 +172,43 @@ def test_codes(spark):
     assert [tuple(r) for r in d.select(T.side_code(F.col("s")), T.status_code(F.col("t"))).collect()] == [(0, 0), (1, 255)]
     with pytest.raises(Exception, match="not a side"):
         d.select(T.side_code(F.lit("c"))).collect()
+
+
+def test_epsilon_by_key_is_the_fit_of_that_epsilon(spark):
+    g = np.random.default_rng(21)
+    x = g.normal(0, 1, (80, 2))
+    y = x @ [2.0, -1.0] + g.normal(0, 0.3, 80)
+    d = spark.createDataFrame([(a.tolist(), float(b)) for a, b in zip(x, y)], "x array<double>, y double")
+    both = search.insensitive_fit(d.select("*", F.explode(F.array(F.lit(0.1), F.lit(1.0))).alias("e")), ["e"], "x", "y", 1.0, "e", 25)
+    for r in both.collect():
+        alone = search.insensitive_fit(d, [], "x", "y", 1.0, r.e, 25).first()
+        assert r.weights == pytest.approx(alone.weights, rel=1e-6) and r.objective == pytest.approx(alone.objective, rel=1e-9)
+
+
+def test_final_evaluation_fits_development_rows_and_leaves_blind_ones_alone(spark):
+    g = np.random.default_rng(22)
+    x = g.normal(0, 1, (120, 2))
+    y = x @ [3.0, 1.0] + g.normal(0, 0.2, 120)
+    y[100:] += 50  # blind rows alone are shifted: a fit that saw them would differ
+    rows = [(i, i % 3 if i < 100 else None, i < 100, x[i].tolist(), float(y[i]), "own") for i in range(120)] + [(120, 0, True, None, 1.0, "own"), (121, 0, True, [1.0, 1.0], None, "own")]
+    d = spark.createDataFrame(rows, "id int, fold int, dev boolean, x array<double>, y double, residual string")
+    out = search.final_evaluation(d, "x", "y", "fold", 3, F.col("dev"), 1.0, [0.05, 30.0], 25).toPandas().sort_values("id")
+    assert out.id.tolist() == list(range(120)) and set(out.epsilon) == {0.05} and (out.split == np.where(out.id < 100, "development", "blind")).all()
+    alone = search.insensitive_fit(d.where("dev"), [], "x", "y", 1.0, 0.05, 25).first()
+    assert out.residual.to_numpy() == pytest.approx(y - x @ np.array(alone.weights), abs=1e-6)
+    assert out.residual[out.split == "blind"].mean() > 45
+    assert search.final_evaluation(d.where("not dev"), "x", "y", "fold", 3, F.col("dev"), 1.0, [0.05], 25).count() == 0
+
+
+def test_refit_bootstrap_is_near_the_fit_error(spark):
+    v = np.rint(np.random.default_rng(23).normal(0, 30_000, 600)).astype(int)
+    d = spark.createDataFrame([("a", i, int(x)) for i, x in enumerate(v)] + [("few", 1, 5)], "k string, id long, v long")
+    r = {x.k: x for x in fits.bootstrap_gaussian(d, ["k"], "id", "v", 20).collect()}
+    fit = fits.gaussian_ctr(d.where("k = 'a'"), ["k"], "v").first()
+    assert r["a"].fits >= 16 and 0.4 * fit.ctr_error_ps < r["a"].ctr_uncertainty_ps < 2.5 * fit.ctr_error_ps
+    assert r["few"].fits == 0 and r["few"].ctr_uncertainty_ps is None
+
+
+def test_shifts_are_drawn_between_one_and_n_less_one():
+    s = reports.drawn_shifts(40, 200, 17)
+    assert s[0] == 0 and sorted(s) == list(range(40)) and reports.drawn_shifts(1, 9, 17) == [0] == reports.drawn_shifts(0, 9, 17)
