@@ -158,6 +158,14 @@ FROM p
 """
 
 
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import bpe, secret_scan
+
+    ranks, pattern = bpe.vocabulary(spark)
+    found = secret_scan.find(table(spark, sf_dir, "documents"), ranks, pattern)
+    return found.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 OP4_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -178,7 +186,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe, "op2_paragraphs": op2_paragraphs, "op5_suffix": op5_suffix, "op3_embeddings": op3_embeddings, "op4_minhash": op4_minhash, "op6_html": op6_html,
         "op7_language_id": op7_language_id, "op8_pii": op8_pii, "op9_warc": op9_warc, "op10_decontamination": op10_decontamination,
-        "op11_infill": op11_infill,
+        "op11_infill": op11_infill, "op12_secrets": op12_secrets,
     }
 
 
