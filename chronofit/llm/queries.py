@@ -166,6 +166,23 @@ def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each vector and component; deviation is null where it doesn't fit a long, as it does up to some 10 million vectors."""
+    from . import whitening
+
+    vectors = table(spark, sf_dir, "embeddings")
+    schema = "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double"
+    model = whitening.fit(vectors)
+    if model is None:
+        return spark.createDataFrame([], schema)
+    share = F.array(*(F.lit(float(x)) for x in model.values / model.trace)) if len(model.values) else F.array().cast("array<double>")
+    rows = whitening.transform(vectors, model).select("id", "deviation", F.posexplode("whitened").alias("pos", "whitened"))
+    return rows.select(
+        F.col("id").cast("long").alias("vec_id"), (F.col("pos") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), F.expr("try_cast(deviation as bigint)").alias("deviation"),
+        "whitened", F.get(share, F.col("pos")).alias("explained"), F.lit(whitening.identity_error(vectors, model)).alias("identity_error"),
+    )
+
+
 OP4_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -186,7 +203,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe, "op2_paragraphs": op2_paragraphs, "op5_suffix": op5_suffix, "op3_embeddings": op3_embeddings, "op4_minhash": op4_minhash, "op6_html": op6_html,
         "op7_language_id": op7_language_id, "op8_pii": op8_pii, "op9_warc": op9_warc, "op10_decontamination": op10_decontamination,
-        "op11_infill": op11_infill, "op12_secrets": op12_secrets,
+        "op11_infill": op11_infill, "op12_secrets": op12_secrets, "op13_whitening": op13_whitening,
     }
 
 
