@@ -1,8 +1,7 @@
 """Pulse reconstruction and coincidence matching on edge tables.
 
-Greedy one-to-one matching needs its edges in time order, but never looks beyond the matching window: edges are cut
-into gap components, runs of edges without a gap wider than the window, and components that start near each other are
-packed together for the Arrow step. Range joins are equi-joins on time buckets as wide as the window.
+Greedy one-to-one matching runs in slices of time whose outcome is composed along a board (module matching), so no task
+holds more of a board than a slice. Range joins are equi-joins on time buckets as wide as the window.
 """
 
 from __future__ import annotations
@@ -14,10 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Matching windows in a time bucket. Components that start in one bucket go to a Python call together.
-BUCKET = 1024
-#: Runs of overlapping pulses that go to a Python call together.
-PACK = 4096
+from .lineage import cut
+from .matching import first_in_line, nearest_solver, overlap_solver, sliced_pairs
 
 
 def unique_edges(hits: DataFrame, keys: Sequence[str] = ("run_id", "board", "channel")) -> DataFrame:
@@ -27,57 +24,16 @@ def unique_edges(hits: DataFrame, keys: Sequence[str] = ("run_id", "board", "cha
     return hits.groupBy(*keys, "edge", "toa_lsb", tot.alias("tot_lsb")).agg((F.count("*") - 1).alias("duplicates"), F.min("seq").alias("seq"))
 
 
-def gap_components(df: DataFrame, keys: Sequence[str], time: str, gap: int) -> DataFrame:
-    """Add `component`, the first time of the run that a row belongs to: rows of a key in time order without a gap wider than `gap`.
-
-    Rows are sorted by key and time bucket, so a hot key is spread over its buckets; what passes between buckets is
-    the last time and the last start of each, in a table of one row for each bucket.
-    """
-    keys = list(keys)
-    at = [*keys, "_bucket"]
-    d = df.withColumn("_bucket", F.floor(F.col(time) / (max(1, gap) * BUCKET)))
-    inside, across = Window.partitionBy(*at).orderBy(time), Window.partitionBy(*keys).orderBy("_bucket")
-    last = d.groupBy(*at).agg(F.max(time).alias("_last")).withColumn("_before", F.lag("_last").over(across)).drop("_last")
-    before = F.coalesce(F.lag(time).over(inside), F.col("_before"))
-    d = d.join(last, at).withColumn("_start", F.when(before.isNull() | (F.col(time) - before > gap), F.col(time)))
-    starts = d.groupBy(*at).agg(F.max("_start").alias("_s"))
-    carry = starts.withColumn("_carry", F.last("_s", True).over(across.rowsBetween(Window.unboundedPreceding, -1))).drop("_s")
-    own = F.max("_start").over(inside.rangeBetween(Window.unboundedPreceding, 0))  # rows of one time have one start
-    return d.join(carry, at).withColumn("component", F.coalesce(own, F.col("_carry"))).drop("_bucket", "_before", "_start", "_carry")
-
-
-def _packed(df: DataFrame, keys: Sequence[str], time: str, gap: int) -> DataFrame:
-    """Whole components that start in one stretch of time go together."""
-    return gap_components(df, keys, time, gap).withColumn("pack", F.floor(F.col("component") / (max(1, gap) * BUCKET)))
-
-
 def nearest_pairs(a: np.ndarray, b: np.ndarray, window: int, later_wins: bool = False) -> tuple[list[int], list[int]]:
-    """One-to-one pairs of two ascending lists within a window; the side whose next element is nearer moves on.
-
-    With later_wins the next element of a is also preferred at equal distance.
-    """
-    i = j = 0
-    out_a: list[int] = []
-    out_b: list[int] = []
-    while i < len(a) and j < len(b):
-        d = a[i] - b[j]
-        if d < -window:
-            i += 1
-        elif d > window:
-            j += 1
-        else:
-            d = abs(d)
-            na = abs(a[i + 1] - b[j]) if i + 1 < len(a) else window + 1
-            nb = abs(a[i] - b[j + 1]) if j + 1 < len(b) else window + 1
-            if na <= window and (na < d or later_wins and na == d):
-                i += 1
-            elif nb <= window and nb < d:
-                j += 1
-            else:
-                out_a.append(i)
-                out_b.append(j)
-                i, j = i + 1, j + 1
-    return out_a, out_b
+    """Places of the nearest one-to-one pairs of two ascending lists within a window, as one slice of nearest_solver()."""
+    times = [int(x) for x in (*a, *b)]
+    if not times:
+        return [], []
+    side = lambda x: pd.DataFrame({"t": np.asarray(x, dtype=np.int64)})
+    _, found = nearest_solver(window, later_wins)(side(a), side(b), min(times), max(times) + 1)
+    found = np.asarray(found, dtype=np.int64).reshape(-1, 4)
+    found = found[(found[:, 0] <= 0) & (found[:, 1] >= 0)]
+    return found[:, 2].tolist(), found[:, 3].tolist()
 
 
 def coincidences(pulses: DataFrame, first: int, second: int, window: int, same_board: bool = True) -> DataFrame:
@@ -86,15 +42,10 @@ def coincidences(pulses: DataFrame, first: int, second: int, window: int, same_b
     pulses: run_id, board, channel, lead. With same_board both pulses lie on one board.
     """
     keys = ["run_id", "board"] if same_board else ["run_id"]
-    d = pulses.where(F.col("channel").isin(first, second) & F.col("lead").isNotNull()).select("run_id", F.col("board").alias("own"), *(["board"] if same_board else []), "channel", "lead")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["lead", "own"], kind="stable")
-        a, b = pdf[pdf.channel == first], pdf[pdf.channel == second]
-        i, j = nearest_pairs(a.lead.to_numpy(), b.lead.to_numpy(), window)
-        return pd.DataFrame({"run_id": a.run_id.iloc[i].to_numpy(), "board": a.own.iloc[i].to_numpy(), "board_b": b.own.iloc[j].to_numpy(), "lead_a": a.lead.iloc[i].to_numpy(), "lead_b": b.lead.iloc[j].to_numpy()})
-
-    return _packed(d, keys, "lead", window).groupBy(*keys, "pack").applyInPandas(run, "run_id string, board int, board_b int, lead_a long, lead_b long")
+    d = pulses.where(F.col("channel").isin(first, second) & F.col("lead").isNotNull())
+    d = d.select(*keys, F.col("board").alias("own"), (F.col("channel") == second).cast("int").alias("side"), F.col("lead").alias("t"))
+    found = sliced_pairs(d, keys, ["t", "own"], ["own"], window, nearest_solver(window))
+    return found.select("run_id", F.col("own_a").alias("board"), F.col("own_b").alias("board_b"), F.col("t_a").alias("lead_a"), F.col("t_b").alias("lead_b"))
 
 
 def recorded_pulses(edges: DataFrame, tolerance: int, shortest: int, longest: int, lsb_ratio: float = 1.0) -> DataFrame:
@@ -106,18 +57,21 @@ def recorded_pulses(edges: DataFrame, tolerance: int, shortest: int, longest: in
     keys = ["run_id", "board", "channel"]
     span = F.col("tot_lsb") * lsb_ratio
     trails = edges.where((F.col("edge") == 0) & (F.col("tot_lsb") > 0) & span.between(shortest, longest))
-    want = trails.select(*keys, (F.col("toa_lsb") - F.rint(span)).cast("long").alias("t"), F.lit(0).alias("edge"), F.col("toa_lsb").alias("trail"), "tot_lsb")
-    leads = edges.where("edge = 1").select(*keys, F.col("toa_lsb").alias("t"), F.lit(1).alias("edge"), F.lit(None).cast("long").alias("trail"), F.lit(None).cast("long").alias("tot_lsb"))
+    want = trails.select(*keys, F.lit(1).alias("side"), (F.col("toa_lsb") - F.rint(span)).cast("long").alias("t"), F.col("toa_lsb").alias("trail"), "tot_lsb")
+    leads = edges.where("edge = 1").select(*keys, F.lit(0).alias("side"), F.col("toa_lsb").alias("t"), F.col("toa_lsb").alias("trail"), F.lit(0).cast("long").alias("tot_lsb")).distinct()
+    found = sliced_pairs(leads.unionByName(want), keys, ["t", "trail", "tot_lsb"], ["trail", "tot_lsb"], tolerance, nearest_solver(tolerance, later_wins=True))
+    real = F.col("trail_b") - F.col("t_a")
+    return found.where((real > 0) & real.between(shortest, longest)).select(*keys, F.col("t_a").alias("lead"), F.col("trail_b").alias("trail"), F.col("tot_lsb_b").alias("tot_lsb"), F.abs(F.col("t_a") - F.col("t_b")).alias("residual"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "trail"], kind="stable")
-        a, b = pdf[pdf.edge == 1], pdf[pdf.edge == 0]
-        i, j = nearest_pairs(a.t.to_numpy(), b.t.to_numpy(), tolerance, later_wins=True)
-        out = pd.DataFrame({**{k: a[k].iloc[i].to_numpy() for k in keys}, "lead": a.t.iloc[i].to_numpy(), "trail": b.trail.iloc[j].to_numpy().astype("int64"), "tot_lsb": b.tot_lsb.iloc[j].to_numpy().astype("int64"), "residual": np.abs(a.t.iloc[i].to_numpy() - b.t.iloc[j].to_numpy())})
-        real = out.trail - out.lead
-        return out[(out.lead < out.trail) & (real >= shortest) & (real <= longest)]
 
-    return _packed(leads.unionByName(want), keys, "t", tolerance).groupBy(*keys, "pack").applyInPandas(run, "run_id string, board int, channel int, lead long, trail long, tot_lsb long, residual long")
+def fallback_inputs(edges: DataFrame, taken: DataFrame, missing: bool = True, inconsistent: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The leads and the trails that `taken` leaves free; `missing` takes trails without a duration, `inconsistent` the others left over."""
+    keys = ["run_id", "board", "channel"]
+    free = edges.where("edge = 1").select(*keys, F.col("toa_lsb").alias("lead")).distinct().join(taken.select(*keys, "lead"), [*keys, "lead"], "left_anti")
+    empty = F.col("tot_lsb").isNull() | (F.col("tot_lsb") <= 0)
+    wanted = (empty & F.lit(missing)) | (~empty & F.lit(inconsistent))
+    trails = edges.where("edge = 0").where(wanted).select(*keys, F.col("toa_lsb").alias("trail")).distinct().join(taken.select(*keys, "trail"), [*keys, "trail"], "left_anti")
+    return free.select(*keys, "lead"), trails.select(*keys, "trail")
 
 
 def fallback_pulses(edges: DataFrame, taken: DataFrame, shortest: int, longest: int, missing: bool = True, inconsistent: bool = False) -> DataFrame:
@@ -126,32 +80,12 @@ def fallback_pulses(edges: DataFrame, taken: DataFrame, shortest: int, longest:
     In time order each such trail takes the earliest unused lead from trail - longest to trail - shortest. Leads and
     trails of `taken` are left out. `missing` takes trails without a duration, `inconsistent` the others left over.
     """
-    keys = ["run_id", "board", "channel"]
-    free = edges.where("edge = 1").select(*keys, F.col("toa_lsb").alias("lead")).join(taken.select(*keys, "lead"), [*keys, "lead"], "left_anti")
-    empty = F.col("tot_lsb").isNull() | (F.col("tot_lsb") <= 0)
-    wanted = (empty & F.lit(missing)) | (~empty & F.lit(inconsistent))
-    trails = edges.where("edge = 0").where(wanted).select(*keys, F.col("toa_lsb").alias("trail")).distinct().join(taken.select(*keys, "trail"), [*keys, "trail"], "left_anti")
-    d = free.select(*keys, F.col("lead").alias("t"), F.lit(1).alias("edge")).unionByName(trails.select(*keys, F.col("trail").alias("t"), F.lit(0).alias("edge")))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t", kind="stable")
-        lead, trail = pdf.t[pdf.edge == 1].to_numpy(), pdf.t[pdf.edge == 0].to_numpy()
-        out, i = [], 0
-        for t in trail:
-            while i < len(lead) and lead[i] < t - longest:
-                i += 1
-            if i < len(lead) and lead[i] <= t - shortest:
-                out.append((lead[i], t))
-                i += 1
-        head = pdf.iloc[0]
-        return pd.DataFrame([[*head[keys], *x] for x in out], columns=[*keys, "lead", "trail"])
-
-    return _packed(d, keys, "t", longest).groupBy(*keys, "pack").applyInPandas(run, "run_id string, board int, channel int, lead long, trail long")
+    return first_in_line(*fallback_inputs(edges, taken, missing, inconsistent), ["run_id", "board", "channel"], shortest, longest)
 
 
 def pulse_table(edges: DataFrame, tolerance: int, shortest: int, longest: int, missing: bool = True, inconsistent: bool = False) -> DataFrame:
     """Recorded and fallback pulses together: run_id, board, channel, lead, trail, tot_lsb, source."""
-    recorded = recorded_pulses(edges, tolerance, shortest, longest)
+    recorded = cut(recorded_pulses(edges, tolerance, shortest, longest))
     rest = fallback_pulses(edges, recorded, shortest, longest, missing, inconsistent)
     cols = ["run_id", "board", "channel", "lead", "trail"]
     return recorded.select(*cols, "tot_lsb", F.lit("recorded").alias("source")).unionByName(rest.select(*cols, F.lit(None).cast("long").alias("tot_lsb"), F.lit("fallback").alias("source")))
@@ -241,31 +175,20 @@ def overlap_support(first: DataFrame, second: DataFrame, keys: Sequence[str], lo
     return hit.drop("_bucket").distinct()
 
 
-def overlap_pairs(pulses: DataFrame, first: int, second: int, keys: Sequence[str] = ("run_id", "board")) -> DataFrame:
-    """One-to-one overlapping pulses of two channels: keys, lead_a, trail_a, lead_b, trail_b; on no overlap the earlier end moves on."""
+def overlap_pairs(pulses: DataFrame, first: int, second: int, keys: Sequence[str] = ("run_id", "board"), longest: int | None = None) -> DataFrame:
+    """One-to-one overlapping pulses of two channels: keys, lead_a, trail_a, lead_b, trail_b; on no overlap the earlier end moves on.
+
+    longest is the greatest duration that occurs (longer pulses are an error); without it, it is looked up first.
+    """
     keys = list(keys)
-    d = pulses.where(F.col("channel").isin(first, second)).select(*keys, "channel", "lead", "trail")
-    w = Window.partitionBy(*keys).orderBy("lead", "trail").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("_new", (F.col("lead") > F.max("trail").over(w)).cast("int"))
-    d = d.withColumn("pack", F.floor(F.sum(F.coalesce("_new", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)) / PACK))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["lead", "trail"], kind="stable")
-        a, b = (pdf.loc[pdf.channel == c, ["lead", "trail"]].to_numpy() for c in (first, second))
-        out, i, j = [], 0, 0
-        while i < len(a) and j < len(b):
-            if a[i][0] <= b[j][1] and b[j][0] <= a[i][1]:
-                out.append((*a[i], *b[j]))
-                i, j = i + 1, j + 1
-            elif a[i][1] < b[j][1]:
-                i += 1
-            else:
-                j += 1
-        head = pdf.iloc[0]
-        return pd.DataFrame([[*head[keys], *x] for x in out], columns=[*keys, "lead_a", "trail_a", "lead_b", "trail_b"])
-
-    kinds = {f.name: f.dataType.simpleString() for f in d.schema.fields}
-    return d.groupBy(*keys, "pack").applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", lead_a long, trail_a long, lead_b long, trail_b long")
+    d = pulses.where(F.col("channel").isin(first, second)).select(*keys, (F.col("channel") == second).cast("int").alias("side"), F.col("lead").alias("t"), "trail")
+    if longest is None:
+        d = cut(d)
+        longest = d.agg(F.max(F.col("trail") - F.col("t"))).first()[0] or 0
+    else:
+        d = d.where((F.col("trail") - F.col("t") <= longest) | F.raise_error(F.lit("a pulse is longer than `longest`")).cast("boolean"))
+    found = sliced_pairs(d, keys, ["t", "trail"], ["trail"], longest, overlap_solver(longest))
+    return found.select(*keys, F.col("t_a").alias("lead_a"), "trail_a", F.col("t_b").alias("lead_b"), "trail_b")
 
 
 def overlapping_candidates(overlaps: DataFrame, pulses: DataFrame, window: int, keys: Sequence[str] = ("run_id", "board")) -> DataFrame:

@@ -129,13 +129,13 @@ SELECT DISTINCT a.run_id, a.event_index, a.lead, a.trail FROM p a JOIN p b ON a.
 
 
 def d11_overlap_pairs(spark, sf):
-    return P.overlap_pairs(_pulses(spark, sf), 3, 7)
+    return P.overlap_pairs(_pulses(spark, sf), 3, 7, longest=LONGEST)
 
 
 def d12_overlapping_candidates(spark, sf):
     p = _pulses(spark, sf)
     near = P.coincidences(_leads(spark, sf), 1, 5, NEAR).select("run_id", "board", "lead_a", "lead_b")
-    return P.overlapping_candidates(P.overlap_pairs(p, 3, 7), near, 7200)
+    return P.overlapping_candidates(P.overlap_pairs(p, 3, 7, longest=LONGEST), near, 7200)
 
 
 def d13_trigger_candidates(spark, sf):
