@@ -268,9 +268,9 @@ def overlap_solver(longest: int) -> Callable[[pd.DataFrame, pd.DataFrame, int, i
 
 
 def first_in_line(leads: DataFrame, trails: DataFrame, keys: Sequence[str], shortest: int, longest: int) -> DataFrame:
-    """keys, lead, trail: in time order, each trail takes the earliest lead left that is `shortest` to `longest` before it.
+    """keys, lead, trail, nested: in time order, each trail takes the earliest lead left that is `shortest` to `longest` before it.
 
-    leads: keys, lead; trails: keys, trail. Of a border, what matters is how many of the leads from `longest` before it on
+    nested counts the leads between the two. leads: keys, lead; trails: keys, trail. Of a border, what matters is how many of the leads from `longest` before it on
     are gone. A trail raises that number by one, up to the leads before it; the next border lowers it by those that have
     become too old. A slice of such steps is a shift with limits, whatever the number, so slices compose.
     """
@@ -306,7 +306,7 @@ def first_in_line(leads: DataFrame, trails: DataFrame, keys: Sequence[str], shor
                 out.append((p, k))
                 p += 1
         i, k = np.array(out, dtype=np.int64).reshape(-1, 2).T
-        return pd.DataFrame({**_of_group(pdf, keys, len(i)), "lead": lead[i], "trail": trail[k]})
+        return pd.DataFrame({**_of_group(pdf, keys, len(i)), "lead": lead[i], "trail": trail[k], "nested": np.searchsorted(lead, trail[k]) - i - 1})
 
     states = carried(rows.groupBy(*keys, "slice").applyInPandas(function, f"{kinds}, slice long, fn array<long>"), keys, apply_clamp, compose_clamps)
-    return rows.join(states, [*keys, "slice"]).groupBy(*keys, "slice").applyInPandas(pairs, f"{kinds}, lead long, trail long")
+    return rows.join(states, [*keys, "slice"]).groupBy(*keys, "slice").applyInPandas(pairs, f"{kinds}, lead long, trail long, nested long")

@@ -75,10 +75,11 @@ def fallback_inputs(edges: DataFrame, taken: DataFrame, missing: bool = True, in
 
 
 def fallback_pulses(edges: DataFrame, taken: DataFrame, shortest: int, longest: int, missing: bool = True, inconsistent: bool = False) -> DataFrame:
-    """Longest valid pulses of trails without a usable duration: run_id, board, channel, lead, trail.
+    """Longest valid pulses of trails without a usable duration: run_id, board, channel, lead, trail, nested.
 
     In time order each such trail takes the earliest unused lead from trail - longest to trail - shortest. Leads and
-    trails of `taken` are left out. `missing` takes trails without a duration, `inconsistent` the others left over.
+    trails of `taken` are left out. `missing` takes trails without a duration, `inconsistent` the others left over; nested counts the free leads between
+    the two.
     """
     return first_in_line(*fallback_inputs(edges, taken, missing, inconsistent), ["run_id", "board", "channel"], shortest, longest)
 
@@ -288,20 +289,22 @@ def unpaired(leads: DataFrame, pairs: DataFrame, channel: int, side: str) -> Dat
     return leads.where(F.col("channel") == channel).select("run_id", "board", "lead").distinct().join(used, ["run_id", "board", "lead"], "left_anti")
 
 
-def fallback_accounting(edges: DataFrame, taken: DataFrame, fallback: DataFrame, longest: int) -> DataFrame:
-    """run_id, board, channel, unmatched_trails, too_short (an earlier lead exists), too_long (unused leads before the last trail less `longest`).
+def fallback_accounting(edges: DataFrame, taken: DataFrame, fallback: DataFrame, longest: int, missing: bool = True, inconsistent: bool = False) -> DataFrame:
+    """What the fallback left of the edges that `taken` had left to it, by run_id, board and channel.
 
-    These two look beyond a gap component, so they are counted by board, with one least and one greatest time for each.
+    unmatched_leads, unmatched_trails; too_short: unmatched trails after any of its leads; too_long: unmatched leads more than
+    `longest` before its last trail; nested: leads inside the pulses that it made. Boards without a trail or without a lead
+    for it count neither too_short nor too_long. These look beyond a slice, so they are counted by board, with one
+    least and one greatest time for each.
     """
     keys = ["run_id", "board", "channel"]
-    used = taken.select(*keys, "lead", "trail").unionByName(fallback.select(*keys, "lead", "trail"))
-    leads, trails = edges.where("edge = 1").select(*keys, F.col("toa_lsb").alias("lead")), edges.where("edge = 0").select(*keys, F.col("toa_lsb").alias("trail")).distinct()
-    free_l, free_t = leads.join(used, [*keys, "lead"], "left_anti").select(*keys, "lead"), trails.join(used, [*keys, "trail"], "left_anti").select(*keys, "trail")
+    leads, trails = (cut(x) for x in fallback_inputs(edges, taken, missing, inconsistent))
     first, last = leads.groupBy(*keys).agg(F.min("lead").alias("first")), trails.groupBy(*keys).agg(F.max("trail").alias("last"))
-    t = free_t.join(first, keys, "left").groupBy(*keys).agg(F.count("*").alias("unmatched_trails"), F.count_if(F.col("first") < F.col("trail")).alias("too_short"))
-    n = free_l.join(last, keys).groupBy(*keys).agg(F.count_if(F.col("lead") < F.col("last") - longest).alias("too_long"))
-    out = t.join(n, keys, "full")
-    return out.select(*keys, *(F.coalesce(c, F.lit(0)).alias(c) for c in ("unmatched_trails", "too_short", "too_long")))
+    left = lambda df, c: df.join(fallback.select(*keys, c), [*keys, c], "left_anti")
+    t = left(trails, "trail").join(first, keys, "left").groupBy(*keys).agg(F.count("*").alias("unmatched_trails"), F.count_if(F.col("first") < F.col("trail")).alias("too_short"))
+    n = left(leads, "lead").join(last, keys, "left").groupBy(*keys).agg(F.count("*").alias("unmatched_leads"), F.count_if(F.col("lead") < F.col("last") - longest).alias("too_long"))
+    out = t.join(n, keys, "full").join(fallback.groupBy(*keys).agg(F.sum("nested").alias("nested")), keys, "full")
+    return out.select(*keys, *(F.coalesce(c, F.lit(0)).alias(c) for c in ("unmatched_leads", "unmatched_trails", "too_short", "too_long", "nested")))
 
 
 def coincidence_accounting(pairs: DataFrame, first: DataFrame, second: DataFrame, lists: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from chronofit.functions import waveform as W
 from chronofit.operators import fits, reports, search, selection
 from chronofit.operators import pulses as P
 from chronofit.operators import stats as E
+from chronofit.operators.lineage import cut
 from chronofit.sources import tables, traces
 
 from . import hit_queries as H
@@ -63,14 +64,43 @@ def c9_energy_preselection(spark, sf):
 
 def _coincidences(spark, sf):
     leads = H._leads(spark, sf)
-    pairs = P.coincidences(leads, 1, 5, H.NEAR)
+    pairs = cut(P.coincidences(leads, 1, 5, H.NEAR))
     return leads, pairs
 
 
+#: Leads are distinct on a board, so a lead's partner is its neighbour on either channel; in an unbroken run of candidates every other one counts.
+_PAIRS = f"""{M.HITS_SQL}, t AS (SELECT DISTINCT run_id, board, channel, toa_lsb AS lead FROM hits WHERE edge = 1),
+o AS (SELECT *, row_number() OVER w AS p, lead(lead) OVER w AS nl, lead(channel) OVER w AS nc, lead(lead) OVER (PARTITION BY run_id, board, channel ORDER BY lead) AS own FROM t WHERE channel IN (1, 5) WINDOW w AS (PARTITION BY run_id, board ORDER BY lead, channel)),
+c AS (SELECT *, coalesce(nc <> channel AND nl - lead <= {H.NEAR} AND (own IS NULL OR own - nl >= nl - lead), false) AS candidate FROM o),
+k AS (SELECT *, p - coalesce(max(p) FILTER (WHERE NOT candidate) OVER (PARTITION BY run_id, board ORDER BY p), 0) AS run FROM c),
+pairs AS (SELECT run_id, board, board AS board_b, CASE WHEN channel = 1 THEN lead ELSE nl END AS lead_a, CASE WHEN channel = 1 THEN nl ELSE lead END AS lead_b FROM k WHERE candidate AND run % 2 = 1)"""
+D5 = f"WITH {_PAIRS} SELECT * FROM pairs"
+D5B = f"WITH {_PAIRS} SELECT run_id, board, lead FROM t WHERE channel = 1 AND (run_id, board, lead) NOT IN (SELECT (run_id, board, lead_a) FROM pairs)"
+_LISTS = f"""{_PAIRS}, la AS (SELECT p.run_id, p.board, lead_a, lead_b, list(t.lead ORDER BY t.lead) AS c FROM pairs p JOIN t ON t.run_id = p.run_id AND t.board = p.board AND t.channel = 3 AND t.lead < lead_a AND t.lead > greatest(0, lead_a - {H.TIMING}) GROUP BY 1, 2, 3, 4),
+lb AS (SELECT p.run_id, p.board, lead_a, lead_b, list(t.lead ORDER BY t.lead) AS c FROM pairs p JOIN t ON t.run_id = p.run_id AND t.board = p.board AND t.channel = 7 AND t.lead < lead_b AND t.lead > greatest(0, lead_b - {H.TIMING}) GROUP BY 1, 2, 3, 4),
+lists AS (SELECT run_id, board, lead_a, lead_b, la.c AS a, lb.c AS b FROM la JOIN lb USING (run_id, board, lead_a, lead_b))"""
+D6 = f"WITH {_LISTS} SELECT run_id, board, lead_a, lead_b, array_to_string(a, ',') AS candidates_a, array_to_string(b, ',') AS candidates_b FROM lists"
+E10 = f"""WITH {_LISTS}, n AS (SELECT run_id, count(*) AS pairs FROM pairs GROUP BY 1), x AS (SELECT run_id, count(*) AS kept, sum(len(a) + len(b)) AS candidates, max(greatest(len(a), len(b))) AS most FROM lists GROUP BY 1),
+ua AS (SELECT run_id, count(*) AS n FROM t WHERE channel = 1 AND (run_id, board, lead) NOT IN (SELECT (run_id, board, lead_a) FROM pairs) GROUP BY 1),
+ub AS (SELECT run_id, count(*) AS n FROM t WHERE channel = 5 AND (run_id, board, lead) NOT IN (SELECT (run_id, board, lead_b) FROM pairs) GROUP BY 1),
+r AS (SELECT run_id FROM n UNION SELECT run_id FROM ua UNION SELECT run_id FROM ub)
+SELECT run_id, coalesce(pairs, 0) AS pairs, coalesce(ua.n, 0) AS unpaired_a, coalesce(ub.n, 0) AS unpaired_b, coalesce(pairs, 0) - coalesce(kept, 0) AS without_candidate, coalesce(candidates, 0) AS candidates, coalesce(most, 0) AS most_candidates
+FROM r LEFT JOIN n USING (run_id) LEFT JOIN ua USING (run_id) LEFT JOIN ub USING (run_id) LEFT JOIN x USING (run_id)"""
+
+
+def d6_coincidence_candidates(spark, sf):
+    leads, pairs = _coincidences(spark, sf)
+    out = P.candidate_lists(pairs.select("run_id", "board", "lead_a", "lead_b"), leads, H.TIMING)
+    return out.select("run_id", "board", "lead_a", "lead_b", *(F.array_join(f"candidates_{s}", ",").alias(f"candidates_{s}") for s in "ab"))
+
+
+d5_coincidences = H.d5_coincidences
+
+
 def d3_fallback_accounting(spark, sf):
     e = H._edges(spark, sf)
-    taken = P.recorded_pulses(e, H.TOLERANCE, 1, H.LONGEST)
-    return P.fallback_accounting(e, taken, P.fallback_pulses(e, taken, 1, H.LONGEST, True, True), H.LONGEST)
+    taken = cut(P.recorded_pulses(e, H.TOLERANCE, 1, H.LONGEST))
+    return P.fallback_accounting(e, taken, cut(P.fallback_pulses(e, taken, 1, H.LONGEST, True, True)), H.LONGEST, True, True)
 
 
 def d5_unpaired(spark, sf):
@@ -117,5 +147,5 @@ def e25_bootstrap_fits(spark, sf):
     return f.join(fits.bootstrap_gaussian(whole, ["mode"], "row_id", "v", most_ps=500.0), "mode", "left").join(plain, "mode", "left")
 
 
-_N = "a5_file_names:A5 a6_pair_by_id:A6 a7_pair_by_rank:A7 a11_scan_events:A11 c9_energy_preselection: d3_fallback_accounting: d5_unpaired: e10_coincidence_accounting: e17_fraction_metrics:E17 e17_fraction_thresholds:E17B e24_best_against_baselines:E24B e25_bootstrap_fits:"
+_N = "a5_file_names:A5 a6_pair_by_id:A6 a7_pair_by_rank:A7 a11_scan_events:A11 c9_energy_preselection: d3_fallback_accounting: d5_coincidences:D5 d5_unpaired:D5B d6_coincidence_candidates:D6 e10_coincidence_accounting:E10 e17_fraction_metrics:E17 e17_fraction_thresholds:E17B e24_best_against_baselines:E24B e25_bootstrap_fits:"
 QUERIES = {n: (globals()[n], globals()[s] if s else None) for n, s in (x.split(":") for x in _N.split())}

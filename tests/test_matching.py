@@ -90,7 +90,35 @@ def test_first_in_line(spark, small_slices):
                 left.remove(fit)
     d = spark.createDataFrame(rows, "k int, side int, t long").repartition(6)
     got = matching.first_in_line(d.where("side = 0").select("k", F.col("t").alias("lead")), d.where("side = 1").select("k", F.col("t").alias("trail")), ["k"], 2, 20)
-    assert {tuple(r) for r in got.collect()} == want
+    assert {tuple(r)[:3] for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("flags", [(True, False), (True, True), (False, True)])
+def test_accounting_looks_at_free_edges_only(spark, small_slices, flags):
+    g = random.Random(8)
+    rows, want = [], {}
+    for board in range(3):
+        leads = sorted(set(dense(g, 120, 20, False)))
+        trails = sorted(set(dense(g, 120, 20, False)))
+        durations = {t: g.choice([None, 0, 5, 9, 400]) for t in trails}
+        rows += [("r", board, 1, 1, t, None) for t in leads] + [("r", board, 1, 0, t, durations[t]) for t in trails]
+        taken = [(x[0], y[1]) for x, y in nearest_by_hand([(t, None) for t in leads], sorted((t - q, t) for t, q in durations.items() if q and q <= 20), 2, later=True) if 2 <= y[1] - x[0] <= 20]
+        free = [t for t in leads if t not in {x for x, _ in taken}]
+        line = [t for t in trails if t not in {y for _, y in taken} and flags[bool(durations[t])]]
+        left, made, late = list(free), [], 0
+        for t in line:
+            fit = next((x for x in left if t - 20 <= x <= t - 2), None)
+            if fit is None:
+                late += any(x < t for x in free)
+            else:
+                left.remove(fit)
+                made.append((fit, t))
+        nested = sum(sum(x < y < t for y in free) for x, t in made)
+        want[board] = (len(left), len(line) - len(made), late, sum(x < line[-1] - 20 for x in left) if line else 0, nested)
+    edges = spark.createDataFrame(rows, "run_id string, board int, channel int, edge int, toa_lsb long, tot_lsb long").repartition(5)
+    recorded = pulses.recorded_pulses(edges, 2, 2, 20)
+    got = pulses.fallback_accounting(edges, recorded, pulses.fallback_pulses(edges, recorded, 2, 20, *flags), 20, *flags)
+    assert {r.board: (r.unmatched_leads, r.unmatched_trails, r.too_short, r.too_long, r.nested) for r in got.collect()} == want
 
 
 def test_overlaps(spark, small_slices):
