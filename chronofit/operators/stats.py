@@ -13,64 +13,84 @@ from pyspark.sql import types as T
 
 from chronofit.functions.timing import FWHM
 
+from .lineage import cut
+from .quantiles import counted, finite, quantiles
 
-def finite(x: Column) -> Column:
-    """x, or null where it is NaN or infinite."""
-    x = x.cast("double")
-    return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+
+def _spread(values: DataFrame, q: DataFrame, middle: int) -> DataFrame:
+    """_group, n, q, mad, sq (sum of squares about the mean): the spread of counted values about q[middle]."""
+    off = F.col("v") - F.col("q")[middle]
+    away = values.join(q, "_group").groupBy("_group", "n", "q", F.abs(off).alias("v")).agg(F.sum("w").alias("w"), F.sum(F.col("w") * off).alias("_s"), F.sum(F.col("w") * off * off).alias("_q"))
+    away = cut(away)
+    mad = quantiles(away.select("_group", "v", "w"), [0.5]).select("_group", F.col("q")[0].alias("mad"))
+    moments = away.groupBy("_group", "n", "q").agg(F.sum("_s").alias("_s"), F.sum("_q").alias("_q"))
+    return moments.join(mad, "_group").withColumn("sq", F.greatest(F.lit(0.0), F.col("_q") - F.col("_s") * F.col("_s") / F.col("n"))).drop("_s", "_q")
+
+
+def _robust(values: DataFrame, floor: float) -> DataFrame:
+    """_group, n, center, scale of counted values."""
+    s = _spread(values, quantiles(values, [0.5]), 0)
+    deviation = F.when(F.col("n") > 1, F.sqrt(F.col("sq") / (F.col("n") - 1))).otherwise(0.0)
+    scale = F.when(F.col("mad") > 0, 1.4826 * F.col("mad")).otherwise(deviation)
+    return s.select("_group", "n", F.col("q")[0].alias("center"), F.greatest(scale, F.lit(float(floor))).alias("scale"))
+
+
+def _keys(keys: Sequence[str]) -> list[Column]:
+    return [F.col(f"_group.{k}") for k in keys]
 
 
 def robust_scale(df: DataFrame, keys: Sequence[str], value: str, floor: float = 0.0) -> DataFrame:
-    """keys, n, center, scale: the median, and 1.4826 MAD or, where that is 0, the sample deviation, at least `floor`."""
-    v = F.col(value)
-    center = df.groupBy(*keys).agg(F.count(v).alias("n"), F.percentile(v, 0.5).alias("center"), F.stddev_samp(v).alias("_sd"))
-    mad = df.join(center, list(keys)).groupBy(*keys).agg(F.percentile(F.abs(v - F.col("center")), 0.5).alias("_mad"))
-    scale = F.when(F.col("_mad") > 0, 1.4826 * F.col("_mad")).otherwise(F.coalesce("_sd", F.lit(0.0)))
-    return center.join(mad, list(keys)).select(*keys, "n", "center", F.greatest(scale, F.lit(float(floor))).alias("scale"))
+    """keys, n, center, scale: the median, and 1.4826 MAD or, where that is 0, the sample deviation, at least `floor`.
+
+    Only finite values count; a group without any has no row.
+    """
+    return _robust(cut(counted(df, keys, F.col(value))), floor).select(*_keys(keys), "n", "center", "scale")
 
 
 def span_scale(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """keys, center, scale for fits: the median and half the 15.87 to 84.13 % span, else MAD, else the population deviation, else 1."""
-    v = F.col(value)
-    q = df.groupBy(*keys).agg(F.percentile(v, F.array(F.lit(0.1587), F.lit(0.5), F.lit(0.8413))).alias("q"), F.stddev_pop(v).alias("_sd"))
-    mad = df.join(q, list(keys)).groupBy(*keys).agg(F.percentile(F.abs(v - F.col("q")[1]), 0.5).alias("_mad"))
-    span = (F.col("q")[2] - F.col("q")[0]) / 2
-    scale = F.when(span > 0, span).when(F.col("_mad") > 0, 1.4826 * F.col("_mad")).when(F.col("_sd") > 0, F.col("_sd")).otherwise(1.0)
-    return q.join(mad, list(keys)).select(*keys, F.col("q")[1].alias("center"), scale.alias("scale"))
+    values = cut(counted(df, keys, F.col(value)))
+    s = _spread(values, quantiles(values, [0.1587, 0.5, 0.8413]), 1)
+    span, deviation = (F.col("q")[2] - F.col("q")[0]) / 2, F.sqrt(F.col("sq") / F.col("n"))
+    scale = F.when(span > 0, span).when(F.col("mad") > 0, 1.4826 * F.col("mad")).when(deviation > 0, deviation).otherwise(1.0)
+    return s.select(*_keys(keys), F.col("q")[1].alias("center"), scale.alias("scale"))
 
 
 def clipped_delay(df: DataFrame, keys: Sequence[str], value: str, z: float = 3.5, rounds: int = 8, floor: float = 2.0, minimum: int = 20) -> DataFrame:
     """Sigma-clipped average: keys, mean, deviation, center, scale, n_input, n_kept, rounds; groups under `minimum` have a null mean.
 
-    Each round takes the robust centre and scale of what is kept and keeps, of all rows, those within z scales; a
-    group stops when nothing changes or too few would stay. The loop carries two numbers for each group.
+    Each round takes the robust centre and scale of what is kept and keeps, of all values, those within z scales; a
+    group stops when nothing changes or too few would stay. The rounds run on the counted values, and carry two numbers
+    for each group. Only finite values count.
     """
-    keys = list(keys)
-    n_input = df.groupBy(*keys).agg(F.count(value).alias("n_input"))
-    limits = n_input.select(*keys, F.lit(-float("inf")).alias("low"), F.lit(float("inf")).alias("high"), F.lit(0).alias("rounds"), (F.col("n_input") >= minimum).alias("live"))
-    v = F.col(value)
+    values = cut(counted(df, keys, F.col(value)))
+    everything = df.select(F.struct(F.lit(0).alias("_"), *keys).alias("_group"), finite(F.col(value)).alias("v")).groupBy("_group").agg(F.count("v").alias("n_input"))
+    everything = cut(everything)
+    inf = float("inf")
+    limits = everything.select("_group", F.lit(-inf).alias("low"), F.lit(inf).alias("high"), F.lit(0).alias("rounds"), (F.col("n_input") >= minimum).alias("live"))
+    v = F.col("v")
+    within = lambda low, high: v.between(F.col(low), F.col(high))
     for _ in range(rounds):
-        kept = df.join(limits, keys).where(v.between(F.col("low"), F.col("high")) & F.col("live"))
-        new = robust_scale(kept.select(*keys, value), keys, value, floor)
-        new = new.select(*keys, (F.col("center") - z * F.col("scale")).alias("low2"), (F.col("center") + z * F.col("scale")).alias("high2"))
-        counts = df.join(limits.join(new, keys, "left"), keys).groupBy(*keys).agg(
-            F.count_if(v.between(F.col("low2"), F.col("high2"))).alias("_k"),
-            F.count_if(v.between(F.col("low2"), F.col("high2")) != v.between(F.col("low"), F.col("high"))).alias("_moved"),
+        kept = values.join(limits.where("live"), "_group").where(within("low", "high")).select("_group", "v", "w")
+        new = _robust(kept, floor).select("_group", (F.col("center") - z * F.col("scale")).alias("low2"), (F.col("center") + z * F.col("scale")).alias("high2"))
+        both = limits.join(new, "_group")
+        counts = values.join(both, "_group").groupBy("_group", "low2", "high2").agg(
+            F.sum(F.when(within("low2", "high2"), F.col("w")).otherwise(0)).alias("_k"), F.count_if(within("low2", "high2") != within("low", "high")).alias("_moved")
         )
-        go = F.col("live") & (F.col("_k") >= minimum) & (F.col("_moved") > 0)
-        limits = limits.join(new, keys, "left").join(counts, keys, "left").select(
-            *keys, F.when(go, F.col("low2")).otherwise(F.col("low")).alias("low"), F.when(go, F.col("high2")).otherwise(F.col("high")).alias("high"),
-            (F.col("rounds") + go.cast("int")).alias("rounds"), F.coalesce(go, F.lit(False)).alias("live"),
-        )
-        rows = limits.collect()  # one row for each run and side
-        limits = df.sparkSession.createDataFrame(rows, limits.schema)
-        if not any(r["live"] for r in rows):
+        go = F.coalesce(F.col("live") & (F.col("_k") >= minimum) & (F.col("_moved") > 0), F.lit(False))
+        limits = cut(limits.join(counts, "_group", "left").select(
+            "_group", F.when(go, F.col("low2")).otherwise(F.col("low")).alias("low"), F.when(go, F.col("high2")).otherwise(F.col("high")).alias("high"), (F.col("rounds") + go.cast("int")).alias("rounds"), go.alias("live"),
+        ))
+        if limits.where("live").isEmpty():
             break
-    kept = df.join(limits, keys).where(v.between(F.col("low"), F.col("high"))).select(*keys, value)
-    out = kept.groupBy(*keys).agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("deviation"), F.count(v).alias("n_kept"))
-    out = n_input.join(out, keys, "left").join(robust_scale(kept, keys, value, floor).drop("n"), keys, "left").join(limits.select(*keys, "rounds"), keys)
+    kept = values.join(limits, "_group").where(within("low", "high")).select("_group", "v", "w")
+    mean = F.sum(v * F.col("w")) / F.sum("w")
+    means = kept.groupBy("_group").agg(mean.alias("mean"), F.sum("w").alias("n_kept"))
+    off = v - F.col("mean")
+    spread = kept.join(means, "_group").groupBy("_group").agg(F.sqrt(F.sum(F.col("w") * off * off) / F.nullif(F.sum("w") - 1, F.lit(0))).alias("deviation"))
+    out = everything.join(means, "_group", "left").join(spread, "_group", "left").join(_robust(kept, floor).drop("n"), "_group", "left").join(limits.select("_group", "rounds"), "_group")
     enough = F.col("n_input") >= minimum
-    return out.select(*keys, *(F.when(enough, F.col(c)).alias(c) for c in ("mean", "deviation", "center", "scale")), "n_input", F.coalesce("n_kept", F.lit(0)).alias("n_kept"), "rounds")
+    return out.select(*_keys(keys), *(F.when(enough, F.col(c)).alias(c) for c in ("mean", "deviation", "center", "scale")), "n_input", F.coalesce("n_kept", F.lit(0)).alias("n_kept"), "rounds")
 
 
 def residual_metrics(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -222,10 +242,12 @@ def correlation_table(df: DataFrame, keys: Sequence[str], features: Sequence[str
 
 
 def quantile_summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """keys, n, mean, std, median, q1, q3, p1, p99."""
-    q = F.percentile(F.col(value), F.array(*map(F.lit, (0.5, 0.25, 0.75, 0.01, 0.99))))
-    out = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), q.alias("_q"))
-    return out.select(*keys, "n", "mean", "std", *(F.col("_q")[i].alias(c) for i, c in enumerate(("median", "q1", "q3", "p1", "p99"))))
+    """keys, n, mean, std, median, q1, q3, p1, p99 of the finite values."""
+    v = finite(F.col(value))
+    group = F.struct(F.lit(0).alias("_"), *keys).alias("_group")
+    out = df.select(group, v.alias("v")).groupBy("_group").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"))
+    q = quantiles(cut(counted(df, keys, F.col(value))), (0.5, 0.25, 0.75, 0.01, 0.99)).select("_group", "q")
+    return out.join(q, "_group", "left").select(*_keys(keys), "n", "mean", "std", *(F.col("q")[i].alias(c) for i, c in enumerate(("median", "q1", "q3", "p1", "p99"))))
 
 
 def integer_histogram(df: DataFrame, keys: Sequence[str], value: str, width: int) -> DataFrame:
