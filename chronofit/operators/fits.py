@@ -7,12 +7,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronofit.functions.timing import FWHM
 
-from .stats import replicated, span_scale
+from .lineage import cut
+from .stats import replicate_sums, span_scale
 
 _erf = np.vectorize(math.erf, otypes=[float])
 FIT_SCHEMA = "success boolean, n long, mean_ps double, sigma_ps double, ctr_ps double, mean_error_ps double, ctr_error_ps double, deviance double, ndof int, phase int, bin_width_ps double, ctr_spread_ps double, message string"
@@ -88,11 +89,24 @@ def gaussian_ctr(df: DataFrame, keys: Sequence[str], value: str, bins_per_fwhm:
     """
     keys = list(keys)
     d = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("long").alias("v"))
-    s = span_scale(d, keys, "v")
+    plan = _bin_plan(d, keys, bins_per_fwhm, least_ps, most_ps).withColumn("phase", F.explode(F.sequence(F.lit(0), F.lit(phases - 1))))
+    bins = d.join(plan, keys).groupBy(*keys, "phase", "center", "scale", "w", _bin(F.col("phase"), phases).alias("bin")).agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
+    return _fit_bins(bins, keys, phases, min_events)
+
+
+def _bin_plan(d: DataFrame, keys: Sequence[str], bins_per_fwhm: float, least_ps: float, most_ps: float) -> DataFrame:
+    """keys, center, scale and w, the bin width in whole femtoseconds."""
     width = F.greatest(F.lit(1), F.rint(F.least(F.lit(most_ps), F.greatest(F.lit(least_ps), F.lit(FWHM) * F.col("scale") / 1000 / bins_per_fwhm)) * 1000)).cast("long")
-    plan = s.select(*keys, F.col("center"), F.col("scale"), width.alias("w"), F.explode(F.sequence(F.lit(0), F.lit(phases - 1))).alias("phase"))
-    offset = F.floor(F.col("w") * F.col("phase") / phases)
-    bins = d.join(plan, keys).groupBy(*keys, "phase", "center", "scale", "w", F.floor((F.col("v") + offset) / F.col("w")).alias("bin")).agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
+    return span_scale(d, keys, "v").select(*keys, "center", "scale", width.alias("w"))
+
+
+def _bin(phase: Column, phases: int) -> Column:
+    return F.floor((F.col("v") + F.floor(F.col("w") * phase / phases)) / F.col("w"))
+
+
+def _fit_bins(bins: DataFrame, keys: Sequence[str], phases: int, min_events: int) -> DataFrame:
+    """A fit of each key's histograms: keys, phase, center, scale, w, bin, n, least, most."""
+    keys = list(keys)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         r = pdf.iloc[0]
@@ -123,18 +137,28 @@ def gaussian_ctr(df: DataFrame, keys: Sequence[str], value: str, bins_per_fwhm:
         return pd.DataFrame([[*r[keys], True, n, m + r.center / 1000, sigma, FWHM * sigma, math.sqrt(max(cov[0, 0], 0)), FWHM * math.sqrt(max(cov[1, 1], 0)), deviance, ndof, phase, r.w / 1000, spread, ""]], columns=columns)
 
     columns = [*keys, *(x.split()[0] for x in FIT_SCHEMA.split(", "))]
-    kinds = {f.name: f.dataType.simpleString() for f in d.schema.fields}
+    kinds = {f.name: f.dataType.simpleString() for f in bins.schema.fields}
     return bins.groupBy(*keys).applyInPandas(fit, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + (", " if keys else "") + FIT_SCHEMA)
 
 
-def bootstrap_gaussian(df: DataFrame, keys: Sequence[str], row_id: str, value: str, replicates: int = 200, seed: int = 1, **fit) -> DataFrame:
+def bootstrap_gaussian(
+    df: DataFrame, keys: Sequence[str], row_id: str, value: str, replicates: int = 200, seed: int = 1, bins_per_fwhm: float = 10, least_ps: float = 1.0, most_ps: float = 25.0, phases: int = 8, min_events: int = 100
+) -> DataFrame:
     """keys, fits, ctr_uncertainty_ps: deviation of the fitted CTR over refits of Poisson(1) replicates.
 
-    value is in whole femtoseconds. Fewer successful refits than ten, or than four in five, give null; a group without values has no row.
+    value is in whole femtoseconds. Every replicate is fitted over the bins of the group itself, at all phases, so what is shuffled
+    are counts of replicates by bins. Fewer successful refits than ten, or than four in five, give null; a group without
+    values has no row.
     """
     keys = list(keys)
-    d = replicated(df, keys, row_id, value, replicates, seed).where("w > 0").select(*keys, "rep", F.col("v").cast("long").alias("v"), F.explode(F.array_repeat(F.lit(1), F.col("w"))).alias("_1"))
-    f = gaussian_ctr(d, [*keys, "rep"], "v", **fit)
+    d = df.where(F.col(value).isNotNull()).select(*keys, F.col(row_id).alias("_id"), F.col(value).cast("long").alias("v"))
+    plan = cut(_bin_plan(d, keys, bins_per_fwhm, least_ps, most_ps))
+    wide = 1 << 40  # bins of a phase
+    cells = [F.lit(phase * wide) + _bin(F.lit(phase), phases) + wide // 2 for phase in range(phases)]
+    reps = replicate_sums(d.join(plan.select(*keys, "w"), keys), keys, F.xxhash64(F.lit(seed), "_id"), F.lit(1.0), replicates, cells)
+    ends = d.groupBy(*keys).agg(F.min("v").alias("least"), F.max("v").alias("most"))
+    bins = reps.where("n > 0").join(plan.join(ends, keys), keys).select(*keys, "rep", F.floor(F.col("cell") / wide).alias("phase"), "center", "scale", "w", (F.col("cell") % wide - wide // 2).alias("bin"), "n", "least", "most")
+    f = _fit_bins(bins, [*keys, "rep"], phases, min_events)
     ok = F.col("success")
     out = f.groupBy(*keys).agg(F.count_if(ok).alias("fits"), F.stddev_samp(F.when(ok, F.col("ctr_ps"))).alias("u"))
     return out.select(*keys, "fits", F.when(F.col("fits") >= max(10, math.ceil(0.8 * replicates)), F.col("u")).alias("ctr_uncertainty_ps"))

@@ -153,33 +153,76 @@ def binned_profile(df: DataFrame, keys: Sequence[str], x: str, y: str, most: int
     return out.where(F.col("n") >= least)
 
 
-def replicated(df: DataFrame, keys: Sequence[str], row_id: str, value: str, replicates: int, seed: int) -> DataFrame:
-    """keys, row_id, v, rep, w: the finite values with a Poisson(1) weight in each replicate.
+#: Groups whose replicate sums a task holds before it passes them on.
+HELD_GROUPS = 256
+_POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
 
-    The weight of a row in a replicate follows from their hash, so it is the same wherever it is computed. For
-    large groups this has the distribution of fixed-size resampling.
+
+def poisson_weights(hashes: np.ndarray, replicates: int) -> np.ndarray:
+    """Poisson(1) weights, rows x replicates, that follow from each row's hash and the replicate alone."""
+    step = (np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+    x = hashes.astype(np.int64).view(np.uint64)[:, None] + step
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return np.searchsorted(_POISSON, (x ^ (x >> np.uint64(31))) / 2.0**64, side="right").astype(np.int64)
+
+
+def replicate_sums(df: DataFrame, keys: Sequence[str], hashed: Column, value: Column, replicates: int, cells: Sequence[Column] = ()) -> DataFrame:
+    """keys, cell, rep, n, s, q: in every replicate, the sums of weights, weighted values and weighted squares of each cell of each group.
+
+    A row counts once for each of `cells` (whole numbers; without any, for cell 0), with the same Poisson(1) weight in all of them.
+    For large groups that has the distribution of fixed-size resampling. A task adds up its rows in one table of cells by
+    replicates and passes on only that, so the shuffle doesn't grow with the rows.
     """
-    v = finite(F.col(value))
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col(row_id), F.col("rep")), F.lit(1 << 30)) / float(1 << 30)
-    steps, total, p = [], 0.0, math.exp(-1)
-    for k in range(1, 12):
-        total += p
-        steps.append(total)
-        p /= k
-    weight = sum(((u >= s).cast("int") for s in steps), F.lit(0))
-    return df.select(*keys, row_id, v.alias("v")).where("v is not null").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", weight)
+    keys, parts = list(keys), list(cells) or [F.lit(0).cast("long")]
+    d = df.select(*keys, hashed.alias("_h"), value.cast("double").alias("_v"), *(c.cast("long").alias(f"_c{i}") for i, c in enumerate(parts))).where("_v is not null")
+    names = [f"_c{i}" for i in range(len(parts))]
+
+    def run(frames):
+        held: dict[tuple, dict[int, np.ndarray]] = {}
+
+        def passed_on():
+            for key, table in held.items():
+                for cell, sums in table.items():
+                    yield pd.DataFrame({**{k: pd.Series([x], dtype=object) for k, x in zip(keys, key, strict=True)}, "cell": [cell], **{c: [row] for c, row in zip("nsq", sums, strict=True)}})
+            held.clear()
+
+        for pdf in frames:
+            for key, part in pdf.groupby(keys, dropna=False) if keys else [((), pdf)]:
+                v = part["_v"].to_numpy(float)
+                for lo in range(0, len(part), 4096):
+                    x = v[lo : lo + 4096, None]
+                    w = poisson_weights(part["_h"].to_numpy()[lo : lo + 4096], replicates)
+                    table = held.setdefault(tuple(None if y != y else y for y in key), {})
+                    for name in names:
+                        cell = part[name].to_numpy()[lo : lo + 4096]
+                        order = np.argsort(cell, kind="stable")
+                        found, first = np.unique(cell[order], return_index=True)
+                        sums = [np.add.reduceat(y[order], first, axis=0) for y in (w.astype(float), w * x, w * x * x)]
+                        for i, c in enumerate(found.tolist()):
+                            table[c] = table.get(c, 0) + np.stack([y[i] for y in sums])
+            if len(held) > HELD_GROUPS:
+                yield from passed_on()
+        yield from passed_on()
+
+    kinds = {f.name: f.dataType.simpleString() for f in d.schema.fields}
+    made = d.mapInPandas(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "cell long, n array<double>, s array<double>, q array<double>"]))
+    rows = made.select(*keys, "cell", F.posexplode(F.arrays_zip("n", "s", "q")).alias("rep", "x"))
+    return rows.groupBy(*keys, "cell", "rep").agg(*(F.sum(f"x.{c}").alias(c) for c in "nsq"))
 
 
 def bootstrap_ctr(df: DataFrame, keys: Sequence[str], row_id: str, value: str, replicates: int = 200, seed: int = 1) -> DataFrame:
     """keys, n, ctr_uncertainty_ps: deviation of CTR over replicates with Poisson(1) weights; null under 3 rows."""
     keys = list(keys)
-    v = finite(F.col(value))
-    d = replicated(df, keys, row_id, value, replicates, seed)
-    reps = d.groupBy(*keys, "rep").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("v")).alias("s"), F.sum(F.col("w") * F.col("v") * F.col("v")).alias("q"))
+    group = F.struct(F.lit(0).alias("_"), *keys).alias("_group")
+    d = df.select(group, F.col(row_id).alias("_id"), finite(F.col(value)).alias("v"))
+    whole = d.groupBy("_group").agg(F.count("v").alias("n"), F.avg("v").alias("_mean"))
+    # about the group's mean, so that squares don't lose the spread
+    near = d.join(whole.select("_group", "_mean"), "_group").select(*(F.col(f"_group.{k}") for k in keys), "_id", (F.col("v") - F.col("_mean")).alias("v"))
+    reps = replicate_sums(near, keys, F.xxhash64(F.lit(seed), "_id"), F.col("v"), replicates)
     ctr = F.when(F.col("n") > 1, FWHM * F.sqrt(F.greatest(F.lit(0.0), (F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1))))
-    n = df.select(*keys, v.alias("v")).groupBy(*keys).agg(F.count("v").alias("n"))
-    out = reps.withColumn("ctr", ctr).groupBy(*keys).agg(F.stddev_samp("ctr").alias("u"))
-    return n.join(out, keys, "left").select(*keys, "n", F.when(F.col("n") >= 3, F.col("u")).alias("ctr_uncertainty_ps"))
+    out = reps.withColumn("ctr", ctr).groupBy(group).agg(F.stddev_samp("ctr").alias("u"))
+    return whole.join(out, "_group", "left").select(*(F.col(f"_group.{k}") for k in keys), "n", F.when(F.col("n") >= 3, F.col("u")).alias("ctr_uncertainty_ps"))
 
 
 def student_two_sided(t: float, dof: float) -> float:

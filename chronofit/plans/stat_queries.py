@@ -158,7 +158,7 @@ E3B = f"{_M} SELECT run_id, median(timing_lsb) AS center, (quantile_cont(timing_
 
 
 def e6_bootstrap(spark, sf):
-    return E.bootstrap_ctr(M.measurements(spark, sf), ["run_id"], "event_index", "alignment_b", 100)
+    return E.bootstrap_ctr(M.measurements(spark, sf), ["run_id"], "event_index", "alignment_b")
 
 
 def e7_compatible_groups(spark, sf):

@@ -87,3 +87,27 @@ def test_splits_are_those_of_the_sorted_hashes(spark, monkeypatch, size):
     three = {(r.k, r.i): r.split for r in splits.three_way(df.where("k = 'a'"), ["k"], "i", 0.2, 0.25, 9).collect()}
     assert [three["a", i] for i in order["a"]] == ["blind"] * 41 + ["validation"] * 40 + ["train"] * 122
     assert splits.folds(df, [], "i", 2, 9).groupBy("fold").count().where("count = 109").count() == 2
+
+
+@pytest.mark.parametrize("held", [0, 256])
+def test_replicate_sums_are_those_of_the_weights(spark, monkeypatch, held):
+    monkeypatch.setattr(E, "HELD_GROUPS", held)
+    g = np.random.default_rng(3)
+    rows = [(k, i, float(x)) for k in ("a", "b", None) for i, x in enumerate(g.normal(size=300))] + [("a", 999, None)]
+    df = spark.createDataFrame(rows, "k string, i long, x double").repartition(3)
+    cells = [F.floor(F.col("x")), F.floor(F.col("x") * 2) + 100]
+    got = {(r.k, r.cell, r.rep): (r.n, r.s, r.q) for r in E.replicate_sums(df, ["k"], F.xxhash64("i"), F.col("x"), 7, cells).collect()}
+    hashes = {r.i: r.h for r in df.select("i", F.xxhash64("i").alias("h")).collect()}
+    want = {}
+    for k, i, x in rows:
+        if x is None:
+            continue
+        w = E.poisson_weights(np.array([hashes[i]]), 7)[0]
+        for cell in (math.floor(x), math.floor(2 * x) + 100):
+            for rep in range(7):
+                n, s, q = want.get((k, cell, rep), (0, 0, 0))
+                want[k, cell, rep] = (n + w[rep], s + w[rep] * x, q + w[rep] * x * x)
+    assert got.keys() == want.keys() and all(np.allclose(got[c], want[c]) for c in want)
+    weights = E.poisson_weights(g.integers(-(2**63), 2**63 - 1, 20_000), 50)
+    assert abs(weights.mean() - 1) < 0.01 and abs(weights.var() - 1) < 0.02 and abs((weights == 0).mean() - math.exp(-1)) < 0.005
+    assert abs(np.corrcoef(weights[:, 0], weights[:, 1])[0, 1]) < 0.03
