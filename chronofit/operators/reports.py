@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stats import finite
+from .lineage import cut
+from .stats import finite, quantile_summary
 
 #: What makes runs compatible.
 GROUP = ("voltage", "acquisition_mode", "energy_threshold_mv", "timing_threshold_mv")
@@ -127,23 +131,96 @@ def mean_difference(df: DataFrame, keys: Sequence[str], first: str, second: str)
 
 
 def drawn_shifts(n: int, draws: int, seed: int) -> list[int]:
-    """0 and up to `draws` different cyclic shifts of n events, from 1 to n - 1, by seed."""
-    return [0, *dict.fromkeys(1 + (seed + 7919 * k) % (n - 1) for k in range(draws))] if n > 1 else [0]
+    """0 and `draws` different cyclic shifts of n events (all n - 1 where there are no more), drawn by sha256(seed|k) for k = 0, 1, ..."""
+    out = {0: None}
+    k = 0
+    while len(out) <= min(draws, n - 1):
+        out[1 + int(hashlib.sha256(f"{seed}|{k}".encode()).hexdigest()[:8], 16) % (n - 1)] = None
+        k += 1
+    return list(out)
 
 
-def shift_test(df: DataFrame, index: str, first: str, second: str, n: int, shifts: Sequence[int]) -> DataFrame:
-    """shift, n, similarity: mean cosine of event i's first row with event (i + shift) mod n's second; shift 0 is the matched mean.
+#: Swaps of a bijection, in each direction.
+SWAPS = 16
+
+
+def partner(i: Column, draw: Column, n: int, seed: int) -> Column:
+    """Another event of 0..n-1 for event i: for each draw a bijection without fixed points, computed from i alone; n > 1.
 
-    Vectors are made unit length once; each shift is an equi-join, so the work is events x shifts.
+    A chain of swaps scatters the events, the place after the next one is taken, and the chain is undone. In a swap, x and
+    its mirror (k - x) mod n change places or not, as a hash of the greater of them says.
+    """
+
+    def number(*parts: Column) -> Column:
+        return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *(p.cast("string") for p in parts))), 1, 7), 16, 10).cast("long")
+
+    def swapped(x: Column, r: Column) -> Column:
+        mirror = F.pmod(number(draw, r) - x, F.lit(n))
+        return F.when(number(draw, r, F.greatest(x, mirror)) % 2 == 0, mirror).otherwise(x)
+
+    there = F.aggregate(F.sequence(F.lit(0), F.lit(SWAPS - 1)), i.cast("long"), swapped)
+    return F.aggregate(F.sequence(F.lit(SWAPS - 1), F.lit(0), F.lit(-1)), F.pmod(there + 1, F.lit(n)).cast("long"), swapped)
+
+
+def random_pairs(events: DataFrame, index: str, n: int, draws: int, seed: int) -> DataFrame:
+    """draw, i, j: every event with its partner of each draw; none where n < 2."""
+    d = events.select(F.col(index).cast("long").alias("i"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+    return d.where(F.lit(n > 1)).select("draw", "i", partner(F.col("i"), F.col("draw"), max(n, 2), seed).alias("j"))
+
+
+#: Events of a block when pairs of waveforms are compared.
+PAIR_BLOCK = 2048
+
+
+def pair_similarity(df: DataFrame, index: str, first: str, second: str, pairs: DataFrame) -> DataFrame:
+    """draw, i, j, similarity: cosine of event i's first row with event j's second, for pairs (draw, i, j); zero rows have none.
+
+    A waveform goes once to each block of partners that it has, however many draws pair it there, and a task holds two
+    blocks of waveforms and the pairs between them.
     """
     from chronofit.functions.waveform import dot
 
-    unit = lambda c: F.transform(F.col(c), lambda x: x / F.sqrt(dot(F.col(c), F.col(c))))
-    ok = lambda c: dot(F.col(c), F.col(c)) > 0
-    a = df.where(ok(first)).select(F.col(index).alias("i"), unit(first).alias("a"))
-    b = df.where(ok(second)).select(F.col(index).alias("j"), unit(second).alias("b"))
-    s = a.withColumn("shift", F.explode(F.array(*map(F.lit, shifts)))).withColumn("j", (F.col("i") + F.col("shift")) % n)
-    return s.join(b, "j").groupBy("shift").agg(F.count("*").alias("n"), F.avg(dot(F.col("a"), F.col("b"))).alias("similarity"))
+    block = lambda c: F.floor(F.col(c) / PAIR_BLOCK)
+    narrow = pairs.select("draw", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).withColumn("bi", block("i")).withColumn("bj", block("j"))
+
+    def side(column: str, own: str) -> DataFrame:
+        unit = F.transform(F.col(column), lambda x: x / F.sqrt(dot(F.col(column), F.col(column))))
+        rows = df.where(dot(F.col(column), F.col(column)) > 0).select(F.col(index).cast("long").alias(own), unit.alias("x"))
+        return rows.join(narrow.select(own, "bi", "bj").distinct(), own)
+
+    none = F.lit(None).cast("long")
+    a = side(first, "i").select("bi", "bj", F.lit(None).cast("int").alias("draw"), "i", none.alias("j"), "x")
+    b = side(second, "j").select("bi", "bj", F.lit(None).cast("int").alias("draw"), none.alias("i"), "j", "x")
+    rows = a.unionByName(b).unionByName(narrow.select("bi", "bj", F.col("draw").cast("int").alias("draw"), "i", "j", F.lit(None).cast("array<double>").alias("x")))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        wanted, have = pdf[pdf.draw.notna()], pdf[pdf.draw.isna()]
+        a, b = have[have.i.notna()].sort_values("i"), have[have.j.notna()].sort_values("j")
+        ids = [a.i.to_numpy(np.int64), b.j.to_numpy(np.int64)]
+        draw, ends = wanted.draw.to_numpy(np.int64), [wanted.i.to_numpy(np.int64), wanted.j.to_numpy(np.int64)]
+        if not (len(a) and len(b)):
+            draw, ends = draw[:0], [e[:0] for e in ends]
+        at = [np.searchsorted(x, e) for x, e in zip(ids, ends, strict=True)]
+        ok = np.logical_and.reduce([x[np.minimum(p, len(x) - 1)] == e for x, p, e in zip(ids, at, ends, strict=True)]) if len(draw) else np.zeros(0, bool)
+        x, y = (np.stack(s.x.to_list()) if len(s) else np.zeros((0, 1)) for s in (a, b))
+        p, q = at[0][ok], at[1][ok]
+        found = [np.einsum("ij,ij->i", x[p[k : k + 8192]], y[q[k : k + 8192]]) for k in range(0, len(p), 8192)]
+        return pd.DataFrame({"draw": draw[ok], "i": ends[0][ok], "j": ends[1][ok], "similarity": np.concatenate(found) if found else np.zeros(0)})
+
+    return rows.groupBy("bi", "bj").applyInPandas(run, "draw int, i long, j long, similarity double")
+
+
+def shift_test(df: DataFrame, index: str, first: str, second: str, n: int, shifts: Sequence[int]) -> DataFrame:
+    """shift, n, similarity: mean cosine of event i's first row with event (i + shift) mod n's second; shift 0 is the matched mean."""
+    pairs = df.select(F.col(index).alias("i"), F.explode(F.array(*map(F.lit, shifts))).alias("draw")).withColumn("j", (F.col("i") + F.col("draw")) % n)
+    return pair_similarity(df, index, first, second, pairs).groupBy(F.col("draw").alias("shift")).agg(F.count("*").alias("n"), F.avg("similarity").alias("similarity"))
+
+
+def similarity_distribution(df: DataFrame, index: str, first: str, second: str, n: int, draws: int = 20, seed: int = 1) -> DataFrame:
+    """kind (matched or random), n, mean, std, median, q1, q3, p1, p99 of the cosines of events with themselves and with drawn partners."""
+    own = df.select(F.lit(0).alias("draw"), F.col(index).alias("i"), F.col(index).alias("j"))
+    both = pair_similarity(df, index, first, second, own.unionByName(random_pairs(df, index, n, draws, seed)))
+    return quantile_summary(cut(both).withColumn("kind", F.when(F.col("draw") == 0, "matched").otherwise("random")), ["kind"], "similarity")
 
 
 def permutation_p(table: DataFrame) -> DataFrame:

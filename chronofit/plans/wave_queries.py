@@ -285,12 +285,28 @@ def d21_permutation_p(spark, sf):
     return reports.permutation_p(d21_shift_test(spark, sf))
 
 
-D21 = f"{_V}, s AS (SELECT 0 AS shift UNION SELECT 1 + (17 + 7919 * unnest(range({DRAWS}))) % (SELECT count(*) - 1 FROM pairs)) SELECT shift, count(*) AS n, avg(list_cosine_similarity(a.mv1, b.mv2)) AS similarity FROM pairs a, s JOIN pairs b ON b.event_index = (a.event_index + shift) % (SELECT count(*) FROM pairs) GROUP BY 1"
+_SHIFTS = f"s AS (SELECT 0 AS shift UNION ALL SELECT shift FROM (SELECT shift, min(k) AS k FROM (SELECT k, 1 + ('0x' || substr(sha256('17|' || k), 1, 8))::BIGINT % (SELECT count(*) - 1 FROM pairs) AS shift FROM (SELECT unnest(range(100000)) AS k)) GROUP BY 1 ORDER BY k LIMIT {DRAWS}))"
+D21 = f"{_V}, {_SHIFTS} SELECT shift, count(*) AS n, avg(list_cosine_similarity(a.mv1, b.mv2)) AS similarity FROM pairs a, s JOIN pairs b ON b.event_index = (a.event_index + shift) % (SELECT count(*) FROM pairs) GROUP BY 1"
 
 
 D21B = f"WITH t AS ({D21}), m AS (SELECT similarity AS matched FROM t WHERE shift = 0) SELECT any_value(matched) AS matched, avg(similarity) AS null_mean, any_value(matched) - avg(similarity) AS gain, (1 + count(*) FILTER (WHERE similarity >= matched)) / (1 + count(*)) AS p FROM t, m WHERE shift <> 0"
 
 
+def d21_similarity_distribution(spark, sf):
+    d = M.pairs(spark, sf)
+    return reports.similarity_distribution(d, "event_index", "mv1", "mv2", d.count(), 20, 17)
+
+
+_NUMBER = "('0x' || substr(md5(concat_ws('|', '17', {})), 1, 7))::BIGINT"
+D21C = _V.replace("WITH ", "WITH RECURSIVE ", 1) + f""", n AS (SELECT count(*) AS n FROM pairs),
+w AS (SELECT unnest(range(1, 21)) AS draw, event_index AS i, event_index::BIGINT AS x, 0 AS t FROM pairs
+  UNION ALL SELECT draw, i, CASE WHEN {_NUMBER.format("draw, r, greatest(x, mirror)")} % 2 = 0 THEN mirror ELSE x END, t + 1
+  FROM (SELECT *, (({_NUMBER.format("draw, r")} - x) % n + n) % n AS mirror FROM (SELECT draw, i, t, n, CASE WHEN t < 16 THEN t ELSE 31 - t END AS r, CASE WHEN t = 16 THEN (x + 1) % n ELSE x END AS x FROM w, n WHERE t < 32))),
+c AS (SELECT draw, i, x AS j FROM w WHERE t = 32 UNION ALL SELECT 0, event_index, event_index FROM pairs),
+s AS (SELECT CASE WHEN draw = 0 THEN 'matched' ELSE 'random' END AS kind, list_cosine_similarity(a.mv1, b.mv2) AS v FROM c JOIN pairs a ON a.event_index = c.i JOIN pairs b ON b.event_index = c.j)
+SELECT kind, count(v) AS n, avg(v) AS mean, stddev_samp(v) AS std, median(v) AS median, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3, quantile_cont(v, 0.01) AS p1, quantile_cont(v, 0.99) AS p99 FROM s GROUP BY 1"""
+
+
 def f2_representative(spark, sf):
     d = M.pairs(spark, sf).select(F.lit("all").alias("run_id"), "event_index", ((F.array_max("mv1") + F.array_max("mv2")) / 2).alias("amplitude_mv"))
     return reports.representative(d, ["run_id"], "amplitude_mv", "event_index")
@@ -404,5 +420,5 @@ def h7_threshold_regression(spark, sf):
     return E.residual_metrics(out.withColumn("split", F.when(F.col("event_index") % 5 > 0, "train").otherwise("test")), ["split"], "residual")
 
 
-_N = "b2_millivolt:B2 b3_basic_features:B3 b4_crop:B4 b5_led_grid:B5 b6_first_crossing:B6 b7_cfd_grid:B7 b8_timing_bundle:B8 b9_reference:B9 b10_anchored_window:B10 b13_low_pass: b15_realigned:B15 b16_relative_slice:B16 b17_concatenated:B17 b19_pair_deltas:B19 b20_factored_target:B20 b21_threshold_differences:B21 b22_pair_swap:B22 b23_shape_features:B23 b24_asymmetric_features:B24 b25_similarity:B25 b26_centred_components:B26 e4_grid_scan: e5_threshold_metrics:E5 e14_correlation_table: e15_error_populations:E15 e15_mean_difference:E15B e18_normalisation:E18 d21_shift_test:D21 d21_permutation_p:D21B f2_representative:F2 f3_regional_importance:F3 h3_adaptive_threshold: h6_pair_regression: h10_attribution:H10 b11_channel_extraction: b12_event_extraction: b14_same_edge_times: b18_mode_view: h4_apply_selection: h5_threshold_study: h7_threshold_regression: h8_refit_evaluation: c5_photopeak: c6_cut_flow:C6 c8_mismatch_filter:C8"
+_N = "b2_millivolt:B2 b3_basic_features:B3 b4_crop:B4 b5_led_grid:B5 b6_first_crossing:B6 b7_cfd_grid:B7 b8_timing_bundle:B8 b9_reference:B9 b10_anchored_window:B10 b13_low_pass: b15_realigned:B15 b16_relative_slice:B16 b17_concatenated:B17 b19_pair_deltas:B19 b20_factored_target:B20 b21_threshold_differences:B21 b22_pair_swap:B22 b23_shape_features:B23 b24_asymmetric_features:B24 b25_similarity:B25 b26_centred_components:B26 e4_grid_scan: e5_threshold_metrics:E5 e14_correlation_table: e15_error_populations:E15 e15_mean_difference:E15B e18_normalisation:E18 d21_shift_test:D21 d21_permutation_p:D21B d21_similarity_distribution:D21C f2_representative:F2 f3_regional_importance:F3 h3_adaptive_threshold: h6_pair_regression: h10_attribution:H10 b11_channel_extraction: b12_event_extraction: b14_same_edge_times: b18_mode_view: h4_apply_selection: h5_threshold_study: h7_threshold_regression: h8_refit_evaluation: c5_photopeak: c6_cut_flow:C6 c8_mismatch_filter:C8"
 QUERIES = {n: (globals()[n], globals()[s] if s else None) for n, s in (x.split(":") for x in _N.split())}

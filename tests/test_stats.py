@@ -212,3 +212,29 @@ def test_refit_bootstrap_is_near_the_fit_error(spark):
 def test_shifts_are_drawn_between_one_and_n_less_one():
     s = reports.drawn_shifts(40, 200, 17)
     assert s[0] == 0 and sorted(s) == list(range(40)) and reports.drawn_shifts(1, 9, 17) == [0] == reports.drawn_shifts(0, 9, 17)
+
+
+def test_partners_are_bijections_without_fixed_points_or_a_pattern(spark):
+    events = spark.range(97).withColumnRenamed("id", "i")
+    got = reports.random_pairs(events, "i", 97, 6, 5).collect()
+    steps = set()
+    for draw in range(1, 7):
+        j = {r.i: r.j for r in got if r.draw == draw}
+        assert sorted(j) == sorted(j.values()) == list(range(97)) and all(k != v for k, v in j.items())
+        steps |= {(v - k) % 97 for k, v in j.items()}
+    assert len(steps) > 90  # no cyclic shift
+    assert reports.random_pairs(events.limit(1), "i", 1, 3, 5).isEmpty()
+    two = reports.random_pairs(spark.range(2).withColumnRenamed("id", "i"), "i", 2, 3, 5).collect()
+    assert all(r.j == 1 - r.i for r in two) and len(two) == 6
+
+
+def test_pair_similarity_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(reports, "PAIR_BLOCK", 5)
+    g = np.random.default_rng(12)
+    x, y = g.normal(size=(2, 23, 7))
+    x[4] = 0
+    d = spark.createDataFrame([(i, a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(x, y, strict=True))], "k long, a array<double>, b array<double>").repartition(3)
+    pairs = [(t, i, (5 * i + t) % 25) for t in range(4) for i in range(23)]
+    got = {(r.draw, r.i, r.j): r.similarity for r in reports.pair_similarity(d, "k", "a", "b", spark.createDataFrame(pairs, "draw int, i long, j long")).collect()}
+    want = {(t, i, j): x[i] @ y[j] / np.linalg.norm(x[i]) / np.linalg.norm(y[j]) for t, i, j in pairs if i != 4 and j < 23}
+    assert got.keys() == want.keys() and all(got[c] == pytest.approx(want[c]) for c in want)
