@@ -25,14 +25,20 @@ def _shared(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared one; what is written there goes with forget()."""
+    path = f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once, written to the shared folder and read from there, so lost executors cost no more than reading it again.
 
     The table stays until the Python process ends or forget() is called, as results may read it until then.
     """
     spark = df.sparkSession
-    path = f"{_shared(spark)}/cut-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    path = shared_folder(spark, "cut")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

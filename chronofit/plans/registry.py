@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hit_queries, more_queries, stat_queries, wave_queries
+from . import hit_queries, ingest_queries, more_queries, stat_queries, wave_queries
 
 
 def _all() -> dict:
-    return hit_queries.QUERIES | wave_queries.QUERIES | stat_queries.QUERIES | more_queries.QUERIES
+    return hit_queries.QUERIES | wave_queries.QUERIES | stat_queries.QUERIES | more_queries.QUERIES | ingest_queries.QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from chronofit.functions import timing as T
 from chronofit.functions import waveform as W
-from chronofit.sources import runs, tables, traces
+from chronofit.sources import files, runs, tables, traces
 
 
 def run_file(mode=0x32, measurement=0x03, run=4512, events=((7, [(0, 1, 1, 100, 0), (0, 1, 0, 130, 30)]), (8, [])), minor=2):
@@ -117,3 +117,70 @@ def test_tables(spark, tmp_path):
         tables.scan_events(spark, str(tmp_path / "t"), ["z"])
     m = tables.prepared(d.withColumn("file_id", F.col("k") % 2), d.where("k < 3"), ["k"], str(tmp_path / "p")).orderBy("file_id").collect()
     assert [(r.file_id, r.n) for r in m] == [(0, 1), (1, 1)]
+
+
+def many_hits(spark, g, runs_=(7, 8, 9), events=300):
+    rows = []
+    for run in runs_:
+        seq = 0
+        for event in range(events):
+            for _ in range(g.integers(0, 6) if event else 3):
+                rows.append((run, event, 1000 + event, 2000 + event, int(g.integers(0, 4)), int(g.integers(0, 64)), int(g.integers(0, 2)), int(g.integers(0, 1 << 30)), int(g.integers(0, 1 << 15)), seq))
+                seq += 1
+    return rows, spark.createDataFrame(rows, "run_number int, event long, timestamp_lsb long, trigger_id long, board int, channel int, edge int, toa_lsb long, tot_lsb long, seq long").repartition(4)
+
+
+@pytest.mark.parametrize("mode", ["STREAMING", "TRG_MATCHING"])
+def test_hits_in_parts_are_those_of_the_whole_file(spark, tmp_path, mode):
+    rows, df = many_hits(spark, np.random.default_rng(1))
+    runs.write_hits(df, str(tmp_path / "out"), mode)
+    order = {}
+    for r in rows:  # events without hits have no record here
+        order.setdefault((r[0], r[1]), len([k for k in order if k[0] == r[0]]))
+    want = sorted((f"Run{r[0]}", order[r[:2]], r[9], r[2], r[3] if mode == "TRG_MATCHING" else 0, *r[4:9]) for r in rows)
+    for split in (100, 1000, 1 << 27):
+        got = runs.read_hits(spark, str(tmp_path / "out"), split=split)
+        assert sorted(map(tuple, got.collect())) == want
+        some = got.where("run_id = 'Run8' and board in (1, 3)")
+        assert sorted(map(tuple, some.collect())) == [x for x in want if x[0] == "Run8" and x[5] in (1, 3)]
+    with pytest.raises(Exception, match="doesn't fit"):
+        runs.write_hits(spark.range(8000).selectExpr("3 run_number", "1L event", "1L timestamp_lsb", "1L trigger_id", "0 board", "1 channel", "1 edge", "id toa_lsb", "1L tot_lsb", "id seq"), str(tmp_path / "no"), mode)
+
+
+def test_bad_parts_and_error_rows(spark, tmp_path):
+    _, df = many_hits(spark, np.random.default_rng(2), (5, 6), 200)
+    runs.write_hits(df, str(tmp_path))
+    good = (tmp_path / "Run5.dat").read_bytes()
+    for name, content in (("cut", good[:-3]), ("hole", good[:900] + b"\xff" * 400 + good[1300:])):
+        put(tmp_path, "Run5.dat", content)
+        for split in (500, 1 << 27):
+            with pytest.raises(Exception):
+                runs.read_hits(spark, str(tmp_path), split=split).collect()
+            got = runs.read_hits(spark, str(tmp_path), split=split, errors="row")
+            bad = got.where("error is not null").collect()
+            assert bad and all(r.path.endswith("Run5.dat") and r.run_id is None for r in bad), name
+            assert got.where("run_id = 'Run6'").count() == df.where("run_number = 6").count()
+
+
+def test_a_file_over_two_gigabytes_is_planned_in_parts(tmp_path):
+    path = tmp_path / "Run1.dat"
+    with open(path, "wb") as f:
+        f.write(run_file())
+        f.truncate(3 << 30)  # a sparse file
+    reader = runs._HitReader({"paths": f'["{path}"]'})
+    parts = reader.partitions()
+    assert len(parts) == 24 and parts[0].start == 0 and parts[-1].end == 3 << 30 and all(a.end == b.start for a, b in zip(parts, parts[1:], strict=False))
+
+
+def test_the_first_record_is_found_from_any_byte(spark, tmp_path):
+    _, df = many_hits(spark, np.random.default_rng(3), (4,), 150)
+    runs.write_hits(df, str(tmp_path))
+    content = (tmp_path / "Run4.dat").read_bytes()
+    head, hit = runs.layouts(runs.read_header(content))
+    import io
+
+    window = lambda: files.Window(io.BytesIO(content), len(content), 4096)
+    starts = [runs.HEADER_BYTES] + [end for end, *_ in runs.walk(window(), runs.HEADER_BYTES, len(content), head, hit)]
+    data = window()
+    for at in range(runs.HEADER_BYTES, len(content), 7):
+        assert runs.first_record(data, at, head, hit) == next(s for s in starts if s >= at)
