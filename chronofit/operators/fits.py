@@ -7,13 +7,14 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronofit.functions.timing import FWHM
 
 from .lineage import cut
-from .stats import replicate_sums, span_scale
+from .quantiles import counted, quantiles
+from .stats import replicate_sums, robust_counts, span_scale
 
 _erf = np.vectorize(math.erf, otypes=[float])
 FIT_SCHEMA = "success boolean, n long, mean_ps double, sigma_ps double, ctr_ps double, mean_error_ps double, ctr_error_ps double, deviance double, ndof int, phase int, bin_width_ps double, ctr_spread_ps double, message string"
@@ -181,132 +182,207 @@ def best_of(scan: DataFrame, keys: Sequence[str], score: str = "ctr_ps", order:
     return best.select(*keys, "b._r.*")
 
 
+def density_on_grid(values: DataFrame, plan: DataFrame, grid: int) -> DataFrame:
+    """_group, i, y: at each of `grid` points from x0 to x1 the sum of Gaussian kernels of width h over counted values.
+
+    values: _group, v, w; plan: _group, x0, x1, h. A task adds its values up on one grid a group and passes on only that.
+    """
+
+    def run(frames):
+        held: dict[str, tuple] = {}
+        for pdf in frames:
+            for key, part in pdf.groupby("_name"):
+                r = part.iloc[0]
+                x = np.linspace(r.x0, r.x1, grid)
+                y = held[key][1] if key in held else np.zeros(grid)
+                v, w = part.v.to_numpy(), part.w.to_numpy(float)
+                for k in range(0, len(v), 256):
+                    y += (w[k : k + 256, None] * np.exp(-0.5 * ((x[None, :] - v[k : k + 256, None]) / r.h) ** 2)).sum(axis=0)
+                held[key] = (key, y)
+            if len(held) > 64:
+                yield pd.DataFrame(list(held.values()), columns=["_name", "y"])
+                held.clear()
+        if held:
+            yield pd.DataFrame(list(held.values()), columns=["_name", "y"])
+
+    named = F.to_json("_group", {"ignoreNullFields": "false"}).alias("_name")
+    made = values.join(plan.select("_group", "x0", "x1", "h"), "_group").select(named, "v", "w", "x0", "x1", "h").mapInPandas(run, "_name string, y array<double>")
+    sums = made.select("_name", F.posexplode("y").alias("i", "y")).groupBy("_name", "i").agg(F.sum("y").alias("y"))
+    return sums.join(plan.select("_group", named), "_name").select("_group", "i", "y")
+
+
+def local_maxima(y: np.ndarray) -> np.ndarray:
+    """Places of what is higher than its neighbours on both sides; of a flat top, its middle."""
+    edge = np.flatnonzero(np.concatenate([[True], np.diff(y) != 0]))  # where runs of equal values begin
+    last = np.concatenate([edge[1:] - 1, [len(y) - 1]])
+    level = y[edge]
+    k = np.flatnonzero((level[1:-1] > level[:-2]) & (level[1:-1] > level[2:])) + 1
+    return (edge[k] + last[k]) // 2
+
+
 def peak_window(df: DataFrame, keys: Sequence[str], value: str, minimum: int = 50, grid: int = 4096, factor: float = 0.35, height: float = 0.12, low_scale: float = 2.0, high_scale: float = 4.0, inside: int = 5, rightmost: bool = True) -> DataFrame:
-    """Energy peak window by a weighted kernel density over equal whole values: keys, low, high, peak, center, scale, n, message.
+    """Energy peak window by a kernel density over whole values: keys, low, high, peak, center, scale, n, message.
 
-    Values are counted by Spark first; the density of the counts is that of the events. Of the local maxima of
-    enough height the rightmost or the highest is taken, its half-height core gives median and MAD, and these the window.
+    Of the density's local maxima of enough height the rightmost or the highest is taken, without any its greatest point. The
+    values between the points at which it has fallen to half, or all values where fewer than two are there, give median and
+    MAD (or else the sample deviation, or else the half-height width over 2.355, at least 1), and these the window; an empty
+    window becomes the values' range. Values that are all equal are a window of their own, of scale 1. A group with too few
+    values, or too few in its window, has a message and no window. The density is summed up over partitions.
     """
     keys = list(keys)
-    d = df.where(F.col(value).isNotNull())
-    counts = d.groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    values = cut(counted(df, keys, F.col(value)))
+    v, w = F.col("v"), F.col("w")
+    plan = values.groupBy("_group").agg(F.sum("w").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), (F.sum(v * w) / F.sum("w")).alias("_mean"))
+    sq = values.join(plan.select("_group", "_mean"), "_group").groupBy("_group").agg(F.sum(w * (v - F.col("_mean")) * (v - F.col("_mean"))).alias("_sq"))
+    pad = F.greatest(F.lit(1.0), 0.03 * (F.col("most") - F.col("least")))
+    width = F.pow(F.col("n"), F.lit(-0.2)) * factor * F.sqrt(F.col("_sq") / F.greatest(F.lit(1), F.col("n") - 1))
+    plan = cut(plan.join(sq, "_group").select("_group", "n", "least", "most", (F.col("least") - pad).alias("x0"), (F.col("most") + pad).alias("x1"), width.alias("h")))
+    full = plan.where((F.col("n") >= minimum) & (F.col("least") < F.col("most")))
+
+    def find(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = pdf.iloc[0]
+        y, x = pdf.sort_values("i").y.to_numpy(), np.linspace(r.x0, r.x1, grid)
+        top = local_maxima(y)
+        top = top[y[top] >= height * y.max()]
+        k = int(y.argmax()) if not len(top) else int(top[-1]) if rightmost else int(top[y[top].argmax()])
+        low = np.flatnonzero(y[:k] <= y[k] / 2)
+        high = np.flatnonzero(y[k + 1 :] <= y[k] / 2)
+        return pd.DataFrame({"_name": [r["_name"]], "peak": [x[k]], "from": [x[low[-1]] if len(low) else x[0]], "to": [x[k + 1 + high[0]] if len(high) else x[-1]]})
+
+    named = F.to_json("_group", {"ignoreNullFields": "false"}).alias("_name")
+    density = density_on_grid(values.join(full.select("_group"), "_group"), full, grid)
+    peaks = cut(density.join(full.select("_group", named, "x0", "x1"), "_group").drop("_group").groupBy("_name").applyInPandas(find, "_name string, peak double, `from` double, `to` double"))
+    peaks = full.select("_group", named).join(peaks, "_name").drop("_name")
+    near = values.join(peaks, "_group").withColumn("_in", v.between(F.floor("from"), F.ceil("to"))).withColumn("_few", F.sum(F.when(F.col("_in"), w).otherwise(0)).over(Window.partitionBy("_group")) < 2)
+    core = cut(near.where(F.col("_in") | F.col("_few")).select("_group", "v", "w"))
+    fwhm = F.greatest(F.lit(1.0), (F.col("to") - F.col("from")) / 2.355)
+    found = robust_counts(core).join(peaks, "_group").withColumn("scale", F.when(F.col("scale") > 0, F.col("scale")).otherwise(fwhm)).select("_group", "peak", "center", "scale")
+    both = plan.select("_group", "n", "least", "most").join(found, "_group", "left")
+    low, high = F.floor(F.col("center") - low_scale * F.col("scale")).cast("double"), F.ceil(F.col("center") + high_scale * F.col("scale")).cast("double")
+    own = F.col("least") == F.col("most")
+    one = lambda c, alone: F.when(own & (F.col("n") >= minimum), alone).otherwise(c)
+    both = both.withColumn("low", one(F.when(low < high, low).otherwise(F.col("least")), F.col("least"))).withColumn("high", one(F.when(low < high, high).otherwise(F.col("most")), F.col("most")))
+    both = both.withColumns({c: one(F.col(c), x) for c, x in (("peak", F.col("least")), ("center", F.col("least")), ("scale", F.lit(1.0)))})
+    both = both.withColumns({c: F.when(F.col("scale").isNotNull(), F.col(c)) for c in ("low", "high")})
+    counts = values.join(both.select("_group", "low", "high"), "_group").where(v.between(F.col("low"), F.col("high"))).groupBy("_group").agg(F.sum("w").alias("_inside"))
+    message = F.when(F.col("n") < minimum, "too few events").when(~own & (F.coalesce("_inside", F.lit(0)) < inside), "too few events in the peak").otherwise("")
+    out = both.join(counts, "_group", "left").withColumn("message", message)
+    shown = lambda c: F.when(F.col("message") == "", F.col(c)).alias(c)
+    return out.select(*(F.col(f"_group.{k}") for k in keys), *(shown(c) for c in ("low", "high", "peak", "center", "scale")), "n", "message")
+
+
+def bounded_gaussian(x: np.ndarray, y: np.ndarray, start: Sequence[float], low: Sequence[float], high: Sequence[float], rounds: int = 200) -> tuple[np.ndarray, np.ndarray] | None:
+    """Least squares of amplitude, mean and sigma with weights of the counts' root, held within bounds: parameters and covariance.
+
+    Damped Gauss-Newton steps; a parameter at a bound that the slope pushes against stays out of a step. Errors are taken
+    as known, so the covariance is the inverse of the weighted normal matrix.
+    """
+    weight, low, high = 1 / np.sqrt(np.maximum(y, 1)), np.asarray(low, float), np.asarray(high, float)
+    p = np.clip(np.asarray(start, float), low, high)
+    shape = lambda p: np.exp(-0.5 * ((x - p[1]) / p[2]) ** 2)
+    cost = lambda p: float(((p[0] * shape(p) - y) ** 2 * weight**2).sum())
 
-    def weighted_median(v: np.ndarray, w: np.ndarray) -> float:
-        order = np.argsort(v)
-        v, w = v[order], np.cumsum(w[order])
-        n = w[-1]
-        pick = lambda k: v[np.searchsorted(w, k, side="right")]
-        return (pick((n - 1) // 2) + pick(n // 2)) / 2
+    def slopes(p):
+        e, z = shape(p), (x - p[1]) / p[2]
+        return np.stack([e, p[0] * e * z / p[2], p[0] * e * z * z / p[2]], axis=1) * weight[:, None]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = list(pdf.iloc[0][keys])
-        v, w = pdf.v.to_numpy(), pdf.n.to_numpy().astype(float)
-        n = int(w.sum())
-        fail = lambda why: pd.DataFrame([[*head, *[np.nan] * 5, n, why]], columns=columns)
-        if n < minimum:
-            return fail("too few events")
-        if len(v) == 1:
-            return pd.DataFrame([[*head, v[0], v[0], v[0], v[0], 1.0, n, ""]], columns=columns)
-        m = (v * w).sum() / n
-        sd = math.sqrt((w * (v - m) ** 2).sum() / (n - 1))
-        pad = max(1.0, 0.03 * (v.max() - v.min()))
-        x = np.linspace(v.min() - pad, v.max() + pad, grid)
-        h = n ** (-0.2) * factor * sd
-        y = np.zeros(grid)
-        for a in range(0, len(v), 512):
-            y += (w[a : a + 512, None] * np.exp(-0.5 * ((x[None, :] - v[a : a + 512, None]) / h) ** 2)).sum(axis=0)
-        top = np.flatnonzero((y[1:-1] > y[:-2]) & (y[1:-1] >= y[2:]) & (y[1:-1] >= height * y.max())) + 1
-        if not len(top):
-            return fail("no peak")
-        k = top[-1] if rightmost else top[np.argmax(y[top])]
-        i = j = int(k)
-        while i > 0 and y[i - 1] >= y[k] / 2:
-            i -= 1
-        while j < grid - 1 and y[j + 1] >= y[k] / 2:
-            j += 1
-        core = (v >= math.floor(x[i])) & (v <= math.ceil(x[j]))
-        if w[core].sum() < inside:
-            return fail("too few events in the peak")
-        c = weighted_median(v[core], w[core])
-        s = max(1.0, 1.4826 * weighted_median(np.abs(v[core] - c), w[core]))
-        return pd.DataFrame([[*head, math.floor(c - low_scale * s), math.ceil(c + high_scale * s), x[k], c, s, n, ""]], columns=columns)
-
-    columns = [*keys, "low", "high", "peak", "center", "scale", "n", "message"]
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return counts.groupBy(*keys).applyInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", low double, high double, peak double, center double, scale double, n long, message string")
+    best, damp = cost(p), 1e-3
+    for _ in range(rounds):
+        j = slopes(p)
+        a, g = j.T @ j, j.T @ ((p[0] * shape(p) - y) * weight)
+        free = ~(((p <= low) & (g > 0)) | ((p >= high) & (g < 0)))
+        if not free.any():
+            break
+        step = np.zeros(3)
+        m = a[np.ix_(free, free)]
+        step[free] = np.linalg.lstsq(m + damp * np.diag(np.diag(m) + 1e-12), -g[free], rcond=None)[0]
+        new = np.clip(p + step, low, high)
+        value = cost(new)
+        if value < best:
+            done = best - value <= 1e-12 * max(1.0, best) and np.abs(new - p).max() <= 1e-9 * max(1.0, np.abs(p).max())
+            p, best, damp = new, value, damp / 5
+            if done:
+                break
+        else:
+            damp *= 5
+            if damp > 1e12:
+                break
+    if not np.isfinite(p).all():
+        return None
+    j = slopes(p)
+    return p, np.linalg.pinv(j.T @ j)
 
 
-def photopeak(df: DataFrame, keys: Sequence[str], value: str, bin_mv: float = 1.0, quantile: float = 0.55, smooth: float = 2.0, half_width: float = 15.0, reach: float = 2.5, rounds: int = 6, tolerance: float = 0.01, low: float = 2.0, high: float = 4.0) -> DataFrame:
-    """Photopeak of an amplitude histogram: keys, success, mean, sigma, low, high, n, message.
+PEAK_SCHEMA = "success boolean, mean double, sigma double, mean_error double, sigma_error double, low double, high double, fit_low double, fit_high double, chi2 double, ndof int, iterations int, n long, message string"
 
-    Counts in bins come from Spark; they are smoothed, the highest bin above a quantile starts an iterated weighted
-    Gaussian fit, and the window reaches from `low` sigmas below to `high` above. Under 20 finite values the row fails.
+
+def photopeak(df: DataFrame, keys: Sequence[str], value: str, bin_mv: float = 1.0, quantile: float = 0.55, smooth: float = 2.0, half_width: float = 15.0, reach: float = 2.5, rounds: int = 6, tolerance: float = 0.01, low: float = 2.0, high: float = 4.0) -> DataFrame:
+    """Photopeak of an amplitude histogram: keys and the fields of PEAK_SCHEMA.
+
+    Counts in bins come from Spark. The highest smoothed bin at or above a quantile of the values starts a fit of a Gaussian
+    within `half_width`, with the mean inside that interval and sigma from a tenth of a bin to the values' range; it is
+    repeated within `reach` sigmas until mean and sigma each move by no more than `tolerance`, or `rounds` times. A round
+    that can't be fitted ends this; if it is the first, the row fails, as it does under 20 finite values. A last fit over the
+    last interval gives parameters, errors and chi-square (variance: the fitted counts, at least 1). The window reaches from
+    `low` sigmas below to `high` above.
     """
     keys = list(keys)
-    d = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    q = d.groupBy(*keys).agg(F.percentile(value, quantile).alias("q"))
-    counts = d.groupBy(*keys, F.floor(F.col(value) / bin_mv).alias("b")).agg(F.count("*").alias("n")).join(q, keys)
+    values = cut(counted(df, keys, F.col(value)))
+    q = quantiles(values, [quantile]).select("_group", F.col("q")[0].alias("q"))
+    ends = values.groupBy("_group").agg(F.min("v").alias("least"), F.max("v").alias("most"))
+    counts = values.groupBy("_group", F.floor(F.col("v") / bin_mv).alias("b")).agg(F.sum("w").alias("n")).join(q, "_group").join(ends, "_group").select(*(F.col(f"_group.{k}") for k in keys), "b", "n", "q", "least", "most")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = list(pdf.iloc[0][keys])
+        r = pdf.iloc[0]
         n = int(pdf.n.sum())
-        fail = lambda why: pd.DataFrame([[*head, False, *[np.nan] * 4, n, why]], columns=columns)
+        fail = lambda why, k=0: pd.DataFrame([[*r[keys], False, *[np.nan] * 9, 0, k, n, why]], columns=columns)
         if n < 20:
             return fail("too few values")
-        lo, hi = int(pdf.b.min()), int(pdf.b.max())
-        y = np.zeros(hi - lo + 1)
-        y[(pdf.b - lo).to_numpy()] = pdf.n
-        x = (np.arange(lo, hi + 1) + 0.5) * bin_mv
-        r = max(1, int(4 * smooth))
-        kernel = np.exp(-0.5 * (np.arange(-r, r + 1) / smooth) ** 2)
-        flat = np.convolve(np.pad(y, r, mode="edge"), kernel / kernel.sum(), mode="valid")
-        allowed = x >= pdf.q.iloc[0]
-        mean = x[np.argmax(np.where(allowed, flat, -1.0))] if allowed.any() else x[np.argmax(flat)]
-        sigma, width = half_width / 2, half_width
-        for k in range(rounds + 1):
-            part = np.abs(x - mean) <= width
+        first, end = math.floor(r.least / bin_mv), math.ceil(r.most / bin_mv)
+        end = max(end, first + 1)
+        y = np.zeros(end - first + 1)  # the bin beyond the greatest value too
+        y[(pdf.b - first).to_numpy(np.int64)] = pdf.n
+        x = (np.arange(first, end + 1) + 0.5) * bin_mv
+        radius = max(1, int(4 * smooth + 0.5))
+        kernel = np.exp(-0.5 * (np.arange(-radius, radius + 1) / smooth) ** 2)
+        flat = np.convolve(np.pad(y, radius, mode="edge"), kernel / kernel.sum(), mode="valid")
+        allowed = x >= r.q if (x >= r.q).any() else np.ones(len(x), bool)
+        mean, sigma = float(x[np.argmax(np.where(allowed, flat, -1.0))]), max(bin_mv, half_width / 3)
+        a, b, widest = mean - half_width, mean + half_width, max((end - first) * bin_mv, bin_mv)
+        top, done = 0.0, 0
+        why = "the fit failed"
+
+        def fitted(a, b, start):
+            part = (x >= a) & (x <= b)
+            got = bounded_gaussian(x[part], y[part], start, (0.0, a, 0.1 * bin_mv), (np.inf, b, widest)) if part.any() else None
+            return part, got
+
+        for _ in range(rounds):
+            part = (x >= a) & (x <= b)
             if part.sum() < 7 or (y[part] > 0).sum() < 4:
-                return fail("too few bins around the peak")
-            got = _gauss_newton(x[part], y[part], mean, sigma)
-            if got is None:
-                return fail("the fit failed")
-            moved = abs(got[0] - mean) + abs(got[1] - sigma)
-            mean, sigma = got
-            width = reach * sigma
-            if k and moved <= tolerance:
+                why = "too few populated bins"
                 break
-        return pd.DataFrame([[*head, True, mean, sigma, mean - low * sigma, mean + high * sigma, n, ""]], columns=columns)
-
-    columns = [*keys, "success", "mean", "sigma", "low", "high", "n", "message"]
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return counts.groupBy(*keys).applyInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", success boolean, mean double, sigma double, low double, high double, n long, message string")
-
-
-def _gauss_newton(x: np.ndarray, y: np.ndarray, mean: float, sigma: float, rounds: int = 50):
-    """Least squares of a Gaussian with weights of the counts' root; mean and sigma, or None."""
-    weight = 1 / np.sqrt(np.maximum(y, 1))
-    p = np.array([max(y.max(), 1.0), mean, sigma])
-
-    def residual(p):
-        return (p[0] * np.exp(-0.5 * ((x - p[1]) / p[2]) ** 2) - y) * weight
-
-    best, damp = float((residual(p) ** 2).sum()), 1e-3
-    for _ in range(rounds):
-        e = np.exp(-0.5 * ((x - p[1]) / p[2]) ** 2)
-        j = np.stack([e, p[0] * e * (x - p[1]) / p[2] ** 2, p[0] * e * (x - p[1]) ** 2 / p[2] ** 3], axis=1) * weight[:, None]
-        a, g = j.T @ j, j.T @ residual(p)
-        try:
-            new = p - np.linalg.solve(a + damp * np.diag(np.diag(a) + 1e-12), g)
-        except np.linalg.LinAlgError:
-            return None
-        value = float((residual(new) ** 2).sum()) if new[2] > 0 else math.inf
-        if value < best:
-            done = best - value < 1e-10 * max(1.0, best)
-            p, best, damp = new, value, damp / 3
-            if done:
+            part, got = fitted(a, b, (max(y[part].max(), 1.0), mean, max(sigma, 0.5 * bin_mv)))
+            if got is None:
                 break
-        else:
-            damp *= 4
-            if damp > 1e8:
+            (amplitude, m, s), cov = got
+            top, done = float((amplitude * np.exp(-0.5 * ((x[part] - m) / s) ** 2)).max()), done + 1
+            still = abs(m - mean) <= tolerance and abs(s - sigma) <= tolerance
+            mean, sigma = float(m), float(s)
+            a, b = mean - reach * sigma, mean + reach * sigma
+            if still:
                 break
-    return (float(p[1]), float(abs(p[2]))) if np.isfinite(p).all() else None
+        if not done:
+            return fail(why)
+        part, got = fitted(a, b, (top, mean, sigma))
+        amplitude = top
+        if got is not None:
+            (amplitude, mean, sigma), cov = got
+        expected = amplitude * np.exp(-0.5 * ((x[part] - mean) / sigma) ** 2)
+        chi2 = float(((y[part] - expected) ** 2 / np.maximum(expected, 1.0)).sum())
+        error = np.sqrt(np.maximum(np.diag(cov), 0))
+        return pd.DataFrame([[*r[keys], True, mean, sigma, error[1], error[2], mean - low * sigma, mean + high * sigma, a, b, chi2, max(0, int(part.sum()) - 3), done, n, ""]], columns=columns)
+
+    columns = [*keys, *(c.split()[0] for c in PEAK_SCHEMA.split(", "))]
+    kinds = {f.name: f.dataType.simpleString() for f in counts.schema.fields}
+    return counts.groupBy(*keys).applyInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + (", " if keys else "") + PEAK_SCHEMA)

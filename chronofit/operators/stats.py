@@ -27,7 +27,7 @@ def _spread(values: DataFrame, q: DataFrame, middle: int) -> DataFrame:
     return moments.join(mad, "_group").withColumn("sq", F.greatest(F.lit(0.0), F.col("_q") - F.col("_s") * F.col("_s") / F.col("n"))).drop("_s", "_q")
 
 
-def _robust(values: DataFrame, floor: float) -> DataFrame:
+def robust_counts(values: DataFrame, floor: float = 0.0) -> DataFrame:
     """_group, n, center, scale of counted values."""
     s = _spread(values, quantiles(values, [0.5]), 0)
     deviation = F.when(F.col("n") > 1, F.sqrt(F.col("sq") / (F.col("n") - 1))).otherwise(0.0)
@@ -44,7 +44,7 @@ def robust_scale(df: DataFrame, keys: Sequence[str], value: str, floor: float =
 
     Only finite values count; a group without any has no row.
     """
-    return _robust(cut(counted(df, keys, F.col(value))), floor).select(*_keys(keys), "n", "center", "scale")
+    return robust_counts(cut(counted(df, keys, F.col(value))), floor).select(*_keys(keys), "n", "center", "scale")
 
 
 def span_scale(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -72,7 +72,7 @@ def clipped_delay(df: DataFrame, keys: Sequence[str], value: str, z: float = 3.5
     within = lambda low, high: v.between(F.col(low), F.col(high))
     for _ in range(rounds):
         kept = values.join(limits.where("live"), "_group").where(within("low", "high")).select("_group", "v", "w")
-        new = _robust(kept, floor).select("_group", (F.col("center") - z * F.col("scale")).alias("low2"), (F.col("center") + z * F.col("scale")).alias("high2"))
+        new = robust_counts(kept, floor).select("_group", (F.col("center") - z * F.col("scale")).alias("low2"), (F.col("center") + z * F.col("scale")).alias("high2"))
         both = limits.join(new, "_group")
         counts = values.join(both, "_group").groupBy("_group", "low2", "high2").agg(
             F.sum(F.when(within("low2", "high2"), F.col("w")).otherwise(0)).alias("_k"), F.count_if(within("low2", "high2") != within("low", "high")).alias("_moved")
@@ -88,7 +88,7 @@ def clipped_delay(df: DataFrame, keys: Sequence[str], value: str, z: float = 3.5
     means = kept.groupBy("_group").agg(mean.alias("mean"), F.sum("w").alias("n_kept"))
     off = v - F.col("mean")
     spread = kept.join(means, "_group").groupBy("_group").agg(F.sqrt(F.sum(F.col("w") * off * off) / F.nullif(F.sum("w") - 1, F.lit(0))).alias("deviation"))
-    out = everything.join(means, "_group", "left").join(spread, "_group", "left").join(_robust(kept, floor).drop("n"), "_group", "left").join(limits.select("_group", "rounds"), "_group")
+    out = everything.join(means, "_group", "left").join(spread, "_group", "left").join(robust_counts(kept, floor).drop("n"), "_group", "left").join(limits.select("_group", "rounds"), "_group")
     enough = F.col("n_input") >= minimum
     return out.select(*_keys(keys), *(F.when(enough, F.col(c)).alias(c) for c in ("mean", "deviation", "center", "scale")), "n_input", F.coalesce("n_kept", F.lit(0)).alias("n_kept"), "rounds")
 
