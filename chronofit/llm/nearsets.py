@@ -1,7 +1,7 @@
 """Exact verification of near-duplicate candidates: which sets that share a band are linked.
 
-Both MinHash operators end here. Every band's least member is its hub. Each member is held against its hubs
-first, so a group of copies costs one comparison a member; only bands whose other members then still lie in several
+Both MinHash operators end here. Every band's least member is its hub. Each member is held against its least hub, then
+against those that it isn't with yet, so a group of copies costs one comparison a member; only bands whose other members then still lie in several
 components are looked at again, those outside the most frequent component against all, in tiles of about 2 x `chunk` members. A
 tile gives a spanning forest of its links, so no list of pairs is ever made, and no group of any size meets in one task.
 """
@@ -185,8 +185,17 @@ def linked(scratch: Scratch, bands: DataFrame, sets_of: Callable[[DataFrame], Da
     scratch.sweep()
     sets = scratch.save(sets_of(members.select("node").distinct()), "sets")
     scratch.sweep()
-    star = members.where("node <> hub").select("node", "hub").distinct()
-    first = scratch.save(components(scratch, _hub_links(star, sets, over, under)), "first")
+    star = scratch.save(members.where("node <> hub").select("node", "hub").distinct(), "star")
+    # a member meets the least of its hubs first, and of the others only those that it isn't yet known to be with
+    least = star.groupBy("node").agg(F.min("hub").alias("hub"))
+    met = scratch.save(_hub_links(least, sets, over, under), "met")
+    near = scratch.save(components(scratch, met), "near")
+    scratch.sweep()
+    at = lambda name: near.select(F.col("node").alias(name), F.col("comp").alias(f"{name}_comp"))
+    apart = F.coalesce("node_comp", "node") != F.coalesce("hub_comp", "hub")
+    others = star.join(least, ["node", "hub"], "left_anti").join(at("node"), "node", "left").join(at("hub"), "hub", "left").where(apart).select("node", "hub")
+    first = scratch.save(components(scratch, met.union(_hub_links(others, sets, over, under))), "first")
+    scratch.drop(star, met, near)
     scratch.sweep()
     # the hub has met all others; what is left are pairs of the others
     labelled = members.where("node <> hub").select("h", "node").join(first, "node", "left").select("h", "node", F.coalesce("comp", "node").alias("c"))
