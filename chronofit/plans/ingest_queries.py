@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronofit.operators.lineage import shared_folder
-from chronofit.sources import runs
+from chronofit.sources import runs, traces
 
 from . import mappings as M
 
@@ -56,4 +56,54 @@ def a1_discovered_runs(spark, sf):
 A1 = f"""WITH {_H}, n AS (SELECT DISTINCT run_number AS n FROM h) SELECT concat('Run', n) AS run_id, CAST(n AS INTEGER) AS run_number, CAST(n // 100 AS INTEGER) AS voltage, 'STREAMING' AS acquisition_mode, 'STREAMING' AS header_mode, 3 AS measurement_mode, 3.125::DOUBLE AS toa_lsb_ps,
   (n % 3 + 20)::DOUBLE AS energy_threshold_mv, (n % 7 + 3.5)::DOUBLE AS timing_threshold_mv, true AS consistent FROM n"""
 
-QUERIES = {"a1_discovered_runs": (a1_discovered_runs, A1), "a3_raw_hits": (a3_raw_hits, A3), "a3_pushed_hits": (a3_pushed_hits, A3B)}
+#: One trace in so many declares more samples than it has.
+_BAD = 37
+
+
+def _trace_folder(spark, sf) -> str:
+    """The folder with four channels' trace files of every group of four vectors."""
+    folder = shared_folder(spark, "traces")
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").where("embedding is not null")
+    samples = F.transform("embedding", lambda x: F.rint(x.cast("double") * 1000).cast("smallint"))
+    d = e.select((F.col("vec_id") % 4 + 1).alias("channel"), F.floor(F.col("vec_id") / 4).alias("file_id"), samples.alias("samples"), "vec_id")
+    d = d.withColumn("sample_count", F.size("samples") + F.when(F.col("vec_id") % _BAD == 5, 9).otherwise(0))
+    traces.write_traces(d.select("*", F.lit(0.001).alias("gain"), F.lit(0.25).alias("offset"), F.lit(2.5e-12).alias("interval_s"), (F.col("vec_id") * 1e-9).alias("start_s")), folder)
+    return folder
+
+
+def _converted(spark, sf):
+    folder = _trace_folder(spark, sf)
+    files = traces.trace_files(spark, folder)
+    events, pairing = traces.pair_events(files)
+    return files, events, pairing, folder
+
+
+def a9_trace_events(spark, sf):
+    """Traces written, found, paired (A8) and assembled (A9), with every channel's calibrated sum."""
+    _, events, _, folder = _converted(spark, sf)
+    out = traces.assemble(events, traces.read_traces(spark, folder), skip=3)
+    total = lambda c: F.aggregate(f"ch{c}.samples", F.lit(0).cast("long"), lambda s, x: s + x)
+    return out.select("event_index", "event_id", *(total(c).alias(f"sum{c}") for c in traces.CHANNELS), F.col("ch1.sample_count").alias("samples"), F.col("ch4.start_s").alias("start_s"))
+
+
+_T = f"""t AS (SELECT vec_id, vec_id // 4 AS file_id, vec_id % 4 + 1 AS channel, len(embedding) AS n, vec_id % {_BAD} = 5 AS bad, list_sum(list_transform(embedding, lambda x: CAST(round_even(x::DOUBLE * 1000, 0) AS BIGINT))) AS total FROM embeddings WHERE embedding IS NOT NULL),
+p AS (SELECT file_id, row_number() OVER (ORDER BY file_id) AS k, bool_or(bad) AS bad FROM t GROUP BY 1 HAVING count(*) = 4)"""
+A9 = f"""WITH {_T}, g AS (SELECT file_id, row_number() OVER (ORDER BY file_id) - 1 AS event_index FROM p WHERE k > 3 AND NOT bad)
+SELECT event_index, file_id AS event_id, {", ".join(f"CAST(max(total) FILTER (WHERE channel = {c}) AS BIGINT) AS sum{c}" for c in (1, 2, 3, 4))}, CAST(max(n) FILTER (WHERE channel = 1) AS INTEGER) AS samples, max(vec_id * 1e-9) FILTER (WHERE channel = 4) AS start_s
+FROM g JOIN t USING (file_id) GROUP BY 1, 2"""
+
+
+def a10_conversion_summary(spark, sf):
+    """Counts of a conversion, from headers and lengths alone."""
+    files, events, pairing, folder = _converted(spark, sf)
+    heads = traces.read_traces(spark, folder, samples=False).withColumn("samples", F.lit(None).cast("array<smallint>"))
+    return traces.conversion_summary(files, events, traces.assemble(events, heads), pairing, "all")
+
+
+A10 = f"""WITH {_T}, c AS (SELECT {", ".join(f"count(*) FILTER (WHERE channel = {c}) AS files{c}" for c in (1, 2, 3, 4))} FROM t)
+SELECT 1 AS format_version, 'all' AS run_name, 'id' AS pairing, c.*, (SELECT count(*) FROM p) AS paired, (SELECT count(*) FROM p WHERE NOT bad) AS written, (SELECT count(*) FROM p WHERE bad) AS invalid FROM c"""
+
+QUERIES = {
+    "a1_discovered_runs": (a1_discovered_runs, A1), "a3_raw_hits": (a3_raw_hits, A3), "a3_pushed_hits": (a3_pushed_hits, A3B),
+    "a9_trace_events": (a9_trace_events, A9), "a10_conversion_summary": (a10_conversion_summary, A10),
+}

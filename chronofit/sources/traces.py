@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .files import opened
+
 # Byte offsets of the trace format, and the greatest number of samples that is read.
 COUNT_AT, GAIN_AT, OFFSET_AT, INTERVAL_AT, START_AT, SAMPLES_AT = 127, 167, 171, 187, 191, 357
 MOST_SAMPLES = 10_000_000
@@ -15,13 +18,13 @@ CHANNELS = (1, 2, 3, 4)
 COVERAGE = 0.80
 
 
-def decode(content: bytes) -> tuple:
-    """count, gain, offset, interval, start, samples and None, or nulls and what is wrong."""
+def decode(head: bytes, length: int) -> tuple:
+    """count, gain, offset, interval, start and None of a file's first bytes and its length, or nulls and what is wrong."""
 
     def at(place: int, kind: str):
-        return np.frombuffer(content, kind, 1, place)[0].item() if len(content) >= place + np.dtype(kind).itemsize else None
+        return np.frombuffer(head, kind, 1, place)[0].item() if len(head) >= place + np.dtype(kind).itemsize else None
 
-    bad = lambda why: (None, None, None, None, None, None, why)
+    bad = lambda why: (None, None, None, None, None, why)
     count = at(COUNT_AT, "<i4")
     if count is None:
         return bad("no sample count")
@@ -32,9 +35,9 @@ def decode(content: bytes) -> tuple:
         return bad("no calibration")
     if not np.isfinite(fields).all() or fields[2] <= 0:
         return bad("bad calibration")
-    if len(content) < SAMPLES_AT + 2 * count:
+    if length < SAMPLES_AT + 2 * count:
         return bad("fewer samples than declared")
-    return (count, *fields, np.frombuffer(content, "<i2", count, SAMPLES_AT), None)
+    return (count, *fields, None)
 
 
 def file_names(df: DataFrame, path: str = "path") -> DataFrame:
@@ -49,18 +52,64 @@ def trace_files(spark: SparkSession, folder: str, recursive: bool = False) -> Da
     return file_names(spark.read.format("binaryFile").option("pathGlobFilter", "*.[tT][rR][cC]").option("recursiveFileLookup", str(recursive).lower()).load(folder).select("path"))
 
 
-def read_traces(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """A row for each trace file: path, channel, file_id, calibration, samples and error, which is null for a good file."""
+#: Bytes of samples that a task hands on together, about; one trace has at most twice MOST_SAMPLES.
+BATCH_BYTES = 16 << 20
+_FIELDS = (("path", pa.string()), ("channel", pa.int32()), ("file_id", pa.int64()), ("sample_count", pa.int32()), ("gain", pa.float32()), ("offset", pa.float32()), ("interval_s", pa.float32()), ("start_s", pa.float64()))
+_SCHEMA = "path string, channel int, file_id long, sample_count int, gain float, offset float, interval_s float, start_s double"
+
+
+def read_traces(spark: SparkSession, paths: list[str] | str, samples: bool = True) -> DataFrame:
+    """A row for each trace file: path, channel, file_id, calibration, samples and error, which is null for a good file.
+
+    Tasks open the files themselves. Without `samples` that column is left out and only the first bytes of a file are
+    read; its length says whether it holds what it declares. With it, traces are handed on in batches of bounded size.
+    """
 
     def run(batches):
-        for b in batches:
-            rows = [decode(x) for x in b.column(3).to_pylist()]
-            kinds = [pa.int32(), pa.float32(), pa.float32(), pa.float32(), pa.float64(), pa.list_(pa.int16()), pa.string()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *(pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=["path", "channel", "file_id", "sample_count", "gain", "offset", "interval_s", "start_s", "samples", "error"])
+        held, size = [], 0
 
-    files = file_names(spark.read.format("binaryFile").load(paths).select("path", "content"))
-    schema = "path string, channel int, file_id long, sample_count int, gain float, offset float, interval_s float, start_s double, samples array<smallint>, error string"
-    return files.select("path", "channel", "file_id", "content").mapInArrow(run, schema)
+        def out():
+            names, kinds = zip(*_FIELDS, *([("samples", pa.list_(pa.int16()))] if samples else []), ("error", pa.string()), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=list(names))
+
+        for b in batches:
+            for path, channel, file_id, length in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                fs, at = opened(path)
+                with fs.open_input_file(at) as f:
+                    *found, error = decode(f.read(SAMPLES_AT), length)
+                    trace = None
+                    if samples and error is None:
+                        f.seek(SAMPLES_AT)
+                        trace = np.frombuffer(f.read(2 * found[0]), "<i2")
+                        size += trace.nbytes
+                held.append((path, channel, file_id, *found, *([trace] if samples else []), error))
+                if size >= BATCH_BYTES or len(held) >= 4096:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
+
+    files = file_names(spark.read.format("binaryFile").load(paths).select("path", "length")).select("path", "channel", "file_id", "length")
+    return files.mapInArrow(run, _SCHEMA + (", samples array<smallint>" if samples else "") + ", error string")
+
+
+def write_traces(df: DataFrame, folder: str) -> None:
+    """Write C<channel>_trace<file_id>.trc of rows: channel, file_id, sample_count, gain, offset, interval_s, start_s, samples."""
+
+    def run(frames):
+        fs, root = opened(folder)
+        fs.create_dir(root, recursive=True)
+        for pdf in frames:
+            for r in pdf.itertuples():
+                head = bytearray(SAMPLES_AT)
+                for place, kind, x in ((COUNT_AT, "<i4", r.sample_count), (GAIN_AT, "<f4", r.gain), (OFFSET_AT, "<f4", r.offset), (INTERVAL_AT, "<f4", r.interval_s), (START_AT, "<f8", r.start_s)):
+                    cell = np.array([x], kind).tobytes()
+                    head[place : place + len(cell)] = cell
+                with fs.open_output_stream(f"{root}/C{r.channel}_trace{r.file_id:09d}.trc") as out:
+                    out.write(bytes(head) + np.asarray(r.samples, "<i2").tobytes())
+            yield pd.DataFrame({"files": [len(pdf)]})
+
+    df.select("channel", "file_id", "sample_count", "gain", "offset", "interval_s", "start_s", "samples").mapInPandas(run, "files long").agg(F.sum("files")).collect()
 
 
 def _wide(df: DataFrame, key: str) -> DataFrame:
