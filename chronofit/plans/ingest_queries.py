@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronofit.operators.lineage import shared_folder
-from chronofit.sources import runs, traces
+from chronofit.sources import runs, tables, traces
 
 from . import mappings as M
 
@@ -103,7 +103,35 @@ def a10_conversion_summary(spark, sf):
 A10 = f"""WITH {_T}, c AS (SELECT {", ".join(f"count(*) FILTER (WHERE channel = {c}) AS files{c}" for c in (1, 2, 3, 4))} FROM t)
 SELECT 1 AS format_version, 'all' AS run_name, 'id' AS pairing, c.*, (SELECT count(*) FROM p) AS paired, (SELECT count(*) FROM p WHERE NOT bad) AS written, (SELECT count(*) FROM p WHERE bad) AS invalid FROM c"""
 
+def a13_table_round_trip(spark, sf):
+    """A table written as Parquet and as CSV, non-finite values as null, and read back from both."""
+    d = M.measurements(spark, sf).withColumn("ratio", F.col("duration_a") / F.when(F.col("duration_b") != 0, F.col("duration_b").cast("double")).otherwise(float("nan")))
+    fields, out = ["event_index", "run_id", "duration_a", "ratio"], None
+    for kind in ("parquet", "csv"):
+        path = shared_folder(spark, kind)
+        tables.write_table(d, fields, path, kind)
+        reader = spark.read.schema("event_index long, run_id string, duration_a long, ratio double")
+        back = (reader.parquet(path) if kind == "parquet" else reader.option("header", True).csv(path)).withColumn("kind", F.lit(kind))
+        out = back if out is None else out.unionByName(back)
+    return out
+
+
+A13 = f"WITH {M.MEASUREMENTS_SQL} SELECT event_index, run_id, duration_a, duration_a / nullif(duration_b, 0)::DOUBLE AS ratio, kind FROM m, (VALUES ('parquet'), ('csv')) AS k(kind)"
+
+
+def a15_prepared_events(spark, sf):
+    """All columns of the selected events in a folder for each run, and what the manifest says of them."""
+    d = M.measurements(spark, sf)
+    path = shared_folder(spark, "prepared")
+    manifest = tables.prepared(d, d.where("alignment_a % 3 = 0"), ["run_id", "event_index"], path, "run_id").withColumnRenamed("n", "listed")
+    back = spark.read.parquet(path).groupBy("run_id").agg(F.count("*").alias("n"), F.sum("event_index").alias("ids"), F.sum("timing_lsb").alias("timing"))
+    return back.join(manifest, "run_id").select("run_id", "n", "listed", "ids", "timing", F.array_join("columns", ",").alias("columns"))
+
+
+A15 = f"WITH {M.MEASUREMENTS_SQL} SELECT run_id, count(*) AS n, count(*) AS listed, sum(event_index) AS ids, sum(timing_lsb) AS timing, 'event_index,run_id,duration_a,duration_b,timing_lsb,alignment_a,alignment_b' AS columns FROM m WHERE (run_id, event_index) IN (SELECT (run_id, event_index) FROM m WHERE alignment_a % 3 = 0) GROUP BY 1"
+
 QUERIES = {
+    "a13_table_round_trip": (a13_table_round_trip, A13), "a15_prepared_events": (a15_prepared_events, A15),
     "a1_discovered_runs": (a1_discovered_runs, A1), "a3_raw_hits": (a3_raw_hits, A3), "a3_pushed_hits": (a3_pushed_hits, A3B),
     "a9_trace_events": (a9_trace_events, A9), "a10_conversion_summary": (a10_conversion_summary, A10),
 }
