@@ -87,9 +87,9 @@ class Scratch:
         self.n += 1
         return f"{self.root}/{self.n:03d}-{name}"
 
-    def save(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def save(self, df: DataFrame, name: str = "t", compression: str = "snappy") -> DataFrame:
         path = self.path(name)
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

@@ -265,15 +265,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     how = (length, rolling, period)
     # rows are numbered once and for all in a written table: equal rows stay apart, and no hash can mix two up
     texts = id_and_text(docs, id_col, text_col).select("id", F.monotonically_increasing_id().alias("uid"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = scratch.save(texts, "texts")
+    texts = scratch.save(texts, "texts", "zstd")
     repeated = scratch.save(_counts(texts, *how).where("n > 1").select("h"), "buckets")
     scratch.sweep()
-    runs = scratch.save(_runs(texts, *how).join(repeated, "h", "left_semi"), "runs")
+    runs = scratch.save(_runs(texts, *how).join(repeated, "h", "left_semi"), "runs", "zstd")
     scratch.drop(repeated)
     scratch.sweep()
     place = F.struct("uid", "lo")
     dictionary = runs.groupBy("h", "e").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.first("m").alias("m"), F.first("phrase").alias("phrase"))
-    dictionary = scratch.save(dictionary, "dictionary")
+    dictionary = scratch.save(dictionary, "dictionary", "zstd")
     scratch.sweep()
     per = dictionary.groupBy("h").agg(F.count("*").alias("v")).where("v > 1")
     # the bytes of each variant, from the first place where it stands
