@@ -44,19 +44,23 @@ STATES = frozenset("has with without no not is open closed enabled disabled acti
 
 #: Features of a block, in this order, and the classifier's prior means in nats in favour of content.
 PRIOR = {
-    "bias": -0.5, "length": 3.0, "links": -3.0, "paragraph": 0.8, "heading": 0.2, "item": -0.4, "sentence": 0.5,
-    "bad_tag": -6.0, "bad_name": -5.0, "outer_bad": -1.0, "hidden": -12.0, "good_tag": 3.0, "good_name": 1.5,
+    "bias": -1.0, "length": 3.0, "links": -3.0, "paragraph": 0.8, "heading": 0.2, "item": 0.0, "sentence": 1.0,
+    "bad_tag": -8.0, "bad_name": -10.0, "outer_bad": -1.0, "hidden": -12.0, "good_tag": 3.0, "good_name": 1.5, "beside": -3.0,
 }
-_STRUCTURE = [list(PRIOR).index(x) for x in ("bad_tag", "bad_name", "outer_bad", "good_tag", "good_name")]
-#: Spread of the prior, and the pages (on average) and blocks, at most, that the classifier is fitted on.
+_STRUCTURE = [list(PRIOR).index(x) for x in ("bad_tag", "bad_name", "outer_bad", "good_tag", "good_name", "beside")]
+_TAGS = [list(PRIOR).index(x) for x in ("paragraph", "heading", "item")]
+#: Spread of the prior (no weight moves from it by more than its square), and the pages (on average) and blocks, at most, that the classifier is fitted on.
 SPREAD, FIT_PAGES, FIT_BLOCKS = 1.0, 1000, 20_000
 #: Capacity between neighbours and between successive blocks of one parent at no distance; the share left across a part's border; the greatest cost of a block.
-NEIGHBOUR, KIN, ACROSS, MOST = 4.0, 2.0, 0.1, 12.0
+NEIGHBOUR, KIN, ACROSS, MOST = 6.0, 2.0, 0.1, 12.0
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)", re.S)
+# What follows a tag's name: a quote opens a value only after "="; it stops at ">", at the page's end or at a value that is never closed.
+_REST = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])))*+")
 _ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'<>]+))?")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+_HEADING = re.compile(r"h[1-6]\Z")
 _SENTENCE = re.compile(r"[.!?…。！？][\"'”’»)\]]*\Z")
 
 
@@ -166,6 +170,7 @@ def blocks(page: str) -> list[Block]:
         del stack[k:]
 
     open_tags: dict[str, int] = defaultdict(int)
+    unclosed: set[str] = set()  # raw elements that nothing closes any more
     size = len(page)
     while at < size:
         m = _TOKEN.search(page, at)
@@ -180,6 +185,11 @@ def blocks(page: str) -> list[Block]:
         at = m.end()
         if m[2] is None:
             continue
+        rest = _REST.match(page, at).end()
+        if rest < size and page[rest] != ">":  # no quote of its kind follows; the tag ends at the next bracket
+            rest = page.find(">", rest)
+        attributes = page[at:rest] if rest >= 0 else page[at:]
+        at = min(size, rest + 1) if rest >= 0 else size
         tag = m[2].lower()
         if m[1]:
             if not open_tags[tag]:  # nothing to close; looking for it would walk the whole stack
@@ -198,10 +208,18 @@ def blocks(page: str) -> list[Block]:
         if tag == "head":
             continue  # its parts are dropped one by one; an unclosed head must not swallow the page
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+            end = None if tag in unclosed else re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+            if not end:
+                unclosed.add(tag)
             if end or tag in ("script", "style"):
                 at = end.end() if end else size
             continue
+        if tag == "br":  # one is white space, two part blocks
+            if text and text[-1] == "\n" or len(text) > 1 and text[-2] == "\n" and not text[-1].strip():
+                flush()
+            elif text:
+                text.append("\n")
+            continue
         if tag in BLOCK:
             flush()
         if tag in ENDS_P and homes:  # a paragraph ends where a block begins, and so do the inline elements left open in it
@@ -217,7 +235,7 @@ def blocks(page: str) -> list[Block]:
             continue
         number += 1
         links += tag == "a"
-        e = opened(tag, m[3], number, stack[-1] if stack else root)
+        e = opened(tag, attributes, number, stack[-1] if stack else root)
         stack.append(e)
         open_tags[tag] += 1
         if tag in BLOCK:
@@ -226,24 +244,29 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def features(b: Block) -> list[float]:
-    tag, e = b.tag, b.home
-    return [
-        1.0, min(1.0, len(b.text) / 240), b.links, float(tag in ("p", "blockquote", "pre")), float(tag[0] == "h" and tag[1:].isdigit()),
-        float(tag in ("li", "td", "th", "dt", "dd")), float(bool(_SENTENCE.search(b.text))), float(e.bad), float(e.name < 0), float(e.outer),
-        float(e.hidden), float(e.good), float(e.name > 0),
+def features(found: list[Block]) -> np.ndarray:
+    """A row for each block of a page, in the order of PRIOR; "beside" is a block outside the article of a page that marks one."""
+    marked = any(b.home.good and not b.home.outer and not b.home.bad and b.home.name >= 0 for b in found)
+    rows = [
+        [
+            1.0, min(1.0, len(b.text) / 160), b.links, float(b.tag in ("p", "blockquote", "pre")), float(bool(_HEADING.match(b.tag))),
+            float(b.tag in ("li", "td", "th", "dt", "dd")), float(bool(_SENTENCE.search(b.text))), float(b.home.bad), float(b.home.name < 0), float(b.home.outer),
+            float(b.home.hidden), float(b.home.good), float(b.home.name > 0), float(marked and not b.home.good),
+        ]
+        for b in found
     ]
+    return np.array(rows, float).reshape(-1, len(PRIOR))
 
 
 def smoothness(found: list[Block]) -> dict[tuple[int, int], float]:
-    """Undirected edges: neighbours in the page, and successive blocks of one parent; the further apart in the DOM the weaker, and weak across a part's border."""
+    """Undirected edges: neighbours in the page, a heading closest to what follows it, and successive blocks of one parent; the further apart in the DOM the weaker, and weak across a part's border and between links and text."""
     edges: dict[tuple[int, int], float] = {}
     last: dict[int, int] = {}
     for i, b in enumerate(found):
         if i:
             a = found[i - 1]
-            apart = a.home.depth + b.home.depth - 2 * b.shared
-            edges[i - 1, i] = NEIGHBOUR / (1 + apart) * (1.0 if a.home.part == b.home.part else ACROSS)
+            apart = 0 if _HEADING.match(a.tag) else a.home.depth + b.home.depth - 2 * b.shared  # a heading belongs to what follows it
+            edges[i - 1, i] = NEIGHBOUR / (1 + apart) * (1.0 if a.home.part == b.home.part else ACROSS) * (1 - abs(a.links - b.links))
         j = last.get(b.home.part)
         if j is not None and j != i - 1:
             edges[j, i] = KIN / 3
@@ -334,7 +357,7 @@ def prior() -> np.ndarray:
 
 def costs(found: list[Block], weights: np.ndarray) -> np.ndarray:
     """How much the classifier favours content for each block."""
-    return np.clip(np.array([features(b) for b in found]).reshape(-1, len(PRIOR)) @ weights, -MOST, MOST)
+    return np.clip(features(found) @ weights, -MOST, MOST)
 
 
 def labelled(found: list[Block], weights: np.ndarray | None = None) -> tuple[np.ndarray, list[bool]]:
@@ -369,8 +392,10 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", fit_p
 
     About `fit_pages` pages, chosen by a hash of the id, and at most `fit_blocks` of their blocks are looked at. A block
     is labelled content where it stands in the marked part and in no boilerplate element. Half of the blocks, by
-    hash, are learnt without the features that come from the marks, so that the text's own features count on pages
-    without marks. With nothing to learn from (an empty table, null ids, no marks) the weights are the prior's.
+    hash, are learnt without the features that come from the marks, and half of these also without those of the block's
+    tag, so that the text's own features count on pages without marks and paragraphs. The prior weighs as much as all
+    rows together, whatever their number; features lie between 0 and 1, so no weight moves by more than SPREAD^2, and
+    pages of one template, which a single feature separates, can't make it outweigh the others. With nothing to learn from (an empty table, null ids, no marks) the weights are the prior's.
     """
     small_batches(pages.sparkSession)
     p = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{html_col}`").cast("string").alias("html")).where("id is not null and html is not null")
@@ -382,7 +407,7 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", fit_p
                 found = blocks(page)
                 if not any(x.home.good for x in found):
                     continue
-                x = np.array([features(x) for x in found])
+                x = features(found)
                 y = [x.home.good and not x.home.bad and x.home.name >= 0 and not x.home.hidden for x in found]
                 yield pa.RecordBatch.from_arrays([pa.array([i] * len(y)), pa.array(range(len(y)), pa.int64()), pa.array(y), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "no", "y", "x"])
 
@@ -391,7 +416,8 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", fit_p
         return prior()
     x = np.stack([np.frombuffer(bytes(r["x"]), float) for r in rows])
     x[np.ix_(np.array([r["o"] % 2 == 0 for r in rows]), _STRUCTURE)] = 0
-    return logistic(x, np.array([float(r["y"]) for r in rows]), prior(), SPREAD)
+    x[np.ix_(np.array([r["o"] % 4 == 0 for r in rows]), _TAGS)] = 0
+    return logistic(x, np.array([float(r["y"]) for r in rows]), prior(), SPREAD / len(rows) ** 0.5)
 
 
 def extract(pages: DataFrame, weights: np.ndarray | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

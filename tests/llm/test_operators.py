@@ -409,6 +409,36 @@ def test_classifier_is_fitted_on_marked_pages(spark):
     assert np.abs(grad).max() < 1e-6
 
 
+def test_pages_without_marks_and_adverts_inside_articles(spark):
+    """With the prior's and with fitted weights: text in divs, cells, lists and lines comes out; adverts and comments of an article, and a page of labels alone, don't."""
+    fitted = html.fit(spark.read.parquet(f"{SMALL}/pages.parquet"))
+    assert np.abs(fitted - html.prior()).max() <= html.SPREAD**2
+    a, b = ("The %s text of this page goes on for a while, as texts do, and it ends with a full stop, as it should at last." % x for x in ("first", "second"))
+    menu = "<div><a href=/>Home</a> <a href=/more>More of it</a></div>"
+    cases = {
+        f"<body>{menu}<div>{a}</div><div>{b}</div></body>": f"{a} {b}",
+        f"<body><table><tr><td>{a} {b}</td></tr></table></body>": f"{a} {b}",
+        f"<body><h1>Title</h1>{a}<br>{b}<br><br>{a}</body>": f"Title {a} {b} {a}",
+        f"<body>{menu}<h2>Title</h2><div>{a}</div><ul><li>one item of the list</li><li>another item</li></ul><div>{b}</div><div id=footer>Site</div></body>": f"Title {a} one item of the list another item {b}",
+        f"<article><p>{a}</p><p class='ad'>{b}</p><div class=ad><p>{b}</p></div><p>{b}</p><div class=comments><p>{a}</p><p>{b}</p></div></article>": f"{a} {b}",
+        f"<div><div>{a}</div><article><p>{b}</p></article></div>": b,
+        "<p>Home</p><p>About us</p><p>Copyright 2020</p>": "",
+        f"<article><p>{a} <a href=\"x>foo</a> bar.</p><p>{b}</p></article>": f"{a} foo bar. {b}",
+        f"<article><p don't>{a}</p><!--><p class=x\"y>{b}</p></article>": f"{a} {b}",
+    }
+    for page, want in cases.items():
+        assert html.main_text(page) == want and html.main_text(page, fitted) == want, page
+
+
+def test_tags_and_elements_that_never_close_take_time_in_proportion():
+    import time
+
+    t = time.time()
+    for piece in ('<a "', '<a x="', "<a x='><a x=\"", "<title>", "<!--", "<a x=  =", '<p x="<', "<br>", "<textarea><a x='"):
+        html.blocks(piece * 40_000)
+    assert time.time() - t < 20
+
+
 def test_minimum_cut_is_the_least_labelling():
     g = random.Random(4)
     for _ in range(200):
