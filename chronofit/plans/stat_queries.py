@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronofit.functions import timing as T
-from chronofit.operators import fits, reports, search, selection, splits
+from chronofit.operators import fits, groups, reports, search, selection, splits
 from chronofit.operators import stats as E
 from chronofit.sources import tables
 
@@ -189,6 +189,36 @@ k AS (SELECT group_id, count(*) AS n, avg(timing_lsb) AS mean_ps, stddev_samp(ti
 t AS (SELECT group_id, count(*) AS events, string_agg(DISTINCT run_id, ',' ORDER BY run_id) AS runs FROM g GROUP BY 1) SELECT t.*, n, mean_ps, ctr_ps, n / events AS fraction FROM t LEFT JOIN k USING (group_id)"""
 
 
+def _group_input(spark, sf):
+    """Hits of one run a board, in events of half a day, and a table of these runs with two settings."""
+    h = M.hits(spark, sf)
+    run = F.concat(F.lit("Run"), F.col("board").cast("string"))
+    hits = h.select(run.alias("run_id"), (F.floor(F.col("toa_lsb") / GROUP_EVENT)).alias("event_index"), "channel", "edge", "toa_lsb")
+    fixed = {"acquisition_mode": F.lit("TRG_MATCHING"), "energy_threshold_mv": F.lit(10.0), "timing_threshold_mv": F.lit(5.0), "measurement_mode": F.lit(1), "toa_lsb_ps": F.lit(3.0), "tot_lsb_ps": F.lit(3.0)}
+    return hits, h.select(run.alias("run_id"), F.col("board").alias("run_number"), (F.col("board") % 2 + 40).alias("voltage")).distinct().withColumns(fixed)
+
+
+#: Lengths in LSB (seconds here) of the events of the pooled analysis and of its timing window.
+GROUP_EVENT, GROUP_WINDOW = 43200, 43200
+
+
+def e8_group_analysis(spark, sf):
+    return groups.group_analysis(*_group_input(spark, sf), GROUP_WINDOW)
+
+
+def e8_group_candidates(spark, sf):
+    hits, runs = _group_input(spark, sf)
+    members = groups.group_members(runs)[1]
+    return groups.pooled_candidates(hits, members, GROUP_WINDOW).drop("group_id").join(members.join(runs, "run_id").select("run_id", "voltage"), "run_id")
+
+
+E8B = f"""WITH {M.HITS_SQL}, h AS (SELECT concat('Run', board) AS run_id, toa_lsb // 43200 AS event_index, 40 + board % 2 AS voltage, channel, edge, toa_lsb FROM hits),
+l AS (SELECT run_id, event_index, channel, voltage, min(toa_lsb) AS lead FROM h WHERE edge = 1 AND channel IN (1, 5) GROUP BY 1, 2, 3, 4),
+p AS (SELECT run_id, event_index, channel, l.voltage, lead, min(toa_lsb) - lead AS duration FROM l JOIN h USING (run_id, event_index, channel) WHERE edge = 0 AND toa_lsb > lead GROUP BY 1, 2, 3, 4, 5),
+c AS (SELECT DISTINCT p.* FROM p JOIN h ON h.run_id = p.run_id AND h.event_index = p.event_index AND h.channel = p.channel + 2 AND h.edge = 1 AND toa_lsb < lead AND toa_lsb > lead - 43200)
+SELECT run_id, event_index, a.voltage, a.lead AS lead_a, b.lead AS lead_b, a.duration AS duration_a, b.duration AS duration_b FROM c a JOIN c b USING (run_id, event_index) WHERE a.channel = 1 AND b.channel = 5"""
+
+
 def e9_run_summary(spark, sf):
     s = E.residual_metrics(M.results(spark, sf).withColumn("run_id", F.concat(F.lit("Run"), F.col("file_id").cast("string"))), ["run_id"], "ctr_ps")
     return M.runs(spark, sf).select("run_id", "voltage", "acquisition_mode", "energy_threshold_mv", "timing_threshold_mv").join(s.select("run_id", "n", "mean_ps", "std_ps"), "run_id", "left")
@@ -398,5 +428,5 @@ H9 = f"""{_S}, f AS (SELECT mode, candidate, (row_id // 20) % 3 AS fold, stddev_
 b AS (SELECT mode, fold, arg_min(c, (inr, candidate)) AS c FROM t WHERE k > 1 AND inr IS NOT NULL GROUP BY 1, 2) SELECT mode, count(*) AS folds, avg(c) AS mean_ctr_ps, stddev_samp(c) AS std_ctr_ps FROM b GROUP BY 1"""
 
 
-_N = "a12_schema_union:A12 a13_plain_table:A13 a14_codes:A14 a16_upsert:A16 b1_window_conversions:B1 b27_voltage:B27 c2_peak_window: c3_in_windows:C3 c4_alignment_filter:C4 c7_photopeak_cohort: c10_relative_quality:C10 c11_included_runs:C11 d19_on_voltage:D19 d20_selection_against_blind:D20 e1_robust_scale:E1 e3_gaussian_ctr: e3_span_scale:E3B e6_bootstrap: e7_compatible_groups:E7 e7_event_offsets:E7B e8_group_summary:E8 e9_run_summary:E9 e11_alignment_summary:E11 e12_correlations:E12 e12_plane:E12B e13_binned_profile:E13 e16_led_study:E16 e19_correction_matrix:E19 e20_counts_table:E20 e21_ctr_by_voltage:E21 e22_best_by_count:E22 e23_integer_histogram:E23 e23_density_histogram:E23B e24_series:E24 e25_blind_fits: f1_extremes:F1 f4_nearest_row:F4 g1_holdout:G1 g2_inner_holdout:G2 g3_folds:G3 g4_fold_roles:G4 g5_three_way:G5 h1_candidates:H1 h2_candidate_choice:H2 h8_final_evaluation:H8 h9_nested_evaluation:H9"
+_N = "a12_schema_union:A12 a13_plain_table:A13 a14_codes:A14 a16_upsert:A16 b1_window_conversions:B1 b27_voltage:B27 c2_peak_window: c3_in_windows:C3 c4_alignment_filter:C4 c7_photopeak_cohort: c10_relative_quality:C10 c11_included_runs:C11 d19_on_voltage:D19 d20_selection_against_blind:D20 e1_robust_scale:E1 e3_gaussian_ctr: e3_span_scale:E3B e6_bootstrap: e7_compatible_groups:E7 e7_event_offsets:E7B e8_group_summary:E8 e8_group_analysis: e8_group_candidates:E8B e9_run_summary:E9 e11_alignment_summary:E11 e12_correlations:E12 e12_plane:E12B e13_binned_profile:E13 e16_led_study:E16 e19_correction_matrix:E19 e20_counts_table:E20 e21_ctr_by_voltage:E21 e22_best_by_count:E22 e23_integer_histogram:E23 e23_density_histogram:E23B e24_series:E24 e25_blind_fits: f1_extremes:F1 f4_nearest_row:F4 g1_holdout:G1 g2_inner_holdout:G2 g3_folds:G3 g4_fold_roles:G4 g5_three_way:G5 h1_candidates:H1 h2_candidate_choice:H2 h8_final_evaluation:H8 h9_nested_evaluation:H9"
 QUERIES = {n: (globals()[n], globals()[s] if s else None) for n, s in (x.split(":") for x in _N.split())}
