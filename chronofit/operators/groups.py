@@ -11,7 +11,7 @@ from . import pulses as P
 from .fits import gaussian_ctr, peak_window
 from .lineage import cut
 from .reports import GROUP, compatible_groups
-from .selection import alignment_filter, in_windows
+from .selection import in_windows
 from .stats import clipped_delay, robust_scale
 
 #: What makes runs poolable: the settings, and the header of their files.
@@ -35,13 +35,23 @@ def group_members(runs: DataFrame, keys: Sequence[str] = POOLABLE) -> tuple[Data
     return groups, runs.alias("r").join(groups.alias("g"), same).select("r.run_id", "g.group_id", "r.toa_lsb_ps")
 
 
+def _by_side(events: DataFrame, value: str) -> DataFrame:
+    """group_id, side, value: the two values of each event."""
+    pair = F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"{value}_{s}").alias("value")) for s in "ab"))
+    return events.select("group_id", F.explode(pair).alias("_p")).select("group_id", "_p.*")
+
+
+def _of(side: str, column: str, name: str) -> Column:
+    return F.max(F.when(F.col("side") == side, F.col(column))).alias(name)
+
+
 def _ratio(a: str, b: str) -> Column:
     return F.col(a) / F.nullif(F.col(b), F.lit(0))
 
 
 def group_analysis(
     hits: DataFrame, runs: DataFrame, window: int, energy: tuple[int, int] = (1, 5), timing: tuple[int, int] = (3, 7), longest: float | None = None,
-    z: float = 5.0, keys: Sequence[str] = POOLABLE, peak: dict | None = None, delay: dict | None = None, fit: dict | None = None,
+    z: float = 5.0, least: int = 20, keys: Sequence[str] = POOLABLE, peak: dict | None = None, delay: dict | None = None, fit: dict | None = None,
 ) -> DataFrame:
     """Energy windows, average delays, matching, alignment and the timing fit of every group of compatible runs: a row for each group.
 
@@ -51,37 +61,31 @@ def group_analysis(
     analysis would fill; the other groups aren't touched. Every stage treats all groups in the same jobs; what a
     stage keeps is written once, with one row for each event (each candidate for the matching). peak, delay and fit
     are options of peak_window(), clipped_delay() and gaussian_ctr(); longest is the greatest deviation from the average
-    delay. Repeated hits count as one edge in time; without hits every group is a failure row, without runs there are no rows.
+    delay; under `least` matched events the alignment filter lets all pass. Repeated hits count as one edge in time; without hits every group is a failure row, without runs there are no rows.
     """
     g = ["group_id"]
     groups, members = (cut(x) for x in group_members(runs, keys))
     count = lambda df, name: df.groupBy(*g).agg(F.count("*").alias(name))
 
     pool = cut(pooled_candidates(hits, members, window, energy, timing))
-    windows = None
-    for s in "ab":
-        w = peak_window(pool, g, f"duration_{s}", **(peak or {})).select(*g, F.col("low").alias(f"duration_{s}_low"), F.col("high").alias(f"duration_{s}_high"), F.col("message").alias(f"_peak_{s}"))
-        windows = w if windows is None else windows.join(w, g, "full")
-    windows = cut(windows)
+    low_high = cut(peak_window(_by_side(pool, "duration"), [*g, "side"], "value", **(peak or {})))
+    windows = cut(low_high.groupBy(*g).agg(*(_of(s, c, n.format(s)) for s in "ab" for c, n in (("low", "duration_{}_low"), ("high", "duration_{}_high"), ("message", "_peak_{}")))))
     both = windows.where("_peak_a = '' and _peak_b = ''")
     selected = cut(in_windows(pool, both, g, ["duration_a", "duration_b"]))
 
     sides = cut(P.side_candidates(hits.join(selected.select(*_EVENT), _EVENT, "left_semi"), window, energy, timing))
     samples = P.calibration_samples(sides).join(members.select("run_id", "group_id"), "run_id")
     models = cut(clipped_delay(samples, [*g, "side"], "delay", **(delay or {})).where("mean is not null"))
-    of = lambda c, s, name: F.max(F.when(F.col("side") == s, F.col(c))).alias(f"_{name}_{s}")
-    delays = models.groupBy(*g).agg(*(of(c, s, c) for c in ("mean", "deviation", "n_kept") for s in "ab"))
+    delays = models.groupBy(*g).agg(*(_of(s, c, f"_{c}_{s}") for s in "ab" for c in ("mean", "deviation", "n_kept")))
 
     by_run = members.join(models, g).select("run_id", "side", "mean")
     wide = cut(P.matches_wide(P.match_delays(sides, by_run, longest)))
     events = wide.where("status = 'accepted'").join(selected, _EVENT)
     matched = cut(events.select(*g, *_EVENT, *((F.col(f"time_{s}") - F.col(f"lead_{s}")).alias(f"alignment_{s}") for s in "ab"), (F.col("time_b") - F.col("time_a")).alias("timing_lsb")))
-    kept = alignment_filter(matched, g, ["alignment_a", "alignment_b"], z)
-    centers = None
-    for s in "ab":
-        c = robust_scale(matched, g, f"alignment_{s}", 2.0).select(*g, F.col("center").alias(f"center_{s}"), F.col("scale").alias(f"scale_{s}"))
-        centers = c if centers is None else centers.join(c, g)
-    centers = cut(centers)
+    centers = cut(robust_scale(_by_side(matched, "alignment"), [*g, "side"], "value", 2.0).groupBy(*g).agg(*(_of(s, c, f"{c}_{s}") for s in "ab" for c in ("n", "center", "scale"))))
+    near = [(F.col(f"n_{s}") < least) | (F.abs(F.col(f"alignment_{s}") - F.col(f"center_{s}")) <= z * F.col(f"scale_{s}")) for s in "ab"]
+    kept = matched.join(centers, g).where(near[0] & near[1]).select(*matched.columns)
+    centers = centers.drop("n_a", "n_b")
     lsb = members.select(*g, "toa_lsb_ps").distinct()
     final = cut(kept.join(lsb, g).select(*g, F.rint(F.col("timing_lsb") * F.col("toa_lsb_ps") * 1000).cast("long").alias("fs")))
     fitted = gaussian_ctr(final, g, "fs", **(fit or {})).select(*g, *(F.col(c).alias(f"_{c}") for c in ("success", "n", "mean_ps", "mean_error_ps", "sigma_ps", "ctr_ps", "ctr_error_ps", "deviance", "ndof", "message")))

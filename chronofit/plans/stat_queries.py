@@ -190,33 +190,44 @@ t AS (SELECT group_id, count(*) AS events, string_agg(DISTINCT run_id, ',' ORDER
 
 
 def _group_input(spark, sf):
-    """Hits of one run a board, in events of half a day, and a table of these runs with two settings."""
-    h = M.hits(spark, sf)
-    run = F.concat(F.lit("Run"), F.col("board").cast("string"))
-    hits = h.select(run.alias("run_id"), (F.floor(F.col("toa_lsb") / GROUP_EVENT)).alias("event_index"), "channel", "edge", "toa_lsb")
+    """Hits of seven runs from the order lines, an event each, and a table of these runs with four settings.
+
+    Lines numbered 3 and 5 have a second timing lead; the timing leads of Run6, alone with its setting, come too late to be candidates.
+    """
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("l_linenumber").alias("line"), F.floor("l_quantity").alias("q"))
+    o, p, s, lead_b = F.col("o"), F.col("p"), F.col("s"), 1000 + F.col("p") % 11
+    hit = lambda channel, edge, toa: F.struct(F.lit(channel).alias("channel"), F.lit(edge).alias("edge"), toa.cast("long").alias("toa_lsb"))
+    time_b = F.when(s % 7 == 6, lead_b + 5).otherwise(lead_b - 90 - (o % 17 + p % 7 + s % 5))
+    six = F.array(
+        hit(1, 1, F.lit(1000)), hit(1, 0, 1000 + F.col("q") + 15 * (p % 13 + o % 11 + s % 7)), hit(5, 1, lead_b), hit(5, 0, lead_b + F.col("q") + 12 * (p % 11 + o % 13 + s % 9)), hit(3, 1, 900 - (s % 13 + o % 7 + p % 5)), hit(7, 1, time_b),
+        hit(3, 1, F.when(F.col("line") == 3, 970)), hit(7, 1, F.when((F.col("line") == 5) & (s % 7 < 6), lead_b - 400)),
+    )
+    hits = lines.select(F.concat(F.lit("Run"), (s % 7).cast("string")).alias("run_id"), (10 * o + F.col("line")).alias("event_index"), F.explode(six).alias("h")).select("run_id", "event_index", "h.*").where("toa_lsb is not null")
     fixed = {"acquisition_mode": F.lit("TRG_MATCHING"), "energy_threshold_mv": F.lit(10.0), "timing_threshold_mv": F.lit(5.0), "measurement_mode": F.lit(1), "toa_lsb_ps": F.lit(3.0), "tot_lsb_ps": F.lit(3.0)}
-    return hits, h.select(run.alias("run_id"), F.col("board").alias("run_number"), (F.col("board") % 2 + 40).alias("voltage")).distinct().withColumns(fixed)
-
-
-#: Lengths in LSB (seconds here) of the events of the pooled analysis and of its timing window.
-GROUP_EVENT, GROUP_WINDOW = 43200, 43200
+    runs = lines.select((s % 7).alias("run_number")).distinct()
+    voltage = F.when(F.col("run_number") == 6, 49).otherwise(40 + F.col("run_number") % 3)
+    return hits, runs.select(F.concat(F.lit("Run"), F.col("run_number").cast("string")).alias("run_id"), "run_number", voltage.alias("voltage")).withColumns(fixed)
 
 
 def e8_group_analysis(spark, sf):
-    return groups.group_analysis(*_group_input(spark, sf), GROUP_WINDOW)
+    return groups.group_analysis(*_group_input(spark, sf), 500)
 
 
 def e8_group_candidates(spark, sf):
     hits, runs = _group_input(spark, sf)
-    members = groups.group_members(runs)[1]
-    return groups.pooled_candidates(hits, members, GROUP_WINDOW).drop("group_id").join(members.join(runs, "run_id").select("run_id", "voltage"), "run_id")
-
-
-E8B = f"""WITH {M.HITS_SQL}, h AS (SELECT concat('Run', board) AS run_id, toa_lsb // 43200 AS event_index, 40 + board % 2 AS voltage, channel, edge, toa_lsb FROM hits),
-l AS (SELECT run_id, event_index, channel, voltage, min(toa_lsb) AS lead FROM h WHERE edge = 1 AND channel IN (1, 5) GROUP BY 1, 2, 3, 4),
-p AS (SELECT run_id, event_index, channel, l.voltage, lead, min(toa_lsb) - lead AS duration FROM l JOIN h USING (run_id, event_index, channel) WHERE edge = 0 AND toa_lsb > lead GROUP BY 1, 2, 3, 4, 5),
-c AS (SELECT DISTINCT p.* FROM p JOIN h ON h.run_id = p.run_id AND h.event_index = p.event_index AND h.channel = p.channel + 2 AND h.edge = 1 AND toa_lsb < lead AND toa_lsb > lead - 43200)
-SELECT run_id, event_index, a.voltage, a.lead AS lead_a, b.lead AS lead_b, a.duration AS duration_a, b.duration AS duration_b FROM c a JOIN c b USING (run_id, event_index) WHERE a.channel = 1 AND b.channel = 5"""
+    found, members = groups.group_members(runs)
+    pool = groups.pooled_candidates(hits, members, 500)
+    return pool.join(found.select("group_id", "voltage", "run_ids"), "group_id").drop("group_id")
+
+
+E8B = """WITH l AS (SELECT l_orderkey AS o, l_partkey AS p, l_suppkey AS s, l_linenumber AS line, floor(l_quantity)::BIGINT AS q, l_partkey % 11 + 1000 AS lead_b FROM lineitem),
+x AS (SELECT 'Run' || (s % 7) AS run_id, o * 10 + line AS event_index, unnest([1, 1, 5, 5, 3, 7, 3, 7]) AS channel, unnest([1, 0, 1, 0, 1, 1, 1, 1]) AS edge,
+ unnest([1000, 1000 + q + 15 * (p % 13 + o % 11 + s % 7), lead_b, lead_b + q + 12 * (p % 11 + o % 13 + s % 9), 900 - (s % 13 + o % 7 + p % 5), CASE WHEN s % 7 = 6 THEN lead_b + 5 ELSE lead_b - 90 - (o % 17 + p % 7 + s % 5) END, CASE WHEN line = 3 THEN 970 END, CASE WHEN line = 5 AND s % 7 < 6 THEN lead_b - 400 END]) AS toa FROM l),
+r AS (SELECT DISTINCT 'Run' || (s % 7) AS run_id, CASE WHEN s % 7 = 6 THEN 49 ELSE 40 + s % 7 % 3 END AS voltage, s % 7 AS run_number FROM l), g AS (SELECT voltage, string_agg(run_id, ',' ORDER BY run_number) AS run_ids FROM r GROUP BY 1),
+f AS (SELECT run_id, event_index, channel, min(toa) AS lead FROM x WHERE edge = 1 AND channel IN (1, 5) GROUP BY 1, 2, 3),
+d AS (SELECT run_id, event_index, channel, lead, min(toa) - lead AS duration FROM f JOIN x USING (run_id, event_index, channel) WHERE edge = 0 AND toa > lead GROUP BY 1, 2, 3, 4),
+c AS (SELECT DISTINCT d.* FROM d JOIN x ON x.run_id = d.run_id AND x.event_index = d.event_index AND x.channel = d.channel + 2 WHERE toa < lead AND toa > lead - 500)
+SELECT a.run_id, a.event_index, a.lead AS lead_a, b.lead AS lead_b, a.duration AS duration_a, b.duration AS duration_b, voltage, run_ids FROM c a JOIN c b USING (run_id, event_index) JOIN r USING (run_id) JOIN g USING (voltage) WHERE a.channel = 1 AND b.channel = 5"""
 
 
 def e9_run_summary(spark, sf):

@@ -101,4 +101,6 @@ def test_groups_without_hits_or_runs(spark):
 def test_group_queries(spark, duck):
     same(stat_queries.e8_group_candidates(spark, SMALL), duck.sql(stat_queries.E8B).df())
     rows = stat_queries.e8_group_analysis(spark, SMALL).collect()
-    assert len(rows) == 2 and all(r.status == "complete" or r.error for r in rows)
+    assert len(rows) == 4 and all((r.error == "") == (r.status == "complete") == (r.ctr_ps is not None) for r in rows)
+    assert sorted((r.voltage, r.status) for r in rows) == [(40, "complete"), (41, "complete"), (42, "complete"), (49, "failed")]
+    assert all(0 < r.fit_selected_events <= r.matched_events == r.energy_selected_events < r.candidate_events and r.corrected_alignments > 0 for r in rows if r.voltage < 49)
