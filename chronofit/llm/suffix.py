@@ -9,7 +9,7 @@ a prefix of another, equal windows stand side by side in that order.
 The order is built where windows can be equal at all. A window belongs to the first trigger in it, and with the
 window it fixes some of the trigger's surroundings: those on the right where the trigger lies in the window's
 first half, those on the left otherwise. Surroundings that stand once in the corpus have no repeats; those that
-stand more often are buckets, and each bucket's suffix array is made from the suffix array of its phrases and the
+stand more often are buckets (equal runs of windows at equal distances in a text are one row), and each bucket's suffix array is made from the suffix array of its phrases and the
 order of their continuations. A phrase that the parse holds twice with its continuation needs no look at its
 bytes, so a copy is never looked at twice.
 """
@@ -84,6 +84,25 @@ class Parse:
         return S.mix(h ^ S.mix((self.end - self.lo + 1).astype(S.U) * S._K))
 
 
+    def series(self) -> tuple[np.ndarray, ...]:
+        """Equal runs of a text at equal distances as one: numbers of the first runs, their buckets and fingerprints, how often each stands, and the distance.
+
+        A text of period p, however long, has at most some p series instead of a run or more for each period.
+        """
+        h, e = self.buckets(), self.entries()
+        order = np.lexsort((self.lo, e, h, self.of))
+        h, e, of, lo = h[order], e[order], self.of[order], self.lo[order]
+        n = len(order)
+        same = np.zeros(n, dtype=bool)
+        same[1:] = (of[1:] == of[:-1]) & (h[1:] == h[:-1]) & (e[1:] == e[:-1])
+        step = np.where(same, np.diff(lo, prepend=0), 0)
+        new = ~same
+        new[1:] |= same[:-1] & (step[1:] != step[:-1])
+        first = np.flatnonzero(new)
+        times = np.diff(np.append(first, n))
+        return order[first], h[first], e[first], times, np.where(times > 1, step[np.minimum(first + 1, n - 1)], 0) if n else times
+
+
 def _counts(texts: DataFrame, *how: int) -> DataFrame:
     def run(batches):
         for whole in batches:
@@ -99,13 +118,14 @@ def _runs(texts: DataFrame, *how: int) -> DataFrame:
         for whole in batches:
             for b in S.pieces(whole, "text", _PIECE):
                 p = Parse(*S.string_buffers(b.column(1)), *how)
+                k, h, e, times, step = p.series()
                 cols = [
-                    pa.array(p.buckets().view(np.int64)), pa.array(p.entries().view(np.int64)), b.column(0).take(pa.array(p.of)),
-                    pa.array((p.lo - p.offsets[p.of]).astype(np.int32)), pa.array(p.m.astype(np.int16)), pa.array((p.end - p.lo).astype(np.int16)),
+                    pa.array(h.view(np.int64)), pa.array(e.view(np.int64)), b.column(0).take(pa.array(p.of[k])), pa.array((p.lo[k] - p.offsets[p.of[k]]).astype(np.int32)),
+                    pa.array(p.m[k].astype(np.int16)), pa.array((p.end[k] - p.lo[k]).astype(np.int16)), pa.array(times << 32 | step),
                 ]
-                yield pa.RecordBatch.from_arrays(cols, names=["h", "e", "uid", "lo", "m", "phrase"])
+                yield pa.RecordBatch.from_arrays(cols, names=["h", "e", "uid", "lo", "m", "phrase", "series"])
 
-    return texts.select("uid", "text").mapInArrow(run, "h long, e long, uid long, lo int, m short, phrase short")
+    return texts.select("uid", "text").mapInArrow(run, "h long, e long, uid long, lo int, m short, phrase short, series long")
 
 
 def _order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -272,7 +292,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch.drop(repeated)
     scratch.sweep()
     place = F.struct("uid", "lo")
-    dictionary = runs.groupBy("h", "e").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.first("m").alias("m"), F.first("phrase").alias("phrase"))
+    dictionary = runs.groupBy("h", "e").agg(F.sum(F.shiftright("series", 32)).alias("n"), F.min(place).alias("first"), F.first("m").alias("m"), F.first("phrase").alias("phrase"))
     dictionary = scratch.save(dictionary, "dictionary", "zstd")
     scratch.sweep()
     per = dictionary.groupBy("h").agg(F.count("*").alias("v")).where("v > 1")
@@ -292,8 +312,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hits = _compare(each.where(F.col("v") <= rows), length).unionByName(_split(each.where(F.col("v") > rows), length))
     hits = scratch.save(hits, "hits")
     scratch.drop(each)
-    twice = dictionary.where("n > 1").select("h", "e", F.lit(None).cast("binary").alias("hits"))
-    gone = scratch.save(runs.select("h", "e", "uid", "lo", "m").join(twice.unionByName(hits), ["h", "e"]).groupBy("uid").agg(F.collect_list(F.struct("lo", "m", "hits")).alias("runs")), "gone")
+    twice = dictionary.where("n > 1").select("h", "e", "m", F.lit(None).cast("binary").alias("hits"))
+    gone = scratch.save(runs.select("h", "e", "uid", "lo", "series").join(twice.unionByName(hits, allowMissingColumns=True), ["h", "e"]).groupBy("uid").agg(F.collect_list(F.struct("lo", "m", "series", "hits")).alias("runs")), "gone")
     scratch.drop(runs, dictionary, hits)
     scratch.sweep()
 
@@ -302,7 +322,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out = []
             runs = b.column(2)
             flat = runs.flatten()
-            lo, m = flat.field("lo").to_numpy().astype(np.int64), flat.field("m").to_numpy().astype(np.int64)
+            lo, m, series = flat.field("lo").to_numpy().astype(np.int64), flat.field("m").fill_null(0).to_numpy().astype(np.int64), flat.field("series").to_numpy()
+            times, step = series >> 32, series & 0xFFFFFFFF
             ends = np.cumsum(runs.value_lengths().fill_null(0).to_numpy())
             hits = flat.field("hits")
             single = hits.is_valid().to_numpy(zero_copy_only=False)
@@ -315,8 +336,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 some, whole = own[single[own]], own[~single[own]]
                 at = [np.frombuffer(hits[int(k)].as_buffer(), "<i2").astype(np.int64) + lo[k] for k in some]
                 edge = np.zeros(len(raw) + 1, np.int64)  # all windows of a run that stands twice go at once
-                np.add.at(edge, lo[whole], 1)
-                np.add.at(edge, lo[whole] + m[whole] + length - 1, -1)
+                t = times[whole]
+                start = np.repeat(lo[whole], t) + np.repeat(step[whole], t) * (np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t))
+                np.add.at(edge, start, 1)
+                np.add.at(edge, start + np.repeat(m[whole], t) + length - 1, -1)
                 if at:
                     at = np.concatenate(at)
                     np.add.at(edge, at, 1)

@@ -346,6 +346,20 @@ def test_repeats_production_length(spark):
     assert suffix.remove_repeats(documents(spark, [(1, "x")]).limit(0)).isEmpty()
 
 
+def test_repetitive_texts_have_few_rows(spark):
+    g = random.Random(8)
+    period = "".join(g.choice("abcdefgh ") for _ in range(700))
+    for unit, most in (("a", 10), ("abc", 30), (period, 2000)):
+        text = unit * (1_000_000 // len(unit))
+        df = spark.createDataFrame([(1, text)], "uid long, text string")
+        rows = suffix._runs(df, suffix.LENGTH, suffix.ROLLING, suffix.PERIOD).selectExpr("count(*) AS n", "sum(shiftright(series, 32) * m) AS windows").first()
+        assert rows.n < most and rows.windows == len(text) - suffix.LENGTH + 1, unit[:5]
+    texts = ["a" * 700, "abc" * 150 + "x" + "abc" * 90, period[:230] * 3 + "q" + period[:230], "ab" * 99, "a" * 199, period + "zz" + period[100:400], "b" * 150 + "a" * 260]
+    docs = list(enumerate(texts))
+    got = suffix.remove_repeats(documents(spark, docs), length=200).collect()
+    assert sorted((str(r.id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_repeats(docs, 200)
+
+
 # HTML
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><h2>Site</h2></header><nav><ul><li><a href=/>Home</a></ul></nav>
