@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from chronofit.functions import waveform as W
 from chronofit.functions.timing import FWHM
 
+from . import splits
+from .lineage import cut
 from .stats import residual_metrics
 
 
@@ -78,24 +80,26 @@ def threshold_scan(pairs: DataFrame, keys: Sequence[str], first: str, second: st
     return residual_metrics(each, [*keys, "parameter"], "delta")
 
 
-def adaptive_threshold(pairs: DataFrame, first: str, second: str, row_id: str, folds: int, low: float, high: float, step_ps: float, coarse: int = 121, fine: int = 41, kind: str = "led") -> tuple[float, DataFrame]:
+def adaptive_threshold(pairs: DataFrame, first: str, second: str, row_id: str, folds: int, low: float, high: float, step_ps: float, coarse: int = 121, fine: int = 41, kind: str = "led", seed: int = 1) -> tuple[float, DataFrame]:
     """Coarse-to-fine search of one threshold: the value, and the table of both passes (pass, value, score_ps, valid).
 
     The range ends at the least window maximum of any event and detector. A value at which any event lacks a
-    crossing is excluded; the score is the mean over folds of CTR. The driver sees one row for each value.
+    crossing, or a fold has fewer than two events, is excluded; the score is the mean over near-equal folds of CTR. The
+    driver sees one row for each value.
     """
     top = pairs.agg(F.min(F.least(F.array_max(first), F.array_max(second)))).first()[0] if kind == "led" else high
     lo, hi = max(low, 1e-6), min(high, top - 1e-6)
     if not lo < hi:
         raise ValueError("no threshold is reached by every event")
-    d = pairs.withColumn("_fold", F.pmod(F.xxhash64(row_id), F.lit(folds)))
+    d = cut(splits.folds(pairs.select(row_id, first, second), [], row_id, folds, seed).select(F.col("fold").alias("_fold"), first, second))
     tables = []
 
     def score(values: np.ndarray, number: int) -> pd.DataFrame:
         grid = (lambda y: W.led_grid(y, values.tolist())) if kind == "led" else (lambda y: W.cfd_grid(y, values.tolist()))
         each = d.select("_fold", F.posexplode(F.zip_with(grid(F.col(first)), grid(F.col(second)), lambda a, b: (a - b) * step_ps)).alias("k", "delta"))
-        per = each.groupBy("k", "_fold").agg(F.stddev_samp("delta").alias("sd"), F.count_if(F.col("delta").isNull()).alias("missing"))
-        out = per.groupBy("k").agg((F.avg("sd") * FWHM).alias("score_ps"), (F.sum("missing") == 0).alias("valid")).toPandas()
+        per = each.groupBy("k", "_fold").agg(F.stddev_samp("delta").alias("sd"), F.count_if(F.col("delta").isNull()).alias("missing"), F.count("*").alias("n"))
+        whole = (F.sum("missing") == 0) & (F.min("n") >= 2) & (F.count("*") == folds)
+        out = per.groupBy("k").agg((F.avg("sd") * FWHM).alias("score_ps"), whole.alias("valid")).toPandas()
         out["value"], out["number"] = values[out.k.to_numpy()], number
         tables.append(out)
         return out[out.valid & out.score_ps.notna()].sort_values(["score_ps", "value"])
@@ -103,7 +107,7 @@ def adaptive_threshold(pairs: DataFrame, first: str, second: str, row_id: str, f
     values = np.linspace(lo, hi, coarse)
     best = score(values, 1)
     if best.empty:
-        raise ValueError("every value lacks a crossing somewhere")
+        raise ValueError("every value lacks a crossing somewhere, or a fold has fewer than two events")
     k = int(best.k.iloc[0])
     best2 = score(np.linspace(values[max(0, k - 1)], values[min(coarse - 1, k + 1)], fine), 2)
     both = pd.concat([best.head(1), best2.head(1)]).sort_values(["score_ps", "value"])

@@ -324,8 +324,9 @@ F3 = E15B.replace("SELECT i, count", ", p AS (SELECT i, count").replace("FROM e
 
 
 def h3_adaptive_threshold(spark, sf):
-    d = M.pairs(spark, sf).where((F.get("mv1", F.lit(0)) < 20) & (F.get("mv2", F.lit(0)) < 20))
-    return search.adaptive_threshold(d, "mv1", "mv2", "event_index", 3, 20.0, 150.0, STEP_PS, coarse=9, fine=5)[1]
+    """All events, each trace after a sample of 0, so that it rises through every threshold under its maximum."""
+    d = M.pairs(spark, sf).select("event_index", *(F.concat(F.array(F.lit(0.0)), c).alias(c) for c in ("mv1", "mv2")))
+    return search.adaptive_threshold(d, "mv1", "mv2", "event_index", 3, 20.0, 150.0, STEP_PS)[1]
 
 
 def h6_pair_regression(spark, sf):
