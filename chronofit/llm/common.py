@@ -14,8 +14,10 @@ import re
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -143,6 +145,33 @@ def with_arrow(df: DataFrame, sources: list[str], fields: list[T.StructField], m
     return frame.mapInArrow(run, schema)
 
 
+#: Bits of a bit_filter(): 8 MB, whatever the table's size.
+FILTER_BITS = 1 << 26
+_PART = 1 << 15
+
+
+def bit_of(value: Column) -> Column:
+    return F.pmod(F.xxhash64(value), F.lit(FILTER_BITS))
+
+
+def bit_filter(values: DataFrame) -> Broadcast:
+    """The bit_of() of all values of a one-column table, as bits of a numpy array, eight a byte.
+
+    Rows whose bit isn't set can be left out before a join with `values`; the others still have to be joined.
+    """
+    at = bit_of(F.col(f"`{values.columns[0]}`"))
+    parts = values.select(at.alias("at")).groupBy(F.floor(F.col("at") / _PART).alias("part")).agg(F.bitmap_construct_agg(F.col("at") % _PART).alias("bits"))
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in parts.collect():
+        bits[r.part * _PART // 8 : (r.part + 1) * _PART // 8] = np.frombuffer(bytes(r.bits), np.uint8)
+    return values.sparkSession.sparkContext.broadcast(bits)
+
+
+def set_bits(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of the places are set."""
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """Connected components of the undirected edges (u, v): rows (node, comp), comp the smallest node of the component.
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import Scratch, components, id_and_text
+from .common import Scratch, bit_filter, bit_of, components, id_and_text, set_bits
 from .nearsets import CHUNK, linked
 
 #: 30 bands of 6: a pair at a similarity of 0.85 shares no band with a chance of 7e-7.
@@ -36,20 +36,25 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = 5
     return out.withColumn("bands", F.when(F.col("n_shingles") > 0, F.col("bands")))
 
 
-def full_sets(docs: DataFrame, k: int = 5) -> DataFrame:
-    """(id, text) -> (node, elements binary): the distinct shingles of each text."""
+def full_sets(docs: DataFrame, nodes: DataFrame, k: int = 5) -> DataFrame:
+    """(id, text) -> (node, elements binary): the distinct shingles of each text whose id is one of `nodes` (node).
+
+    Texts stay where they are: a filter takes out nearly all that aren't wanted, and only sets meet the nodes.
+    """
+    bits = bit_filter(nodes.select("node"))
 
     def run(batches):
         member, fold = S.space_words(), S.lower_ascii()
         for whole in batches:
-            for b in S.pieces(whole, "text"):
+            some = whole.filter(pa.array(set_bits(bits.value, whole.column(2).to_numpy())))
+            for b in S.pieces(some, "text"):
                 sets, offsets = S.text_sets(b.column(1), k, member, fold)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), pa.array([sets[i:j].tobytes() for i, j in zip(offsets, offsets[1:], strict=False)], pa.binary())],
                     names=["node", "elements"],
                 )
 
-    return docs.mapInArrow(run, "node long, elements binary")
+    return docs.select("id", "text", bit_of(F.col("id")).alias("at")).mapInArrow(run, "node long, elements binary").join(nodes, "node", "left_semi")
 
 
 def near_duplicates(
@@ -75,7 +80,7 @@ def near_duplicates(
     found = linked(
         scratch, reps.select(F.explode("bands").alias("h"), F.col("id").alias("node")),
         # where rows share an id, each text's set stands for the node
-        lambda nodes: full_sets(texts.join(nodes.select(F.col("node").alias("id")), "id"), k), over, under, chunk,
+        lambda nodes: full_sets(texts, nodes, k), over, under, chunk,
     )
     unique = some.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
     if unique:  # ids are unique: copies hang on their class alone and needn't go through the graph

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -204,6 +205,40 @@ def test_paragraphs_against_brute_force(spark, chunk, monkeypatch):
     assert paragraphs.near_duplicates(docs.limit(0)).isEmpty()
 
 
+def test_nodes_without_a_band_or_a_copy_go_before_the_texts_are_read(spark, monkeypatch):
+    import chronofit.llm.nearsets as nearsets
+
+    seen = []
+
+    def linked(scratch, bands, sets_of, *a):
+        def watched(wanted):
+            out = sets_of(wanted)
+            seen.extend(p.name for p in Path(scratch.root.removeprefix("file:")).iterdir())
+            return out
+
+        return nearsets.linked(scratch, bands, watched, *a)
+
+    monkeypatch.setattr(paragraphs, "linked", linked)
+    own = [(i, " ".join(f"w{i}x{j}" for j in range(9))) for i in range(50)]
+    found = {r.id: r.n_removed for r in paragraphs.near_duplicates(documents(spark, [*own, (90, own[3][1]), (91, own[4][1] + " more")])).collect()}
+    assert {k for k, v in found.items() if v} == {90, 91}
+    names = [x.split("-", 1)[1] for x in seen]
+    assert "held" in names and "nodes" not in names
+
+
+def test_only_sets_of_candidates_meet_the_nodes(spark):
+    rows = [(i, f"a{i} b c d e f{i % 7}") for i in range(3000)] + [(5, "twice"), (None, "none")]
+    nodes = spark.createDataFrame([(5,), (77,), (-4,)], "node long")
+    got = minhash.full_sets(spark.createDataFrame(rows, "id long, text string"), nodes)
+    assert sorted(r.node for r in got.collect()) == [5, 5, 77]
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert "Exchange" not in plan[plan.index("MapInArrow") :] and "text" not in plan[: plan.index("MapInArrow")]
+    bits = common.bit_filter(nodes).value
+    at = np.array([r.at for r in spark.range(3000).select(common.bit_of(F.col("id")).alias("at")).collect()])
+    ok = common.set_bits(bits, at)
+    assert ok[5] and ok[77] and ok.sum() < 10
+
+
 def test_paragraphs_dont_depend_on_what_stands_before():
     g = random.Random(6)
     lines = [" ".join(f"w{g.randrange(10**4)}" + g.choice(["", "", "."]) for _ in range(g.randrange(60))) for _ in range(400)]
