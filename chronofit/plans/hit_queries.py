@@ -121,7 +121,7 @@ D9 = f"{_SIDES} SELECT run_id, event_index, lead, time FROM ca"
 def d10_overlap_support(spark, sf):
     p = P.in_event_pairs(M.hits(spark, sf)).where(F.col("trail") - F.col("lead") <= LONGEST)
     side = lambda c: p.where(F.col("channel") == c).select("run_id", "event_index", "lead", "trail")
-    return P.overlap_support(side(1), side(3), ["run_id", "event_index"], LONGEST)
+    return P.overlap_support(side(1), side(3), ["run_id", "event_index"])
 
 
 D10 = D7.replace("SELECT run_id, event_index, channel, pulse - 1 AS pulse, lead, trail FROM w WHERE pulse > 0", """, p AS (SELECT run_id, event_index, channel, lead, trail FROM w WHERE pulse > 0 AND trail - lead <= 43200)
