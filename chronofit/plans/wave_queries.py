@@ -35,7 +35,7 @@ def _sql_last(y: str, lvl: str) -> str:
 
 
 def b2_millivolt(spark, sf):
-    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda x: F.floor(x * 1000).cast("smallint")).alias("raw"))
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("float") * F.lit(1000).cast("float")).cast("smallint")).alias("raw"))
     return e.select("vec_id", F.aggregate(T.millivolt(F.col("raw"), F.lit(0.25), F.lit(0.5)), F.lit(0.0), lambda s, x: s + x).alias("total_mv"), F.get(T.time_axis_ns(F.col("raw"), F.lit(1e-10), F.lit(-1.6e-9)), F.lit(20)).alias("t20_ns"))
 
 

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from conftest import same
 from pyspark.sql import functions as F
 
 from chronofit.functions import extraction as X
@@ -75,3 +76,18 @@ def test_threshold_regression_and_study(spark):
     t = spark.createDataFrame([("f", i, [0.0, 0.0], [float(g.normal(0, 9)), float(g.normal(0, 1))]) for i in range(120)], "f string, i int, a array<double>, b array<double>")
     r = search.threshold_study(t, ["f"], "i", "a", "b", 0.3, 0.3, 1, 1.0).first()
     assert r.parameter == 1 and r.oracle_parameter == 1 and 1 < r.blind_ctr_ps < 4
+
+
+def test_millivolt_query_scales_in_single_precision(spark, tmp_path):
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from chronofit.plans import wave_queries as V
+
+    # in double precision, some of these products fall just under a whole number that single precision rounds them to
+    x = (np.arange(-3000, 3000) / 1000).astype(np.float32).reshape(-1, 50)
+    pq.write_table(pa.table({"vec_id": pa.array(range(len(x)), pa.int64()), "embedding": pa.array(list(x), pa.list_(pa.float32()))}), tmp_path / "embeddings.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    same(V.b2_millivolt(spark, str(tmp_path)), c.execute(V.B2).fetchdf())
