@@ -82,8 +82,7 @@ def d6_candidate_lists(spark, sf):
     first = leads.where("channel = 1").select("run_id", "board", F.col("lead").alias("lead_a")).withColumn("k", bucket("lead_a"))
     second = leads.where("channel = 5").select("run_id", "board", F.col("lead").alias("lead_b")).withColumn("k", F.explode(F.sequence(bucket("lead_b") - 1, bucket("lead_b") + 1)))
     near = first.join(second, ["run_id", "board", "k"]).where(F.abs(F.col("lead_a") - F.col("lead_b")) <= 60).drop("k")
-    out = P.candidate_lists(near, leads, 7200)
-    return out.select("run_id", "board", "lead_a", "lead_b", F.array_join("candidates_a", ",").alias("candidates_a"), F.array_join("candidates_b", ",").alias("candidates_b"))
+    return P.candidate_lists(near, leads, 7200, text=True).select("run_id", "board", "lead_a", "lead_b", "candidates_a", "candidates_b")
 
 
 D6 = f"""WITH {M.HITS_SQL}, t AS (SELECT DISTINCT run_id, board, channel, toa_lsb AS lead FROM hits WHERE edge = 1),
