@@ -11,6 +11,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once: inside a lambda, Spark computes an expression anew for each element and each mention."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def mean(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
 
@@ -44,11 +49,15 @@ def crossings(y: Column, level: Column | float) -> Column:
     greater one, and not reached from below, counts where no such pair exists.
     """
     level = F.lit(level) if not isinstance(level, Column) else level
+    return let(y, lambda v: let(level, lambda t: _crossings(v, t)))
+
+
+def _crossings(y: Column, level: Column) -> Column:
     pair = F.transform(F.sequence(F.lit(0), F.size(y) - 2), lambda k: F.struct(k.alias("k"), F.get(y, k).alias("a"), F.get(y, k + 1).alias("b")))
-    rising = F.filter(pair, lambda p: (p["a"] < level) & (p["b"] >= level))
-    touching = F.filter(pair, lambda p: (p["a"] == level) & (p["b"] > level))
+    rising = lambda d: F.filter(d, lambda p: (p["a"] < level) & (p["b"] >= level))
+    touching = lambda d: F.filter(d, lambda p: (p["a"] == level) & (p["b"] > level))
+    found = let(pair, lambda d: let(rising(d), lambda r: F.when(F.size(r) > 0, r).otherwise(touching(d))))
     place = lambda p: p["k"] + (level - p["a"]) / (p["b"] - p["a"])
-    found = F.when(F.size(rising) > 0, rising).otherwise(touching)
     return F.when(F.size(y) >= 2, F.transform(found, place)).otherwise(F.array().cast("array<double>"))
 
 
@@ -58,15 +67,18 @@ def first_crossing(y: Column, level: Column | float) -> Column:
 
 def last_crossing_before_peak(y: Column, level: Column | float) -> Column:
     """Last rising crossing among the samples up to the first maximum."""
-    return F.try_element_at(crossings(F.slice(y, 1, peak_index(y) + 1), level), F.lit(-1))
+    return let(y, lambda v: F.try_element_at(crossings(F.slice(v, 1, peak_index(v) + 1), level), F.lit(-1)))
 
 
 def leading_edge(y: Column, threshold: Column | float) -> Column:
     """First sample at or above a positive threshold, interpolated from the one before it; null if that is sample 0 or flat."""
     t = F.lit(threshold) if not isinstance(threshold, Column) else threshold
-    k = first_index(y, lambda x: x >= t)
-    a, b = F.get(y, k - 1), F.get(y, k)
-    return F.when((t > 0) & (k > 0) & (a != b), (k - 1) + (t - a) / (b - a))
+
+    def at(v: Column, k: Column) -> Column:
+        a, b = F.get(v, k - 1), F.get(v, k)
+        return F.when((t > 0) & (k > 0) & (a != b), (k - 1) + (t - a) / (b - a))
+
+    return let(y, lambda v: let(first_index(v, lambda x: x >= t), lambda k: at(v, k)))
 
 
 def femtoseconds(position: Column, step_s: float, start_s: float) -> Column:
@@ -75,11 +87,11 @@ def femtoseconds(position: Column, step_s: float, start_s: float) -> Column:
 
 
 def led_grid(y: Column, thresholds: list[float]) -> Column:
-    return F.transform(F.array(*map(F.lit, thresholds)), lambda t: leading_edge(y, t))
+    return let(y, lambda v: F.transform(F.array(*map(F.lit, thresholds)), lambda t: leading_edge(v, t)))
 
 
 def cfd_grid(y: Column, fractions: list[float]) -> Column:
-    return F.transform(F.array(*map(F.lit, fractions)), lambda f: last_crossing_before_peak(y, f * F.array_max(y)))
+    return let(y, lambda v: F.transform(F.array(*map(F.lit, fractions)), lambda f: last_crossing_before_peak(v, f * F.array_max(v))))
 
 
 def crop(y: Column, center: Column, before: int, after: int) -> Column:

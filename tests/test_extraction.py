@@ -8,6 +8,7 @@ from conftest import same
 from pyspark.sql import functions as F
 
 from chronofit.functions import extraction as X
+from chronofit.functions import waveform as W
 from chronofit.operators import search
 
 S = X.ChannelSettings(step_s=1e-10, start_s=0.0, baseline=5, trigger_mv=20.0, led_mv=30.0, cfd_fraction=0.5, crop_before=10, crop_after=20, window_before=3, window_after=6)
@@ -91,3 +92,12 @@ def test_millivolt_query_scales_in_single_precision(spark, tmp_path):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
     same(V.b2_millivolt(spark, str(tmp_path)), c.execute(V.B2).fetchdf())
+
+
+def test_a_trace_is_prepared_once_for_its_crossings(spark):
+    d = spark.createDataFrame([([0.0, 2.0, 1.0, 4.0, 3.0],), ([1.0],), (None,), ([2.0, 2.0, 5.0],)], "y array<double>")
+    at = W.last_crossing_before_peak(F.col("y"), 0.5 * F.array_max("y"))
+    q = d.select(at.alias("at"), W.led_grid(F.col("y"), [1.0, 3.0]).alias("led"))
+    assert [tuple(r) for r in q.collect()] == [(2 + 1 / 3, [0.5, 2 + 2 / 3]), (None, [None, None]), (None, [None, None]), (1 + 0.5 / 3, [None, 1 + 1 / 3])]
+    # the peak was looked for anew at every sample, and for every mention of the cut trace
+    assert d.select(at)._jdf.queryExecution().analyzed().toString().count("array_position(") == 1
