@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -130,6 +131,26 @@ def antisymmetric(first: Column, second: Column) -> Column:
     return F.zip_with(first, second, lambda a, b: a - b)
 
 
+_SUMS = pa.schema([("_key", pa.string()), ("g", pa.list_(pa.float64())), ("h", pa.list_(pa.float64())), ("loss", pa.float64()), ("n", pa.int64())])
+
+
+def _blocks(batches):
+    """Batches of _key, x, y and _e as one row for each key, whose numbers are packed doubles; a missing number is NaN."""
+    numbers = lambda c: c.to_numpy(zero_copy_only=False).astype(np.float64)
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key, x, y, e = b.columns
+        sizes = np.diff(x.offsets.to_numpy())
+        if (sizes != sizes[0]).any():
+            raise ValueError("features differ in length")
+        x, y, e = numbers(x.flatten()).reshape(b.num_rows, -1) if sizes[0] else np.zeros((b.num_rows, 0)), numbers(y), numbers(e)
+        names, of = np.unique(np.array(key.to_pylist(), dtype=object), return_inverse=True)
+        order = np.argsort(of, kind="stable")
+        parts = np.split(order, np.flatnonzero(np.diff(of[order])) + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(names.tolist(), pa.string()), *(pa.array([v[i].tobytes() for i in parts], pa.binary()) for v in (y, e, x))], names=["_key", "y", "e", "x"])
+
+
 def insensitive_fit(df: DataFrame, keys: Sequence[str], features: str, target: str, c: float, epsilon: float | str, rounds: int = 60, intercept: bool = False) -> DataFrame:
     """Linear epsilon-insensitive regression for each key, solved by distributed passes: keys, weights, bias, objective, n.
 
@@ -140,7 +161,8 @@ def insensitive_fit(df: DataFrame, keys: Sequence[str], features: str, target: s
     keys = list(keys)
     d = df.where(F.col(features).isNotNull() & F.col(target).isNotNull()).select(F.to_json(F.struct(*keys)).alias("_key") if keys else F.lit("{}").alias("_key"), *keys, F.col(features).cast("array<double>").alias("x"), F.col(target).cast("double").alias("y"), (F.col(epsilon) if isinstance(epsilon, str) else F.lit(epsilon)).cast("double").alias("_e"))
     spark = df.sparkSession
-    d = d.persist()
+    # rows of one key and batch lie in one block of numbers, so a pass costs no Python object for each row
+    d = d.select("_key", "x", "y", "_e").mapInArrow(_blocks, "_key string, y binary, e binary, x binary").persist()
     state: dict[str, np.ndarray] = {}
 
     def sums(current: dict[str, np.ndarray], smooth: float):
@@ -149,11 +171,11 @@ def insensitive_fit(df: DataFrame, keys: Sequence[str], features: str, target: s
         def run(batches):
             acc: dict[str, list] = {}
             for b in batches:
-                for key, part in b.groupby("_key"):
-                    x = np.stack([np.asarray(v, float) for v in part.x])
+                for key, *numbers in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    y, wide, x = (np.frombuffer(v) for v in numbers)
+                    x = x.reshape(len(y), -1)
                     if intercept:
                         x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-                    y, wide = part.y.to_numpy(), part._e.to_numpy()
                     w = shared.value.get(key)
                     r = y - (x @ w if w is not None else 0.0)
                     over = np.abs(r) - wide
@@ -162,10 +184,10 @@ def insensitive_fit(df: DataFrame, keys: Sequence[str], features: str, target: s
                     got = (x.T @ (a[:, None] * x), x.T @ (a * aim), float(np.maximum(over, 0).sum()), len(y))
                     old = acc.get(key)
                     acc[key] = got if old is None else tuple(p + q for p, q in zip(old, got, strict=True))
-            rows = [[k, g.ravel().tolist(), h.tolist(), e, n] for k, (g, h, e, n) in acc.items()]
-            yield pd.DataFrame(rows, columns=["_key", "g", "h", "loss", "n"])
+            rows = [(k, g.ravel().tolist(), h.tolist(), e, n) for k, (g, h, e, n) in acc.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, _SUMS.types, strict=True)], schema=_SUMS)
 
-        parts = d.select("_key", "x", "y", "_e").mapInPandas(run, "_key string, g array<double>, h array<double>, loss double, n long")
+        parts = d.mapInArrow(run, "_key string, g array<double>, h array<double>, loss double, n long")
         flat = parts.select("_key", "loss", "n", F.posexplode(F.concat("g", "h")).alias("i", "v"))
         total = flat.groupBy("_key", "i").agg(F.sum("v").alias("v"), F.sum("loss").alias("loss"), F.sum("n").alias("n"))
         out: dict[str, tuple] = {}
@@ -219,7 +241,7 @@ def final_evaluation(df: DataFrame, features: str, target: str, fold: str, folds
     development rows, or where no epsilon has a score, nothing is returned.
     """
     own = [x for x in df.columns if x not in ("epsilon", "split", "prediction", "residual")]
-    whole = df.select(*own).where(F.col(features).isNotNull() & F.col(target).isNotNull()).withColumn("split", F.when(development, "development").otherwise("blind"))
+    whole = cut(df.select(*own).where(F.col(features).isNotNull() & F.col(target).isNotNull()).withColumn("split", F.when(development, "development").otherwise("blind")))
     each = whole.where("split = 'development'").select(features, target, fold, F.explode(F.array(*map(F.lit, map(float, epsilons)))).alias("epsilon"))
     train = each.withColumn("_out", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).where(F.col("_out") != F.col(fold))
     fit = insensitive_fit(train, ["epsilon", "_out"], features, target, c, "epsilon", rounds)
@@ -277,7 +299,8 @@ def threshold_regression(df: DataFrame, keys: Sequence[str], features: str, targ
     Fitted on the training rows of each key; rows with a missing feature have no prediction.
     """
     keys = list(keys)
-    whole = df.withColumn("_train", training).where(F.size(F.filter(features, lambda x: x.isNull() | F.isnan(x))) == 0)
+    # read three times: for the scales, the fit and the residuals
+    whole = cut(df.withColumn("_train", training).where(F.size(F.filter(features, lambda x: x.isNull() | F.isnan(x))) == 0))
     d = standardised(whole, keys, features, F.col("_train"))
     fit = insensitive_fit(d.where("_train"), keys, features, target, c, epsilon, rounds, intercept=True)
     out = d.join(fit.select(*keys, "weights", "bias"), keys) if keys else d.join(fit.select("weights", "bias"))

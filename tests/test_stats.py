@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -238,3 +239,13 @@ def test_pair_similarity_in_blocks(spark, monkeypatch):
     got = {(r.draw, r.i, r.j): r.similarity for r in reports.pair_similarity(d, "k", "a", "b", spark.createDataFrame(pairs, "draw int, i long, j long")).collect()}
     want = {(t, i, j): x[i] @ y[j] / np.linalg.norm(x[i]) / np.linalg.norm(y[j]) for t, i, j in pairs if i != 4 and j < 23}
     assert got.keys() == want.keys() and all(got[c] == pytest.approx(want[c]) for c in want)
+
+
+def test_regression_rows_are_packed_by_key():
+    rows = pa.RecordBatch.from_pydict({"_key": ["b", "a", "b"], "x": [[1.0, 2.0], [3.0, 4.0], [5.0, None]], "y": [1.0, 2.0, 3.0], "_e": [0.1, 0.2, 0.3]})
+    a, b = next(search._blocks([rows])).to_pylist()
+    assert (a["_key"], b["_key"]) == ("a", "b") and np.frombuffer(a["x"]).tolist() == [3.0, 4.0]
+    assert np.frombuffer(b["y"]).tolist() == [1.0, 3.0] and np.frombuffer(b["e"]).tolist() == [0.1, 0.3]
+    assert np.array_equal(np.frombuffer(b["x"]), [1.0, 2.0, 5.0, np.nan], equal_nan=True)
+    with pytest.raises(ValueError, match="differ in length"):
+        next(search._blocks([pa.RecordBatch.from_pydict({"_key": ["a", "a"], "x": [[1.0], [1.0, 2.0]], "y": [1.0, 2.0], "_e": [0.1, 0.2]})]))
