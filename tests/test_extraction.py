@@ -100,4 +100,4 @@ def test_a_trace_is_prepared_once_for_its_crossings(spark):
     q = d.select(at.alias("at"), W.led_grid(F.col("y"), [1.0, 3.0]).alias("led"))
     assert [tuple(r) for r in q.collect()] == [(2 + 1 / 3, [0.5, 2 + 2 / 3]), (None, [None, None]), (None, [None, None]), (1 + 0.5 / 3, [None, 1 + 1 / 3])]
     # the peak was looked for anew at every sample, and for every mention of the cut trace
-    assert d.select(at)._jdf.queryExecution().analyzed().toString().count("array_position(") == 1
+    assert d.select(at.alias("at"))._jdf.queryExecution().analyzed().toString().count("array_position(") == 1
