@@ -269,7 +269,8 @@ def read_hits(spark: SparkSession, paths: list[str] | str, split: int = SPLIT, e
     tot_lsb is null where it isn't recorded. A file is read in parts of `split` bytes by tasks of their own. Each finds its
     first record itself; that every part begins where the one before it ended is checked, and event_index and seq are made
     up from the parts' counts. Conditions on run_id and board are pushed down. A bad file fails the query; with
-    errors="row" it gives rows with nothing but its path and what is wrong, in the further columns path and error.
+    errors="row" it gives rows with nothing but its path and what is wrong, in the further columns path and error; of a
+    file in parts, hits from its first bad part on are left out, as these can't be numbered.
     """
     spark.dataSource.register(HitSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
@@ -281,8 +282,17 @@ def read_hits(spark: SparkSession, paths: list[str] | str, split: int = SPLIT, e
         w = Window_.partitionBy("path").orderBy("part")  # a row for each part
         parts = source(True).withColumn("_expected", F.lag("stop").over(w)).withColumn("_events", F.coalesce(F.sum("events").over(w) - F.col("events"), F.lit(0))).withColumn("_hits", F.coalesce(F.sum("hits").over(w) - F.col("hits"), F.lit(0)))
         apart = F.col("_expected").isNotNull() & (F.col("_expected") != F.col("start"))
-        ok = F.when(apart, F.raise_error(F.concat(F.lit("records don't join up in "), "path")).cast("boolean")).otherwise(F.lit(True))
-        hits = hits.join(parts.where(ok).select("path", "part", "_events", "_hits"), ["path", "part"]).withColumns({"event_index": F.col("event_index") + F.col("_events"), "seq": F.col("seq") + F.col("_hits")})
+        why = F.concat(F.lit("records don't join up in "), "path")
+        if errors == "row":
+            lost = F.min(F.when(F.coalesce(apart, F.lit(False)) | F.col("error").isNotNull(), F.col("part"))).over(Window_.partitionBy("path"))
+            parts = parts.select("path", "part", "_events", "_hits", lost.alias("_lost"), F.when(apart, why).alias("_why"))
+            told = hits.join(parts.drop("_why"), ["path", "part"]).where("error is not null or _lost is null or part < _lost")
+            gaps = parts.where("_why is not null").select("path", "part", "_events", "_hits", F.col("_why").alias("error"))
+            hits = told.drop("_lost").unionByName(gaps, allowMissingColumns=True)
+        else:
+            ok = F.when(apart, F.raise_error(why).cast("boolean")).otherwise(F.lit(True))
+            hits = hits.join(parts.where(ok).select("path", "part", "_events", "_hits"), ["path", "part"])
+        hits = hits.withColumns({"event_index": F.col("event_index") + F.col("_events"), "seq": F.col("seq") + F.col("_hits")})
     return hits.select("run_id", "event_index", "seq", "timestamp_lsb", "trigger_id", "board", "channel", "edge", "toa_lsb", "tot_lsb", *extra)
 
 

@@ -162,6 +162,19 @@ def test_bad_parts_and_error_rows(spark, tmp_path):
             assert got.where("run_id = 'Run6'").count() == df.where("run_number = 6").count()
 
 
+def test_hits_after_a_gap_are_left_out_of_error_rows(spark, tmp_path):
+    _, df = many_hits(spark, np.random.default_rng(2), (5,), 200)
+    runs.write_hits(df, str(tmp_path))
+    want = {(r.event_index, r.seq): r.toa_lsb for r in runs.read_hits(spark, str(tmp_path)).collect()}
+    good = (tmp_path / "Run5.dat").read_bytes()
+    put(tmp_path, "Run5.dat", good[:900] + b"\xff" * 400 + good[1300:])
+    got = runs.read_hits(spark, str(tmp_path), split=500, errors="row").collect()
+    hits = [r for r in got if r.error is None]
+    # the last record before the gap may reach into it
+    assert len(hits) < len(got) and 0 < len(hits) < len(want) / 2
+    assert all(want[r.event_index, r.seq] == r.toa_lsb for r in hits if r.seq < len(hits) - 20)
+
+
 def test_a_file_over_two_gigabytes_is_planned_in_parts(tmp_path):
     path = tmp_path / "Run1.dat"
     with open(path, "wb") as f:
