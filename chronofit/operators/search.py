@@ -7,7 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronofit.functions import waveform as W
@@ -81,6 +81,63 @@ def threshold_scan(pairs: DataFrame, keys: Sequence[str], first: str, second: st
     return residual_metrics(each, [*keys, "parameter"], "delta")
 
 
+def led_times(traces: pa.ListArray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """functions.waveform.leading_edge() of whole traces at ascending levels: times in samples, and whether there is one; a row each."""
+    sizes = np.diff(traces.offsets.to_numpy())
+    times, found = np.zeros((len(traces), len(levels))), np.zeros((len(traces), len(levels)), bool)
+    flat, start = traces.flatten(), np.concatenate([[0], np.cumsum(sizes)])
+    known, samples = flat.is_valid().to_numpy(zero_copy_only=False), flat.to_numpy(zero_copy_only=False).astype(float)
+    for size in np.unique(sizes[sizes > 1]):
+        rows = np.flatnonzero(sizes == size)
+        at = start[rows][:, None] + np.arange(size)
+        y, ok = samples[at], known[at]
+        # how many levels each trace has reached by each sample; a number that is none lies above all, a missing one below
+        top = np.maximum.accumulate(np.where(ok, np.where(np.isnan(y), np.inf, y), -np.inf), axis=1)
+        reached = np.searchsorted(levels, top, side="right") + np.arange(len(rows))[:, None] * (len(levels) + 1)
+        before = np.bincount(reached.ravel(), minlength=len(rows) * (len(levels) + 1)).reshape(len(rows), -1).cumsum(axis=1)[:, :-1]
+        line, k = np.arange(len(rows))[:, None], np.clip(before, 1, size - 1)
+        a, b = y[line, k - 1], y[line, k]
+        found[rows] = (before > 0) & (before < size) & (levels > 0) & ok[line, k - 1] & (a != b)
+        with np.errstate(all="ignore"):
+            times[rows] = (k - 1) + (levels - a) / (b - a)
+    return times, found
+
+
+def _led_spreads(d: DataFrame, first: str, second: str, levels: np.ndarray, step_ps: float) -> DataFrame:
+    """k, _fold, sd, missing, n of the time difference at each of the ascending levels.
+
+    A task hands on a count, mean and sum of squares about it for each level and fold, so nothing grows with events times levels.
+    """
+    where = pa.schema([("k", pa.int32()), ("_fold", pa.int32()), ("n", pa.int64()), ("c", pa.int64()), ("m", pa.float64()), ("q", pa.float64())])
+
+    def run(batches):
+        held: dict[int, tuple] = {}
+        for b in batches:
+            (ta, fa), (tb, fb) = (led_times(x, levels) for x in b.columns[1:])
+            folds, have = b.column(0).to_numpy(), fa & fb
+            with np.errstate(all="ignore"):
+                delta = np.where(have, (ta - tb) * step_ps, 0.0)
+                for fold in np.unique(folds):
+                    x, ok = delta[folds == fold], have[folds == fold]
+                    c = ok.sum(axis=0)
+                    m = x.sum(axis=0) / np.maximum(c, 1)
+                    q = np.where(ok, (x - m) ** 2, 0.0).sum(axis=0)
+                    n0, c0, m0, q0 = held.get(fold, (0, 0, 0.0, 0.0))
+                    both = np.maximum(c0 + c, 1)
+                    held[fold] = n0 + len(x), c0 + c, m0 + (m - m0) * c / both, q0 + q + (m - m0) ** 2 * c0 * c / both
+        for fold, (n, c, m, q) in held.items():
+            k = np.arange(len(levels), dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.full_like(k, fold)), pa.array(np.full(len(k), n)), pa.array(c), pa.array(m), pa.array(q)], schema=where)
+
+    whole = d.where(F.col(first).isNotNull() & F.col(second).isNotNull()).select("_fold", first, second)
+    parts = whole.mapInArrow(run, "k int, _fold int, n long, c long, m double, q double")
+    w = Window.partitionBy("k", "_fold")
+    mean = F.sum(F.col("c") * F.col("m")).over(w) / F.sum("c").over(w)
+    parts = parts.withColumn("off", F.when(F.col("c") > 0, F.col("m") - mean).otherwise(0.0))
+    total = F.sum(F.col("q") + F.col("c") * F.col("off") * F.col("off"))
+    return parts.groupBy("k", "_fold").agg(F.when(F.sum("c") > 1, F.sqrt(total / (F.sum("c") - 1))).alias("sd"), (F.sum("n") - F.sum("c")).alias("missing"), F.sum("n").alias("n"))
+
+
 def adaptive_threshold(pairs: DataFrame, first: str, second: str, row_id: str, folds: int, low: float, high: float, step_ps: float, coarse: int = 121, fine: int = 41, kind: str = "led", seed: int = 1) -> tuple[float, DataFrame]:
     """Coarse-to-fine search of one threshold: the value, and the table of both passes (pass, value, score_ps, valid).
 
@@ -96,9 +153,12 @@ def adaptive_threshold(pairs: DataFrame, first: str, second: str, row_id: str, f
     tables = []
 
     def score(values: np.ndarray, number: int) -> pd.DataFrame:
-        grid = (lambda y: W.led_grid(y, values.tolist())) if kind == "led" else (lambda y: W.cfd_grid(y, values.tolist()))
-        each = d.select("_fold", F.posexplode(F.zip_with(grid(F.col(first)), grid(F.col(second)), lambda a, b: (a - b) * step_ps)).alias("k", "delta"))
-        per = each.groupBy("k", "_fold").agg(F.stddev_samp("delta").alias("sd"), F.count_if(F.col("delta").isNull()).alias("missing"), F.count("*").alias("n"))
+        if kind == "led":
+            per = _led_spreads(d, first, second, values, step_ps)
+        else:
+            grid = lambda y: W.cfd_grid(y, values.tolist())
+            each = d.select("_fold", F.posexplode(F.zip_with(grid(F.col(first)), grid(F.col(second)), lambda a, b: (a - b) * step_ps)).alias("k", "delta"))
+            per = each.groupBy("k", "_fold").agg(F.stddev_samp("delta").alias("sd"), F.count_if(F.col("delta").isNull()).alias("missing"), F.count("*").alias("n"))
         whole = (F.sum("missing") == 0) & (F.min("n") >= 2) & (F.count("*") == folds)
         out = per.groupBy("k").agg((F.avg("sd") * FWHM).alias("score_ps"), whole.alias("valid")).toPandas()
         out["value"], out["number"] = values[out.k.to_numpy()], number
