@@ -73,7 +73,9 @@ def group_analysis(
     both = windows.where("_peak_a = '' and _peak_b = ''")
     selected = cut(in_windows(pool, both, g, ["duration_a", "duration_b"]))
 
-    sides = cut(P.side_candidates(hits.join(selected.select(*_EVENT), _EVENT, "left_semi"), window, energy, timing))
+    # the pool has each event's pulses already, so only timing leads are read again
+    leads = hits.where(F.col("channel").isin(*timing) & (F.col("edge") == 1)).select(*_EVENT, "channel", "edge", "toa_lsb")
+    sides = cut(P.preceding_leads(leads.join(selected.drop(*g), _EVENT), window, timing))
     samples = P.calibration_samples(sides).join(members.select("run_id", "group_id"), "run_id")
     models = cut(clipped_delay(samples, [*g, "side"], "delay", **(delay or {})).where("mean is not null"))
     delays = models.groupBy(*g).agg(*(_of(s, c, f"_{c}_{s}") for s in "ab" for c in ("mean", "deviation", "n_kept")))
