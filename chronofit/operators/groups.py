@@ -17,6 +17,8 @@ from .stats import clipped_delay, robust_scale
 #: What makes runs poolable: the settings, and the header of their files.
 POOLABLE = (*GROUP, "measurement_mode", "toa_lsb_ps", "tot_lsb_ps")
 _EVENT = ["run_id", "event_index"]
+#: The same for joins, which sort by the first column for as long as that differs.
+_JOINED = ["event_index", "run_id"]
 
 
 def pooled_candidates(hits: DataFrame, members: DataFrame, window: int, energy: tuple[int, int] = (1, 5), timing: tuple[int, int] = (3, 7)) -> DataFrame:
@@ -75,14 +77,14 @@ def group_analysis(
 
     # the pool has each event's pulses already, so only timing leads are read again
     leads = hits.where(F.col("channel").isin(*timing) & (F.col("edge") == 1)).select(*_EVENT, "channel", "edge", "toa_lsb")
-    sides = cut(P.preceding_leads(leads.join(selected.drop(*g), _EVENT), window, timing))
+    sides = cut(P.preceding_leads(leads.join(selected.drop(*g), _JOINED), window, timing))
     samples = P.calibration_samples(sides).join(members.select("run_id", "group_id"), "run_id")
     models = cut(clipped_delay(samples, [*g, "side"], "delay", **(delay or {})).where("mean is not null"))
     delays = models.groupBy(*g).agg(*(_of(s, c, f"_{c}_{s}") for s in "ab" for c in ("mean", "deviation", "n_kept")))
 
     by_run = members.join(models, g).select("run_id", "side", "mean")
     wide = cut(P.matches_wide(P.match_delays(sides, by_run, longest)))
-    events = wide.where("status = 'accepted'").join(selected, _EVENT)
+    events = wide.where("status = 'accepted'").join(selected, _JOINED)
     matched = cut(events.select(*g, *_EVENT, *((F.col(f"time_{s}") - F.col(f"lead_{s}")).alias(f"alignment_{s}") for s in "ab"), (F.col("time_b") - F.col("time_a")).alias("timing_lsb")))
     centers = cut(robust_scale(_by_side(matched, "alignment"), [*g, "side"], "value", 2.0).groupBy(*g).agg(*(_of(s, c, f"{c}_{s}") for s in "ab" for c in ("n", "center", "scale"))))
     near = [(F.col(f"n_{s}") < least) | (F.abs(F.col(f"alignment_{s}") - F.col(f"center_{s}")) <= z * F.col(f"scale_{s}")) for s in "ab"]
