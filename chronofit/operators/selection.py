@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .fits import photopeak
+from .lineage import cut
 from .stats import robust_scale
 
 
@@ -44,16 +45,20 @@ def alignment_filter(events: DataFrame, keys: Sequence[str], values: Sequence[st
 
     Robust centres are median and 1.4826 MAD, others mean and sample deviation; the scale is at least the floor.
     """
-    keys, out = list(keys), events
+    keys, scales = list(keys), None
     test = F.lit(True)
     for v in values:
         if robust:
             s = robust_scale(events, keys, v, floor)
         else:
             s = events.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("center"), F.greatest(F.coalesce(F.stddev_samp(v), F.lit(0.0)), F.lit(floor)).alias("scale"))
-        out = out.join(s.select(*keys, F.col("n").alias(f"_n_{v}"), F.col("center").alias(f"_c_{v}"), F.col("scale").alias(f"_s_{v}")), keys)
+        s = s.select(*keys, F.col("n").alias(f"_n_{v}"), F.col("center").alias(f"_c_{v}"), F.col("scale").alias(f"_s_{v}"))
+        scales = s if scales is None else scales.join(s, keys)
         test &= (F.col(f"_n_{v}") < minimum) | (F.abs(F.col(v) - F.col(f"_c_{v}")) <= z * F.col(f"_s_{v}"))
-    return out.where(test).select(*events.columns)
+    if scales is None:
+        return events
+    # a table of a row for each group, whose size is known: where groups are few, events aren't shuffled into as few tasks
+    return events.join(cut(scales), keys).where(test).select(*events.columns)
 
 
 def cut_flow(events: DataFrame, keys: Sequence[str], cuts: dict[str, Column]) -> DataFrame:
