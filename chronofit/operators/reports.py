@@ -155,8 +155,9 @@ def partner(i: Column, draw: Column, n: int, seed: int) -> Column:
         return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *(p.cast("string") for p in parts))), 1, 7), 16, 10).cast("long")
 
     def swapped(x: Column, r: Column) -> Column:
-        mirror = F.pmod(number(draw, r) - x, F.lit(n))
-        return F.when(number(draw, r, F.greatest(x, mirror)) % 2 == 0, mirror).otherwise(x)
+        # an array of one binds the mirror: an expression that stands in three places would be hashed in each
+        bound = F.transform(F.array(F.pmod(number(draw, r) - x, F.lit(n))), lambda mirror: F.when(number(draw, r, F.greatest(x, mirror)) % 2 == 0, mirror).otherwise(x))
+        return F.element_at(bound, 1)
 
     there = F.aggregate(F.sequence(F.lit(0), F.lit(SWAPS - 1)), i.cast("long"), swapped)
     return F.aggregate(F.sequence(F.lit(SWAPS - 1), F.lit(0), F.lit(-1)), F.pmod(there + 1, F.lit(n)).cast("long"), swapped)
@@ -219,7 +220,8 @@ def shift_test(df: DataFrame, index: str, first: str, second: str, n: int, shift
 def similarity_distribution(df: DataFrame, index: str, first: str, second: str, n: int, draws: int = 20, seed: int = 1) -> DataFrame:
     """kind (matched or random), n, mean, std, median, q1, q3, p1, p99 of the cosines of events with themselves and with drawn partners."""
     own = df.select(F.lit(0).alias("draw"), F.col(index).alias("i"), F.col(index).alias("j"))
-    both = pair_similarity(df, index, first, second, own.unionByName(random_pairs(df, index, n, draws, seed)))
+    pairs = cut(own.unionByName(random_pairs(df, index, n, draws, seed)))  # read three times, and partners are long chains of hashes
+    both = pair_similarity(df, index, first, second, pairs)
     return quantile_summary(cut(both).withColumn("kind", F.when(F.col("draw") == 0, "matched").otherwise("random")), ["kind"], "similarity")
 
 
