@@ -239,6 +239,70 @@ def test_only_sets_of_candidates_meet_the_nodes(spark):
     assert ok[5] and ok[77] and ok.sum() < 10
 
 
+def test_texts_arent_shuffled_for_the_sets_of_their_paragraphs(spark):
+    g = random.Random(9)
+    rows = [(i, "\n".join(" ".join(f"w{g.randrange(300)}" for _ in range(g.randrange(60))) for _ in range(3))) for i in range(80)]
+    rows += [(None, "no id one two three four"), (7, rows[7][1]), (900, None), (901, "")]
+    texts = documents(spark, rows).select(F.col("doc_id").alias("id"), "text").withColumn("uid", paragraphs._uid(F.col("id"), F.col("text"))).select("id", "uid", "text")
+    texts = common.Scratch(spark, "t").save(texts)
+    names = {(r.id, r.text): r.uid for r in texts.collect()}
+    units = [(i, names[i, t], n, " ".join(p)) for i, t in dict.fromkeys(rows) for n, p in enumerate(p for x in (t or "").split("\n") for p in cut_line(x))]
+    wanted = [(k, *u[:3]) for k, u in enumerate(units) if k % 3 == 0 or u[0] in (None, 7)]
+    places = common.Scratch(spark, "t").save(spark.createDataFrame([*wanted, (-1, 5, 123, 0)], "node long, id long, uid long, no int"))
+    got = paragraphs.paragraph_sets(texts, places, 5, paragraphs.REACH)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[plan.index("MapInArrow") :]
+    found = {r.node: np.frombuffer(r.elements, np.uint64) for r in got.collect()}
+    assert got.count() == len(found) == len(wanted)
+    for k, *_ in wanted:
+        alone = shingles.text_sets(pa.array([units[k][3]], pa.large_string()), 5, shingles.space_words(), shingles.lower_ascii())[0]
+        assert len(found[k]) == len(shingle_set(units[k][3])) and (found[k] == alone).all()
+
+
+def test_bands_that_stand_alone_are_shuffled_once(spark):
+    from chronofit.llm import nearsets
+
+    n = 20_000
+    bands = spark.range(n).select((F.col("id") * 7 - n).alias("h"), F.col("id").alias("node"))
+    bands = bands.union(bands.where("node < 40").withColumn("node", F.col("node") + n))
+    sets = spark.range(2 * n).select(F.col("id").alias("node"), F.lit(np.arange(9, dtype=np.uint64).tobytes()).alias("elements"))
+
+    def written():
+        sc = spark.sparkContext
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in map(stages.apply, range(stages.size()))}
+
+    before, most = written(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = {r.node: r.comp for r in nearsets.linked(common.Scratch(spark, "t"), bands, lambda x: sets.join(x, "node", "left_semi"), 4, 5).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    assert got == {n * k + i: i for i in range(40) for k in (0, 1)}
+    # the sets of this test are dealt by node: 2 n rows of its own
+    assert sum(v for k, v in written().items() if k not in before) < 3.5 * n
+
+
+def test_sets_are_dealt_out_once_for_a_member_and_its_hub(spark):
+    from chronofit.llm import nearsets
+
+    scratch = common.Scratch(spark, "t")
+    full = np.arange(20, dtype=np.uint64)
+    sets = scratch.save(spark.createDataFrame([(i, full[i % 3 :].tobytes()) for i in range(50)] + [(99, full[9:].tobytes())], "node long, elements binary"))
+    star = scratch.save(spark.createDataFrame([(i, i % 5) for i in range(5, 50)] + [(99, 0)], "node long, hub long"))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        links = nearsets._hub_links(star, sets, 4, 5)
+        assert links._jdf.queryExecution().executedPlan().toString().count("ReusedExchange") == 1
+        assert sorted((r.u, r.v) for r in links.collect()) == [(i, i % 5) for i in range(5, 50)]
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
 def test_paragraphs_dont_depend_on_what_stands_before():
     g = random.Random(6)
     lines = [" ".join(f"w{g.randrange(10**4)}" + g.choice(["", "", "."]) for _ in range(g.randrange(60))) for _ in range(400)]
